@@ -6,28 +6,32 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # A key is hot when it holds at least this share of the sampled rows.
 HOT_SHARE = 0.01
-SAMPLE_ROWS = 100_000
+SAMPLE = 0.01
+# Below this many sampled rows no key can weigh on a task.
+FEWEST_SAMPLED = 1000
+TRACKED = 4096
 SALTS = 32
 
 
-def hot_keys(df: DataFrame, key: str, rows: int | None = None, share: float = HOT_SHARE, sample_rows: int = SAMPLE_ROWS) -> list:
-    """Keys holding a large share of the rows, estimated from a row sample.
+def hot_values(df: DataFrame, keys: list[str], share: float = HOT_SHARE, sample: float = SAMPLE, fewest: int = FEWEST_SAMPLED) -> dict[str, list]:
+    """Per key column, the values that hold a large share of the rows.
 
-    At most ``1 / share`` keys can qualify. The estimate only steers where rows
-    go; the join result does not depend on it.
+    One pass over a row sample with a frequent-items sketch per column: bounded
+    state, merged across tasks, at most ``1 / share`` values each. The estimate only
+    steers where rows go, a join's result does not depend on it.
     """
-    keys = df.select(key)
-    rows = keys.count() if rows is None else rows
-    if rows == 0:
-        return []
-    fraction = min(1.0, sample_rows / rows)
-    sampled = keys.where(F.col(key).isNotNull())
-    if fraction < 1.0:
-        sampled = sampled.sample(fraction, seed=23)
-    floor = max(2.0, share * rows * fraction)
-    counted = sampled.groupBy(key).count().where(F.col("count") >= floor)
-    top = counted.orderBy(F.desc("count")).limit(int(2 / share)).collect()
-    return [r[key] for r in top]
+    sampled = df.select(*keys) if sample >= 1 else df.select(*keys).sample(sample, seed=23)
+    most = int(1 / share)
+    sketches = [F.expr(f"approx_top_k(`{key}`, {most}, {TRACKED})").alias(key) for key in keys]
+    row = sampled.agg(F.count("*").alias("_rows"), *sketches).first()
+    if row["_rows"] < fewest:
+        return {key: [] for key in keys}
+    floor = max(2, share * row["_rows"])
+    return {key: [i["item"] for i in row[key] if i["item"] is not None and i["count"] >= floor] for key in keys}
+
+
+def hot_keys(df: DataFrame, key: str) -> list:
+    return hot_values(df, [key])[key]
 
 
 def skew_join(
@@ -38,16 +42,21 @@ def skew_join(
     spread: list[str | Column],
     how: str = "inner",
     salts: int = SALTS,
+    shuffled: bool = False,
 ) -> DataFrame:
     """Equi-join in which rows of hot keys are spread over ``salts`` partitions.
 
     Rows of ``big`` with a hot key get a salt hashed from ``spread`` (columns that
     vary within a key); the matching rows of ``small`` are repeated per salt. All
     other rows carry salt 0. Without hot keys this is the plain join, and Catalyst
-    picks broadcast or shuffle from the measured sizes.
+    picks broadcast or shuffle from the measured sizes. ``shuffled`` rules out the
+    broadcast where both sides grow with the data: the size estimate of a
+    compressed file can lie far below what its rows take in memory.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a salted join keeps the rows of the left side only once: {how!r}")
+    if shuffled:
+        small = small.hint("merge")
     if not hot:
         return big.join(small, on, how)
     is_hot = F.col(on).isin(*hot)

@@ -114,10 +114,7 @@ def pivot_long(
             pieces.append(_marked(summed.withColumn(VALUE, final()), keys, level, [VALUE]))
         return reduce(DataFrame.unionByName, pieces)
     if agg == "median":
-        counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-        low, high = df.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
-        pieces = [_marked(_medians(counts, level, value, low, high), keys, level, [VALUE]) for level in levels]
-        return reduce(DataFrame.unionByName, pieces)
+        return _medians(df, keys, levels, value)
     measure = _whole_group(agg, value, order).alias(VALUE)
     return reduce(DataFrame.unionByName, [_marked(df.groupBy(*level).agg(measure), keys, level, [VALUE]) for level in levels])
 
@@ -136,40 +133,48 @@ def _fractions(cells: DataFrame, keys: list[str], levels: list[list[str]], withi
     return reduce(DataFrame.unionByName, pieces)
 
 
-MEDIAN_STEPS = 1024
+# Rank error of the sketch, and how far around the middle its bracket reaches.
+SKETCH_ACCURACY = 10_000
+BRACKET = 0.01
+# Groups up to this size are looked at as a whole.
+SMALL_GROUP = 10_000
 
 
-def _medians(counts: DataFrame, keys: list[str], value: str, low: float | None, high: float | None) -> DataFrame:
-    """Exact median per group from the frequencies of its values.
+def _medians(df: DataFrame, keys: list[str], levels: list[list[str]], value: str) -> DataFrame:
+    """Exact median per cell and total, without gathering a group in one task.
 
-    ``median()`` would hold a group's values in one task's memory. Here the values of
-    a group are first counted in at most ``MEDIAN_STEPS`` steps; only the steps that
-    hold the middle rows are then looked at value by value.
+    A quantile sketch gives every group a narrow bracket around its middle. The
+    second pass counts the rows below the bracket and looks value by value only at
+    the rows inside it, about two percent of a large group.
     """
-    if low is None:
-        return counts.select(*keys, F.lit(None).cast("double").alias(VALUE)).limit(0)
-    width = (high - low) / MEDIAN_STEPS or 1.0
-    step = F.least(F.floor((F.col(value).cast("double") - F.lit(low)) / F.lit(width)), F.lit(MEDIAN_STEPS - 1))
-    stepped = counts.groupBy(*keys, value).agg(F.sum("n").alias("n")).withColumn("_step", step)
-    steps = stepped.groupBy(*keys, "_step").agg(F.sum("n").alias("_rows"))
-    group = Window.partitionBy(*keys)
-    steps = steps.select(
-        *keys,
-        "_step",
-        (F.sum("_rows").over(group.orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rows")).alias("_before"),
-        "_rows",
-        F.sum("_rows").over(group).alias("_all"),
+    marks = [F.struct(F.lit(n).alias("_level"), *[(F.col(k).cast("string") if k in level else F.lit(TOTAL)).alias(k) for k in keys]) for n, level in enumerate(levels)]
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v"), F.explode(F.array(*marks)).alias("_g")).select("_v", "_g.*")
+    group = ["_level", *keys]
+    ends = [0.5 - BRACKET, 0.5 + BRACKET]
+    small = F.col("_all") <= SMALL_GROUP
+    brackets = rows.groupBy(*group).agg(
+        F.count("*").alias("_all"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", ends, SKETCH_ACCURACY).alias("_ends"),
+    ).select(
+        *[F.col(k).alias(f"_b{i}") for i, k in enumerate(group)],
+        "_all",
+        F.when(small, F.col("_min")).otherwise(F.col("_ends")[0]).alias("_from"),
+        F.when(small, F.col("_max")).otherwise(F.col("_ends")[1]).alias("_to"),
     )
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(group)])
+    # Rows below the bracket collapse into one null value per group.
+    seen = rows.join(brackets, same).where(F.col("_v") <= F.col("_to"))
+    inside = F.when(F.col("_v") >= F.col("_from"), F.col("_v"))
+    counts = seen.groupBy(*group, "_all", inside.alias("_v")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*group).orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("_upto", upto)
+
+    def at(rank: Column) -> Column:
+        covers = (F.col("_upto") - F.col("_n") < rank) & (rank <= F.col("_upto"))
+        return F.max(F.when(covers, F.col("_v").cast("double")))
+
     lower, upper = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
-    reaches = lambda rank: (F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_rows"))
-    steps = steps.where(reaches(lower) | reaches(upper))
-    named = steps.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_step").alias("_s"), "_before", "_all")
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_step") == F.col("_s"))
-    inside = Window.partitionBy(*keys, "_step").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = stepped.join(named, same).withColumn("_upto", F.col("_before") + F.sum("n").over(inside))
-    covers = lambda rank: (F.col("_upto") - F.col("n") < rank) & (rank <= F.col("_upto"))
-    middle = [F.max(F.when(covers(rank), F.col(value).cast("double"))) for rank in (lower, upper)]
-    found = placed.groupBy(*keys).agg(middle[0].alias("_low"), middle[1].alias("_high"))
+    found = placed.groupBy(*group).agg(at(lower).alias("_low"), at(upper).alias("_high"))
     return found.select(*keys, money.settle((F.col("_low") + F.col("_high")) / 2, 6).alias(VALUE))
 
 

@@ -130,25 +130,32 @@ def order_statistics(
     splits = list(dict.fromkeys(tuple(r) for r in sample[step::step]))
     if not splits:
         return order_statistics(df, keys, wanted, rows, fan_out, rows)
-    indexed = table.withColumn("_range", _range_index(keys, splits))
-    sizes = {r["_range"]: r["count"] for r in indexed.groupBy("_range").count().collect()}
-    found, start = {}, 0
+    ranged = table.withColumn("_range", _range_index(keys, splits))
+    sizes = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
+    if max(sizes.values()) == rows:
+        raise ValueError(f"sort keys {names} do not tell rows apart; add a unique column")
+    before, start = {}, 0
     for index in sorted(sizes):
-        inside = [r - start for r in wanted if start < r <= start + sizes[index]]
-        if inside:
-            conditions = []
+        before[index], start = start, start + sizes[index]
+    inside = {i: [r - before[i] for r in wanted if before[i] < r <= before[i] + sizes[i]] for i in sizes}
+    found = {}
+    # Small ranges come to the driver together, in key order.
+    small = [i for i in sorted(sizes) if inside[i] and sizes[i] <= direct_rows]
+    if small:
+        ordered = ranged.where(F.col("_range").isin(*small)).select(*names).orderBy(*order).collect()
+        first = 0
+        for index in small:
+            found.update({before[index] + r: tuple(ordered[first + r - 1]) for r in inside[index]})
+            first += sizes[index]
+    for index in sizes:
+        if inside[index] and sizes[index] > direct_rows:
+            part = table
             if index > 0:
-                conditions.append(~_precedes(keys, splits[index - 1]))
+                part = part.where(~_precedes(keys, splits[index - 1]))
             if index < len(splits):
-                conditions.append(_precedes(keys, splits[index]))
-            part = table
-            for condition in conditions:
-                part = part.where(condition)
-            if sizes[index] == rows:
-                raise ValueError(f"sort keys {names} do not tell rows apart; add a unique column")
-            deeper = order_statistics(part, keys, inside, direct_rows, fan_out, sizes[index])
-            found.update({r + start: values for r, values in deeper.items()})
-        start += sizes[index]
+                part = part.where(_precedes(keys, splits[index]))
+            deeper = order_statistics(part, keys, inside[index], direct_rows, fan_out, sizes[index])
+            found.update({before[index] + r: values for r, values in deeper.items()})
     return found
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from martwright.functions import labels, money
 from martwright.functions.keys import date_key, surrogate_key
 from martwright.functions.text import match_name
-from martwright.operators.joins import hot_keys, skew_join
+from martwright.operators.joins import hot_keys, hot_values, skew_join
 from martwright.operators.ranking import global_row_number
 from martwright.sources.schemas import LOADED_AT
 
@@ -123,15 +123,13 @@ def fct_sales(
     row samples of the unfiltered tables and spread over several tasks.
     """
     hot_customers = hot_keys(orders if raw_orders is None else raw_orders, "customer_id")
-    lines = items if raw_items is None else raw_items
-    rows = lines.count()
-    hot_orders, hot_products = hot_keys(lines, "order_id", rows), hot_keys(lines, "product_id", rows)
+    hot = hot_values(items if raw_items is None else raw_items, ["order_id", "product_id"])
 
     known = skew_join(orders.drop(LOADED_AT), customers.select("customer_sk", "customer_id"), "customer_id", hot_customers, ["order_id"])
     headers = known.select("order_id", "order_date", "payment_method", "order_status", "is_revenue_order", "customer_sk")
-    sold = skew_join(items.drop(LOADED_AT), headers, "order_id", hot_orders, ["order_item_id"])
+    sold = skew_join(items.drop(LOADED_AT), headers, "order_id", hot["order_id"], ["order_item_id"], shuffled=True)
     costs = products.select("product_sk", "product_id", "base_cost", "avg_competitor_price")
-    priced = skew_join(sold, costs, "product_id", hot_products, ["order_item_id"])
+    priced = skew_join(sold, costs, "product_id", hot["product_id"], ["order_item_id"])
     measures = line_measures()
     return priced.select(
         surrogate_key("order_item_id").alias("sale_sk"),

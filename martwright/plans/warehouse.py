@@ -8,7 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from martwright.operators.joins import hot_keys
+from martwright.operators.joins import hot_values
 from martwright.plans import analytics, marts, staging
 from martwright.session import shared_folder
 from martwright.sources.schemas import RawTables
@@ -64,16 +64,16 @@ class Warehouse:
         return self._stored(clustered(self.sales(), marts.FACT_CLUSTERING), "fct_sales")
 
     @cached_property
-    def fact_rows(self) -> int:
-        return self.fct_sales.count()
+    def _hot(self) -> dict[str, list]:
+        return hot_values(self.fct_sales, ["product_sk", "customer_sk"])
 
-    @cached_property
+    @property
     def hot_products(self) -> list:
-        return hot_keys(self.fct_sales, "product_sk", self.fact_rows)
+        return self._hot["product_sk"]
 
-    @cached_property
+    @property
     def hot_customers(self) -> list:
-        return hot_keys(self.fct_sales, "customer_sk", self.fact_rows)
+        return self._hot["customer_sk"]
 
     @cached_property
     def daily_revenue_trends(self) -> DataFrame:

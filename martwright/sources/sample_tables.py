@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from martwright.sources.schemas import RawTables
+from martwright.sources.tables import spread
 
 # Labels by key remainder.
 COUNTRIES = ["United States", "Canada", "United Kingdom", "Germany", "France", "Australia", "Japan", "Singapore", "India", "UAE", "Brazil"]
@@ -127,7 +128,7 @@ def raw_tables(spark: SparkSession, folder: str) -> RawTables:
     return RawTables(
         customers=customers(table(spark, folder, "customer"), table(spark, folder, "nation")),
         products=products(part),
-        orders=orders(table(spark, folder, "orders")),
-        order_items=order_items(table(spark, folder, "lineitem")),
+        orders=orders(spread(table(spark, folder, "orders"), "o_orderkey")),
+        order_items=order_items(spread(table(spark, folder, "lineitem"), "l_orderkey", "l_partkey", "l_linenumber")),
         competitor_prices=competitor_prices(part),
     )

@@ -9,6 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from martwright.session import shared_folder
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Hand the rows of a few-task scan to all cores before row-wise work.
+
+    A file with one row group is read by one task, however many cores there are. A
+    scan that has a task per core stays as it is, so a large table never pays for
+    this exchange. ``by`` should tell rows apart.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *by)
+
+
 def write_full_refresh(df: DataFrame, target: str, as_table: bool = False) -> None:
     """Replace the target with the rows of ``df``; running it again changes nothing."""
     if as_table:
