@@ -99,8 +99,9 @@ class Load:
 def load_all(spark: SparkSession, loads: Mapping[str, Load], mapping: Mapping[str, str] | None = None) -> DataFrame:
     """Refresh every table from its file and report per table.
 
-    A file that is missing or unreadable is reported as FAILED and does not stop the
-    others. The rows are counted on the written table.
+    A file that is missing or unreadable, or leaves a required column empty, is
+    reported as FAILED and does not stop the others. Rows and empty cells are counted
+    on the written table in one pass.
     """
     report = []
     for name, load in loads.items():
@@ -108,10 +109,16 @@ def load_all(spark: SparkSession, loads: Mapping[str, Load], mapping: Mapping[st
         status, rows, error = "FAILED", 0, None
         try:
             write_full_refresh(with_load_ts(read_csv(spark, load.path, load.schema, mapping)), load.target)
-            rows = spark.read.parquet(load.target).count()
-            status = "SUCCESS"
-            if load.expected and rows != load.expected:
-                error = f"expected {load.expected} rows"
+            required = [f.name for f in load.schema.fields if not f.nullable]
+            empty = [F.count_if(F.col(c).isNull()).alias(c) for c in required]
+            counted = spark.read.parquet(load.target).agg(F.count("*").alias("_rows"), *empty).first()
+            rows = counted["_rows"]
+            broken = [c for c in required if counted[c]]
+            if broken:
+                error = f"empty cells in the columns {broken}"
+            else:
+                status = "SUCCESS"
+                error = f"expected {load.expected} rows" if load.expected and rows != load.expected else None
         except (PySparkException, ValueError) as problem:
             error = str(problem).splitlines()[0]
         report.append((load.path.rstrip("/").rsplit("/", 1)[-1], name, status, rows, time.monotonic() - started, error))
