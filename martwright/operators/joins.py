@@ -14,7 +14,7 @@ SALTS = 32
 
 
 def hot_values(df: DataFrame, keys: list[str], share: float = HOT_SHARE, sample: float = SAMPLE, fewest: int = FEWEST_SAMPLED) -> dict[str, list]:
-    """Per key column, the values that hold a large share of the rows.
+    """Per key column, the values (null included) that hold a large share of the rows.
 
     One pass over a row sample with a frequent-items sketch per column: bounded
     state, merged across tasks, at most ``1 / share`` values each. The estimate only
@@ -27,7 +27,7 @@ def hot_values(df: DataFrame, keys: list[str], share: float = HOT_SHARE, sample:
     if row["_rows"] < fewest:
         return {key: [] for key in keys}
     floor = max(2, share * row["_rows"])
-    return {key: [i["item"] for i in row[key] if i["item"] is not None and i["count"] >= floor] for key in keys}
+    return {key: [i["item"] for i in row[key] if i["count"] >= floor] for key in keys}
 
 
 def hot_keys(df: DataFrame, key: str) -> list:
@@ -57,12 +57,16 @@ def skew_join(
         raise ValueError(f"a salted join keeps the rows of the left side only once: {how!r}")
     if shuffled:
         small = small.hint("merge")
-    if not hot:
+    values = [value for value in hot if value is not None]
+    # Rows without a key find no partner; only joins that keep them have to spread them.
+    empty = None in hot and how in ("left", "left_anti")
+    if not values and not empty:
         return big.join(small, on, how)
-    is_hot = F.col(on).isin(*hot)
-    salt = F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    salted = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    joined = big.withColumn("_salt", salt).join(small.withColumn("_salt", salted), [on, "_salt"], how)
+    is_hot = F.col(on).isin(*values) if values else F.lit(False)
+    spread_out = F.coalesce(is_hot, F.lit(empty))
+    salt = F.when(spread_out, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    joined = big.withColumn("_salt", salt).join(small.withColumn("_salt", F.explode(copies)), [on, "_salt"], how)
     return joined.drop("_salt")
 
 

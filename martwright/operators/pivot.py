@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from martwright.functions import money
+from martwright.sources.tables import write_stable
 
 TOTAL = "Totals"
 VALUE = "value"
@@ -135,9 +136,12 @@ def _fractions(cells: DataFrame, keys: list[str], levels: list[list[str]], withi
 
 # Rank error of the sketch, and how far around the middle its bracket reaches.
 SKETCH_ACCURACY = 10_000
-BRACKET = 0.01
+BRACKET = 0.001
 # Groups up to this size are looked at as a whole.
 SMALL_GROUP = 10_000
+# Most cells whose brackets are sent to every task; beyond, rows are salted.
+BROADCAST_CELLS = 100_000
+SALTS = 32
 
 
 def _medians(df: DataFrame, keys: list[str], levels: list[list[str]], value: str) -> DataFrame:
@@ -145,7 +149,8 @@ def _medians(df: DataFrame, keys: list[str], levels: list[list[str]], value: str
 
     A quantile sketch gives every group a narrow bracket around its middle. The
     second pass counts the rows below the bracket and looks value by value only at
-    the rows inside it, about two percent of a large group.
+    the rows inside it, a few thousandths of a large group, counted per distinct
+    value before they meet. A bracket that misses the middle fails loudly.
     """
     marks = [F.struct(F.lit(n).alias("_level"), *[(F.col(k).cast("string") if k in level else F.lit(TOTAL)).alias(k) for k in keys]) for n, level in enumerate(levels)]
     rows = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v"), F.explode(F.array(*marks)).alias("_g")).select("_v", "_g.*")
@@ -161,7 +166,15 @@ def _medians(df: DataFrame, keys: list[str], levels: list[list[str]], value: str
         F.when(small, F.col("_min")).otherwise(F.col("_ends")[0]).alias("_from"),
         F.when(small, F.col("_max")).otherwise(F.col("_ends")[1]).alias("_to"),
     )
+    brackets = write_stable(brackets, "brackets")
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(group)])
+    if brackets.count() <= BROADCAST_CELLS:
+        brackets = F.broadcast(brackets)
+    else:
+        # The grand total is one group of all rows: spread every group by value.
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
+        brackets = brackets.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same = same & (F.col("_salt") == F.col("_copy"))
     # Rows below the bracket collapse into one null value per group.
     seen = rows.join(brackets, same).where(F.col("_v") <= F.col("_to"))
     inside = F.when(F.col("_v") >= F.col("_from"), F.col("_v"))
@@ -175,7 +188,8 @@ def _medians(df: DataFrame, keys: list[str], levels: list[list[str]], value: str
 
     lower, upper = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
     found = placed.groupBy(*group).agg(at(lower).alias("_low"), at(upper).alias("_high"))
-    return found.select(*keys, money.settle((F.col("_low") + F.col("_high")) / 2, 6).alias(VALUE))
+    middle = F.coalesce((F.col("_low") + F.col("_high")) / 2, F.raise_error(F.lit("median outside its bracket")).cast("double"))
+    return found.select(*keys, money.settle(middle, 6).alias(VALUE))
 
 
 def pivot_table(

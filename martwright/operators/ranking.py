@@ -8,18 +8,20 @@ every row with them, which needs no shuffle of the table at all.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from martwright.sources.tables import write_stable
 
-# Most sort keys that are brought to the driver in one go.
+# A range with at most this many rows is sorted on the driver.
 DIRECT_ROWS = 20_000
-# Ranges a table is cut into per refinement round.
-FAN_OUT = 32
-SAMPLE_PER_RANGE = 64
+# Sort keys sampled per round to bracket the wanted ranks.
+SAMPLE_ROWS = 50_000
+LEAST_SAMPLED = 400
 
 # monotonically_increasing_id: partition above, position in the partition below.
 _POSITION_BITS = 33
@@ -98,67 +100,96 @@ def global_row_number(df: DataFrame, keys: list[str | By], name: str = "row_numb
     return stored.withColumn(name, number).drop("_place")
 
 
+def _within(keys: list[By], splits: list[tuple], ranges: list[int]) -> Column:
+    """Whether a row lies in one of the ranges; range i starts at split i - 1."""
+    conditions = []
+    for index in ranges:
+        condition = F.lit(True)
+        if index > 0:
+            condition = ~_precedes(keys, splits[index - 1])
+        if index < len(splits):
+            condition = condition & _precedes(keys, splits[index])
+        conditions.append(condition)
+    return reduce(Column.__or__, conditions)
+
+
 def order_statistics(
     df: DataFrame,
     keys: list[str | By],
     ranks: list[int],
     direct_rows: int = DIRECT_ROWS,
-    fan_out: int = FAN_OUT,
+    sample_rows: int = SAMPLE_ROWS,
     rows: int | None = None,
 ) -> dict[int, tuple]:
     """Key values of the rows at the given 1-based ranks.
 
-    Each round cuts the rows into ranges at sampled keys, counts the ranges exactly
-    and goes on with the range that holds the rank, until that range is small
-    enough to be sorted on the driver. Only the key columns are read. ``keys`` must
-    identify a row.
+    Every round brackets all wanted ranks with two sampled keys each and counts the
+    rows between the brackets exactly. Only rows inside a bracket, a few percent, go
+    on to the next round, until a bracket is small enough to be sorted on the
+    driver. A bracket that misses costs a round, not the result. Only the key columns
+    are read. ``keys`` must identify a row.
     """
     keys = _sort_keys(keys)
-    order = [k.order() for k in keys]
-    names = [k.column for k in keys]
+    order, names = [k.order() for k in keys], [k.column for k in keys]
     table = df.select(*names)
     rows = table.count() if rows is None else rows
     wanted = sorted({r for r in ranks if 1 <= r <= rows})
     if not wanted:
         return {}
-    if rows <= direct_rows:
-        ordered = table.orderBy(*order).collect()
-        return {r: tuple(ordered[r - 1]) for r in wanted}
-    share = min(1.0, fan_out * SAMPLE_PER_RANGE / rows)
-    sample = table.sample(share, seed=17).orderBy(*order).collect()
-    step = max(1, len(sample) // fan_out)
-    splits = list(dict.fromkeys(tuple(r) for r in sample[step::step]))
-    if not splits:
-        return order_statistics(df, keys, wanted, rows, fan_out, rows)
-    ranged = table.withColumn("_range", _range_index(keys, splits))
-    sizes = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
-    if max(sizes.values()) == rows:
-        raise ValueError(f"sort keys {names} do not tell rows apart; add a unique column")
-    before, start = {}, 0
-    for index in sorted(sizes):
-        before[index], start = start, start + sizes[index]
-    inside = {i: [r - before[i] for r in wanted if before[i] < r <= before[i] + sizes[i]] for i in sizes}
-    found = {}
-    # Small ranges come to the driver together, in key order.
-    small = [i for i in sorted(sizes) if inside[i] and sizes[i] <= direct_rows]
-    if small:
-        ordered = ranged.where(F.col("_range").isin(*small)).select(*names).orderBy(*order).collect()
-        first = 0
-        for index in small:
-            found.update({before[index] + r: tuple(ordered[first + r - 1]) for r in inside[index]})
-            first += sizes[index]
-    for index in sizes:
-        if inside[index] and sizes[index] > direct_rows:
-            part = table
-            if index > 0:
-                part = part.where(~_precedes(keys, splits[index - 1]))
-            if index < len(splits):
-                part = part.where(_precedes(keys, splits[index]))
-            deeper = order_statistics(part, keys, inside[index], direct_rows, fan_out, sizes[index])
-            found.update({before[index] + r: values for r, values in deeper.items()})
+    splits: list[tuple] = []
+    sizes = [rows]
+    left, idle, attempt = rows + 1, 0, 0
+    while True:
+        starts = [sum(sizes[:i]) for i in range(len(sizes))]
+        inside = [[r - start for r in wanted if start < r <= start + size] for start, size in zip(starts, sizes)]
+        large = [i for i, size in enumerate(sizes) if inside[i] and size > direct_rows]
+        if not large:
+            break
+        before, left = left, sum(sizes[i] for i in large)
+        idle, attempt = idle + 1 if left == before else 0, attempt + 1
+        if idle == 3:
+            raise ValueError(f"sort keys {names} do not tell rows apart; add a unique column")
+        part = table.where(_within(keys, splits, large)).withColumn("_range", _range_index(keys, splits))
+        share = min(1.0, max(sample_rows, LEAST_SAMPLED * len(large)) / left)
+        sampled = [(r["_range"], tuple(r)[1:]) for r in part.sample(share, seed=attempt).select("_range", *names).orderBy(*order).collect()]
+        cut: list[tuple] = []
+        for index, size in enumerate(sizes):
+            if index in large:
+                found = [values for home, values in sampled if home == index]
+                for position in _brackets(len(found), size, inside[index]):
+                    if not cut or cut[-1] != found[position]:
+                        cut.append(found[position])
+            if index < len(splits) and (not cut or cut[-1] != splits[index]):
+                cut.append(splits[index])
+        counted = table.where(_within(keys, splits, large)).groupBy(_range_index(keys, cut).alias("_range")).count()
+        new = {r["_range"]: r["count"] for r in counted.collect()}
+        # Ranges outside the brackets keep their size; each still ends at its old split.
+        ends = {values: i for i, values in enumerate(splits)}
+        sizes_now, home = [], 0
+        for index in range(len(cut) + 1):
+            sizes_now.append(new.get(index, 0) if home in large else sizes[home])
+            if index < len(cut) and cut[index] in ends:
+                home = ends[cut[index]] + 1
+        splits, sizes = cut, sizes_now
+    small = [i for i in range(len(sizes)) if inside[i]]
+    ordered = table.where(_within(keys, splits, small)).orderBy(*order).collect()
+    found, first = {}, 0
+    for index in small:
+        found.update({starts[index] + r: tuple(ordered[first + r - 1]) for r in inside[index]})
+        first += sizes[index]
     return found
 
 
+def _brackets(sampled: int, rows: int, ranks: list[int]) -> list[int]:
+    """Positions in a sorted sample around the ranks, four deviations to either side."""
+    reach = 2 * math.isqrt(sampled) + 1
+    positions = set()
+    for rank in ranks:
+        middle = rank * sampled // rows
+        positions |= {p for p in (middle - reach, middle + reach) if 0 < p < sampled}
+    return sorted(positions or {sampled // 2} if sampled else positions)
+
+
 def tile_ends(rows: int, tiles: int) -> list[int]:
     """Last rank of every tile but the final one; larger tiles come first."""
     size, larger = divmod(rows, tiles)
@@ -173,7 +204,7 @@ def global_ntile(
     name: str = "ntile",
     rows: int | None = None,
     direct_rows: int = DIRECT_ROWS,
-    fan_out: int = FAN_OUT,
+    sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """``ntile(tiles) over (order by keys)`` as comparisons with the boundary rows.
 
@@ -184,7 +215,7 @@ def global_ntile(
     rows = df.count() if rows is None else rows
     ends = tile_ends(rows, tiles)
     starts = [end + 1 for end in ends]
-    values = order_statistics(df, keys, starts, direct_rows, fan_out, rows)
+    values = order_statistics(df, keys, starts, direct_rows, sample_rows, rows)
     return df.withColumn(name, _range_index(keys, [values[s] for s in starts], 1).cast("int"))
 
 

@@ -121,7 +121,7 @@ def category_totals(fact: DataFrame, products: DataFrame, keys: list[str], hot_p
         F.sum("unit_price").alias("price_sum"),
     )
     sums = per_product.join(described, "product_sk").withColumn("num_products", F.lit(1).cast("bigint")).drop("product_sk")
-    lines = skew_join(fact.select("product_sk", "order_id"), described, "product_sk", hot_products, ["order_id"])
+    lines = skew_join(fact.select("product_sk", "order_id", "net_revenue"), described, "product_sk", hot_products, ["order_id", "net_revenue"])
     orders = lines.groupBy(*keys).agg(F.countDistinct("order_id").alias("num_orders"))
     measures = [c for c in sums.columns if c not in keys] + ["num_orders"]
     both = sums.unionByName(orders, allowMissingColumns=True)

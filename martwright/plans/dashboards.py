@@ -188,7 +188,7 @@ def customer_revenue(w: Warehouse, by_key: bool = False, only_revenue: bool = Fa
     keys = [*shown, "customer_sk"] if by_key else shown
     fact = revenue_only(w.fct_sales, only_revenue).select("customer_sk", "order_id", "net_revenue")
     described = w.dim_customer.select("customer_sk", *shown)
-    lines = skew_join(fact, described, "customer_sk", w.hot_customers, ["order_id"])
+    lines = skew_join(fact, described, "customer_sk", w.hot_customers, ["order_id", "net_revenue"])
     return lines.groupBy(*keys).agg(F.countDistinct("order_id").alias("total_orders"), F.sum("net_revenue").alias("revenue"))
 
 

@@ -49,7 +49,7 @@ def category_revenue_staging(items: DataFrame, products: DataFrame) -> DataFrame
     """Orders, gross revenue and mean price per category from the raw tables."""
     sold = items.select("order_id", "product_id", "quantity", "unit_price")
     described = products.select("product_id", "category")
-    lines = skew_join(sold, described, "product_id", hot_keys(sold, "product_id"), ["order_id"])
+    lines = skew_join(sold, described, "product_id", hot_keys(sold, "product_id"), ["order_id", "quantity", "unit_price"])
     return lines.groupBy("category").agg(
         F.countDistinct("order_id").alias("num_orders"),
         F.sum(money.gross_revenue(F.col("quantity"), F.col("unit_price"))).alias("gross_revenue"),

@@ -66,7 +66,7 @@ def test_rfm_ties(spark, customers, orientation):
         F.col("id").alias("customer_sk"), (F.col("id") % 3).cast("int").alias("days_since_last_order"),
         F.lit(2).cast("long").alias("total_orders"), (F.col("id") * 10).cast("decimal(18,2)").alias("total_revenue"),
     )
-    got = {r.customer_sk: (r.recency_score, r.frequency_score, r.monetary_score) for r in analytics.rfm_scores(totals, orientation, direct_rows=2, fan_out=2).collect()}
+    got = {r.customer_sk: (r.recency_score, r.frequency_score, r.monetary_score) for r in analytics.rfm_scores(totals, orientation, direct_rows=2, sample_rows=40).collect()}
     best_first = orientation == "reference"
     days = F.asc("days_since_last_order") if best_first else F.desc("days_since_last_order")
     money = F.desc("total_revenue") if best_first else F.asc("total_revenue")

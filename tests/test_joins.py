@@ -22,14 +22,18 @@ def test_hot_values(skewed):
     rows, _ = skewed
     assert joins.hot_values(rows, ["key", "id"], sample=1) == {"key": ["hot"], "id": []}
     assert joins.hot_values(rows.limit(50), ["key"], sample=1) == {"key": []}
+    empty = rows.select(F.when(F.col("id") > 5000, F.col("id")).alias("id"))
+    assert joins.hot_values(empty, ["id"], sample=1) == {"id": [None]}
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 @pytest.mark.parametrize("shuffled", [False, True])
 def test_skew_join_is_the_plain_join(skewed, how, shuffled):
     rows, partners = skewed
-    salted = joins.skew_join(rows, partners, "key", ["hot"], ["id"], how, shuffled=shuffled)
-    assert as_set(salted) == as_set(rows.join(partners, "key", how))
+    wanted = as_set(rows.join(partners, "key", how))
+    for hot in (["hot"], ["hot", None], [None]):
+        salted = joins.skew_join(rows, partners, "key", hot, ["id"], how, shuffled=shuffled)
+        assert as_set(salted) == wanted
 
 
 def test_skew_join_spreads_the_hot_key(spark, skewed):
@@ -43,6 +47,18 @@ def test_skew_join_spreads_the_hot_key(spark, skewed):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_left_join_spreads_rows_without_a_key(spark, skewed):
+    _, partners = skewed
+    rows = spark.range(8000).select("id", F.lit(None).cast("string").alias("key"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = joins.skew_join(rows, partners, "key", [None], ["id"], "left", shuffled=True)
+        parts = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(parts) == 4 and sum(r["count"] for r in parts) == 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_skew_join_rejects_outer(skewed):
     rows, partners = skewed
     with pytest.raises(ValueError):

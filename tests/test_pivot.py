@@ -53,10 +53,12 @@ def test_aggregators(sales, agg):
         assert got[key] == value if isinstance(value, list) else float(got[key]) == pytest.approx(float(value), abs=1e-6), key
 
 
-def test_median_from_brackets(sales, monkeypatch):
+@pytest.mark.parametrize("cells_sent", [0, 100])
+def test_median_from_brackets(sales, monkeypatch, cells_sent):
     """Large groups look only at the rows around the middle."""
     monkeypatch.setattr(pivot, "SMALL_GROUP", 0)
     monkeypatch.setattr(pivot, "BRACKET", 0.1)
+    monkeypatch.setattr(pivot, "BROADCAST_CELLS", cells_sent)
     got = cells(pivot.pivot_long(sales, ["cat"], ["pay"], "median", "net", totals=True), ["cat", "pay"])
     assert {k: float(v) for k, v in got.items()} == {k: BY_HAND["median"](g) for k, g in groups(sales).items()}
 
