@@ -133,7 +133,7 @@ def _pivot_first_last(w: Warehouse) -> DataFrame:
 
 
 def _cells(w: Warehouse, row: str, col: str, agg: str, value=None, totals: bool = True, scale: int | None = None) -> DataFrame:
-    cells = pivot.pivot_long(dashboards.pivot_rows(w), [row], [col], agg, value, totals)
+    cells = dashboards.cross_table(w, [row], [col], agg, value, totals)
     return cells if scale is None else cells.withColumn("value", settle(F.col("value"), scale))
 
 
@@ -247,10 +247,10 @@ REPORTS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "category_filter": lambda w: rows.category_filter(w.dim_product.select("product_id", "product_name", "category"), "ECON"),
     "paged_results": _paged_results,
     "pivot_rows": dashboards.pivot_rows,
-    "pivot_revenue_category_month": lambda w: pivot.pivot_table(dashboards.pivot_rows(w), ["category"], ["order_month"], "sum", "net_revenue", headings=MONTHS),
-    "pivot_orders_age_payment": lambda w: pivot.preset(dashboards.pivot_rows(w), "orders_by_age_payment"),
-    "pivot_margin_category": lambda w: pivot.preset(dashboards.pivot_rows(w), "margin_by_category"),
-    "pivot_revenue_city_age": lambda w: pivot.preset(dashboards.pivot_rows(w), "clv_by_city"),
+    "pivot_revenue_category_month": lambda w: pivot.pivot_table(dashboards.pivot_rows(w, columns=["category", "order_month", "net_revenue"]), ["category"], ["order_month"], "sum", "net_revenue", headings=MONTHS),
+    "pivot_orders_age_payment": lambda w: dashboards.preset(w, "orders_by_age_payment"),
+    "pivot_margin_category": lambda w: dashboards.preset(w, "margin_by_category"),
+    "pivot_revenue_city_age": lambda w: dashboards.preset(w, "clv_by_city"),
     "pivot_with_totals": lambda w: _cells(w, "category", "payment_method", "sum", "net_revenue"),
     "pivot_average_totals": lambda w: _cells(w, "age_group", "order_quarter", "average", "margin_pct"),
     "pivot_count_unique": lambda w: _cells(w, "country", "order_year", "count_unique", "city"),

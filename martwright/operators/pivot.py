@@ -227,6 +227,3 @@ PRESETS = {
     "clv_by_city": {"rows": ["city"], "cols": ["age_group"], "agg": "sum", "value": "net_revenue"},
 }
 
-
-def preset(df: DataFrame, name: str, totals: bool = False) -> DataFrame:
-    return pivot_long(df, **PRESETS[name], totals=totals)

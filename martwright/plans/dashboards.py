@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from martwright.functions import labels, money
+from martwright.operators import pivot
 from martwright.operators.joins import skew_join
 from martwright.operators.ranking import By
 from martwright.operators.rows import distinct_rows, one_row, optional_limit, revenue_only, top_k
@@ -268,31 +269,71 @@ def customer_kpis(w: Warehouse, over: str = "top_n") -> DataFrame:
     return one_row(customers, means)
 
 
-def pivot_rows(w: Warehouse, limit: int = 0) -> DataFrame:
-    """Flat rows of 17 columns for cross tables; ``limit`` 0 keeps all lines.
+PRODUCT_COLUMNS = ["category", "subcategory", "supplier_name"]
+CUSTOMER_COLUMNS = ["age_group", "city", "country"]
 
-    The date columns come from the fact's own date, which spares the join with the
-    calendar; the calendar covers every order date, so no row is lost either way.
-    """
-    fact = w.fct_sales.select(
-        "product_sk", "customer_sk", "sale_sk", "order_date", "payment_method", "order_status", "quantity", "unit_price",
-        "net_revenue", "gross_profit", "margin_pct", "price_delta",
-    )
-    products = w.dim_product.select("product_sk", "category", "subcategory", "supplier_name")
-    customers = w.dim_customer.select("customer_sk", "age_group", "city", "country")
-    lines = skew_join(fact, products, "product_sk", w.hot_products, ["sale_sk"])
-    lines = skew_join(lines, customers, "customer_sk", w.hot_customers, ["sale_sk"])
+
+def _fact_columns() -> dict[str, Column]:
     day = F.col("order_date")
-    flat = lines.select(
-        "category", "subcategory", "supplier_name", "age_group", "city", "country", "payment_method", "order_status",
-        F.date_format(day, "MMM").alias("order_month"),
-        F.concat(F.lit("Q"), F.ceil(F.month(day) / 3).cast("string")).alias("order_quarter"),
-        F.year(day).cast("string").alias("order_year"),
-        "quantity",
-        F.round("unit_price", 2).alias("unit_price"),
-        F.round("net_revenue", 2).alias("net_revenue"),
-        F.round("gross_profit", 2).alias("gross_profit"),
-        F.round("margin_pct", 1).alias("margin_pct"),
-        F.round("price_delta", 2).alias("competitor_price_delta"),
-    )
-    return optional_limit(flat, limit)
+    return {
+        "payment_method": F.col("payment_method"),
+        "order_status": F.col("order_status"),
+        "order_month": F.date_format(day, "MMM"),
+        "order_quarter": F.concat(F.lit("Q"), F.ceil(F.month(day) / 3).cast("string")),
+        "order_year": F.year(day).cast("string"),
+        "quantity": F.col("quantity"),
+        "unit_price": F.round("unit_price", 2),
+        "net_revenue": F.round("net_revenue", 2),
+        "gross_profit": F.round("gross_profit", 2),
+        "margin_pct": F.round("margin_pct", 1),
+        "competitor_price_delta": F.round("price_delta", 2),
+    }
+
+
+PIVOT_COLUMNS = [
+    *PRODUCT_COLUMNS, *CUSTOMER_COLUMNS, "payment_method", "order_status", "order_month", "order_quarter", "order_year",
+    "quantity", "unit_price", "net_revenue", "gross_profit", "margin_pct", "competitor_price_delta",
+]
+
+
+def pivot_rows(w: Warehouse, limit: int = 0, columns: list[str] | None = None) -> DataFrame:
+    """Flat rows for cross tables, 17 columns or the wanted ones; ``limit`` 0 keeps all.
+
+    The fact holds matched lines only, one product and customer each, so a dimension
+    without a wanted column need not be joined. The date columns come from the fact's
+    own date, which the calendar covers completely.
+    """
+    wanted = columns or PIVOT_COLUMNS
+    unknown = [c for c in wanted if c not in PIVOT_COLUMNS]
+    if unknown:
+        raise ValueError(f"unknown pivot columns {unknown}")
+    lines = w.fct_sales
+    for dimension, key, hot, offered in (
+        ("dim_product", "product_sk", "hot_products", PRODUCT_COLUMNS),
+        ("dim_customer", "customer_sk", "hot_customers", CUSTOMER_COLUMNS),
+    ):
+        taken = [c for c in offered if c in wanted]
+        if taken:
+            lines = skew_join(lines, getattr(w, dimension).select(key, *taken), key, getattr(w, hot), ["sale_sk"])
+    own = _fact_columns()
+    return optional_limit(lines.select(*[own[c].alias(c) if c in own else c for c in wanted]), limit)
+
+
+def cross_table(
+    w: Warehouse,
+    rows: list[str],
+    cols: list[str],
+    agg: str = "count",
+    value: str | tuple[str, str] | None = None,
+    totals: bool = True,
+    order: str | None = None,
+) -> DataFrame:
+    """Cells of a cross table over the flat rows, reading only what it needs."""
+    values = [value] if isinstance(value, str) else list(value or [])
+    needed = dict.fromkeys([*rows, *cols, *values, *([order] if order else [])])
+    return pivot.pivot_long(pivot_rows(w, columns=list(needed)), rows, cols, agg, value, totals, order)
+
+
+def preset(w: Warehouse, name: str, totals: bool = False) -> DataFrame:
+    """One of the preset cross tables."""
+    return cross_table(w, **pivot.PRESETS[name], totals=totals)
