@@ -168,8 +168,8 @@ REPORTS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "stg_orders_trimmed": lambda w: staging.stg_orders(w.raw.orders, trim_first=True),
     "stg_order_items": lambda w: w.stg_order_items,
     "stg_order_items_clamped": lambda w: staging.stg_order_items(w.raw.order_items, clamp_revenue=True),
-    "dim_customer": lambda w: w.dim_customer,
-    "dim_product": lambda w: w.dim_product,
+    "dim_customer": lambda w: w.dim_customer.drop("updated_at"),
+    "dim_product": lambda w: w.dim_product.drop("updated_at"),
     "date_spine": lambda w: w.dim_date.select("date_actual"),
     "date_dim": lambda w: w.dim_date,
     "insert_missing_dates": _insert_missing_dates,

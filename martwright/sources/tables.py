@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,7 +66,14 @@ def write_stable(df: DataFrame, label: str, folder: str | None = None) -> DataFr
 
 
 def fingerprint(spark: SparkSession, paths: list[str]) -> tuple:
-    """File count, bytes and newest change of the files below the paths."""
+    """State of the files below the paths: it changes when any of them does.
+
+    Paths this process can see are looked up directly, others by a Spark listing that
+    reads no file contents.
+    """
+    if all(os.path.exists(path) for path in paths):
+        files = [f for path in paths for f in ([path] if os.path.isfile(path) else [e.path for e in os.scandir(path)])]
+        return tuple((f, os.stat(f).st_size, os.stat(f).st_mtime_ns) for f in sorted(files))
     listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
