@@ -65,10 +65,9 @@ def _csv_round_trip(w: Warehouse) -> DataFrame:
 
 def _load_report(w: Warehouse) -> DataFrame:
     base = f"{w.folder}/load"
-    loads = {}
-    for name, schema in schemas.RAW_TABLES.items():
+    for name in schemas.RAW_TABLES:
         files.export_csv(getattr(w.raw, name), f"{base}/files/{name}.csv")
-        loads[name] = files.Load(f"{base}/files/{name}.csv", f"{base}/tables/{name}", schema)
+    loads = files.csv_loads(f"{base}/files", f"{base}/tables")
     loads["missing"] = files.Load(f"{base}/files/missing.csv", f"{base}/tables/missing", schemas.ORDERS)
     return files.load_all(w.spark, loads).select(F.col("table").alias("table_name"), "status", "rows")
 

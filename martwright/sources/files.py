@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DateType, StringType, StructField, StructType, TimestampNTZType
 
 from martwright.functions.text import lenient_date, null_tokens
-from martwright.sources.schemas import with_load_ts
+from martwright.sources.schemas import RAW_TABLES, RawTables, with_load_ts
 from martwright.sources.tables import write_full_refresh
 
 # File formats of dates and timestamps.
@@ -125,6 +125,16 @@ def load_all(spark: SparkSession, loads: Mapping[str, Load], mapping: Mapping[st
     return spark.createDataFrame(report, LOAD_REPORT)
 
 
+def csv_loads(folder: str, target: str) -> dict[str, Load]:
+    """The five raw files of a folder and the tables they are loaded into."""
+    return {name: Load(f"{folder}/{name}.csv", f"{target}/{name}", schema) for name, schema in RAW_TABLES.items()}
+
+
+def loaded_tables(spark: SparkSession, target: str) -> RawTables:
+    """The five raw tables as loaded."""
+    return RawTables(**{name: spark.read.parquet(f"{target}/{name}") for name in RAW_TABLES})
+
+
 def check_row_counts(tables: Mapping[str, DataFrame], expected: Mapping[str, int | None]) -> DataFrame:
     """Rows per table next to the expected number; a mismatch is only reported."""
     counts = None
