@@ -15,6 +15,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from martwright.functions.money import safe_ratio
 from martwright.sources.tables import write_stable
 
 # A range with at most this many rows is sorted on the driver.
@@ -53,7 +54,7 @@ def _sort_keys(keys: list[str | By]) -> list[By]:
     return [k if isinstance(k, By) else By(k) for k in keys]
 
 
-def _precedes(keys: list[By], values: tuple) -> Column:
+def precedes(keys: list[By], values: tuple) -> Column:
     """Whether a row sorts strictly before the key values."""
     before = keys[-1].precedes(values[-1])
     for key, value in list(zip(keys, values))[-2::-1]:
@@ -68,7 +69,7 @@ def _range_index(keys: list[By], splits: list[tuple], low: int = 0) -> Column:
     middle = len(splits) // 2
     left = _range_index(keys, splits[:middle], low)
     right = _range_index(keys, splits[middle + 1 :], low + middle + 1)
-    return F.when(_precedes(keys, splits[middle]), left).otherwise(right)
+    return F.when(precedes(keys, splits[middle]), left).otherwise(right)
 
 
 def global_row_number(df: DataFrame, keys: list[str | By], name: str = "row_number", folder: str | None = None) -> DataFrame:
@@ -106,9 +107,9 @@ def _within(keys: list[By], splits: list[tuple], ranges: list[int]) -> Column:
     for index in ranges:
         condition = F.lit(True)
         if index > 0:
-            condition = ~_precedes(keys, splits[index - 1])
+            condition = ~precedes(keys, splits[index - 1])
         if index < len(splits):
-            condition = condition & _precedes(keys, splits[index])
+            condition = condition & precedes(keys, splits[index])
         conditions.append(condition)
     return reduce(Column.__or__, conditions)
 
@@ -232,8 +233,6 @@ def running_total(df: DataFrame, partition: list[str], order: str, column: str,
 
 def share_of_total(df: DataFrame, column: str, name: str, within: list[str] | None = None, scale: int = 2) -> DataFrame:
     """Percent of the sum over the whole aggregate, or over the ``within`` group."""
-    from martwright.functions.money import safe_ratio
-
     total = F.sum(column).over(Window.partitionBy(*(within or [])))
     return df.withColumn(name, safe_ratio(F.col(column), total, scale, 100))
 

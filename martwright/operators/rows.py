@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from martwright.operators.ranking import By
+from martwright.operators.ranking import By, precedes
 
 
 def drop_null_keys(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -103,10 +103,8 @@ def page(df: DataFrame, order: list[str | By], size: int, after: tuple | None =
 
 
 def _at_or_before(keys: list[By], values: tuple) -> Column:
-    from martwright.operators.ranking import _precedes
-
     same = reduce(Column.__and__, [k.equals(v) for k, v in zip(keys, values)])
-    return _precedes(keys, values) | same
+    return precedes(keys, values) | same
 
 
 def distinct_rows(df: DataFrame, columns: list[str]) -> DataFrame:

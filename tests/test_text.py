@@ -1,3 +1,6 @@
+import random
+from decimal import ROUND_HALF_UP, Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +49,20 @@ def test_money(spark):
     assert [None if v is None else float(v) for v in row] == [1.01, -2.35, None, 0.0, 1.0, 0.0, 0.0]
 
 
+def test_money_against_exact_arithmetic(spark):
+    """Net revenue and margin of random lines, halves included, as decimals by hand."""
+    pick = random.Random(8)
+    cents = lambda top: Decimal(pick.randrange(1, top)) / 100
+    rows = [(pick.randrange(1, 99), cents(10**pick.randrange(2, 9)), Decimal(pick.randrange(-2000, 15000)) / 10000, cents(10**6)) for _ in range(2000)]
+    rows += [(1, Decimal("0.05"), Decimal("0.5"), Decimal("0.01")), (1, Decimal("0.05"), Decimal("1.5"), Decimal("0.01"))]
+    df = spark.createDataFrame(rows, "q int, p decimal(10,2), d decimal(5,4), c decimal(10,2)")
+    net = money.net_revenue(F.col("q"), F.col("p"), F.col("d"))
+    got = df.select(*df.columns, net.alias("net"), money.gross_revenue(F.col("q"), F.col("p")).alias("gross")).collect()
+    half_up = lambda value: value.quantize(Decimal("0.01"), ROUND_HALF_UP)
+    for r in got:
+        assert r.net == half_up(r.q * r.p * (1 - r.d)) and r.gross == half_up(r.q * r.p)
+
+
 def test_surrogate_key(spark):
     import hashlib
 
