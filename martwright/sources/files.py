@@ -32,19 +32,22 @@ def coerce_dates(df: DataFrame) -> DataFrame:
     return df.withColumns({c: lenient_date(F.col(c)) for c in texts})
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType, mapping: Mapping[str, str] | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType, mapping: Mapping[str, str] | None = None, multiline: bool = False
+) -> DataFrame:
     """Typed CSV scan: header, quotes, null tokens; unreadable values become null.
 
     The file's own header decides which column is which, so the columns may come in
-    any order. ``schema`` names the result columns after renaming.
+    any order. ``schema`` names the result columns after renaming. ``multiline`` reads
+    quoted line breaks, at the price of one task per file.
     """
-    header = spark.read.option("header", True).csv(path).columns
+    header = spark.read.option("header", True).option("multiLine", multiline).csv(path).columns
     raw = (
         spark.read.schema(StructType([StructField(c, StringType()) for c in header]))
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", False)
+        .option("multiLine", multiline)
         .option("mode", "PERMISSIVE")
         .csv(path)
     )
@@ -94,6 +97,7 @@ class Load:
     target: str
     schema: StructType
     expected: int | None = None
+    multiline: bool = False
 
 
 def load_all(spark: SparkSession, loads: Mapping[str, Load], mapping: Mapping[str, str] | None = None) -> DataFrame:
@@ -108,7 +112,7 @@ def load_all(spark: SparkSession, loads: Mapping[str, Load], mapping: Mapping[st
         started = time.monotonic()
         status, rows, error = "FAILED", 0, None
         try:
-            write_full_refresh(with_load_ts(read_csv(spark, load.path, load.schema, mapping)), load.target)
+            write_full_refresh(with_load_ts(read_csv(spark, load.path, load.schema, mapping, load.multiline)), load.target)
             required = [f.name for f in load.schema.fields if not f.nullable]
             empty = [F.count_if(F.col(c).isNull()).alias(c) for c in required]
             counted = spark.read.parquet(load.target).agg(F.count("*").alias("_rows"), *empty).first()

@@ -36,6 +36,13 @@ def test_read_csv_casts_leniently(spark, tmp_path):
     assert (got["j"].quantity, got["j"].unit_price, got["j"].discount) == (3, None, None)
 
 
+def test_quoted_line_break(spark, tmp_path):
+    path = tmp_path / "orders.csv"
+    path.write_text('order_id,customer_id,order_date,payment_method\n1,C1,2024-01-05,"two\nlines"\n2,C1,2024-01-06,one\n')
+    got = files.read_csv(spark, str(path), schemas.ORDERS, multiline=True).orderBy("order_id").collect()
+    assert [r.payment_method for r in got] == ["two\nlines", "one"]
+
+
 def test_optional_column_may_be_absent(spark, tmp_path):
     path = tmp_path / "prices.csv"
     path.write_text("product_name,competitor_price\nA,1.50\n")

@@ -88,6 +88,16 @@ def test_clustered_fact_skips_by_date(house, plan):
     assert "ReadSchema: struct<order_date:date,net_revenue:decimal(18,2)>" in text
 
 
+def test_stored_fact_is_sorted_inside_its_files(small):
+    import pyarrow.parquet as pq
+
+    paths = [f.removeprefix("file://") for f in small.fct_sales.inputFiles()]
+    for path in paths:
+        keys = pq.read_table(path, columns=marts.FACT_CLUSTERING).to_pydict()
+        pairs = list(zip(*keys.values()))
+        assert pairs == sorted(pairs)
+
+
 def test_fact_joins_without_cross_product_or_broadcast_of_lines(small, plan):
     text = plan(small.sales())
     assert "SortMergeJoin" in text
