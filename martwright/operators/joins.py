@@ -10,7 +10,7 @@ SAMPLE = 0.01
 # Below this many sampled rows no key can weigh on a task.
 FEWEST_SAMPLED = 1000
 TRACKED = 4096
-SALTS = 32
+FEWEST_SALTS = 32
 
 
 def hot_values(df: DataFrame, keys: list[str], share: float = HOT_SHARE, sample: float = SAMPLE, fewest: int = FEWEST_SAMPLED) -> dict[str, list]:
@@ -34,6 +34,11 @@ def hot_keys(df: DataFrame, key: str) -> list:
     return hot_values(df, [key])[key]
 
 
+def salt_count(df: DataFrame) -> int:
+    """One salt per shuffle partition, so that a hot key can use all of them."""
+    return max(FEWEST_SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def skew_join(
     big: DataFrame,
     small: DataFrame,
@@ -41,10 +46,9 @@ def skew_join(
     hot: list,
     spread: list[str | Column],
     how: str = "inner",
-    salts: int = SALTS,
     shuffled: bool = False,
 ) -> DataFrame:
-    """Equi-join in which rows of hot keys are spread over ``salts`` partitions.
+    """Equi-join in which the rows of hot keys are spread over all shuffle partitions.
 
     Rows of ``big`` with a hot key get a salt hashed from ``spread`` (columns that
     vary within a key); the matching rows of ``small`` are repeated per salt. All
@@ -63,6 +67,7 @@ def skew_join(
     if not values and not empty:
         return big.join(small, on, how)
     is_hot = F.col(on).isin(*values) if values else F.lit(False)
+    salts = salt_count(big)
     spread_out = F.coalesce(is_hot, F.lit(empty))
     salt = F.when(spread_out, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

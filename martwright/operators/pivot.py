@@ -139,9 +139,10 @@ SKETCH_ACCURACY = 10_000
 BRACKET = 0.001
 # Groups up to this size are looked at as a whole.
 SMALL_GROUP = 10_000
-# Most cells whose brackets are sent to every task; beyond, rows are salted.
+# Most cells whose brackets are all sent to every task.
 BROADCAST_CELLS = 100_000
-SALTS = 32
+# Beyond that, only groups holding this share of the rows: at most 100 per level.
+HOT_CELL = 0.01
 
 
 def _medians(df: DataFrame, keys: list[str], levels: list[list[str]], value: str) -> DataFrame:
@@ -168,15 +169,17 @@ def _medians(df: DataFrame, keys: list[str], levels: list[list[str]], value: str
     )
     brackets = write_stable(brackets, "brackets")
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(group)])
-    if brackets.count() <= BROADCAST_CELLS:
-        brackets = F.broadcast(brackets)
+    cells, marked = brackets.agg(F.count("*"), F.sum("_all")).first()
+    if cells <= BROADCAST_CELLS:
+        bracketed = rows.join(F.broadcast(brackets), same)
     else:
-        # The grand total is one group of all rows: spread every group by value.
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
-        brackets = brackets.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        same = same & (F.col("_salt") == F.col("_copy"))
+        # The grand total is one group of all rows: such groups must not be shuffled.
+        is_hot = F.col("_all") >= HOT_CELL * marked / len(levels)
+        hot = F.broadcast(brackets.where(is_hot))
+        others = rows.join(hot, same, "left_anti").join(brackets.where(~is_hot), same)
+        bracketed = rows.join(hot, same).unionByName(others)
     # Rows below the bracket collapse into one null value per group.
-    seen = rows.join(brackets, same).where(F.col("_v") <= F.col("_to"))
+    seen = bracketed.where(F.col("_v") <= F.col("_to"))
     inside = F.when(F.col("_v") >= F.col("_from"), F.col("_v"))
     counts = seen.groupBy(*group, "_all", inside.alias("_v")).agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy(*group).orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0))
