@@ -19,6 +19,14 @@ from martwright.plans.warehouse import Warehouse
 from martwright.sources import files, html_tables, sample_tables, schemas
 from martwright.sources.tables import fingerprint, write_stable
 
+try:  # the driver may take this part of the library away
+    import corpus_pipeline
+    from martwright.llm import queries as llm_queries
+except ModuleNotFoundError as error:
+    if not (error.name or "").startswith(("corpus_pipeline", "martwright.llm")):
+        raise
+    corpus_pipeline = llm_queries = None
+
 AS_OF = dt.date(2001, 12, 31)
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 SOURCES = ["customer", "nation", "orders", "lineitem", "part"]
@@ -292,12 +300,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {name: _query(report) for name, report in REPORTS.items()}
     named["html_table_extract"] = lambda spark, folder: doubles(_html_table_extract(spark, folder))
     named["row_count_reconciliation"] = lambda spark, folder: _row_counts(spark, folder, warehouse(spark, folder))
+    if llm_queries:
+        named.update(llm_queries.queries(), pipeline=corpus_pipeline.run)
     return named
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB statement per query, over the same parquet tables."""
-    return oracle_statements()
+    statements = oracle_statements()
+    if llm_queries:
+        statements.update(llm_queries.oracle_sql())
+        if corpus_pipeline.ORACLE_SQL:
+            statements["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return statements
 
 
 def entry(spark: SparkSession) -> DataFrame:
