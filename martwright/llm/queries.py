@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from martwright.llm import mixing, simhash
+from martwright.llm import language, mixing, near_embeddings, simhash
 from martwright.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,12 +16,22 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_digest(read(spark, folder, "documents"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_embeddings.embedding_groups(read(spark, folder, "embeddings"))
+
+
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(read(spark, folder, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(read(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_language_id": op3_language_id,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
 }
 
