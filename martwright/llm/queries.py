@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from martwright.llm import language, mixing, near_embeddings, simhash
+from martwright.llm import language, mixing, near_embeddings, neighbours, sharding, simhash
 from martwright.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,11 +28,21 @@ def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(read(spark, folder, "documents"))
 
 
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(read(spark, folder, "documents"))
+
+
+def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest_neighbours(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_language_id": op3_language_id,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_sharding": op7_sharding,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 
