@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from martwright.llm import language, mixing, near_embeddings, neighbours, sharding, simhash
+from martwright.llm import language, mixing, near_embeddings, neighbours, repeats, sharding, simhash
 from martwright.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(read(spark, folder, "documents"))
 
 
+def op8_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, folder, "documents"))
+
+
 def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest_neighbours(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Query] = {
     "op3_language_id": op3_language_id,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_sharding": op7_sharding,
+    "op8_repeated_strings": op8_repeated_strings,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
