@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from martwright.llm import language, mixing, near_embeddings, neighbours, repeats, sharding, simhash
+from martwright.llm import language, mixing, near_embeddings, neighbours, repeats, sharding, simhash, warc
 from martwright.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(read(spark, folder, "documents"))
 
 
+def op5_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_round_trip(read(spark, folder, "pages"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(read(spark, folder, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_language_id": op3_language_id,
+    "op5_warc_round_trip": op5_warc_round_trip,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_sharding": op7_sharding,
     "op8_repeated_strings": op8_repeated_strings,
@@ -56,4 +61,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.oracle()}
+    return {"op1_mix_sources": mixing.oracle(), "op5_warc_round_trip": warc.oracle()}
