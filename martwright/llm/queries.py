@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from martwright.llm import language, mixing, near_embeddings, neighbours, repeats, sharding, simhash, warc
+from martwright.llm import language, mixing, near_embeddings, neighbours, pii, repeats, sharding, simhash, warc
 from martwright.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(read(spark, folder, "documents"))
 
 
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(read(spark, folder, "documents"))
+
+
 def op5_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_round_trip(read(spark, folder, "pages"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_language_id": op3_language_id,
+    "op4_personal_data": op4_personal_data,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_sharding": op7_sharding,
