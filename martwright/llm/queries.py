@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from martwright.llm import language, mixing, near_embeddings, neighbours, pii, repeats, sharding, simhash, warc
+from martwright.llm import language, mixing, near_embeddings, neighbours, pieces, pii, repeats, sharding, simhash, warc
 from martwright.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op8_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeats(read(spark, folder, "documents"))
 
 
+def op9_sampled_segmentations(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.sample_encode(read(spark, folder, "documents"), samples=2, digest=True)
+
+
 def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest_neighbours(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_sharding": op7_sharding,
     "op8_repeated_strings": op8_repeated_strings,
+    "op9_sampled_segmentations": op9_sampled_segmentations,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
