@@ -1,22 +1,55 @@
-"""Preparation of a training corpus from ``documents``, stage by stage."""
+"""Preparation of a training corpus from ``documents``, stage by stage.
+
+Every stage but the last returns the columns of its documents, changed only as it says.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from martwright.llm import mixing, simhash
+from martwright.llm import language, mixing, pieces, pii, simhash
+from martwright.llm.common import read, stored
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has no language (null, or without any letter) go."""
+    return language.keep_identified(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every SimHash group the document with the smallest doc_id stays."""
+    return simhash.keep_first(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in a text gives way to its kind; n_chars follows."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixing.mix(docs)
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every text, as piece ids."""
+    return pieces.sample_encode(docs, samples=2)
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest doc_id."""
-    return docs
 
+STAGES = [
+    ("language ID", identify_language),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("PII", redact_personal_data),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode_pieces),
+]
 
-STAGES = [("simhash near-dedup", near_duplicates)]
+# No stage but the mixing can be written in SQL; tests/llm holds the result against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)

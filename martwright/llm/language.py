@@ -175,23 +175,6 @@ def model(sample: tuple[tuple[str, str], ...]) -> Model:
     return Model(sample)
 
 
-def predict(docs: DataFrame, text: str, *kept: str | Column, sample: list[tuple[str, str]]) -> DataFrame:
-    """Columns ``kept`` with lang_pred and score for the text column; one pass, no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(sample))
-    chosen = docs.select(*kept, F.col(text).cast("string").alias("_text"))
-    names = chosen.columns[:-1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model(shared.value)
-        for batch in batches:
-            languages, scores = known.predict(batch.column(len(names)).to_pylist())
-            columns = [batch.column(i) for i in range(len(names))]
-            yield pa.record_batch([*columns, pa.array(languages, pa.string()), pa.array(scores)], names=[*names, "lang_pred", "score"])
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]]
-    return chosen.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
-
-
 def identify(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
@@ -200,14 +183,30 @@ def identify(docs: DataFrame) -> DataFrame:
     without any labels gives ``und`` with score 0; equal costs go to the first language
     by name; the score is the share by which the best language needs fewer bits than
     the second (1 if only one is known). Repeated rows come back as often; an empty
-    table gives no rows; further columns of ``docs`` are not looked at.
+    table gives no rows; further columns of ``docs`` are not looked at. One pass, no
+    shuffle.
     """
-    sample = training_sample(docs)
-    return predict(docs, "text", "doc_id", held_out(F.col("doc_id")).alias("held_out"), sample=sample)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(training_sample(docs)))
+    chosen = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = model(shared.value)
+        for batch in batches:
+            languages, scores = known.predict(batch.column(2).to_pylist())
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(languages, pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
+
+    return chosen.mapInArrow(run, f"doc_id {dict(chosen.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents whose text has a language, columns unchanged."""
-    predicted = predict(docs, "text", F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("_row"), sample=training_sample(docs))
-    kept = predicted.where(F.col("lang_pred") != UNKNOWN)
-    return kept.select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(training_sample(docs)))
+    text, plain = docs.columns.index("text"), docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = model(shared.value)
+        for batch in batches:
+            languages, _ = known.predict(batch.column(text).to_pylist())
+            yield batch.filter(pa.array([lang != UNKNOWN for lang in languages], pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -127,54 +127,50 @@ class Lattices:
         self.upto, self.log = np.zeros(0, np.float32), np.zeros(0)
 
     def look_up(self, words: list[str]) -> np.ndarray:
-        get = self.units.get
-        found = [get(w, -1) for w in words]
-        fresh = list(dict.fromkeys(w for w, i in zip(words, found) if i < 0))
-        if fresh:
-            if len(self.units) + len(fresh) > KEPT and self.units:
-                self.clear()
-                fresh = list(dict.fromkeys(words))
-            self._add(fresh)
-            found = list(map(self.units.__getitem__, words))
-        return np.array(found, dtype=np.int64)
+        fresh = list(set(words).difference(self.units))
+        if len(self.units) + len(fresh) > KEPT and self.units:
+            self.clear()
+            fresh = list(set(words))
+        for some in range(0, len(fresh), 50_000):
+            self._add(fresh[some : some + 50_000])
+        return np.fromiter(map(self.units.__getitem__, words), np.int64, len(words))
 
     def _add(self, fresh: list[str]) -> None:
         codes = _codes("".join(fresh))
         sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
         close = np.cumsum(sizes)
-        ends = np.repeat(close, sizes)
-        at, length, piece = self.trie.edges(codes, ends)
+        at, length, piece = self.trie.edges(codes, np.repeat(close, sizes))
         weight = np.where(piece >= 0, self.trie.weight[np.maximum(piece, 0)], 0.0)
         odd = np.flatnonzero(piece < 0)
         weight[odd] = [self.trie.byte_weight * len(_spelled(-1 - p)) for p in piece[odd].tolist()]
-        # Mass of all completions of a node, from the ends of the units backwards.
-        left = (ends - np.arange(len(codes)))[at]
-        order = np.argsort((left * len(codes) + at) * 64 + length)
-        at, length, piece, weight, left = at[order], length[order], piece[order], weight[order], left[order]
-        mass, log = np.zeros(len(codes) + 1), np.zeros(len(at))
-        target = np.where(length == left, len(codes), at + length)
-        opens = np.flatnonzero(np.diff(at, prepend=-1))
-        levels = np.flatnonzero(np.diff(left[opens], prepend=-1))
-        for a, b in zip(levels.tolist(), [*levels[1:].tolist(), len(opens)]):
-            starts = opens[a:b]
-            stop = opens[b] if b < len(opens) else len(at)
-            value = weight[starts[0] : stop] + mass[target[starts[0] : stop]]
-            inner, count = starts - starts[0], np.diff(np.append(starts, stop))
-            most = np.maximum.reduceat(value, inner)
-            total = most + np.log(np.add.reduceat(np.exp(value - np.repeat(most, count)), inner))
-            mass[at[starts]] = total
-            log[starts[0] : stop] = value - np.repeat(total, count)
-        order = np.argsort(at * 64 - length)
-        at, length, piece, log, target = at[order], length[order], piece[order], log[order], target[order]
-        first = np.flatnonzero(np.diff(at, prepend=-1))
+        # A row per position, a column per length, the longest first.
+        longest = int(length.max())
+        weights = np.full((len(codes), longest), -np.inf)
+        weights[at, longest - length] = weight
+        pieces = np.zeros((len(codes), longest), np.int32)
+        pieces[at, longest - length] = piece
+        # Mass of all completions of a position, from the ends of the units backwards.
+        mass, reach = np.zeros(len(codes) + longest), np.arange(longest, 0, -1)
+        by_size = np.argsort(-sizes, kind="stable")
+        ends, held = close[by_size], np.searchsorted(-sizes[by_size], -np.arange(1, int(sizes.max()) + 1), side="right")
+        for back, count in enumerate(held.tolist(), 1):
+            node = ends[:count] - back
+            # The unit's own end has mass one, whatever the next unit starts with.
+            after = np.where(reach == back, 0.0, mass[node[:, None] + reach])
+            mass[node] = np.logaddexp.reduce(weights[node] + after, axis=1)
+        node, column = np.nonzero(weights > -np.inf)
+        after = node + longest - column
+        last = after == np.repeat(close, sizes)[node]
+        log = weights[node, column] + np.where(last, 0.0, mass[after]) - mass[node]
+        first = np.flatnonzero(np.diff(node, prepend=-1))
         chance = np.exp(log)
         upto = np.cumsum(chance)
-        upto -= np.repeat(upto[first] - chance[first], np.diff(np.append(first, len(at))))
-        upto[np.append(first[1:], len(at)) - 1] = np.inf
-        nodes, held = len(self.first) - 1, len(self.next)
+        upto -= np.repeat(upto[first] - chance[first], np.diff(np.append(first, len(node))))
+        upto[np.append(first[1:], len(node)) - 1] = np.inf
+        nodes, edges = len(self.first) - 1, len(self.next)
         self.units.update(zip(fresh, range(len(self.units), len(self.units) + len(fresh))))
-        new = {"root": close - sizes + nodes, "first": np.append(first[1:], len(at)) + held, "next": np.where(target == len(codes), -1, target + nodes)}
-        for name, values in {**new, "piece": piece, "upto": upto, "log": log}.items():
+        new = {"root": close - sizes + nodes, "first": np.append(first[1:], len(node)) + edges, "next": np.where(last, -1, after + nodes)}
+        for name, values in {**new, "piece": pieces[node, column], "upto": upto, "log": log}.items():
             old = getattr(self, name)
             setattr(self, name, np.concatenate([old, values.astype(old.dtype)]))
 
