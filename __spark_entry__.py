@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from checks.price_pages import render_price_pages
 from checks.statements import oracle_statements
 from martwright.functions import labels
 from martwright.functions.keys import surrogate_key
@@ -39,6 +40,9 @@ def warehouse(spark: SparkSession, folder: str) -> Warehouse:
     state = fingerprint(spark, [f"{folder}/{name}.parquet" for name in SOURCES])
     key = (spark.sparkContext.applicationId, folder, state)
     if key not in _warehouses:
+        # A star schema of files that have changed since is of no use any more.
+        for old in [k for k in _warehouses if k[:2] == key[:2]]:
+            _warehouses.pop(old).close()
         _warehouses[key] = Warehouse(spark, sample_tables.raw_tables(spark, folder), AS_OF)
     return _warehouses[key]
 
@@ -59,7 +63,7 @@ def _parse_price(w: Warehouse) -> DataFrame:
 
 def _html_table_extract(spark: SparkSession, folder: str) -> DataFrame:
     products = sample_tables.numbered_products(sample_tables.table(spark, folder, "part"))
-    priced = html_tables.render_price_pages(products)
+    priced = render_price_pages(products)
     pages = sample_tables.table(spark, folder, "pages").select("url", "html")
     found = html_tables.extract_html_tables(pages.unionByName(priced))
     return found.select("product_name", "category", "section", "competitor_price", "stock_status")
@@ -149,6 +153,32 @@ def _list_unique(w: Warehouse) -> DataFrame:
     return cells.withColumn("value", F.array_join("value", ", "))
 
 
+def _two_columns(w: Warehouse) -> DataFrame:
+    """Headings of two attributes, one of them missing for a fifth of the customers."""
+    flat = dashboards.pivot_rows(w, columns=["order_year", "order_status", "age_group", "net_revenue"])
+    flat = flat.withColumn("age_group", F.when(F.col("age_group") != "65+", F.col("age_group")))
+    table = pivot.pivot_table(flat, ["order_year"], ["age_group", "order_status"], "sum", "net_revenue")
+    headings = [c for c in table.columns if c != "order_year"]
+    return table.unpivot("order_year", headings, "heading", "value").where("value is not null")
+
+
+def _records_all(w: Warehouse) -> DataFrame:
+    """Every order as a record and back: more rows than any page shows."""
+    records = rows.to_records(w.stg_orders.select("order_id", "order_date", "order_status").where("order_date < '1993-01-01'"))
+    return w.spark.createDataFrame(records, "order_id string, order_date date, order_status string")
+
+
+def _csv_mixed_headers(w: Warehouse) -> DataFrame:
+    """A folder whose files name their columns in different orders."""
+    path = f"{w.folder}/csv/mixed"
+    names = w.raw.orders.columns
+    even = F.crc32("order_id") % 2 == 0
+    files.export_csv(w.raw.orders.where(even), path)
+    other = w.raw.orders.where(~even).select(*reversed(names)).write.mode("append").option("header", True)
+    other.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return files.read_csv(w.spark, path, schemas.ORDERS)
+
+
 def _guarded(w: Warehouse) -> DataFrame:
     guarded.register_views({"fct_sales": w.fct_sales, "dim_customer": w.dim_customer})
     text = """SELECT region, count(DISTINCT customer_sk) AS customers, count(*) AS lines
@@ -184,6 +214,7 @@ REPORTS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "fct_sales": lambda w: w.sales(),
     "daily_revenue_trends": lambda w: analytics.daily_revenue_trends(w.fct_sales),
     "monthly_rollup": lambda w: analytics.monthly_rollup(analytics.daily_sales(w.fct_sales)),
+    "monthly_rollup_calendar": lambda w: analytics.monthly_rollup(analytics.daily_sales(w.fct_sales.where(F.month("order_date") % 5 != 2)), calendar=True),
     "mom_growth": lambda w: analytics.monthly_rollup(w.daily_revenue_trends).select("year", "month", "monthly_revenue", "prev_month_revenue", "mom_growth_pct"),
     "ytd_revenue": lambda w: analytics.ytd_revenue(analytics.daily_sales(w.fct_sales)).select("order_date", "net_revenue", "ytd_revenue"),
     "top_product_categories": lambda w: analytics.top_product_categories(w.fct_sales, w.dim_product, w.hot_products),
@@ -271,6 +302,13 @@ REPORTS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "pivot_first_last": _pivot_first_last,
     "pivot_share_of_total": lambda w: _cells(w, "category", "payment_method", "fraction_of_total", "net_revenue", False),
     "pivot_share_of_row": lambda w: _cells(w, "category", "payment_method", "fraction_of_row", "net_revenue", False),
+    "pivot_count_share_of_total": lambda w: _cells(w, "category", "payment_method", "count_fraction_of_total", None, False),
+    "pivot_count_share_of_row": lambda w: _cells(w, "category", "payment_method", "count_fraction_of_row", None, False),
+    "pivot_count_share_of_column": lambda w: _cells(w, "category", "payment_method", "count_fraction_of_column", None, False),
+    "pivot_two_columns": _two_columns,
+    "unique_values": lambda w: pivot.unique_values(dashboards.pivot_rows(w, columns=["category", "country"]), ["category"], [], "country"),
+    "records_all": _records_all,
+    "csv_mixed_headers": _csv_mixed_headers,
     "pivot_share_of_column": lambda w: _cells(w, "category", "payment_method", "fraction_of_column", "net_revenue", False),
     "ask_top_customers": questions.ask_top_customers,
     "top_customers_5": lambda w: questions.ask_top_customers(w, 5),
@@ -282,7 +320,8 @@ REPORTS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "highest_margin_products": lambda w: questions.highest_margin_products(w, "ECONOMY"),
     "revenue_by_region": lambda w: questions.revenue_by(w, "region"),
     "revenue_by_age_group": lambda w: questions.revenue_by(w, "age_group"),
-    "lapsed_customers": lambda w: questions.lapsed_customers(w, 180),
+    "lapsed_customers": questions.lapsed_customers,
+    "lapsed_customers_revenue": lambda w: questions.lapsed_customers(w, 180, only_revenue=True),
     "aov_by_payment_method": questions.aov_by_payment_method,
     "priced_above_competitor": questions.priced_above_competitor,
     "monthly_trend_year": lambda w: questions.monthly_trend_year(w, 1996),

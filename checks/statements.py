@@ -135,6 +135,13 @@ STATEMENTS = {
     "daily_revenue_trends": f"""SELECT order_date, year, month, month_name, quarter, num_orders, num_items, {dbl(
         'net_revenue', 'gross_revenue', 'gross_profit', 'margin_pct', 'ytd_revenue', 'monthly_revenue', 'monthly_profit')}, monthly_orders,
         {dbl('avg_margin_pct', 'prev_month_revenue', 'mom_growth_pct')} FROM trends""",
+    "monthly_rollup_calendar": f"""SELECT year, month, month_name, quarter, monthly_orders, {dbl('monthly_revenue', 'monthly_profit', 'avg_margin_pct', 'prev_month_revenue')},
+        CAST({ratio('monthly_revenue - prev_month_revenue', 'prev_month_revenue', 2, 100)} AS DOUBLE) AS mom_growth_pct FROM (
+        SELECT CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month, strftime(d, '%b') AS month_name, CAST(quarter(d) AS INTEGER) AS quarter,
+            coalesce(m.monthly_orders, 0) AS monthly_orders, coalesce(m.monthly_revenue, 0) AS monthly_revenue, coalesce(m.monthly_profit, 0) AS monthly_profit,
+            m.avg_margin_pct, lag(coalesce(m.monthly_revenue, 0)) OVER (ORDER BY d) AS prev_month_revenue
+        FROM (SELECT CAST(unnest(generate_series(min(make_date(year, month, 1)), max(make_date(year, month, 1)), INTERVAL 1 MONTH)) AS DATE) AS d
+              FROM months WHERE month % 5 <> 2) LEFT JOIN (SELECT * FROM months WHERE month % 5 <> 2) m ON m.year = year(d) AND m.month = month(d))""",
     "monthly_rollup": f"""SELECT year, month, month_name, quarter, monthly_orders, {dbl(
         'monthly_revenue', 'monthly_profit', 'avg_margin_pct', 'prev_month_revenue', 'mom_growth_pct')} FROM monthly""",
     "mom_growth": f"SELECT year, month, {dbl('monthly_revenue', 'prev_month_revenue', 'mom_growth_pct')} FROM monthly",
@@ -161,6 +168,7 @@ STATEMENTS = {
         CAST(retail_price AS DOUBLE) AS competitor_price, 'In Stock' AS stock_status FROM raw_products""",
     "json_records": "SELECT CAST(to_json({region: region, customers: count(*)}) AS VARCHAR) AS record FROM dim_customer GROUP BY region",
     "csv_round_trip": "SELECT * FROM raw_orders",
+    "csv_mixed_headers": "SELECT * FROM raw_orders",
     "load_report": """SELECT * FROM (VALUES ('missing', 'FAILED', CAST(0 AS BIGINT))) t(table_name, status, rows)
         UNION ALL SELECT 'customers', 'SUCCESS', count(*) FROM customer UNION ALL SELECT 'products', 'SUCCESS', count(*) FROM part
         UNION ALL SELECT 'orders', 'SUCCESS', count(*) FROM orders UNION ALL SELECT 'order_items', 'SUCCESS', count(*) FROM lineitem
@@ -299,6 +307,19 @@ STATEMENTS = {
         FROM flat GROUP BY 1, 2""",
     "pivot_share_of_column": f"""SELECT category, payment_method, CAST({ratio('sum(net_revenue)', 'sum(sum(net_revenue)) OVER (PARTITION BY payment_method)', 6)} AS DOUBLE) AS value
         FROM flat GROUP BY 1, 2""",
+    "pivot_count_share_of_total": f"""SELECT category, payment_method, CAST({ratio('count(*)', 'sum(count(*)) OVER ()', 6)} AS DOUBLE) AS value
+        FROM flat GROUP BY 1, 2""",
+    "pivot_count_share_of_row": f"""SELECT category, payment_method, CAST({ratio('count(*)', 'sum(count(*)) OVER (PARTITION BY category)', 6)} AS DOUBLE) AS value
+        FROM flat GROUP BY 1, 2""",
+    "pivot_count_share_of_column": f"""SELECT category, payment_method, CAST({ratio('count(*)', 'sum(count(*)) OVER (PARTITION BY payment_method)', 6)} AS DOUBLE) AS value
+        FROM flat GROUP BY 1, 2""",
+    "unique_values": "SELECT DISTINCT category, country AS value FROM flat WHERE country IS NOT NULL",
+    "records_all": "SELECT order_id, order_date, order_status FROM stg_orders WHERE order_date < DATE '1993-01-01'",
+    "pivot_two_columns": " UNION ALL ".join(
+        f"""SELECT {y} AS order_year, {h} AS heading, CAST(sum(net_revenue) AS DOUBLE) AS value
+        FROM (SELECT CAST(order_year AS VARCHAR) AS y, coalesce(CASE WHEN age_group <> '65+' THEN age_group END, '\\N') || ' / ' || order_status AS h, net_revenue FROM flat)
+        GROUP BY ALL""" for y, h in (("y", "h"), ("y", "'Totals'"), ("'Totals'", "h"), ("'Totals'", "'Totals'"))
+    ),
     # Questions
     "ask_top_customers": """SELECT full_name, city, age_group, count(DISTINCT order_id) AS total_orders, CAST(sum(net_revenue) AS DOUBLE) AS total_revenue
         FROM fct_sales JOIN dim_customer USING (customer_sk) GROUP BY full_name, city, age_group
@@ -322,7 +343,12 @@ STATEMENTS = {
         count(DISTINCT customer_sk) AS num_customers FROM fct_sales JOIN dim_customer USING (customer_sk) GROUP BY region""",
     "revenue_by_age_group": """SELECT age_group, CAST(sum(net_revenue) AS DOUBLE) AS total_revenue, CAST(sum(gross_profit) AS DOUBLE) AS total_profit,
         count(DISTINCT customer_sk) AS num_customers FROM fct_sales JOIN dim_customer USING (customer_sk) GROUP BY age_group""",
-    "lapsed_customers": f"""SELECT customer_id, full_name, email, last_order_date, days_since_last_order, {dbl('total_revenue')}
+    "lapsed_customers": f"""SELECT c.customer_id, c.full_name, c.email, l.last_order_date,
+        date_diff('day', l.last_order_date, {AS_OF}) AS days_since_last_order, CAST(clv.total_revenue AS DOUBLE) AS total_revenue
+        FROM dim_customer c LEFT JOIN (SELECT customer_id, max(order_date) AS last_order_date FROM stg_orders GROUP BY customer_id) l
+        ON l.customer_id = c.customer_id LEFT JOIN clv ON clv.customer_id = c.customer_id
+        WHERE l.last_order_date IS NULL OR date_diff('day', l.last_order_date, {AS_OF}) >= 90""",
+    "lapsed_customers_revenue": f"""SELECT customer_id, full_name, email, last_order_date, days_since_last_order, {dbl('total_revenue')}
         FROM clv WHERE days_since_last_order >= 180""",
     "aov_by_payment_method": f"""SELECT payment_method, count(DISTINCT order_id) AS num_orders, CAST(sum(net_revenue) AS DOUBLE) AS revenue,
         CAST({ratio('sum(net_revenue)', 'count(DISTINCT order_id)')} AS DOUBLE) AS aov FROM fct_sales GROUP BY payment_method""",

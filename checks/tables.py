@@ -79,9 +79,9 @@ TABLES = {
                CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_discount AS DECIMAL(5,4)) END AS discount
         FROM lineitem""",
     "raw_prices": """
-        SELECT concat(' ', lower(product_name), ' ') AS product_name, subcategory AS category, category AS section,
+        SELECT concat(' ', lower(product_name), CASE WHEN size > 17 THEN ' v2' ELSE '' END, ' ') AS product_name, subcategory AS category, category AS section,
                CAST(retail_price * CAST(0.95 AS DECIMAL(4,2)) AS DECIMAL(10,2)) AS competitor_price
-        FROM numbered_products WHERE size <= 17""",
+        FROM numbered_products""",
     "stg_customers": f"""
         SELECT customer_id, trim(full_name) AS full_name, upper(trim(gender)) AS gender, lower(trim(email)) AS email,
                trim(city) AS city, trim(country) AS country, registration_date,

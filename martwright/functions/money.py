@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DecimalType
 
 MONEY = DecimalType(18, 2)
-RATE = DecimalType(20, 8)
+# Sixteen digits of a double are exact; the width leaves room for any ratio of money.
+RATE = DecimalType(38, 8)
 
 
 def money(value: Column) -> Column:
@@ -42,7 +43,7 @@ def clamp(value: Column, low: float = 0, high: float = 1, default: float = 0) ->
 
 def margin_pct(revenue: Column, cost: Column) -> Column:
     """Margin in percent of revenue; 0 where revenue is not positive."""
-    return F.when(revenue > 0, safe_ratio(revenue - cost, revenue, 2, 100)).otherwise(F.lit(0).cast("decimal(20,2)"))
+    return F.when(revenue > 0, safe_ratio(revenue - cost, revenue, 2, 100)).otherwise(F.lit(0).cast("decimal(38,2)"))
 
 
 def gross_revenue(quantity: Column, unit_price: Column) -> Column:

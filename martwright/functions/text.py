@@ -18,9 +18,14 @@ def parse_price(text: Column) -> Column:
     return F.coalesce(kept.try_cast("double"), F.lit(0.0))
 
 
-def lenient_date(text: Column) -> Column:
-    """Date of an ISO text, null where it is not a date."""
-    return text.try_cast("date")
+# Forms in which a file may write a day, tried in this order after ISO.
+DATE_FORMATS = ("MM/dd/yyyy", "yyyy/MM/dd", "dd.MM.yyyy", "MMM d, yyyy")
+
+
+def lenient_date(text: Column, formats: tuple[str, ...] = ()) -> Column:
+    """Date of an ISO text, else of the first format that reads it, null where none does."""
+    others = [F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats]
+    return F.coalesce(text.try_cast("date"), *others) if others else text.try_cast("date")
 
 
 def match_name(name: Column) -> Column:

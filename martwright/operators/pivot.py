@@ -39,6 +39,16 @@ def _ratio_parts(value: tuple[str, str]) -> Parts:
     return {"s": (F.sum(value[0]), F.sum), "d": (F.sum(value[1]), F.sum)}
 
 
+def _variance_parts(value: str) -> Parts:
+    exact = F.col(value).cast("decimal(18,4)")
+    return {"n": (F.count(exact), F.sum), "s": (F.sum(exact), F.sum), "q": (F.sum(exact * exact), F.sum)}
+
+
+def _variance() -> Column:
+    n, s, q = (F.col(c).cast("double") for c in "nsq")
+    return F.when(F.col("n") > 1, F.greatest(F.lit(0.0), (q - s * s / n) / (n - 1)))
+
+
 _COMBINABLE: dict[str, tuple[Callable, Callable[[], Column]]] = {
     "count": (_count_parts, lambda: F.col("n")),
     "sum": (_sum_parts, lambda: F.col("s")),
@@ -46,18 +56,18 @@ _COMBINABLE: dict[str, tuple[Callable, Callable[[], Column]]] = {
     "min": (lambda v: {"m": (F.min(v), F.min)}, lambda: F.col("m")),
     "max": (lambda v: {"m": (F.max(v), F.max)}, lambda: F.col("m")),
     "sum_over_sum": (_ratio_parts, lambda: money.safe_ratio(F.col("s"), F.col("d"), 6)),
+    "sample_variance": (_variance_parts, _variance),
+    "sample_stdev": (_variance_parts, lambda: F.sqrt(_variance())),
 }
 
 
 def _whole_group(agg: str, value: str, order: str | None) -> Column:
-    """Aggregators that have to see the rows of a group, not parts of them."""
+    """Aggregators that have to see the values of a group, not parts of them."""
     makers = {
         "count_unique": lambda: F.countDistinct(value),
         "list_unique": lambda: F.array_sort(F.collect_set(value)),
         "first": lambda: F.min_by(value, order),
         "last": lambda: F.max_by(value, order),
-        "sample_variance": lambda: F.var_samp(F.col(value).cast("double")),
-        "sample_stdev": lambda: F.stddev_samp(F.col(value).cast("double")),
     }
     if agg not in makers:
         raise ValueError(f"unknown aggregator {agg!r}")
@@ -66,8 +76,11 @@ def _whole_group(agg: str, value: str, order: str | None) -> Column:
     return makers[agg]()
 
 
-FRACTIONS = ("fraction_of_total", "fraction_of_row", "fraction_of_column")
-AGGREGATORS = sorted([*_COMBINABLE, *FRACTIONS, "count_unique", "list_unique", "first", "last", "median", "sample_variance", "sample_stdev"])
+_WITHIN = {"total": (False, False), "row": (True, False), "column": (False, True)}
+FRACTIONS = tuple(f"{kind}_of_{base}" for kind in ("fraction", "count_fraction") for base in _WITHIN)
+AGGREGATORS = sorted([*_COMBINABLE, *FRACTIONS, "count_unique", "list_unique", "first", "last", "median"])
+# Position of a line's attribute set among the levels: tells totals from values.
+_LEVEL = "_level"
 
 
 def _levels(rows: list[str], cols: list[str], totals: bool) -> list[list[str]]:
@@ -80,9 +93,9 @@ def _levels(rows: list[str], cols: list[str], totals: bool) -> list[list[str]]:
     return levels
 
 
-def _marked(df: DataFrame, keys: list[str], level: list[str], measures: list[str]) -> DataFrame:
+def _marked(df: DataFrame, keys: list[str], levels: list[list[str]], level: list[str]) -> DataFrame:
     shown = [F.col(k).cast("string").alias(k) if k in level else F.lit(TOTAL).alias(k) for k in keys]
-    return df.select(*shown, *measures)
+    return df.select(F.lit(levels.index(level)).alias(_LEVEL), *shown, VALUE)
 
 
 def pivot_long(
@@ -96,15 +109,23 @@ def pivot_long(
 ) -> DataFrame:
     """One row per cell: the row and column attributes as text, then ``value``.
 
-    Sums, counts, means, extremes and ratios compute their totals from the cells, so
-    the data is aggregated once and the totals cost next to nothing.
+    Sums, counts, means, extremes, ratios and variances compute their totals from the
+    cells, so the data is aggregated once and the totals cost next to nothing.
     """
+    return _leveled(df, rows, cols, agg, value, totals, order).drop(_LEVEL)
+
+
+def _leveled(
+    df: DataFrame, rows: list[str], cols: list[str], agg: str, value: str | tuple[str, str] | None, totals: bool, order: str | None
+) -> DataFrame:
+    """The long form with the level of each line."""
     keys = [*rows, *cols]
     levels = _levels(rows, cols, totals)
     if agg in FRACTIONS:
-        cells = df.groupBy(*keys).agg(F.sum(value).alias(VALUE))
-        within = {"fraction_of_total": [], "fraction_of_row": rows, "fraction_of_column": cols}[agg]
-        return _fractions(cells, keys, levels, within)
+        kind, base = agg.split("_of_")
+        cells = df.groupBy(*keys).agg((F.sum(value) if kind == "fraction" else F.count("*")).alias(VALUE))
+        by_row, by_column = _WITHIN[base]
+        return _fractions(cells, keys, levels, rows if by_row else cols if by_column else [])
     if agg in _COMBINABLE:
         make, final = _COMBINABLE[agg]
         parts = make(value)
@@ -112,12 +133,19 @@ def pivot_long(
         pieces = []
         for level in levels:
             summed = cells if level == keys else cells.groupBy(*level).agg(*[combine(n).alias(n) for n, (_, combine) in parts.items()])
-            pieces.append(_marked(summed.withColumn(VALUE, final()), keys, level, [VALUE]))
+            pieces.append(_marked(summed.withColumn(VALUE, final()), keys, levels, level))
         return reduce(DataFrame.unionByName, pieces)
     if agg == "median":
         return _medians(df, keys, levels, value)
+    # What only depends on which values occur looks at each of them once per cell.
+    seen = df.select(*keys, value).distinct() if agg in ("count_unique", "list_unique") else df
     measure = _whole_group(agg, value, order).alias(VALUE)
-    return reduce(DataFrame.unionByName, [_marked(df.groupBy(*level).agg(measure), keys, level, [VALUE]) for level in levels])
+    return reduce(DataFrame.unionByName, [_marked(seen.groupBy(*level).agg(measure), keys, levels, level) for level in levels])
+
+
+def unique_values(df: DataFrame, rows: list[str], cols: list[str], value: str) -> DataFrame:
+    """The values that ``list_unique`` puts into one cell, a row each, however many they are."""
+    return df.where(F.col(value).isNotNull()).select(*rows, *cols, F.col(value).alias(VALUE)).distinct()
 
 
 def _fractions(cells: DataFrame, keys: list[str], levels: list[list[str]], within: list[str]) -> DataFrame:
@@ -130,7 +158,7 @@ def _fractions(cells: DataFrame, keys: list[str], levels: list[list[str]], withi
         else:
             grand = summed.agg(F.lit(1).alias("_one"), F.sum(VALUE).alias("_total"))
             shared = summed.withColumn("_one", F.lit(1)).join(F.broadcast(grand), "_one")
-        pieces.append(_marked(shared.withColumn(VALUE, money.safe_ratio(F.col(VALUE), F.col("_total"), 6)), keys, level, [VALUE]))
+        pieces.append(_marked(shared.withColumn(VALUE, money.safe_ratio(F.col(VALUE), F.col("_total"), 6)), keys, levels, level))
     return reduce(DataFrame.unionByName, pieces)
 
 
@@ -153,13 +181,13 @@ def _medians(df: DataFrame, keys: list[str], levels: list[list[str]], value: str
     the rows inside it, a few thousandths of a large group, counted per distinct
     value before they meet. A bracket that misses the middle fails loudly.
     """
-    marks = [F.struct(F.lit(n).alias("_level"), *[(F.col(k).cast("string") if k in level else F.lit(TOTAL)).alias(k) for k in keys]) for n, level in enumerate(levels)]
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v"), F.explode(F.array(*marks)).alias("_g")).select("_v", "_g.*")
-    group = ["_level", *keys]
+    marks = [F.struct(F.lit(n).alias(_LEVEL), *[(F.col(k).cast("string") if k in level else F.lit(TOTAL)).alias(k) for k in keys]) for n, level in enumerate(levels)]
+    rows = df.select(F.col(value).alias("_v"), F.explode(F.array(*marks)).alias("_g")).select("_v", "_g.*")
+    group = [_LEVEL, *keys]
     ends = [0.5 - BRACKET, 0.5 + BRACKET]
     small = F.col("_all") <= SMALL_GROUP
     brackets = rows.groupBy(*group).agg(
-        F.count("*").alias("_all"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.count("_v").alias("_all"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", ends, SKETCH_ACCURACY).alias("_ends"),
     ).select(
         *[F.col(k).alias(f"_b{i}") for i, k in enumerate(group)],
@@ -168,6 +196,9 @@ def _medians(df: DataFrame, keys: list[str], levels: list[list[str]], value: str
         F.when(small, F.col("_max")).otherwise(F.col("_ends")[1]).alias("_to"),
     )
     brackets = write_stable(brackets, "brackets")
+    # A group without any value has a cell too.
+    empty = brackets.where("_all = 0").select(*[F.col(f"_b{i}").alias(k) for i, k in enumerate(group)], F.lit(None).cast("decimal(38,6)").alias(VALUE))
+    rows, brackets = rows.where("_v is not null"), brackets.where("_all > 0")
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(group)])
     cells, marked = brackets.agg(F.count("*"), F.sum("_all")).first()
     if cells <= BROADCAST_CELLS:
@@ -192,7 +223,7 @@ def _medians(df: DataFrame, keys: list[str], levels: list[list[str]], value: str
     lower, upper = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
     found = placed.groupBy(*group).agg(at(lower).alias("_low"), at(upper).alias("_high"))
     middle = F.coalesce((F.col("_low") + F.col("_high")) / 2, F.raise_error(F.lit("median outside its bracket")).cast("double"))
-    return found.select(*keys, money.settle(middle, 6).alias(VALUE))
+    return found.select(*group, money.settle(middle, 6).alias(VALUE)).unionByName(empty)
 
 
 def pivot_table(
@@ -207,19 +238,28 @@ def pivot_table(
 ) -> DataFrame:
     """Cross table: one line per row attributes, one column per heading.
 
-    Give the ``headings`` to spare the pass that looks them up. With totals the last
-    column and the line named ``Totals`` hold them.
+    Give the ``headings`` to spare the pass that looks them up; a value outside them is
+    an error, as the totals would contain it and no column would. With totals the last
+    column and the line named ``Totals`` hold them. Headings are one-to-one: of several
+    attributes they are joined by `` / ``, where a slash, a backslash or the name of
+    the totals inside a value gets a backslash, and a missing value reads ``\\N``.
     """
-    long = pivot_long(df, rows, cols, agg, value, totals, order)
+    long = _leveled(df, rows, cols, agg, value, totals, order)
     if not cols:
-        return long
-    heading = F.concat_ws(" / ", *cols) if len(cols) > 1 else F.col(cols[0])
-    if len(cols) > 1:
-        heading = F.when(reduce(Column.__and__, [F.col(c) == TOTAL for c in cols]), TOTAL).otherwise(heading)
-    if headings is not None and totals:
-        headings = [*headings, TOTAL]
-    marked = long.withColumn("_heading", heading)
-    return marked.groupBy(*rows).pivot("_heading", headings).agg(F.first(VALUE))
+        return long.drop(_LEVEL)
+    levels = _levels(rows, cols, totals)
+    is_line = F.col(_LEVEL).isin([n for n, level in enumerate(levels) if not set(rows) <= set(level)])
+    is_column = F.col(_LEVEL).isin([n for n, level in enumerate(levels) if not set(cols) <= set(level)])
+    special = r"[\\/]" if len(cols) > 1 else r"\\"
+    parts = [F.coalesce(F.regexp_replace(c, special, r"\\$0"), F.lit(r"\N")) for c in cols]
+    name = F.concat_ws(" / ", *parts)
+    name = F.when(name == TOTAL, F.lit("\\" + TOTAL)).otherwise(name)
+    if headings is not None:
+        unlisted = F.raise_error(F.concat(F.lit("no heading for the value "), name)).cast("string")
+        name = F.when(name.isin(headings), name).otherwise(unlisted)
+        headings = [*headings, TOTAL] if totals else headings
+    marked = long.withColumn("_heading", F.when(is_column, TOTAL).otherwise(name)).withColumn("_line", is_line)
+    return marked.groupBy(*rows, "_line").pivot("_heading", headings).agg(F.first(VALUE)).drop("_line")
 
 
 # The preset cross tables.

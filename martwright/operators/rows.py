@@ -118,11 +118,11 @@ def one_row(*totals: DataFrame) -> DataFrame:
     return stacked.agg(*[F.max(c).alias(c) for c in names])
 
 
-def to_records(df: DataFrame, limit: int = 500) -> list[dict]:
-    """Records for an API answer, at most ``limit``."""
-    return [row.asDict(recursive=True) for row in df.limit(limit).collect()]
+def to_records(df: DataFrame) -> list[dict]:
+    """All rows as records for an API answer; ``cap`` first where the caller wants fewer."""
+    return [row.asDict(recursive=True) for row in df.collect()]
 
 
 def json_records(df: DataFrame, name: str = "record") -> DataFrame:
-    """One JSON object per row."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias(name))
+    """One JSON object per row, null fields included."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(name))

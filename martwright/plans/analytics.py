@@ -47,8 +47,9 @@ def ytd_revenue(daily: DataFrame) -> DataFrame:
 def monthly_rollup(daily: DataFrame, calendar: bool = False) -> DataFrame:
     """Sales per month with growth over the previous month that had sales.
 
-    ``calendar`` compares with the previous calendar month instead; after a month
-    without sales there is then no growth figure.
+    ``calendar`` has a row for every month from the first to the last, those without
+    sales with zeros, and compares with the previous calendar month; after a month
+    without sales there is no growth figure.
     """
     months = daily.groupBy(*MONTH).agg(
         F.sum("net_revenue").alias("monthly_revenue"),
@@ -56,17 +57,25 @@ def monthly_rollup(daily: DataFrame, calendar: bool = False) -> DataFrame:
         F.sum("num_orders").alias("monthly_orders"),
         money.mean(F.col("margin_pct"), 2).alias("avg_margin_pct"),
     )
-    return period_growth(months, ["year", "month"], "monthly_revenue", calendar)
+    return period_growth(every_month(months) if calendar else months, ["year", "month"], "monthly_revenue")
 
 
-def period_growth(months: DataFrame, order: list[str], column: str, calendar: bool = False) -> DataFrame:
+def every_month(months: DataFrame) -> DataFrame:
+    """The months of an aggregate and those in between, with zeros where nothing was sold."""
+    day = F.make_date("year", "month", F.lit(1))
+    span = months.agg(F.min(day).alias("start"), F.max(day).alias("end"))
+    each = span.select(F.explode(F.sequence("start", "end", F.expr("interval 1 month"))).alias("_day"))
+    kinds = dict(months.dtypes)
+    keys = {"year": F.year("_day"), "month": F.month("_day"), "month_name": F.date_format("_day", "MMM"), "quarter": F.quarter("_day")}
+    calendar = each.select(*[value.cast(kinds[name]).alias(name) for name, value in keys.items() if name in kinds])
+    joined = calendar.join(months.drop("month_name", "quarter"), ["year", "month"], "left")
+    return joined.na.fill(0, ["monthly_revenue", "monthly_profit", "monthly_orders"]).select(*months.columns)
+
+
+def period_growth(months: DataFrame, order: list[str], column: str) -> DataFrame:
     """Previous period's value and growth in percent over a monthly aggregate."""
     window = Window.orderBy(*order)
     previous = F.lag(column).over(window)
-    if calendar:
-        year, month = order
-        index = F.col(year) * 12 + F.col(month)
-        previous = F.when(index - F.lag(index).over(window) == 1, previous)
     grown = months.withColumn("prev_month_revenue", previous)
     return grown.withColumn(
         "mom_growth_pct", money.safe_ratio(F.col(column) - F.col("prev_month_revenue"), F.col("prev_month_revenue"), 2, 100)
@@ -107,9 +116,9 @@ def category_totals(fact: DataFrame, products: DataFrame, keys: list[str], hot_p
     """Totals per product attribute.
 
     Sums are taken per product before the product table is joined, so that join
-    moves one row per sold product. Only the distinct order count needs the lines,
-    with two columns. Both parts meet in one small final aggregation, which treats
-    missing categories like any other value.
+    moves one row per sold product. The distinct order count joins one row per
+    product and order, two columns wide. Both parts meet in one small final
+    aggregation, which treats missing categories like any other value.
     """
     described = products.select("product_sk", *keys)
     per_product = fact.groupBy("product_sk").agg(
@@ -121,8 +130,8 @@ def category_totals(fact: DataFrame, products: DataFrame, keys: list[str], hot_p
         F.sum("unit_price").alias("price_sum"),
     )
     sums = per_product.join(described, "product_sk").withColumn("num_products", F.lit(1).cast("bigint")).drop("product_sk")
-    lines = skew_join(fact.select("product_sk", "order_id", "net_revenue"), described, "product_sk", hot_products, ["order_id", "net_revenue"])
-    orders = lines.groupBy(*keys).agg(F.countDistinct("order_id").alias("num_orders"))
+    sold = fact.select("product_sk", "order_id").distinct()
+    orders = skew_join(sold, described, "product_sk", hot_products, ["order_id"]).groupBy(*keys).agg(F.countDistinct("order_id").alias("num_orders"))
     measures = [c for c in sums.columns if c not in keys] + ["num_orders"]
     both = sums.unionByName(orders, allowMissingColumns=True)
     return both.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])

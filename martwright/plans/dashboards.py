@@ -187,10 +187,11 @@ def customer_revenue(w: Warehouse, by_key: bool = False, only_revenue: bool = Fa
     """
     shown = ["full_name", "city", "age_group"]
     keys = [*shown, "customer_sk"] if by_key else shown
-    fact = revenue_only(w.fct_sales, only_revenue).select("customer_sk", "order_id", "net_revenue")
-    described = w.dim_customer.select("customer_sk", *shown)
-    lines = skew_join(fact, described, "customer_sk", w.hot_customers, ["order_id", "net_revenue"])
-    return lines.groupBy(*keys).agg(F.countDistinct("order_id").alias("total_orders"), F.sum("net_revenue").alias("revenue"))
+    # An order has one customer, so the orders of merged customers add up; one row per customer is joined.
+    per_order = revenue_only(w.fct_sales, only_revenue).groupBy("customer_sk", "order_id").agg(F.sum("net_revenue").alias("revenue"))
+    per_customer = per_order.groupBy("customer_sk").agg(F.count("order_id").alias("orders"), F.sum("revenue").alias("revenue"))
+    described = per_customer.join(w.dim_customer.select("customer_sk", *shown), "customer_sk")
+    return described.groupBy(*keys).agg(F.sum("orders").alias("total_orders"), F.sum("revenue").alias("revenue"))
 
 
 def top_customers(w: Warehouse, k: int = 25, by_key: bool = False, only_revenue: bool = False) -> DataFrame:

@@ -50,6 +50,6 @@ def customers(w: Warehouse) -> dict[str, DataFrame]:
     }
 
 
-def records(page: dict[str, DataFrame], limit: int = 5000) -> dict[str, list[dict]]:
-    """At most ``limit`` records per report of a page."""
-    return {name: to_records(frame, limit) for name, frame in page.items()}
+def records(page: dict[str, DataFrame]) -> dict[str, list[dict]]:
+    """All records of every report of a page."""
+    return {name: to_records(frame) for name, frame in page.items()}

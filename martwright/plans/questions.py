@@ -22,7 +22,8 @@ def ask_top_customers(w: Warehouse, k: int = 10) -> DataFrame:
 
 def ask_monthly_trend(w: Warehouse) -> DataFrame:
     """One row per sales day with its month's revenue and growth."""
-    return w.daily_revenue_trends.select("month_name", "month", F.round("monthly_revenue", 2).alias("monthly_revenue"), "num_orders", "mom_growth_pct")
+    shown = w.daily_revenue_trends.orderBy("order_date")
+    return shown.select("month_name", "month", F.round("monthly_revenue", 2).alias("monthly_revenue"), "num_orders", "mom_growth_pct")
 
 
 def ask_category_performance(w: Warehouse, k: int = 10) -> DataFrame:
@@ -37,11 +38,12 @@ def ask_competitor_prices(w: Warehouse, k: int = 20) -> DataFrame:
 
 
 def ask_default_monthly(w: Warehouse) -> DataFrame:
-    """Revenue and orders by calendar month, all years together."""
-    month = F.date_format("order_date", "MMM").alias("month_name")
-    return w.fct_sales.groupBy(month).agg(
+    """Revenue and orders by calendar month, all years together, in the order of the year."""
+    month = [F.date_format("order_date", "MMM").alias("month_name"), F.month("order_date").alias("_month")]
+    sums = w.fct_sales.groupBy(*month).agg(
         F.round(F.sum("net_revenue"), 2).alias("total_revenue"), F.countDistinct("order_id").alias("total_orders")
     )
+    return sums.orderBy("_month").drop("_month")
 
 
 def _margins(w: Warehouse, keys: list[str]) -> DataFrame:
@@ -69,10 +71,22 @@ def revenue_by(w: Warehouse, attribute: str) -> DataFrame:
     )
 
 
-def lapsed_customers(w: Warehouse, days: int = 90) -> DataFrame:
-    """Customers without an order for at least this many days."""
-    lapsed = w.customer_lifetime_value.where(F.col("days_since_last_order") >= days)
-    return lapsed.select("customer_id", "full_name", "email", "last_order_date", "days_since_last_order", "total_revenue")
+def lapsed_customers(w: Warehouse, days: int = 90, only_revenue: bool = False) -> DataFrame:
+    """Customers without an order of any status for at least this many days, or at all.
+
+    ``only_revenue`` looks at revenue orders alone and leaves out customers without one.
+    """
+    shown = ["customer_id", "full_name", "email"]
+    if only_revenue:
+        lapsed = w.customer_lifetime_value.where(F.col("days_since_last_order") >= days)
+        return lapsed.select(*shown, "last_order_date", "days_since_last_order", "total_revenue")
+    last = w.stg_orders.groupBy("customer_id").agg(F.max("order_date").alias("last_order_date"))
+    revenue = w.customer_lifetime_value.select("customer_id", "total_revenue")
+    since = F.date_diff(F.lit(w.as_of), F.col("last_order_date"))
+    known = w.dim_customer.select(*shown).join(last, "customer_id", "left").join(revenue, "customer_id", "left")
+    known = known.withColumn("days_since_last_order", since)
+    lapsed = known.where(F.col("last_order_date").isNull() | (since >= days))
+    return lapsed.select(*shown, "last_order_date", "days_since_last_order", "total_revenue")
 
 
 def aov_by_payment_method(w: Warehouse) -> DataFrame:

@@ -47,14 +47,17 @@ def invalid_discount(items: DataFrame) -> DataFrame:
 
 def category_revenue_staging(items: DataFrame, products: DataFrame) -> DataFrame:
     """Orders, gross revenue and mean price per category from the raw tables."""
-    sold = items.select("order_id", "product_id", "quantity", "unit_price")
+    sold = items.groupBy("product_id", "order_id").agg(
+        F.sum(money.gross_revenue(F.col("quantity"), F.col("unit_price"))).alias("gross"),
+        F.sum("unit_price").alias("prices"),
+        F.count("unit_price").alias("priced"),
+    )
     described = products.select("product_id", "category")
-    lines = skew_join(sold, described, "product_id", hot_keys(sold, "product_id"), ["order_id", "quantity", "unit_price"])
-    return lines.groupBy("category").agg(
-        F.countDistinct("order_id").alias("num_orders"),
-        F.sum(money.gross_revenue(F.col("quantity"), F.col("unit_price"))).alias("gross_revenue"),
-        money.mean(F.col("unit_price"), 2).alias("avg_unit_price"),
+    parts = skew_join(sold, described, "product_id", hot_keys(items, "product_id"), ["order_id"])
+    sums = parts.groupBy("category").agg(
+        F.countDistinct("order_id").alias("num_orders"), F.sum("gross").alias("gross_revenue"), F.sum("prices").alias("prices"), F.sum("priced").alias("priced")
     )
+    return sums.select("category", "num_orders", "gross_revenue", money.safe_ratio(F.col("prices"), F.col("priced")).alias("avg_unit_price"))
 
 
 def orders_by_month(orders: DataFrame) -> DataFrame:

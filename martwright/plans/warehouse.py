@@ -13,7 +13,7 @@ from martwright.operators.joins import hot_values
 from martwright.plans import analytics, marts, staging
 from martwright.session import shared_folder
 from martwright.sources.schemas import RawTables
-from martwright.sources.tables import clustered
+from martwright.sources.tables import clustered, remove_folder
 
 
 class Warehouse:
@@ -55,7 +55,7 @@ class Warehouse:
     def dim_date(self) -> DataFrame:
         """Every day from the first to the last order."""
         span = self.stg_orders.agg(F.min("order_date").alias("start"), F.max("order_date").alias("end"))
-        return marts.date_attributes(marts.spine_between(span, "start", "end"), self.as_of)
+        return self._stored(marts.date_attributes(marts.spine_between(span, "start", "end"), self.as_of), "dim_date")
 
     def sales(self) -> DataFrame:
         """The fact as a lazy plan over the staging frames and dimensions."""
@@ -94,6 +94,10 @@ class Warehouse:
         lazy = analytics.customer_lifetime_value(self.fct_sales, self.dim_customer, self.as_of, self.orientation, self.folder)
         return self._stored(lazy, "customer_lifetime_value")
 
+    def close(self) -> None:
+        """Remove everything this warehouse has written; its frames can not be read any more."""
+        remove_folder(self.spark, self.folder)
+
     def build(self, threads: int = 4) -> dict[str, DataFrame]:
         """All eleven models, stored where they are tables.
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import time
+from collections import defaultdict
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import DateType, StringType, StructField, StructType, TimestampNTZType
 
-from martwright.functions.text import lenient_date, null_tokens
+from martwright.functions.text import DATE_FORMATS, lenient_date, null_tokens
 from martwright.sources.schemas import RAW_TABLES, RawTables, with_load_ts
 from martwright.sources.tables import write_full_refresh
 
@@ -29,42 +32,71 @@ def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
 def coerce_dates(df: DataFrame) -> DataFrame:
     """Read every text column with ``date`` in its name as a date, bad texts as null."""
     texts = [f.name for f in df.schema.fields if "date" in f.name.lower() and isinstance(f.dataType, StringType)]
-    return df.withColumns({c: lenient_date(F.col(c)) for c in texts})
+    return df.withColumns({c: lenient_date(F.col(c), DATE_FORMATS) for c in texts})
+
+
+# Headers looked up at a time.
+HEADER_JOBS = 16
+
+
+def _by_header(spark: SparkSession, path: str, multiline: bool) -> dict[tuple[str, ...], list[str]]:
+    """Files below the path by the columns their own headers name."""
+    reader = spark.read.option("header", True).option("multiLine", multiline).option("quote", '"').option("escape", '"')
+    whole = reader.csv(path)
+    files = sorted(whole.inputFiles())
+    if len(files) < 2:
+        return {tuple(whole.columns): [path]}
+    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    with ThreadPoolExecutor(HEADER_JOBS) as pool:
+        for file, columns in zip(files, pool.map(lambda f: tuple(reader.csv(f).columns), files)):
+            if columns:  # a file without any line has no columns and no rows
+                groups[columns].append(file)
+    return dict(groups) or {tuple(whole.columns): [path]}
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: StructType, mapping: Mapping[str, str] | None = None, multiline: bool = False
+    spark: SparkSession,
+    path: str,
+    schema: StructType,
+    mapping: Mapping[str, str] | None = None,
+    multiline: bool = False,
+    date_formats: tuple[str, ...] = DATE_FORMATS,
 ) -> DataFrame:
     """Typed CSV scan: header, quotes, null tokens; unreadable values become null.
 
-    The file's own header decides which column is which, so the columns may come in
-    any order. ``schema`` names the result columns after renaming. ``multiline`` reads
+    Every file's own header decides which column is which, so the columns may come in
+    any order, and in another one in each file of a folder; files of one header are
+    scanned together. ``schema`` names the result columns after renaming. Days are read
+    in ISO form, else in the first of ``date_formats`` that fits. ``multiline`` reads
     quoted line breaks, at the price of one task per file.
     """
-    header = spark.read.option("header", True).option("multiLine", multiline).csv(path).columns
-    raw = (
-        spark.read.schema(StructType([StructField(c, StringType()) for c in header]))
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
-    named = rename_columns(raw, mapping or {})
-    missing = [f.name for f in schema.fields if f.name not in named.columns]
-    required = [f.name for f in schema.fields if f.name in missing and not f.nullable]
-    if required:
-        raise ValueError(f"{path} lacks the columns {required}")
-    return named.select(*[_typed(f, f.name in missing) for f in schema.fields])
-
-
-def _typed(field: StructField, absent: bool):
+    parts = []
+    for header, files in _by_header(spark, path, multiline).items():
+        raw = (
+            spark.read.schema(StructType([StructField(c, StringType()) for c in header]))
+            .option("header", True)
+            .option("enforceSchema", False)
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("multiLine", multiline)
+            .option("mode", "PERMISSIVE")
+            .csv(files)
+        )
+        named = rename_columns(raw, mapping or {})
+        missing = [f.name for f in schema.fields if f.name not in named.columns]
+        required = [f.name for f in schema.fields if f.name in missing and not f.nullable]
+        if required:
+            raise ValueError(f"{files[0]} lacks the columns {required}")
+        parts.append(named.select(*[_typed(f, f.name in missing, date_formats) for f in schema.fields]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _typed(field: StructField, absent: bool, date_formats: tuple[str, ...]):
     if absent:
         return F.lit(None).cast(field.dataType).alias(field.name)
     text = null_tokens(F.col(field.name))
     if isinstance(field.dataType, DateType):
-        value = lenient_date(text)
+        value = lenient_date(text, date_formats)
     elif isinstance(field.dataType, TimestampNTZType):
         value = text.try_cast("timestamp_ntz")
     elif isinstance(field.dataType, StringType):
@@ -104,29 +136,35 @@ def load_all(spark: SparkSession, loads: Mapping[str, Load], mapping: Mapping[st
     """Refresh every table from its file and report per table.
 
     A file that is missing or unreadable, or leaves a required column empty, is
-    reported as FAILED and does not stop the others. Rows and empty cells are counted
-    on the written table in one pass.
+    reported as FAILED and does not stop the others. Tables are loaded side by side;
+    rows and empty cells are counted while a table is written. A table that fails its
+    check has already taken the place of the old one.
     """
-    report = []
-    for name, load in loads.items():
+
+    def one(item: tuple[str, Load]) -> tuple:
+        name, load = item
         started = time.monotonic()
         status, rows, error = "FAILED", 0, None
         try:
-            write_full_refresh(with_load_ts(read_csv(spark, load.path, load.schema, mapping, load.multiline)), load.target)
+            counted = Observation(f"load_{name}")
             required = [f.name for f in load.schema.fields if not f.nullable]
-            empty = [F.count_if(F.col(c).isNull()).alias(c) for c in required]
-            counted = spark.read.parquet(load.target).agg(F.count("*").alias("_rows"), *empty).first()
-            rows = counted["_rows"]
-            broken = [c for c in required if counted[c]]
+            empty = [F.count_if(F.col(c).isNull()).alias(f"empty_{c}") for c in required]
+            table = with_load_ts(read_csv(spark, load.path, load.schema, mapping, load.multiline))
+            write_full_refresh(table.observe(counted, F.count(F.lit(1)).alias("rows"), *empty), load.target)
+            found = counted.get
+            rows = found["rows"]
+            broken = [c for c in required if found[f"empty_{c}"]]
             if broken:
                 error = f"empty cells in the columns {broken}"
             else:
                 status = "SUCCESS"
-                error = f"expected {load.expected} rows" if load.expected and rows != load.expected else None
+                error = f"expected {load.expected} rows" if load.expected is not None and rows != load.expected else None
         except (PySparkException, ValueError) as problem:
             error = str(problem).splitlines()[0]
-        report.append((load.path.rstrip("/").rsplit("/", 1)[-1], name, status, rows, time.monotonic() - started, error))
-    return spark.createDataFrame(report, LOAD_REPORT)
+        return load.path.rstrip("/").rsplit("/", 1)[-1], name, status, rows, time.monotonic() - started, error
+
+    with ThreadPoolExecutor(max(1, len(loads))) as pool:
+        return spark.createDataFrame(list(pool.map(one, loads.items())), LOAD_REPORT)
 
 
 def csv_loads(folder: str, target: str) -> dict[str, Load]:

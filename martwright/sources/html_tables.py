@@ -13,10 +13,12 @@ from martwright.functions.text import parse_price
 
 # Case-insensitive, dot matches line ends.
 _COMMENT = r"(?is)<!--.*?-->"
-_SECTION = r"(?is)<h2(?:\s[^>]*)?>(.*?)</h2>(?=.*?<table(?:\s[^>]*)?>(.*?)</table>)"
-_BODY = r"(?is)<tbody(?:\s[^>]*)?>(.*?)</tbody>"
-_ROW = r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr>"
-_CELL = r"(?is)<td(?:\s[^>]*)?>(.*?)</td>"
+# Headings and tables in the order of the page.
+_PART = r"(?is)<h2(?:\s[^>]*)?>.*?</h2>|<table(?:\s[^>]*)?>.*?</table>"
+_BODY = r"(?is)<tbody(?:\s[^>]*)?>(.*?)(?:</tbody>|\z)"
+# End tags of rows and cells may be left out.
+_ROW = r"(?is)<tr(?:\s[^>]*)?>(.*?)(?=<tr[\s>]|</tr>|</tbody>|</table>|\z)"
+_CELL = r"(?is)<td(?:\s[^>]*)?>(.*?)(?=<t[dhr][\s>]|</t[dr]>|</tbody>|</table>|\z)"
 _TAG = r"(?s)<[^>]*>"
 
 CELLS = ["section", "product_name", "category", "price_text", "stock_status"]
@@ -44,8 +46,18 @@ def extract_html_tables(pages: DataFrame, html_col: str = "html", source: Column
     clean = F.regexp_replace(F.col(html_col), _COMMENT, "")
     found = pages.where(F.col(html_col).rlike("(?i)<h2") & F.col(html_col).rlike("(?i)<table"))
     found = found.select(*kept, clean.alias("_html"))
-    found = found.withColumn("_titles", F.transform(_all(F.col("_html"), _SECTION, 1), lambda t: F.trim(F.regexp_replace(t, _TAG, ""))))
-    found = found.withColumn("_tables", _all(F.col("_html"), _SECTION, 2))
+    # From the last part backwards: every heading takes the table seen last.
+    start = F.struct(F.lit(None).cast("string").alias("table"), F.array().cast("array<struct<title:string,body:string>>").alias("found"))
+
+    def step(acc: Column, part: Column) -> Column:
+        title = F.trim(F.regexp_replace(part, _TAG, ""))
+        more = F.array_append(acc["found"], F.struct(title.alias("title"), acc["table"].alias("body")))
+        is_table = F.rlike(part, F.lit("(?i)^<table"))
+        return F.struct(F.when(is_table, part).otherwise(acc["table"]).alias("table"), F.when(is_table | acc["table"].isNull(), acc["found"]).otherwise(more).alias("found"))
+
+    parts = F.reverse(_all(F.col("_html"), _PART, 0))
+    found = found.withColumn("_found", F.reverse(F.aggregate(parts, start, step)["found"]))
+    found = found.withColumn("_titles", F.transform("_found", lambda s: s["title"])).withColumn("_tables", F.transform("_found", lambda s: s["body"]))
     last = F.filter(
         F.arrays_zip("_titles", "_tables"),
         lambda s, i: ~F.array_contains(F.slice(F.col("_titles"), i + 2, F.size("_titles")), s["_titles"]),
@@ -69,29 +81,3 @@ def extract_html_tables(pages: DataFrame, html_col: str = "html", source: Column
         (scraped_at if scraped_at is not None else F.lit(None).cast("timestamp_ntz")).alias("scraped_at"),
         (source if source is not None else F.lit(None).cast("string")).alias("source"),
     )
-
-
-def render_price_pages(products: DataFrame, rows_per_page: int = 200) -> DataFrame:
-    """Price-list pages, each with the products of one category and id block.
-
-    Used to check the extraction: pages hold a bounded number of rows, whatever the
-    size of a category. Expects ``product_no`` besides the product columns.
-    """
-    def escaped(column: str) -> Column:
-        return F.replace(F.replace(F.col(column), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-
-    price = F.concat(F.lit("$"), F.format_number(F.col("retail_price"), 2))
-    row = F.concat(
-        F.lit("<tr><td>"), escaped("product_name"), F.lit("</td><td>"), escaped("subcategory"),
-        F.lit('</td><td class="price">'), price, F.lit("</td><td>In Stock</td></tr>"),
-    )
-    block = F.floor(F.col("product_no") / rows_per_page)
-    pages = products.groupBy("category", block.alias("block")).agg(F.concat_ws("\n", F.collect_list(row)).alias("rows"))
-    head = F.lit("<thead><tr><th>Name</th><th>Type</th><th>Price</th><th>Stock</th></tr></thead><tbody>")
-    return pages.select(
-        F.concat_ws("/", F.lit("prices"), "category", F.col("block").cast("string")).alias("url"),
-        F.concat(
-            F.lit("<html><body><h1>Prices</h1><h2>"), F.col("category"), F.lit('</h2>\n<table class="list">'),
-            head, F.col("rows"), F.lit("</tbody></table></body></html>"),
-        ).alias("html"),
-    )

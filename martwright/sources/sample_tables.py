@@ -13,8 +13,8 @@ AGE_GROUPS = ["18-24", "25-34", "35-44", "45-54", "55-64", "65+"]
 OPEN_STATUSES = ["Processing", "Cancelled", "Returned"]
 PRICE_FACTORS = ["0.04", "0.15", "0.40", "1.00"]
 COMPETITOR_SOURCE = "Other Store"
-# The competitor lists parts up to this size.
-COMPETITOR_MAX_SIZE = 17
+# The competitor lists parts up to this size under the same name, larger ones under another.
+SAME_NAME_SIZE = 17
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -111,9 +111,9 @@ def order_items(lineitem: DataFrame) -> DataFrame:
 
 
 def competitor_prices(part: DataFrame) -> DataFrame:
-    listed = numbered_products(part).where(F.col("size") <= COMPETITOR_MAX_SIZE)
-    return listed.select(
-        F.concat(F.lit(" "), F.lower("product_name"), F.lit(" ")).alias("product_name"),
+    other = F.when(F.col("size") > SAME_NAME_SIZE, " v2").otherwise("")
+    return numbered_products(part).select(
+        F.concat(F.lit(" "), F.lower("product_name"), other, F.lit(" ")).alias("product_name"),
         F.col("subcategory").alias("category"),
         F.col("category").alias("section"),
         (F.col("retail_price") * _decimal("0.95")).cast("decimal(10,2)").alias("competitor_price"),

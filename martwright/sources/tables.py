@@ -65,6 +65,12 @@ def write_stable(df: DataFrame, label: str, folder: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of written tables in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fingerprint(spark: SparkSession, paths: list[str]) -> tuple:
     """State of the files below the paths: it changes when any of them does.
 

@@ -39,7 +39,9 @@ def test_monthly_growth_over_present_months(gaps):
 
 def test_monthly_growth_over_calendar(gaps):
     months = {(r.year, r.month): r for r in analytics.monthly_rollup(analytics.daily_sales(gaps), calendar=True).collect()}
-    assert [months[k].mom_growth_pct for k in sorted(months)] == [None, D("300.00"), None, D("-100.00"), None]
+    assert [months[k].mom_growth_pct for k in sorted(months)] == [None, D("300.00"), D("-100.00"), None, D("-100.00"), None]
+    assert sorted(months)[2] == (2024, 2) and (months[2024, 2].monthly_revenue, months[2024, 2].monthly_orders) == (D("0.00"), 0)
+    assert (months[2024, 2].month_name, months[2024, 2].quarter) == ("Feb", 1)
 
 
 def test_daily_trends(gaps):

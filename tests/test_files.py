@@ -69,7 +69,35 @@ def test_export_json(spark, tmp_path):
     files.export_json(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "out"))
     text = "".join(p.read_text() for p in Path(tmp_path / "out").glob("part-*"))
     assert json.loads(text) == {"a": 1, "b": None}
-    assert rows.to_records(spark.range(3), 2) == [{"id": 0}, {"id": 1}]
+
+
+def test_records_are_complete(spark):
+    assert len(rows.to_records(spark.range(2000))) == 2000
+    cells = spark.createDataFrame([(1, None)], "a int, b string")
+    assert rows.json_records(cells).first()[0] == '{"a":1,"b":null}'
+
+
+def test_headers_of_a_folder_may_differ(spark, tmp_path):
+    folder = tmp_path / "orders"
+    folder.mkdir()
+    (folder / "a.csv").write_text("order_id,customer_id,order_date\n1,C1,2024-01-05\n")
+    (folder / "b.csv").write_text("customer_id,order_date,order_id,payment_method\nC2,2024-01-06,2,Card\n")
+    (folder / "c.csv").write_text("order_id,customer_id,order_date\n3,C3,2024-01-07\n")
+    got = files.read_csv(spark, str(folder), schemas.ORDERS).orderBy("order_id").collect()
+    assert [(r.order_id, r.customer_id, r.order_date.day, r.payment_method) for r in got] == [("1", "C1", 5, None), ("2", "C2", 6, "Card"), ("3", "C3", 7, None)]
+
+
+def test_dates_in_other_forms(spark, tmp_path):
+    path = tmp_path / "orders.csv"
+    path.write_text('order_id,customer_id,order_date\n1,C1,01/15/2024\n2,C1,2024/01/16\n3,C1,17.01.2024\n4,C1,"Jan 18, 2024"\n5,C1,soon\n')
+    got = files.read_csv(spark, str(path), schemas.ORDERS).orderBy("order_id").collect()
+    assert [r.order_date and r.order_date.day for r in got] == [15, 16, 17, 18, None]
+
+
+def test_expecting_no_rows(spark, tmp_path):
+    (tmp_path / "orders.csv").write_text("order_id,customer_id,order_date\n1,C1,2024-01-05\n")
+    load = files.Load(str(tmp_path / "orders.csv"), str(tmp_path / "t"), schemas.ORDERS, 0)
+    assert "expected 0" in files.load_all(spark, {"orders": load}).first().error
 
 
 def test_load_all(spark, tmp_path):

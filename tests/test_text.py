@@ -83,6 +83,12 @@ PAGE = """<html><body><H2 class="t">Phones &amp; more</H2>
 <h2>Nothing follows</h2></body></html>"""
 
 
+def test_html_without_end_tags(spark):
+    page = "<h2>A<h2>B</h2><h2>C</h2> x <table><tr><td>a<td>b<td>1<tr><td>c<td>d<td>2<td>Sold out</table>"
+    got = {(r.section, r.product_name, r.category, float(r.competitor_price), r.stock_status) for r in extract_html_tables(spark.createDataFrame([(page,)], "html string")).collect()}
+    assert {g[1:] for g in got} == {("a", "b", 1.0, "Unknown"), ("c", "d", 2.0, "Sold out")} and {g[0] for g in got} == {"AB", "C"}
+
+
 def test_html_tables(spark):
     pages = spark.createDataFrame([(1, PAGE), (2, "<h2>no table</h2>"), (3, "<table><tr><td>a</td><td>b</td><td>1</td></tr></table>"), (4, None)], "page_id int, html string")
     got = {tuple(r) for r in extract_html_tables(pages, source=F.lit("s")).collect()}
@@ -96,18 +102,24 @@ def test_html_tables(spark):
 REFUSED = [
     "DROP TABLE x", "select 1; select 2", "SELECT 1; DROP TABLE x", "insert into x values (1)", "select * from x -- all", "select /* x */ 1",
     "SHOW TABLES", "", "select xp_run()", "select reflect('java.lang.System', 'exit')", "select * from parquet.`/etc`", "WITH a AS (DELETE FROM x) SELECT 1",
+    "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM guarded_t", "select * from (FROM guarded_t MAP id USING 'cat' AS y)", "SELECT * FROM `parquet`.`/root/testdata/sf0.001/part.parquet`",
+    "select * from xml.`/x`", "select * from guarded_hidden", "select id from guarded_t where id in (select id from guarded_hidden)", "select (select max(id) from guarded_hidden) from guarded_t",
+    "with a as (select 1 as id) insert into guarded_t select * from a", "select `reflect`('a', 'b')", "select 'CTE [guarded_hidden]' from guarded_hidden",
+    "select '\nCTE [guarded_hidden]' from guarded_hidden", "select 1 as `CTE [guarded_hidden]` from guarded_hidden", "FROM guarded_t SELECT id", "values (1)",
 ]
 
 
 @pytest.mark.parametrize("text", REFUSED)
 def test_refused(spark, text):
+    guarded.register_views({"guarded_t": spark.range(501)})
+    spark.range(3).createOrReplaceTempView("guarded_hidden")
     answer = guarded.guarded_sql(spark, text)
     assert answer.rows is None and answer.error
 
 
 def test_allowed(spark):
-    guarded.register_views({"guarded_t": spark.range(501).selectExpr("id", "id as updated_at", "'DROP; --' as note")})
-    for text in ("SELECT updated_at FROM guarded_t;", "with x as (select * from guarded_t) select id from x", "select id from guarded_t where note = 'DROP; --'"):
+    guarded.register_views({"guarded_t": spark.range(501).selectExpr("id", "id as updated_at", "'DROP; --' as note", "id as `update`")})
+    for text in ("select `update`, id as `insert` from GUARDED_T", "select a.id from guarded_t a join guarded_t b using (id)", "SELECT updated_at FROM guarded_t;", "with x as (select * from guarded_t) select id from x", "select id from guarded_t where note = 'DROP; --'"):
         answer = guarded.guarded_sql(spark, text)
         assert answer.error is None and answer.truncated and answer.rows.count() == 500
     exact = guarded.guarded_sql(spark, "select id from guarded_t where id < 500")
