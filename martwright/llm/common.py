@@ -23,6 +23,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return write_stable(df, label)
 
 
+def dealt(df: DataFrame, *keys: str, least: int = 0) -> DataFrame:
+    """Hash-partitioned for work that takes long on few bytes.
+
+    Adaptive execution would merge such groups by their size; a named number of
+    partitions stays.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(width, least), *keys)
+
+
 def fingerprint(df: DataFrame) -> tuple:
     """Row count and an order-free digest of all rows."""
     return tuple(df.select(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)"))).first())

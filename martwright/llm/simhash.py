@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from martwright.llm.common import blocks, components, forest, slices, stored
+from martwright.llm.common import blocks, components, dealt, forest, slices, stored
 
 SEED = 42
 # Words of a text are taken from pieces of about this many bytes.
@@ -160,7 +160,7 @@ def near_pairs(bits: np.ndarray, block: np.ndarray, cross: bool, most_bits: int)
             yield order[left], order[right]
 
 
-def link(classes: DataFrame, most_bits: int = 3, leaf_rows: int = 8192, sample_rows: int = 65536) -> DataFrame:
+def link(classes: DataFrame, most_bits: int = 3, leaf_rows: int = 32768, sample_rows: int = 65536) -> DataFrame:
     """Edges between fingerprint classes (bits, rep) that connect all links.
 
     Of the links of a leaf a spanning forest is returned, so the result grows with the
@@ -178,9 +178,9 @@ def link(classes: DataFrame, most_bits: int = 3, leaf_rows: int = 8192, sample_r
             for leaf, at in route(signed.view(np.uint64), tree.value, most_bits):
                 yield pa.record_batch([pa.array(np.full(len(at), leaf, np.int32)), pa.array(signed[at]), pa.array(reps[at])], names=["leaf", "bits", "rep"])
 
-    dealt = stored(classes.select("bits", "rep").mapInArrow(deal, "leaf int, bits long, rep long"), "leaves")
-    counts = dealt.groupBy("leaf").agg(F.count("*").alias("rows"))
-    pairs = dealt.join(counts, "leaf").withColumn("pair", F.explode(blocks(F.xxhash64("bits"), F.col("rows"), leaf_rows)))
+    placed = stored(classes.select("bits", "rep").mapInArrow(deal, "leaf int, bits long, rep long"), "leaves")
+    counts = placed.groupBy("leaf").agg(F.count("*").alias("rows"))
+    pairs = placed.join(counts, "leaf").withColumn("pair", F.explode(blocks(F.xxhash64("bits"), F.col("rows"), leaf_rows)))
     pairs = pairs.select("leaf", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), F.col("pair.home").alias("home"), "bits", "rep")
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
@@ -191,10 +191,10 @@ def link(classes: DataFrame, most_bits: int = 3, leaf_rows: int = 8192, sample_r
         tied = root != np.arange(len(reps))
         return pd.DataFrame({"vertex": reps[tied], "root": reps[root[tied]]})
 
-    return pairs.groupBy("leaf", "i", "j").applyInPandas(search, "vertex long, root long")
+    return dealt(pairs, "leaf", "i", "j").groupBy("leaf", "i", "j").applyInPandas(search, "vertex long, root long")
 
 
-def simhash_groups(docs: DataFrame, width: int = 3, most_bits: int = 3, seed: int = SEED, leaf_rows: int = 8192) -> DataFrame:
+def simhash_groups(docs: DataFrame, width: int = 3, most_bits: int = 3, seed: int = SEED, leaf_rows: int = 32768) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id, kept.
 
     Texts with equal fingerprints are one class and are compared once. Null and
