@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from martwright.llm.common import blocks, components, forest, slices, stored
+from martwright.llm.common import blocks, components, dealt, forest, slices, stored
 
 PROJECTIONS, WIDTH, LOSS = 24, 3.0, 1e-9
 # The sorted window that a pair must share before collisions are counted, in deviations.
@@ -161,13 +161,13 @@ def embedding_groups(vectors: DataFrame, least: float = 0.98, seed: int = 42, ce
     sizes = classes.groupBy("label").agg(F.count("*").alias("rows")).select("label", F.least(F.greatest(splits, F.lit(0)), F.lit(MOST_SPLITS)).cast("int").alias("splits"))
     label = dict(classes.dtypes)["label"]
     kinds = f"label {label}, dims long, splits int, tab long, cell string, rep long, held long, vector {dict(classes.dtypes)['vector']}"
-    dealt = classes.where("rep is not null").join(sizes, "label").select("label", "splits", F.col("rep").cast("long"), "held", "vector")
-    dealt = stored(dealt.mapInArrow(lambda batches: _deal(batches, window, seed), kinds), "cells")
+    placed = classes.where("rep is not null").join(sizes, "label").select("label", "splits", F.col("rep").cast("long"), "held", "vector")
+    placed = stored(placed.mapInArrow(lambda batches: _deal(batches, window, seed), kinds), "cells")
     key = ["label", "dims", "tab", "cell"]
-    counts = dealt.groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1")
-    pairs = dealt.join(counts, key).withColumn("pair", F.explode(blocks(F.xxhash64("rep"), F.col("rows"), cell_rows)))
+    counts = placed.groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1")
+    pairs = placed.join(counts, key).withColumn("pair", F.explode(blocks(F.xxhash64("rep"), F.col("rows"), cell_rows)))
     pairs = pairs.select(*key, "splits", "rep", "held", "vector", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), F.col("pair.home").alias("home"))
-    found = pairs.groupBy(*key, "i", "j").applyInPandas(lambda part: _search(part, least, window, seed), "vertex long, root long, links long")
+    found = dealt(pairs, *key, "i", "j").groupBy(*key, "i", "j").applyInPandas(lambda part: _search(part, least, window, seed), "vertex long, root long, links long")
     found = stored(found, "links")
     links = found.groupBy("vertex").agg(F.sum("links").alias("links"))
     roots = components(found.select("vertex", "root"))

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from martwright.llm.common import stored
+from martwright.llm.common import dealt, stored
 
 # Groups of a slice, and tuples that a later round combines in one task.
 SLICE_GROUPS, FAN_IN = 50_000, 4096
@@ -78,7 +78,7 @@ def shard_groups(groups: DataFrame, shards: int = 16, slice_groups: int = SLICE_
     """Shard of every group: columns grp and shard, from grp (unique) and bytes."""
     slices = max(1, math.ceil(groups.count() / slice_groups))
     cut = groups.select("grp", "bytes", F.pmod(F.xxhash64("grp"), F.lit(slices)).alias("slice"))
-    placed = stored(cut.groupBy("slice").applyInPandas(lambda part: _slice(part, shards), "slice long, grp string, slot int, bytes long"), "slots")
+    placed = stored(dealt(cut, "slice", least=2 * slices).groupBy("slice").applyInPandas(lambda part: _slice(part, shards), "slice long, grp string, slot int, bytes long"), "slots")
     while slices > 1:
         slices = math.ceil(slices / fan_in)
         sums = placed.groupBy("slice", "slot").agg(F.sum("bytes").alias("bytes")).withColumn("next_slice", F.pmod("slice", F.lit(slices)))
