@@ -179,6 +179,34 @@ def _csv_mixed_headers(w: Warehouse) -> DataFrame:
     return files.read_csv(w.spark, path, schemas.ORDERS)
 
 
+def _defects(w: Warehouse) -> DataFrame:
+    """Checks over raw tables with defects put in by key remainder, so that every one of them finds some."""
+    items, orders, prices = w.raw.order_items, w.raw.orders, w.raw.competitor_prices
+    n = F.substring("order_id", 4, 20).cast("bigint")
+    items = items.withColumn("_n", n)
+    items = items.withColumns(
+        {
+            "quantity": F.when(F.col("_n") % 89 == 0, -F.col("quantity")).otherwise(F.col("quantity")),
+            "discount": F.when(F.col("_n") % 83 == 0, F.lit("1.5").cast("decimal(5,4)")).otherwise(F.col("discount")),
+            "order_id": F.when(F.col("_n") % 97 == 0, "ORD-none").otherwise(F.col("order_id")),
+            "product_id": F.when(F.col("_n") % 79 == 0, "PROD-none").otherwise(F.col("product_id")),
+        }
+    )
+    items = items.unionByName(items.where(F.col("_n") % 101 == 0))
+    orders = orders.withColumn("customer_id", F.when(n % 71 == 0, "CUST-none").otherwise(F.col("customer_id")))
+    price = F.when(F.col("section").startswith("ECONOMY"), F.lit(0)).otherwise(F.col("competitor_price")).cast("decimal(10,2)")
+    name = F.when(F.col("section").startswith("SMALL"), " ").otherwise(F.col("product_name"))
+    return quality.all_checks(
+        quality.check_unique(items, "raw_order_items", "order_item_id"),
+        quality.check_rule(items, "raw_order_items", "quantity not positive", F.col("quantity") <= 0),
+        quality.check_rule(items, "raw_order_items", "discount out of range", ~F.col("discount").between(0, 1)),
+        quality.check_fk(items, "raw_order_items", "order_id", orders, "order_id"),
+        quality.check_fk(items, "raw_order_items", "product_id", w.raw.products, "product_id"),
+        quality.check_fk(orders, "raw_orders", "customer_id", w.raw.customers, "customer_id"),
+        quality.check_scrape(prices.withColumns({"competitor_price": price, "product_name": name})),
+    )
+
+
 def _guarded(w: Warehouse) -> DataFrame:
     guarded.register_views({"fct_sales": w.fct_sales, "dim_customer": w.dim_customer})
     text = """SELECT region, count(DISTINCT customer_sk) AS customers, count(*) AS lines
@@ -255,6 +283,7 @@ REPORTS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "revenue_sanity": lambda w: validation.revenue_sanity(w.fct_sales),
     "dimension_coverage": validation.dimension_coverage,
     "scrape_validation": lambda w: quality.check_scrape(w.raw.competitor_prices),
+    "dq_defects": _defects,
     "dq_unique": model_tests.unique_tests,
     "dq_not_null": model_tests.not_null_tests,
     "dq_accepted_values": model_tests.accepted_value_tests,

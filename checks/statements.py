@@ -46,6 +46,9 @@ def check_row(check: str, table: str, column: str, failures: str) -> str:
         CAST(({failures}) AS BIGINT) AS failures, ({failures}) = 0 AS passed"""
 
 
+DEFECT_ITEMS = """(SELECT *, CAST(substr(order_id, 4) AS BIGINT) AS n FROM raw_items UNION ALL
+    SELECT *, CAST(substr(order_id, 4) AS BIGINT) AS n FROM raw_items WHERE CAST(substr(order_id, 4) AS BIGINT) % 101 = 0)"""
+
 # Table names of the checks -> definitions above.
 CHECKED = {
     "raw_order_items": "raw_items",
@@ -56,9 +59,63 @@ CHECKED = {
 }
 
 
-def _checks() -> dict[str, str]:
-    from martwright.plans.model_tests import ACCEPTED, NOT_NULL, RELATIONSHIPS, UNIQUE
+# Table -> columns that must be unique.
+UNIQUE = {
+    "raw_customers": ["customer_id"],
+    "raw_products": ["product_id"],
+    "raw_orders": ["order_id"],
+    "raw_order_items": ["order_item_id"],
+    "stg_customers": ["customer_id"],
+    "stg_products": ["product_id"],
+    "stg_orders": ["order_id"],
+    "stg_order_items": ["order_item_id"],
+    "dim_customer": ["customer_sk", "customer_id"],
+    "dim_product": ["product_sk", "product_id"],
+    "fct_sales": ["order_item_id"],
+    "daily_revenue_trends": ["order_date"],
+    "customer_lifetime_value": ["customer_sk"],
+}
+
+# Table -> columns that must be filled.
+NOT_NULL = {
+    "raw_customers": ["customer_id", "email", "country"],
+    "raw_products": ["product_id", "retail_price"],
+    "raw_orders": ["order_id", "customer_id"],
+    "raw_order_items": ["order_item_id", "order_id", "product_id"],
+    "stg_customers": ["customer_id", "email"],
+    "stg_products": ["product_id", "retail_price", "base_cost"],
+    "stg_orders": ["order_id", "customer_id"],
+    "stg_order_items": ["order_item_id", "order_id", "product_id", "quantity", "unit_price"],
+    "dim_customer": ["customer_sk", "customer_id"],
+    "dim_product": ["product_sk", "product_id", "gross_margin_pct"],
+    "fct_sales": ["order_item_id", "order_id", "customer_sk", "product_sk", "quantity", "net_revenue"],
+    "daily_revenue_trends": ["order_date"],
+    "customer_lifetime_value": ["customer_sk"],
+    "top_product_categories": ["category"],
+}
+
+# Table, column and its accepted values.
+ACCEPTED = [
+    ("stg_customers", "gender", ["MALE", "FEMALE", "NON-BINARY"]),
+    ("stg_customers", "age_group", ["18-24", "25-34", "35-44", "45-54", "55-64", "65+"]),
+    ("stg_products", "price_tier", ["Budget", "Mid-range", "Premium", "Luxury"]),
+    ("stg_orders", "order_status", ["Completed", "Shipped", "Processing", "Cancelled", "Returned"]),
+    ("dim_customer", "region", ["North America", "Europe", "APAC", "Middle East", "Other"]),
+    ("dim_customer", "customer_segment", ["New", "Regular", "Loyal"]),
+    ("customer_lifetime_value", "clv_tier", ["Champions", "Loyal", "Potential Loyal", "Recent", "At Risk", "Hibernating"]),
+]
 
+# Child table, column, parent table, column.
+RELATIONSHIPS = [
+    ("stg_orders", "customer_id", "stg_customers", "customer_id"),
+    ("stg_order_items", "order_id", "stg_orders", "order_id"),
+    ("stg_order_items", "product_id", "stg_products", "product_id"),
+    ("fct_sales", "customer_sk", "dim_customer", "customer_sk"),
+    ("fct_sales", "product_sk", "dim_product", "product_sk"),
+]
+
+
+def _checks() -> dict[str, str]:
     def source(name: str) -> str:
         return CHECKED.get(name, name)
 
@@ -217,6 +274,18 @@ STATEMENTS = {
     "dimension_coverage": """SELECT (SELECT count(DISTINCT customer_sk) FROM fct_sales) AS customers_in_fact,
         (SELECT count(*) FROM dim_customer) AS total_dim_customers, (SELECT count(DISTINCT product_sk) FROM fct_sales) AS products_in_fact,
         (SELECT count(*) FROM dim_product) AS total_dim_products""",
+    "dq_defects": " UNION ALL ".join([
+        check_row("unique", "raw_order_items", "order_item_id", f"SELECT count(*) FROM (SELECT 1 FROM {DEFECT_ITEMS} GROUP BY order_item_id HAVING count(*) > 1)"),
+        check_row("rule", "raw_order_items", "quantity not positive", f"SELECT count(*) FROM {DEFECT_ITEMS} WHERE n % 89 = 0"),
+        check_row("rule", "raw_order_items", "discount out of range", f"SELECT count(*) FROM {DEFECT_ITEMS} WHERE n % 83 = 0"),
+        check_row("relationships", "raw_order_items", "order_id", f"SELECT count(*) FROM {DEFECT_ITEMS} WHERE n % 97 = 0"),
+        check_row("relationships", "raw_order_items", "product_id", f"SELECT count(*) FROM {DEFECT_ITEMS} WHERE n % 79 = 0"),
+        check_row("relationships", "raw_orders", "customer_id", "SELECT count(*) FROM raw_orders WHERE CAST(substr(order_id, 4) AS BIGINT) % 71 = 0"),
+        check_row("rule", "competitor_prices", "empty product_name", "SELECT count(*) FROM raw_prices WHERE section LIKE 'SMALL%'"),
+        check_row("rule", "competitor_prices", "price not positive", "SELECT count(*) FROM raw_prices WHERE section LIKE 'ECONOMY%'"),
+        check_row("unique", "competitor_prices", "product_name, category",
+                  "SELECT count(*) FROM (SELECT 1 FROM (SELECT CASE WHEN section LIKE 'SMALL%' THEN ' ' ELSE product_name END AS name, category FROM raw_prices) GROUP BY name, category HAVING count(*) > 1)"),
+    ]),
     "scrape_validation": " UNION ALL ".join([
         check_row("rule", "competitor_prices", "empty product_name", "SELECT count(*) FROM raw_prices WHERE trim(product_name) = ''"),
         check_row("rule", "competitor_prices", "price not positive", "SELECT count(*) FROM raw_prices WHERE competitor_price <= 0"),

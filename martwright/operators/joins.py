@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A key is hot when it holds at least this share of the sampled rows.
-HOT_SHARE = 0.01
+# A key is hot when it holds this share of the sampled rows, or, where the shuffle is
+# wide, this many times what an average task gets.
+HOT_SHARE, HOT_TASKS = 0.01, 4
 SAMPLE = 0.01
 # Below this many sampled rows no key can weigh on a task.
 FEWEST_SAMPLED = 1000
@@ -13,7 +14,11 @@ TRACKED = 4096
 FEWEST_SALTS = 32
 
 
-def hot_values(df: DataFrame, keys: list[str], share: float = HOT_SHARE, sample: float = SAMPLE, fewest: int = FEWEST_SAMPLED) -> dict[str, list]:
+def hot_share(df: DataFrame) -> float:
+    return min(HOT_SHARE, HOT_TASKS / int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def hot_values(df: DataFrame, keys: list[str], share: float | None = None, sample: float = SAMPLE, fewest: int = FEWEST_SAMPLED) -> dict[str, list]:
     """Per key column, the values (null included) that hold a large share of the rows.
 
     One pass over a row sample with a frequent-items sketch per column: bounded
@@ -21,8 +26,10 @@ def hot_values(df: DataFrame, keys: list[str], share: float = HOT_SHARE, sample:
     steers where rows go, a join's result does not depend on it.
     """
     sampled = df.select(*keys) if sample >= 1 else df.select(*keys).sample(sample, seed=23)
+    share = share or hot_share(df)
     most = int(1 / share)
-    sketches = [F.expr(f"approx_top_k(`{key}`, {most}, {TRACKED})").alias(key) for key in keys]
+    tracked = min(1_000_000, max(TRACKED, 4 * most))
+    sketches = [F.expr(f"approx_top_k(`{key}`, {most}, {tracked})").alias(key) for key in keys]
     row = sampled.agg(F.count("*").alias("_rows"), *sketches).first()
     if row["_rows"] < fewest:
         return {key: [] for key in keys}

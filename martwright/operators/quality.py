@@ -40,6 +40,21 @@ def check_unique(df: DataFrame, table: str, *columns: str) -> DataFrame:
     return _result(failures, "unique", table, ", ".join(columns))
 
 
+def check_unique_columns(tables: list[tuple[DataFrame, str, list[str]]]) -> DataFrame:
+    """``check_unique`` of many single columns: every table is read once, and all values are counted in one shuffle."""
+    tests = [(table, column) for _, table, columns in tables for column in columns]
+    parts = []
+    for df, table, columns in tables:
+        cells = [F.struct(F.lit(tests.index((table, c))).alias("test"), F.col(c).cast("string").alias("value")) for c in columns]
+        parts.append(df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*"))
+    counts = reduce(DataFrame.unionByName, parts).where("value is not null").groupBy("test", "value").agg(F.count("*").alias("rows"))
+    found = counts.where("rows > 1").groupBy("test").agg(F.count("*").alias("failures"))
+    spark = tables[0][0].sparkSession
+    listed = spark.createDataFrame([(n, *test) for n, test in enumerate(tests)], "test int, table string, column string")
+    failures = F.coalesce(F.col("failures"), F.lit(0)).cast("bigint")
+    return listed.join(found, "test", "left").select(F.lit("unique").alias("check"), "table", "column", failures.alias("failures"), (failures == 0).alias("passed"))
+
+
 def check_not_null(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
     """All columns in one pass, one result row each."""
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])

@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from martwright.functions.money import safe_ratio
 from martwright.sources.tables import write_stable
 
-# A range with at most this many rows is sorted on the driver.
+# Rows that are sorted on the driver in the end, over all ranges together.
 DIRECT_ROWS = 20_000
-# Sort keys sampled per round to bracket the wanted ranks.
+# Sort keys sampled per round to bracket the wanted ranks, over all ranges together.
 SAMPLE_ROWS = 50_000
-LEAST_SAMPLED = 400
+# What a range gets of both at least, however many ranks are wanted.
+LEAST_DIRECT, LEAST_SAMPLED = 32, 64
 
 # monotonically_increasing_id: partition above, position in the partition below.
 _POSITION_BITS = 33
@@ -126,8 +127,8 @@ def order_statistics(
 
     Every round brackets all wanted ranks with two sampled keys each and counts the
     rows between the brackets exactly. Only rows inside a bracket, a few percent, go
-    on to the next round, until a bracket is small enough to be sorted on the
-    driver. A bracket that misses costs a round, not the result. Only the key columns
+    on to the next round, until the brackets together are small enough to be sorted
+    on the driver. A bracket that misses costs a round, not the result. Only the key columns
     are read. ``keys`` must identify a row.
     """
     keys = _sort_keys(keys)
@@ -143,7 +144,9 @@ def order_statistics(
     while True:
         starts = [sum(sizes[:i]) for i in range(len(sizes))]
         inside = [[r - start for r in wanted if start < r <= start + size] for start, size in zip(starts, sizes)]
-        large = [i for i, size in enumerate(sizes) if inside[i] and size > direct_rows]
+        open_ranges = sum(1 for within in inside if within)
+        small_enough = max(LEAST_DIRECT, direct_rows // max(1, open_ranges))
+        large = [i for i, size in enumerate(sizes) if inside[i] and size > small_enough]
         if not large:
             break
         before, left = left, sum(sizes[i] for i in large)
@@ -153,10 +156,13 @@ def order_statistics(
         part = table.where(_within(keys, splits, large)).withColumn("_range", _range_index(keys, splits))
         share = min(1.0, max(sample_rows, LEAST_SAMPLED * len(large)) / left)
         sampled = [(r["_range"], tuple(r)[1:]) for r in part.sample(share, seed=attempt).select("_range", *names).orderBy(*order).collect()]
+        by_range: dict[int, list[tuple]] = {}
+        for home, values in sampled:
+            by_range.setdefault(home, []).append(values)
         cut: list[tuple] = []
         for index, size in enumerate(sizes):
             if index in large:
-                found = [values for home, values in sampled if home == index]
+                found = by_range.get(index, [])
                 for position in _brackets(len(found), size, inside[index]):
                     if not cut or cut[-1] != found[position]:
                         cut.append(found[position])

@@ -68,7 +68,7 @@ def _table(w: Warehouse, name: str) -> DataFrame:
 
 
 def unique_tests(w: Warehouse) -> DataFrame:
-    return quality.all_checks(*[quality.check_unique(_table(w, t), t, c) for t, columns in UNIQUE.items() for c in columns])
+    return quality.check_unique_columns([(_table(w, t), t, columns) for t, columns in UNIQUE.items()])
 
 
 def not_null_tests(w: Warehouse) -> DataFrame:

@@ -92,3 +92,15 @@ def test_no_single_partition(spark, plan):
 def test_rank_by(spark):
     df = spark.createDataFrame([("a", 3), ("b", 3), ("c", 1)], "k string, v int")
     assert {r.k: r.r for r in rank_by(df, "v", "r").collect()} == {"a": 1, "b": 1, "c": 3}
+
+
+def test_rows_sent_to_the_driver_stay_bounded(spark, monkeypatch):
+    table = spark.range(400_000).selectExpr("xxhash64(id) % 1000 as v", "id")
+    sent = []
+    collect = type(table).collect
+    monkeypatch.setattr(type(table), "collect", lambda frame: sent.append(rows := collect(frame)) or rows)
+    found = ranking.order_statistics(table, ["v", "id"], list(range(4000, 400_000, 4000)), direct_rows=5000, sample_rows=20_000)
+    monkeypatch.undo()
+    assert sum(map(len, sent)) < 80_000
+    ordered = table.orderBy("v", "id").collect()
+    assert all(found[r] == tuple(ordered[r - 1]) for r in found) and len(found) == 99
