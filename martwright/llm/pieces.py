@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Characters of a unit, of a batch, and units that a process keeps.
-UNIT, BATCH, KEPT = 256, 1 << 22, 300_000
+UNIT, BATCH, KEPT = 256, 1 << 21, 200_000
 # Stands for a space in a unit: no valid text has this code.
 _SPACE, _SPACE_CODE = "\ud800", 0xD800
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
