@@ -176,3 +176,19 @@ def embedding_groups(vectors: DataFrame, least: float = 0.98, seed: int = 42, ce
     joined = rows.join(known, ["label", "vector"], "left")
     component = F.coalesce("component_id", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+
+
+def oracle(least: float = 0.98) -> str:
+    """DuckDB statement for ``embedding_groups``: all pairs of a label, so for small tables."""
+    return f"""
+    WITH RECURSIVE fine AS (
+        SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS (
+        SELECT a.vec_id AS x, b.vec_id AS y FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+        WHERE list_cosine_similarity(a.e, b.e) >= {least}),
+    reach AS (SELECT vec_id AS v, vec_id AS r FROM embeddings UNION SELECT reach.v, links.y FROM reach JOIN links ON links.x = reach.r),
+    roots AS (SELECT v, min(r) AS root FROM reach GROUP BY v)
+    SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id) AS n_links, root AS component_id, vec_id = root AS kept
+    FROM embeddings JOIN roots ON v = vec_id"""

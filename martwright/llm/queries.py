@@ -71,4 +71,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.oracle(), "op5_warc_round_trip": warc.oracle()}
+    return {
+        "op1_mix_sources": mixing.oracle(),
+        "op2_embedding_near_dedup": near_embeddings.oracle(),
+        "op5_warc_round_trip": warc.oracle(),
+    }
