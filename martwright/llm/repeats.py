@@ -9,15 +9,17 @@ entry of the dictionary, and the texts are sequences of such entries.
 
 Corpus order is only needed as far as ``length`` bytes: which positions have a neighbour
 in it that agrees on all of them. Entries that occur again settle all their positions
-at once. Entries that do not, but share the bytes at their trigger with another one,
-are taken apart, and the suffixes of the dictionary entries are brought together by a
-128-bit digest of their first ``length`` bytes. All other positions have no equal.
+at once; so does an entry whose core, the bytes that all its strings share, is alone.
+Of the others one each is taken apart into parts of ``PART`` positions, which are settled
+the same way, and what is left into single suffixes, which meet by a 128-bit digest of
+their first ``length`` bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from martwright.llm.common import stored
 
-LENGTH, CORE, WINDOW = 400, 64, 8
+LENGTH, CORE, WINDOW, PART = 400, 128, 8, 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 # Positions of a text that are parsed at a time.
 CHUNK = 1 << 21
@@ -79,16 +81,19 @@ def _wide(data: bytes, spans: list[tuple[int, int]]) -> np.ndarray:
     return np.frombuffer(b"".join([digest(data[a:b]) for a, b in spans]), np.int64).reshape(-1, 2)
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
-    for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-        yield row, text.as_buffer().to_pybytes() if text.is_valid else b""
+def _texts(column: pa.Array) -> Iterator[bytes]:
+    for text in column:
+        yield text.as_buffer().to_pybytes() if text.is_valid else b""
 
 
-def _repeated_filter(cores: DataFrame) -> np.ndarray:
-    """Bitmap of the hashes that occur again; its size is fixed, its parts are built side by side."""
-    seen = cores.groupBy("core").agg(F.count("*").alias("rows")).where("rows > 1")
-    place = F.shiftrightunsigned("core", 64 - FILTER_BITS)
-    places = seen.select(place.alias("place")).distinct().withColumn("segment", F.shiftright("place", SEGMENT_BITS).cast("int"))
+def _key(data: bytes) -> tuple[int, int]:
+    """Digest by which a text is known; equal texts share one, and all that is found in them."""
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(data))
+
+
+def _filter(places: DataFrame) -> np.ndarray:
+    """Bitmap of the distinct ``place`` values; its size is fixed, its segments are built side by side."""
+    places = places.select("place").distinct().withColumn("segment", F.shiftright("place", SEGMENT_BITS).cast("int"))
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(1 << SEGMENT_BITS, bool)
@@ -101,6 +106,38 @@ def _repeated_filter(cores: DataFrame) -> np.ndarray:
     return found.ravel()
 
 
+def _place(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _in_filter(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _mixed(numbers: np.ndarray) -> np.ndarray:
+    numbers = (numbers ^ (numbers >> np.uint64(29))) * _ODD
+    return numbers ^ (numbers >> np.uint64(32))
+
+
+def _id(key: tuple[int, int], first: np.ndarray) -> np.ndarray:
+    """Numbers by which the phrases of a text are known."""
+    high, low = (np.array([k], np.int64).view(np.uint64) for k in key)
+    return _mixed((high * _ODD ^ first.astype(np.uint64)) * _ODD + low)
+
+
+def _settle(found: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """Ranges whose bytes occur again, and the ids of those that must be taken apart.
+
+    ``found`` has core, high, low (the digest of all the range's bytes), id, text_a, text_b,
+    first and last. Of a core that has several kinds, one of them alone, one each goes apart.
+    """
+    kinds = stored(found.groupBy("core", "high", "low").agg(F.count("*").alias("rows"), F.min("id").alias("id")), label)
+    mixed = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.min("rows").alias("fewest")).where("kinds > 1 and fewest = 1").select("core")
+    ranges = found.select("high", "low", "text_a", "text_b", "first", "last")
+    again = ranges.join(kinds.where("rows > 1").select("high", "low"), ["high", "low"]).drop("high", "low")
+    return again, kinds.select("core", "id").join(mixed, "core").select("id")
+
+
 def _spans(first: np.ndarray, last: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Maximal runs covered by strings that start anywhere in first..last."""
     order = np.argsort(first, kind="stable")
@@ -122,62 +159,123 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     if length < CORE + WINDOW:
         raise ValueError(f"length must be at least {CORE + WINDOW}")
     spark = docs.sparkSession
-    rows = stored(docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()), "texts")
-    texts = rows.select("row", "text")
+    texts = docs.select(F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= length)
 
     def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_cores(data, parse(data, length)[2]) for _, data in _texts(batch) if len(data) >= length]
+            found = [_cores(data, parse(data, length)[2]) for data in _texts(batch.column(0))]
             if found:
                 yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64))], names=["core"])
 
-    repeated = spark.sparkContext.broadcast(_repeated_filter(texts.mapInArrow(cores, "core long")))
+    place = F.shiftrightunsigned("core", 64 - FILTER_BITS).alias("place")
+    seen = texts.mapInArrow(cores, "core long").groupBy("core").agg(F.count("*").alias("rows")).where("rows > 1")
+    repeated = spark.sparkContext.broadcast(_filter(seen.select(place)))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = repeated.value
         for batch in batches:
-            for row, data in _texts(batch):
-                if len(data) < length:
-                    continue
+            for data in _texts(batch.column(0)):
                 first, last, trigger = parse(data, length)
                 core = _cores(data, trigger)
-                place = core >> np.uint64(64 - FILTER_BITS)
-                again = (bits[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1 == 1
+                again = _in_filter(repeated.value, _place(core))
                 if not again.any():
                     continue
-                first, last, core = first[again], last[again], core[again]
+                first, last, core, key = first[again], last[again], core[again], _key(data)
                 wide = _wide(data, list(zip(first.tolist(), (last + length).tolist())))
-                columns = [core.view(np.int64), wide[:, 0], wide[:, 1], np.full(len(core), row), first, last]
-                yield pa.record_batch([pa.array(c) for c in columns], names=["core", "high", "low", "row", "first", "last"])
-
-    entry = ["core", "high", "low"]
-    found = stored(texts.mapInArrow(entries, "core long, high long, low long, row long, first long, last long"), "entries")
-    kinds = stored(found.groupBy(*entry).agg(F.count("*").alias("rows"), F.min(F.struct("row", "first")).alias("one")), "dictionary")
-    mixed = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.min("rows").alias("fewest")).where("kinds > 1 and fewest = 1").select("core")
-    whole = found.join(kinds.where("rows > 1").select(*entry), entry).select("row", "first", "last")
-    # A lone entry is taken apart, and so is one of those that occur again beside it.
-    apart = found.join(kinds.join(mixed, "core").select(*entry, "one"), entry)
-    apart = apart.where((F.col("one.row") == F.col("row")) & (F.col("one.first") == F.col("first"))).select("row", "first", "last")
+                same = [np.full(len(core), k, np.int64) for k in key]
+                columns = [core.view(np.int64), wide[:, 0], wide[:, 1], _id(key, first).view(np.int64), *same, first.astype(np.int32), last.astype(np.int32)]
+                yield pa.record_batch([pa.array(c) for c in columns], names=["core", "high", "low", "id", "text_a", "text_b", "first", "last"])
+
+    layout = "core long, high long, low long, id long, text_a long, text_b long, first int, last int"
+    whole, open_entries = _settle(stored(texts.mapInArrow(entries, layout), "entries"), "dictionary")
+    opened = spark.sparkContext.broadcast(_filter(open_entries.select(F.shiftrightunsigned("id", 64 - FILTER_BITS).alias("place"))))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The filter may let further entries pass; that only adds suffixes without an equal.
+        # Equal texts open the same entries: a task sends them once, as they are settled already.
+        sent: set[int] = set()
+        names = ["id", "text_a", "text_b", "entry", "last", "trigger", "bytes"]
+        for batch in batches:
+            for data in _texts(batch.column(0)):
+                first, last, trigger = parse(data, length)
+                key = _key(data)
+                own = _id(key, first)
+                chosen = _in_filter(opened.value, _place(own))
+                fresh = [i for i in own[chosen].tolist() if i not in sent]
+                if fresh:
+                    sent.update(fresh)
+                    chosen &= np.isin(own, np.array(fresh, np.uint64))
+                    first, last, trigger, own = first[chosen], last[chosen], trigger[chosen], own[chosen]
+                    held = [data[a : b + length] for a, b in zip(first.tolist(), last.tolist())]
+                    same = [np.full(len(first), k, np.int64) for k in key]
+                    numbers = [own.view(np.int64), *same, *(x.astype(np.int32) for x in (first, last, trigger))]
+                    yield pa.record_batch([*map(pa.array, numbers), pa.array(held, pa.binary())], names=names)
+
+    held = texts.mapInArrow(contexts, "id long, text_a long, text_b long, entry int, last int, trigger int, bytes binary")
+    held = stored(held, "contexts")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide, narrow = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
+        for batch in batches:
+            out: list[tuple] = []
+            digests: list[bytes] = []
+            for own, a, b, entry, last, trigger, data in zip(*(c.to_pylist() for c in batch.columns)):
+                for number in range((trigger - last) // PART, (trigger - entry) // PART + 1):
+                    low, high = max(entry, trigger - number * PART - PART + 1), min(last, trigger - number * PART)
+                    # What all strings of the part share lies at the same place before the trigger everywhere.
+                    start = trigger - number * PART - entry
+                    core = narrow(data[start : start - PART + 1 + length], number)
+                    digests.append(wide(data[low - entry : high - entry + length]))
+                    out.append((core, own, a, b, low, high, entry))
+            if out:
+                core, own, a, b, low, high, entry = (np.array(c) for c in zip(*out))
+                pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                ids = _mixed(own.astype(np.int64).view(np.uint64) + low.astype(np.uint64)).view(np.int64)
+                columns = [core.astype(np.uint64).view(np.int64), pair[:, 0], pair[:, 1], ids, a, b, low.astype(np.int32), high.astype(np.int32), own]
+                yield pa.record_batch([pa.array(c) for c in columns], names=["core", "high", "low", "id", "text_a", "text_b", "first", "last", "entry"])
+
+    cut_up = stored(held.mapInArrow(parts, f"{layout}, entry long"), "parts")
+    several, open_parts = _settle(cut_up, "part_kinds")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for (row, data), ranges in zip(_texts(batch), batch.column(2).to_pylist()):
-                for some in range(0, len(ranges), 256):
-                    at = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in ranges[some : some + 256]])
-                    wide = _wide(data, [(p, p + length) for p in at.tolist()])
-                    yield pa.record_batch([pa.array(np.full(len(at), row)), pa.array(at), pa.array(wide[:, 0]), pa.array(wide[:, 1])], names=["row", "first", "high", "low"])
-
-    lists = apart.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    loose = stored(texts.join(lists, "row").mapInArrow(suffixes, "row long, first long, high long, low long"), "suffixes")
+            for a, b, entry, data, ranges in zip(*(batch.column(c).to_pylist() for c in ("text_a", "text_b", "entry", "bytes", "ranges"))):
+                at = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in ranges])
+                wide = _wide(data, [(p - entry, p - entry + length) for p in at.tolist()])
+                same = [np.full(len(at), k, np.int64) for k in (a, b)]
+                yield pa.record_batch([*map(pa.array, (*same, at.astype(np.int32), wide[:, 0], wide[:, 1]))], names=["text_a", "text_b", "first", "high", "low"])
+
+    lists = cut_up.join(open_parts, "id").groupBy(F.col("entry").alias("id")).agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    loose = stored(held.join(lists, "id").mapInArrow(suffixes, "text_a long, text_b long, first int, high long, low long"), "suffixes")
     equal = loose.groupBy("high", "low").agg(F.count("*").alias("rows")).where("rows > 1").select("high", "low")
-    single = loose.join(equal, ["high", "low"]).select("row", "first", F.col("first").alias("last"))
-    covered = whole.unionByName(single).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    single = loose.join(equal, ["high", "low"]).select("text_a", "text_b", "first", F.col("first").alias("last"))
+    covered = whole.unionByName(several).unionByName(single).groupBy("text_a", "text_b")
+    covered = stored(covered.agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "covered")
+    marked = spark.sparkContext.broadcast(_filter(covered.select(F.shiftrightunsigned("text_a", 64 - FILTER_BITS).alias("place"))))
+
+    def keyed(with_ranges: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Texts that may have something to remove, or those that have nothing, with their keys."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = np.array([_key(data) for data in _texts(batch.column(0))], np.int64).reshape(-1, 2)
+                may = _in_filter(marked.value, _place(keys[:, 0].copy().view(np.uint64)))
+                wanted = pa.array(may if with_ranges else ~may)
+                yield pa.record_batch([*batch.columns, pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["text", "doc_id", "text_a", "text_b"]).filter(wanted)
+
+        return run
+
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select(F.col("text").cast("string").alias("text"), "doc_id")
+    shape = f"text string, doc_id {kind}, text_a long, text_b long"
+    with_ranges = rows.mapInArrow(keyed(True), shape).join(covered, ["text_a", "text_b"], "left")
+    nothing = F.lit(None).cast(dict(covered.dtypes)["ranges"]).alias("ranges")
+    every = with_ranges.select("text", "ranges", "doc_id").unionByName(rows.mapInArrow(keyed(False), shape).select("text", nothing, "doc_id"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, spans, digests, kept = [], [], [], [], []
-            ranges = batch.column(2)
-            for i, (_, data) in enumerate(_texts(batch)):
+            ranges = batch.column(1)
+            for i, data in enumerate(_texts(batch.column(0))):
                 runs: list[tuple[int, int]] = []
                 if ranges[i].is_valid:
                     flat = ranges[i].values
@@ -193,10 +291,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
                 spans.append(len(runs))
                 digests.append(digest.hexdigest())
                 kept.append(b"".join(left))
-            columns = [batch.column(3), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
+            columns = [batch.column(2), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             yield pa.record_batch([*columns, pa.array(kept, pa.binary())] if with_text else columns, names=[*names, "kept"] if with_text else names)
 
-    kind = dict(rows.dtypes)["doc_id"]
-    layout = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return rows.join(covered, "row", "left").select("row", "text", "ranges", "doc_id").mapInArrow(cut, layout)
+    result = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    return every.mapInArrow(cut, result)
