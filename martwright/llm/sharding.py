@@ -2,9 +2,10 @@
 
 A partial partition is a tuple of shard sums. It starts with one group in one shard.
 The two partial partitions with the largest spread are combined again and again, the
-largest sum of one on the smallest of the other, until one is left. Slices of the groups
-are differenced side by side; each leaves one tuple with a small spread, and the tuples
-are differenced in further rounds the same way.
+largest sum of one on the smallest of the other, until one is left. The groups that
+weigh on the whole, a bounded number, are differenced first. All others are differenced
+in slices side by side; each slice starts with its part of what the large groups left
+uneven as one more tuple, which also says what shard a slot of the slice is.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from martwright.llm.common import dealt, stored
 
-# Groups of a slice, and tuples that a later round combines in one task.
-SLICE_GROUPS, FAN_IN = 50_000, 4096
+# Groups of a slice; a group is large if it holds more than this part of all bytes.
+SLICE_GROUPS, MOST_LARGE = 50_000, 65_536
 # monotonically_increasing_id: partition above, position in the partition below.
 _BITS = 33
 
@@ -57,38 +58,39 @@ def difference(tuples: np.ndarray) -> np.ndarray:
     return result
 
 
-def _slice(part: pd.DataFrame, shards: int) -> pd.DataFrame:
-    """Slot of every group of a slice."""
+def _slice(part: pd.DataFrame, shards: int, uneven: list[int]) -> pd.DataFrame:
+    """Shard of every group of a slice; ``uneven`` are sums that the shards have already."""
     part = part.sort_values(["bytes", "grp"], ascending=[False, True], kind="stable")
-    tuples = np.zeros((len(part), shards), np.int64)
-    tuples[:, -1] = part["bytes"]
-    return part.assign(slot=difference(tuples)[:, -1])[["slice", "grp", "slot", "bytes"]]
-
-
-def _combine(part: pd.DataFrame, shards: int) -> pd.DataFrame:
-    """Slot of the combined tuple for every slot of the tuples of a task."""
-    names = np.sort(part["slice"].unique())
-    tuples = np.zeros((len(names), shards), np.int64)
-    tuples[np.searchsorted(names, part["slice"]), part["slot"]] = part["bytes"]
+    tuples = np.zeros((len(part) + 1, shards), np.int64)
+    tuples[0], tuples[1:, -1] = uneven, part["bytes"]
     placed = difference(tuples)
-    return pd.DataFrame({"slice": np.repeat(names, shards), "slot": np.tile(np.arange(shards, dtype=np.int32), len(names)), "next_slice": part["next_slice"].iloc[0], "next_slot": placed.ravel()})
+    shard = np.empty(shards, np.int32)
+    shard[placed[0]] = np.arange(shards)
+    return part.assign(shard=shard[placed[1:, -1]])[["grp", "shard", "bytes"]]
 
 
-def shard_groups(groups: DataFrame, shards: int = 16, slice_groups: int = SLICE_GROUPS, fan_in: int = FAN_IN) -> DataFrame:
-    """Shard of every group: columns grp and shard, from grp (unique) and bytes."""
-    slices = max(1, math.ceil(groups.count() / slice_groups))
-    cut = groups.select("grp", "bytes", F.pmod(F.xxhash64("grp"), F.lit(slices)).alias("slice"))
-    placed = stored(dealt(cut, "slice", least=2 * slices).groupBy("slice").applyInPandas(lambda part: _slice(part, shards), "slice long, grp string, slot int, bytes long"), "slots")
-    while slices > 1:
-        slices = math.ceil(slices / fan_in)
-        sums = placed.groupBy("slice", "slot").agg(F.sum("bytes").alias("bytes")).withColumn("next_slice", F.pmod("slice", F.lit(slices)))
-        moves = sums.groupBy("next_slice").applyInPandas(lambda part: _combine(part, shards), "slice long, slot int, next_slice long, next_slot int")
-        moved = placed.join(stored(moves, "moves"), ["slice", "slot"])
-        placed = stored(moved.select(F.col("next_slice").alias("slice"), "grp", F.col("next_slot").alias("slot"), "bytes"), "slots")
-    return placed.select("grp", F.col("slot").alias("shard"))
+def shard_groups(groups: DataFrame, shards: int = 16, slice_groups: int = SLICE_GROUPS, most_large: int = MOST_LARGE) -> DataFrame:
+    """Shard of every group: columns grp and shard, from grp (unique) and bytes.
 
-
-def shard_documents(docs: DataFrame, shards: int = 16, slice_groups: int = SLICE_GROUPS, fan_in: int = FAN_IN) -> DataFrame:
+    At most ``most_large`` groups are large, so the task that differences them is bounded,
+    and so is a slice. What a slice leaves uneven, a few bytes, adds up over the slices.
+    """
+    count, total = groups.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    is_large = F.col("bytes") > F.lit(total // most_large)
+    kinds = "grp string, shard int, bytes long"
+    even = [0] * shards
+    large = groups.where(is_large).groupBy(F.lit(0).alias("slice")).applyInPandas(lambda part: _slice(part, shards, even), kinds)
+    large = stored(large, "large")
+    held = {r["shard"]: r["bytes"] for r in large.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()}
+    slices = max(1, math.ceil(count / slice_groups))
+    least = min(held.get(s, 0) for s in range(shards))
+    uneven = [(held.get(s, 0) - least) // slices for s in range(shards)]
+    rest = groups.where(~is_large).select("grp", "bytes", F.pmod(F.xxhash64("grp"), F.lit(slices)).alias("slice"))
+    small = dealt(rest, "slice", least=2 * slices).groupBy("slice").applyInPandas(lambda part: _slice(part, shards, uneven), kinds)
+    return large.select("grp", "shard").unionByName(stored(small, "small").select("grp", "shard"))
+
+
+def shard_documents(docs: DataFrame, shards: int = 16, slice_groups: int = SLICE_GROUPS, most_large: int = MOST_LARGE) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Documents with equal texts (those without one together) are a group and stay in one
@@ -102,7 +104,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, slice_groups: int = SLICE
     group = F.coalesce(F.md5(text), F.lit("null"))
     sized = stored(docs.select("doc_id", size.alias("size"), F.coalesce(F.crc32(text), F.lit(0).cast("long")).alias("text_crc32"), group.alias("grp")), "sized")
     groups = stored(sized.groupBy("grp").agg(F.sum("size").alias("bytes")), "groups")
-    found = sized.join(shard_groups(groups, shards, slice_groups, fan_in), "grp")
+    found = sized.join(shard_groups(groups, shards, slice_groups, most_large), "grp")
     order = ["shard", "grp", "doc_id", "size"]
     placed = found.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
     placed = placed.withColumn("_part", F.shiftright("_place", _BITS)).withColumn("_at", F.col("_place").bitwiseAND(F.lit((1 << _BITS) - 1)))

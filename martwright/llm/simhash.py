@@ -224,9 +224,9 @@ def keep_first(docs: DataFrame, width: int = 3, most_bits: int = 3, seed: int =
     but copies.
     """
     own = [f"c{i}" for i in range(len(docs.columns))]
+    doc, text = (F.col(f"c{docs.columns.index(name)}").alias(name) for name in ("doc_id", "text"))
     rows = stored(docs.toDF(*own).withColumn("_row", F.monotonically_increasing_id()), "documents")
-    named = rows.toDF(*docs.columns, "_row").select(F.col("_row"), F.col("doc_id"), F.col("text"))
-    groups = simhash_groups(named.select(F.col("_row").alias("doc_id"), "text"), width, most_bits, seed)
-    groups = groups.select(F.col("doc_id").alias("_row"), "component_id").join(named.select("_row", "doc_id"), "_row")
+    groups = simhash_groups(rows.select(F.col("_row").alias("doc_id"), text), width, most_bits, seed)
+    groups = groups.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", doc), "_row")
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
     return rows.join(first.select("first._row"), "_row").select(*own).toDF(*docs.columns)

@@ -52,9 +52,9 @@ def test_bytes_law(spark):
     frame = spark.createDataFrame(rows, COLUMNS).selectExpr("*", "1 AS shard", "'x' AS grp", "2 AS size").repartition(3)
     sums = check(rows, sharding.shard_documents(frame).collect())
     assert max(sums.values()) - min(sums.values()) <= 4
-    # Many slices and rounds of combining end as near.
-    sums = check(rows, sharding.shard_documents(frame, slice_groups=60, fan_in=3).collect())
-    assert max(sums.values()) - min(sums.values()) <= 16
+    # Slices make up for what the large groups leave uneven.
+    sums = check(rows, sharding.shard_documents(frame, slice_groups=200, most_large=50).collect())
+    assert max(sums.values()) - min(sums.values()) <= 200
 
 
 def test_group_above_its_share(spark):
