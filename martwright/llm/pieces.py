@@ -31,6 +31,7 @@ UNIT, BATCH, KEPT = 256, 1 << 21, 200_000
 # Stands for a space in a unit: no valid text has this code.
 _SPACE, _SPACE_CODE = "\ud800", 0xD800
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+_SLOT_BITS = 18
 
 
 @dataclass(frozen=True)
@@ -75,8 +76,15 @@ class Trie:
             if piece:
                 ends[at] = number
         keys = np.array([(node << 21) | code for node, code in children] or [-1], dtype=np.int64)
-        order = np.argsort(keys)
-        self.keys, self.child = keys[order], np.array(list(children.values()) or [0], dtype=np.int64)[order]
+        child = np.array(list(children.values()) or [0], dtype=np.int32)
+        # The first key of every slot is found by its hash, the others by halving.
+        slot = self._slot(keys)
+        _, kept = np.unique(slot, return_index=True)
+        self.slot_key, self.slot_child = np.full(1 << _SLOT_BITS, -1, np.int64), np.zeros(1 << _SLOT_BITS, np.int32)
+        self.slot_key[slot[kept]], self.slot_child[slot[kept]] = keys[kept], child[kept]
+        rest = np.setdiff1d(np.arange(len(keys)), kept)
+        rest = rest[np.argsort(keys[rest])]
+        self.rest_key, self.rest_child = np.append(keys[rest], np.iinfo(np.int64).max), np.append(child[rest], 0)
         self.piece = np.full(len(children) + 1, -1, np.int64)
         for node, number in ends.items():
             self.piece[node] = number
@@ -88,24 +96,21 @@ class Trie:
         for i in range(256):
             self.bytes[self.first_byte + i] = bytes([i])
 
-    def edges(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pieces found at every position: (position, length, id); a lone character spelled in bytes has id -1 - code."""
-        found, at, node, length = [], np.arange(len(codes)), np.zeros(len(codes), np.int64), 0
-        spelled = np.ones(len(codes), bool)
-        while len(at):
-            key = (node << 21) | codes[at + length]
-            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            alive = self.keys[place] == key
-            at, node, length = at[alive], self.child[place[alive]], length + 1
-            whole = self.piece[node] >= 0
-            found.append((at[whole], np.full(int(whole.sum()), length), self.piece[node[whole]]))
-            if length == 1:
-                spelled[at[whole]] = False
-            more = at + length < ends[at]
-            at, node = at[more], node[more]
-        lone = np.flatnonzero(spelled)
-        found.append((lone, np.ones(len(lone), np.int64), -1 - codes[lone]))
-        return tuple(np.concatenate(x) for x in zip(*found))
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * _GOLD) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+    def step(self, node: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which (node, code) pairs have a child, and their children."""
+        key = (node.astype(np.int64) << 21) | code
+        slot = self._slot(key)
+        found, child = self.slot_key[slot] == key, self.slot_child[slot]
+        left = np.flatnonzero(~found)
+        place = np.searchsorted(self.rest_key, key[left])
+        hit = self.rest_key[place] == key[left]
+        found[left[hit]] = True
+        child[left[hit]] = self.rest_child[place[hit]]
+        return found, child[found]
 
 
 def _spelled(code: int) -> bytes:
@@ -136,41 +141,61 @@ class Lattices:
         return np.fromiter(map(self.units.__getitem__, words), np.int64, len(words))
 
     def _add(self, fresh: list[str]) -> None:
+        """Lattices of new units. Nodes are numbered by their distance to the end of the unit, then by unit."""
+        fresh = sorted(fresh, key=len, reverse=True)
         codes = _codes("".join(fresh))
         sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
         close = np.cumsum(sizes)
-        at, length, piece = self.trie.edges(codes, np.repeat(close, sizes))
-        weight = np.where(piece >= 0, self.trie.weight[np.maximum(piece, 0)], 0.0)
+        held = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
+        level = np.append(0, np.cumsum(held))
+        count = int(level[-1])
+        back = np.repeat(np.arange(1, sizes[0] + 1), held)
+        unit = np.arange(count) - level[back - 1]
+        code = codes[close[unit] - back]
+        # The node one character on; the end of every unit is the node after the last.
+        following = np.where(back > 1, level[back - 2] + unit, count)
+        found, at, state = [], np.arange(count), np.zeros(count, np.int32)
+        ahead = at
+        whole_char = np.zeros(count, bool)
+        while len(at):
+            alive, state = self.trie.step(state, code[ahead])
+            at, target = at[alive], following[ahead[alive]]
+            whole = self.trie.piece[state] >= 0
+            if not found:
+                whole_char[at[whole]] = True
+                lone = np.flatnonzero(~whole_char)
+                found.append((lone, following[lone], -1 - code[lone]))
+            found.append((at[whole], target[whole], self.trie.piece[state[whole]]))
+            more = target < count
+            at, ahead, state = at[more], target[more], state[more]
+        edges = np.bincount(np.concatenate([f[0] for f in found]), minlength=count)
+        first = np.append(0, np.cumsum(edges))
+        total = int(first[-1])
+        # From the back of every node's edges, as the pieces get longer: the longest comes first.
+        free = first[1:] - 1
+        target, piece = np.empty(total, np.int64), np.empty(total, np.int64)
+        for node, to, number in found:
+            place = free[node]
+            target[place], piece[place] = to, number
+            free[node] -= 1
+        weight = self.trie.weight[np.maximum(piece, 0)]
         odd = np.flatnonzero(piece < 0)
         weight[odd] = [self.trie.byte_weight * len(_spelled(-1 - p)) for p in piece[odd].tolist()]
-        # A row per position, a column per length, the longest first.
-        longest = int(length.max())
-        weights = np.full((len(codes), longest), -np.inf)
-        weights[at, longest - length] = weight
-        pieces = np.zeros((len(codes), longest), np.int32)
-        pieces[at, longest - length] = piece
-        # Mass of all completions of a position, from the ends of the units backwards.
-        mass, reach = np.zeros(len(codes) + longest), np.arange(longest, 0, -1)
-        by_size = np.argsort(-sizes, kind="stable")
-        ends, held = close[by_size], np.searchsorted(-sizes[by_size], -np.arange(1, int(sizes.max()) + 1), side="right")
-        for back, count in enumerate(held.tolist(), 1):
-            node = ends[:count] - back
-            # The unit's own end has mass one, whatever the next unit starts with.
-            after = np.where(reach == back, 0.0, mass[node[:, None] + reach])
-            mass[node] = np.logaddexp.reduce(weights[node] + after, axis=1)
-        node, column = np.nonzero(weights > -np.inf)
-        after = node + longest - column
-        last = after == np.repeat(close, sizes)[node]
-        log = weights[node, column] + np.where(last, 0.0, mass[after]) - mass[node]
-        first = np.flatnonzero(np.diff(node, prepend=-1))
-        chance = np.exp(log)
-        upto = np.cumsum(chance)
-        upto -= np.repeat(upto[first] - chance[first], np.diff(np.append(first, len(node))))
-        upto[np.append(first[1:], len(node)) - 1] = np.inf
-        nodes, edges = len(self.first) - 1, len(self.next)
+        # Mass of all completions of a node, one distance after the other.
+        mass, log = np.zeros(count + 1), np.empty(total)
+        for a, b in zip(level[:-1].tolist(), level[1:].tolist()):
+            start, stop = int(first[a]), int(first[b])
+            value = weight[start:stop] + mass[target[start:stop]]
+            mass[a:b] = np.logaddexp.reduceat(value, first[a:b] - start)
+            log[start:stop] = value
+        log -= np.repeat(mass[:count], edges)
+        upto = np.cumsum(np.exp(log))
+        upto -= np.repeat(np.append(0.0, upto)[first[:-1]], edges)
+        upto[first[1:] - 1] = np.inf
+        nodes, before = len(self.first) - 1, len(self.next)
         self.units.update(zip(fresh, range(len(self.units), len(self.units) + len(fresh))))
-        new = {"root": close - sizes + nodes, "first": np.append(first[1:], len(node)) + edges, "next": np.where(last, -1, after + nodes)}
-        for name, values in {**new, "piece": pieces[node, column], "upto": upto, "log": log}.items():
+        new = {"root": level[sizes - 1] + np.arange(len(fresh)) + nodes, "first": first[1:] + before, "next": np.where(target == count, -1, target + nodes)}
+        for name, values in {**new, "piece": piece, "upto": upto, "log": log}.items():
             old = getattr(self, name)
             setattr(self, name, np.concatenate([old, values.astype(old.dtype)]))
 
@@ -241,17 +266,26 @@ _MOST_NOISE = 37.0
 class Path:
     """A segmentation: edges, the unit of each, and its log-probability.
 
-    Of its first steps also the log-probability before each, and a bound on what the
-    step left aside. The other steps cannot have a bound among the best of the search.
+    Of its first steps also the log-probability before each, and the cost of leaving the
+    path there: the bound on what the step left aside is minus the log of the sum of
+    exp(cost) and exp(-score), so the least cost is the best bound. The other steps
+    cannot be among the best of the search.
     """
 
     edges: np.ndarray
     unit: np.ndarray
     before: np.ndarray
-    bound: np.ndarray
+    cost: np.ndarray
     log_prob: float
     score: float
 
+    def best(self) -> tuple[float, int]:
+        """Best bound and its step; minus infinity if nothing is left aside."""
+        step = int(self.cost.argmin()) if len(self.cost) else 0
+        if not len(self.cost) or self.cost[step] == np.inf:
+            return -np.inf, 0
+        return -float(np.logaddexp(-self.score, self.cost[step])), step
+
 
 def _finished(lattices: Lattices, edges: np.ndarray, unit: np.ndarray, score: float, key: np.uint64, fresh: int, wanted: int) -> Path:
     """Path whose steps before ``fresh`` belong to another one, which looks after their siblings.
@@ -262,19 +296,17 @@ def _finished(lattices: Lattices, edges: np.ndarray, unit: np.ndarray, score: fl
     """
     logs = lattices.log[edges]
     before = np.concatenate([[0.0], np.cumsum(logs)])
-    stop = min(len(edges), fresh + 512)
+    costs, start, stop = [np.full(fresh, np.inf)], fresh, min(len(edges), fresh + 256)
+    least = np.zeros(0)
     while True:
-        rest = -np.expm1(np.minimum(0.0, logs[fresh:stop]))
-        draw = -np.log(_uniform(key + _GOLD * np.arange(stop - fresh, dtype=np.uint64)))
         with np.errstate(divide="ignore"):
-            bound = -np.logaddexp(-score, np.log(draw) - (before[fresh:stop] + np.log(rest)))
-        if stop == len(edges):
-            break
-        best = np.partition(bound, -wanted)[-wanted] if len(bound) >= wanted else -np.inf
-        if before[stop] + _MOST_NOISE < best:
+            noise = np.log(-np.log(_uniform(key + _GOLD * np.arange(start - fresh, stop - fresh, dtype=np.uint64))))
+            costs.append(noise - before[start:stop] - np.log(-np.expm1(np.minimum(0.0, logs[start:stop]))))
+        least = np.sort(np.concatenate([least, costs[-1]]))[:wanted]
+        if stop == len(edges) or len(least) == wanted and -before[stop] - _MOST_NOISE > least[-1]:
             break
-        stop = min(len(edges), fresh + 2 * (stop - fresh))
-    return Path(edges, unit, before[:stop], np.concatenate([np.full(fresh, -np.inf), bound]), float(before[-1]), score)
+        start, stop = stop, min(len(edges), stop + 256)
+    return Path(edges, unit, before[:stop], np.concatenate(costs), float(before[-1]), score)
 
 
 def draw(lattices: Lattices, rows: list[tuple[int, list[str]]], samples: int, seed: int = 42) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -315,7 +347,7 @@ def draw(lattices: Lattices, rows: list[tuple[int, list[str]]], samples: int, se
             todo = [again for i, _, _, _, _, _ in todo if (again := _branch(lattices, paths[i], taken[i], i, _key(rows[i][0], seed, 3, sample)))]
     results = []
     for own in paths:
-        limit = max((float(p.bound.max()) for p in own if len(p.bound)), default=-np.inf)
+        limit = max((p.best()[0] for p in own), default=-np.inf)
         out = []
         for path in own:
             gap = path.log_prob - limit
@@ -327,8 +359,8 @@ def draw(lattices: Lattices, rows: list[tuple[int, list[str]]], samples: int, se
 
 def _branch(lattices: Lattices, paths: list[Path], taken: dict[tuple[int, int], list[int]], row: int, key: np.uint64) -> tuple | None:
     """Take the best bound of the search: the path leaves an earlier one at that step for a sibling."""
-    tops = [(float(p.bound.max()), n, int(p.bound.argmax())) for n, p in enumerate(paths) if len(p.bound)]
-    score, number, step = max(tops, key=lambda x: (x[0], -x[1]), default=(-np.inf, 0, 0))
+    tops = [(p.best(), n) for n, p in enumerate(paths)]
+    (score, step), number = max(tops, key=lambda x: (x[0][0], -x[1]))
     if score == -np.inf:
         return None
     path = paths[number]
@@ -342,7 +374,12 @@ def _branch(lattices: Lattices, paths: list[Path], taken: dict[tuple[int, int],
     edge = choices[at]
     used.append(edge)
     rest = float(np.delete(chances, at).sum())
-    path.bound[step] = -np.inf if not rest else -np.logaddexp(-score, np.log(-np.log(draws[1])) - (path.before[step] + np.log(rest)))
+    if rest:
+        # The others keep noise truncated at the value that was just taken.
+        left = float(-np.logaddexp(-score, np.log(-np.log(draws[1])) - (path.before[step] + np.log(rest))))
+        path.cost[step] = -left + np.log1p(-np.exp(min(left - path.score, -1e-300)))
+    else:
+        path.cost[step] = np.inf
     following = int(lattices.next[edge])
     edges, unit = np.append(path.edges[:step], np.int32(edge)), path.unit[: step + 1]
     return row, int(unit[-1]) + 1, following if following >= 0 else None, edges, unit, score
@@ -360,7 +397,7 @@ def units_of(text: str | None) -> list[str]:
 
 def decode(ids: np.ndarray | list[int], table: list[bytes]) -> str:
     """Text of piece ids: the bytes of the pieces without the implied first space."""
-    return b"".join([table[i] for i in ids])[1:].decode()
+    return b"".join(map(table.__getitem__, ids))[1:].decode()
 
 
 @functools.lru_cache(maxsize=2)
