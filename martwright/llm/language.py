@@ -110,6 +110,9 @@ class Model:
         joined = [np.where(part >= 0, (part + start) * self.alphabet, -1) for part, start in zip(parts, starts)]
         self.following = np.concatenate(joined).ravel().astype(np.int32) if joined else np.zeros(0, np.int32)
 
+    def lettered(self, text: str | None) -> bool:
+        return bool(text) and bool(self.table[_codes(text)].any())
+
     def phrases(self, lanes: list[np.ndarray]) -> np.ndarray:
         """Phrases of each lane of symbols under each language (languages x lanes)."""
         counts = np.zeros((len(self.languages), len(lanes)), np.int32)
@@ -199,7 +202,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """Documents whose text has a language, columns unchanged."""
+    """Documents whose text has a language, known by a label or not, columns unchanged.
+
+    Only null texts and texts without letters go, also where there is no label to learn from.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(training_sample(docs)))
     text, plain = docs.columns.index("text"), docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
@@ -207,6 +213,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
         known = model(shared.value)
         for batch in batches:
             languages, _ = known.predict(batch.column(text).to_pylist())
-            yield batch.filter(pa.array([lang != UNKNOWN for lang in languages], pa.bool_()))
+            pairs = zip(languages, batch.column(text).to_pylist())
+            yield batch.filter(pa.array([lang != UNKNOWN or known.lettered(t) for lang, t in pairs], pa.bool_()))
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -46,6 +46,18 @@ def test_stages(spark):
     assert encoded.where("sample = 1").count() == mixed.count()
 
 
+def test_language_stage_without_labels(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd = [(900, None, None, "s", None), (901, "123 !?", None, "s", 6), (902, "", None, "s", 0), (903, "\u00e9 1", None, "s", 3)]
+    blank = docs.withColumn("lang", F.lit(None).cast("string")).unionByName(spark.createDataFrame(odd, docs.schema))
+    # Labels only on rows that are held out teach nothing either.
+    held = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.col("lang"))).unionByName(spark.createDataFrame(odd, docs.schema))
+    for table in (blank, held):
+        kept = corpus_pipeline.identify_language(spark, table, SMALL)
+        want = [r["doc_id"] for r in table.collect() if r["text"] and any(c.isalpha() for c in r["text"])]
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want) and 903 in want and len(want) > 190
+
+
 def test_run_is_the_stages_one_after_the_other(spark):
     rows = corpus_pipeline.run(spark, SMALL).collect()
     again = corpus_pipeline.run(spark, SMALL).collect()
