@@ -199,6 +199,13 @@ STATEMENTS = {
             m.avg_margin_pct, lag(coalesce(m.monthly_revenue, 0)) OVER (ORDER BY d) AS prev_month_revenue
         FROM (SELECT CAST(unnest(generate_series(min(make_date(year, month, 1)), max(make_date(year, month, 1)), INTERVAL 1 MONTH)) AS DATE) AS d
               FROM months WHERE month % 5 <> 2) LEFT JOIN (SELECT * FROM months WHERE month % 5 <> 2) m ON m.year = year(d) AND m.month = month(d))""",
+    "monthly_rollup_every_month": f"""SELECT year, month, month_name, quarter, monthly_orders, {dbl('monthly_revenue', 'monthly_profit', 'avg_margin_pct', 'prev_month_revenue')},
+        CAST({ratio('monthly_revenue - prev_month_revenue', 'prev_month_revenue', 2, 100)} AS DOUBLE) AS mom_growth_pct FROM (
+        SELECT CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month, strftime(d, '%b') AS month_name, CAST(quarter(d) AS INTEGER) AS quarter,
+            coalesce(m.monthly_orders, 0) AS monthly_orders, coalesce(m.monthly_revenue, 0) AS monthly_revenue, coalesce(m.monthly_profit, 0) AS monthly_profit,
+            m.avg_margin_pct, lag(coalesce(m.monthly_revenue, 0)) OVER (ORDER BY d) AS prev_month_revenue
+        FROM (SELECT CAST(unnest(generate_series(min(make_date(year, month, 1)), max(make_date(year, month, 1)), INTERVAL 1 MONTH)) AS DATE) AS d
+              FROM months) LEFT JOIN months m ON m.year = year(d) AND m.month = month(d))""",
     "monthly_rollup": f"""SELECT year, month, month_name, quarter, monthly_orders, {dbl(
         'monthly_revenue', 'monthly_profit', 'avg_margin_pct', 'prev_month_revenue', 'mom_growth_pct')} FROM monthly""",
     "mom_growth": f"SELECT year, month, {dbl('monthly_revenue', 'prev_month_revenue', 'mom_growth_pct')} FROM monthly",
@@ -384,6 +391,7 @@ STATEMENTS = {
         FROM flat GROUP BY 1, 2""",
     "unique_values": "SELECT DISTINCT category, country AS value FROM flat WHERE country IS NOT NULL",
     "records_all": "SELECT order_id, order_date, order_status FROM stg_orders WHERE order_date < DATE '1993-01-01'",
+    "records_round_trip": "SELECT order_id, order_date, order_status FROM stg_orders",
     "pivot_two_columns": " UNION ALL ".join(
         f"""SELECT {y} AS order_year, {h} AS heading, CAST(sum(net_revenue) AS DOUBLE) AS value
         FROM (SELECT CAST(order_year AS VARCHAR) AS y, coalesce(CASE WHEN age_group <> '65+' THEN age_group END, '\\N') || ' / ' || order_status AS h, net_revenue FROM flat)

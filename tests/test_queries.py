@@ -27,6 +27,16 @@ def test_equal(spark, duck, name):
     assert differences(spark, duck, SMALL, QUERIES[name], STATEMENTS[name]) is None
 
 
+def test_all_orders_are_records_on_the_executors(spark, small, monkeypatch):
+    def collected(df):
+        raise AssertionError("records came to the driver")
+
+    monkeypatch.setattr(registered.rows, "to_records", collected)
+    QUERIES["records_all"](spark, SMALL).collect()
+    whole = QUERIES["records_round_trip"](spark, SMALL)
+    assert whole.count() == small.stg_orders.count() > 0
+
+
 def test_entry(spark):
     frame = registered.entry(spark)
     assert frame.columns[0] == "order_date" and frame.count() > 0
