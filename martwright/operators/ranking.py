@@ -8,12 +8,15 @@ every row with them, which needs no shuffle of the table at all.
 
 from __future__ import annotations
 
+import base64
+import datetime as dt
+import json
 import math
 from dataclasses import dataclass
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from martwright.functions.money import safe_ratio
 from martwright.sources.tables import write_stable
@@ -40,22 +43,21 @@ class By:
     def order(self) -> Column:
         return F.desc_nulls_last(self.column) if self.descending else F.asc_nulls_last(self.column)
 
-    def equals(self, value: Any) -> Column:
-        return F.col(self.column).eqNullSafe(F.lit(value))
+    def equals(self, value: Column) -> Column:
+        return F.col(self.column).eqNullSafe(value)
 
-    def precedes(self, value: Any) -> Column:
+    def precedes(self, value: Column) -> Column:
+        """Whether a row's key sorts strictly before ``value``."""
         column = F.col(self.column)
-        if value is None:
-            return column.isNotNull()
-        beyond = column > F.lit(value) if self.descending else column < F.lit(value)
-        return F.coalesce(beyond, F.lit(False))
+        beyond = column > value if self.descending else column < value
+        return F.when(value.isNull(), column.isNotNull()).otherwise(F.coalesce(beyond, F.lit(False)))
 
 
 def _sort_keys(keys: list[str | By]) -> list[By]:
     return [k if isinstance(k, By) else By(k) for k in keys]
 
 
-def precedes(keys: list[By], values: tuple) -> Column:
+def precedes(keys: list[By], values: list[Column]) -> Column:
     """Whether a row sorts strictly before the key values."""
     before = keys[-1].precedes(values[-1])
     for key, value in list(zip(keys, values))[-2::-1]:
@@ -63,14 +65,52 @@ def precedes(keys: list[By], values: tuple) -> Column:
     return before
 
 
-def _range_index(keys: list[By], splits: list[tuple], low: int = 0) -> Column:
-    """Number of split points at or before the row, found by halving."""
-    if not splits:
-        return F.lit(low)
-    middle = len(splits) // 2
-    left = _range_index(keys, splits[:middle], low)
-    right = _range_index(keys, splits[middle + 1 :], low + middle + 1)
-    return F.when(precedes(keys, splits[middle]), left).otherwise(right)
+def _json(value: Any) -> Any:
+    """A key value as JSON that Spark reads back as the same value."""
+    if isinstance(value, dt.datetime):
+        instant = value if value.tzinfo else value.astimezone()
+        return instant.astimezone(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+    if isinstance(value, (bytes, bytearray)):
+        return base64.b64encode(value).decode()
+    if isinstance(value, float) and not math.isfinite(value):
+        return "NaN" if math.isnan(value) else "Infinity" if value > 0 else "-Infinity"
+    if value is None or isinstance(value, (bool, int, float, str)):
+        return value
+    return str(value)
+
+
+class Splits:
+    """Sorted split points as one literal, an array of key values.
+
+    A row finds its range by halving the array, so that the plan and the generated code
+    are the same for one split point and for a thousand, and the work per row grows
+    with their logarithm.
+    """
+
+    def __init__(self, table: DataFrame, keys: list[By], points: list[tuple]):
+        self.keys, self.size = keys, len(points)
+        point = StructType([StructField(f"k{i}", table.schema[k.column].dataType) for i, k in enumerate(keys)])
+        text = json.dumps([{f"k{i}": _json(v) for i, v in enumerate(values)} for values in points])
+        self.points = F.from_json(F.lit(text), ArrayType(point), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSX"})
+
+    def index(self, low: int = 0) -> Column:
+        """``low`` plus the number of split points at or before the row."""
+        if not self.size:
+            return F.lit(low)
+        steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(self.size.bit_length()))])
+
+        def halve(found: Column, step: Column) -> Column:
+            point = F.get(self.points, found + step - 1)
+            before = precedes(self.keys, [point[f"k{i}"] for i in range(len(self.keys))])
+            return F.when(found + step > self.size, found).when(before, found).otherwise(found + step)
+
+        return F.aggregate(steps, F.lit(0), halve) + low
+
+    def within(self, ranges: list[int]) -> Column:
+        """Whether a row lies in one of the ranges; range i starts at split i - 1."""
+        wanted = set(ranges)
+        flags = "".join("1" if i in wanted else "0" for i in range(self.size + 1))
+        return F.substr(F.lit(flags), self.index(1), F.lit(1)) == "1"
 
 
 def global_row_number(df: DataFrame, keys: list[str | By], name: str = "row_number", folder: str | None = None) -> DataFrame:
@@ -102,19 +142,6 @@ def global_row_number(df: DataFrame, keys: list[str | By], name: str = "row_numb
     return stored.withColumn(name, number).drop("_place")
 
 
-def _within(keys: list[By], splits: list[tuple], ranges: list[int]) -> Column:
-    """Whether a row lies in one of the ranges; range i starts at split i - 1."""
-    conditions = []
-    for index in ranges:
-        condition = F.lit(True)
-        if index > 0:
-            condition = ~precedes(keys, splits[index - 1])
-        if index < len(splits):
-            condition = condition & precedes(keys, splits[index])
-        conditions.append(condition)
-    return reduce(Column.__or__, conditions)
-
-
 def order_statistics(
     df: DataFrame,
     keys: list[str | By],
@@ -147,15 +174,17 @@ def order_statistics(
         open_ranges = sum(1 for within in inside if within)
         small_enough = max(LEAST_DIRECT, direct_rows // max(1, open_ranges))
         large = [i for i, size in enumerate(sizes) if inside[i] and size > small_enough]
-        if not large:
+        budget = max(sample_rows, LEAST_SAMPLED * len(large))
+        # Ranges that hold no more rows than a sample would take are fetched whole.
+        if sum(sizes[i] for i in large) <= budget:
             break
         before, left = left, sum(sizes[i] for i in large)
         idle, attempt = idle + 1 if left == before else 0, attempt + 1
         if idle == 3:
             raise ValueError(f"sort keys {names} do not tell rows apart; add a unique column")
-        part = table.where(_within(keys, splits, large)).withColumn("_range", _range_index(keys, splits))
-        share = min(1.0, max(sample_rows, LEAST_SAMPLED * len(large)) / left)
-        sampled = [(r["_range"], tuple(r)[1:]) for r in part.sample(share, seed=attempt).select("_range", *names).orderBy(*order).collect()]
+        bounds = Splits(table, keys, splits)
+        part = table.where(bounds.within(large)).withColumn("_range", bounds.index())
+        sampled = [(r["_range"], tuple(r)[1:]) for r in part.sample(budget / left, seed=attempt).select("_range", *names).orderBy(*order).collect()]
         by_range: dict[int, list[tuple]] = {}
         for home, values in sampled:
             by_range.setdefault(home, []).append(values)
@@ -168,7 +197,7 @@ def order_statistics(
                         cut.append(found[position])
             if index < len(splits) and (not cut or cut[-1] != splits[index]):
                 cut.append(splits[index])
-        counted = table.where(_within(keys, splits, large)).groupBy(_range_index(keys, cut).alias("_range")).count()
+        counted = table.where(bounds.within(large)).groupBy(Splits(table, keys, cut).index().alias("_range")).count()
         new = {r["_range"]: r["count"] for r in counted.collect()}
         # Ranges outside the brackets keep their size; each still ends at its old split.
         ends = {values: i for i, values in enumerate(splits)}
@@ -179,7 +208,7 @@ def order_statistics(
                 home = ends[cut[index]] + 1
         splits, sizes = cut, sizes_now
     small = [i for i in range(len(sizes)) if inside[i]]
-    ordered = table.where(_within(keys, splits, small)).orderBy(*order).collect()
+    ordered = table.where(Splits(table, keys, splits).within(small)).orderBy(*order).collect()
     found, first = {}, 0
     for index in small:
         found.update({starts[index] + r: tuple(ordered[first + r - 1]) for r in inside[index]})
@@ -188,8 +217,8 @@ def order_statistics(
 
 
 def _brackets(sampled: int, rows: int, ranks: list[int]) -> list[int]:
-    """Positions in a sorted sample around the ranks, four deviations to either side."""
-    reach = 2 * math.isqrt(sampled) + 1
+    """Positions in a sorted sample around the ranks, three deviations to either side."""
+    reach = 3 * math.isqrt(sampled) // 2 + 1
     positions = set()
     for rank in ranks:
         middle = rank * sampled // rows
@@ -223,7 +252,7 @@ def global_ntile(
     ends = tile_ends(rows, tiles)
     starts = [end + 1 for end in ends]
     values = order_statistics(df, keys, starts, direct_rows, sample_rows, rows)
-    return df.withColumn(name, _range_index(keys, [values[s] for s in starts], 1).cast("int"))
+    return df.withColumn(name, Splits(df, keys, [values[s] for s in starts]).index(1).cast("int"))
 
 
 def rank_by(df: DataFrame, column: str, name: str, descending: bool = True) -> DataFrame:

@@ -97,12 +97,12 @@ def page(df: DataFrame, order: list[str | By], size: int, after: tuple | None =
     """
     keys = [k if isinstance(k, By) else By(k) for k in order]
     if after is not None:
-        beyond = ~_at_or_before(keys, after)
+        beyond = ~_at_or_before(keys, [F.lit(v) for v in after])
         df = df.where(beyond)
     return df.orderBy(*[k.order() for k in keys]).limit(size)
 
 
-def _at_or_before(keys: list[By], values: tuple) -> Column:
+def _at_or_before(keys: list[By], values: list[Column]) -> Column:
     same = reduce(Column.__and__, [k.equals(v) for k, v in zip(keys, values)])
     return precedes(keys, values) | same
 
