@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from martwright.llm import language, mixing, near_embeddings, neighbours, pieces, pii, repeats, sharding, simhash, warc
+from martwright.llm import (
+    fill_middle, filter_audit, language, mixing, near_embeddings, neighbours, pieces, pii, quality, repeats, sharding, simhash, warc,
+)
 from martwright.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +54,18 @@ def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest_neighbours(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.filter_audit(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_middle.fill_in_middle_digest(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -63,6 +77,9 @@ QUERIES: dict[str, Query] = {
     "op8_repeated_strings": op8_repeated_strings,
     "op9_sampled_segmentations": op9_sampled_segmentations,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_quality": op12_quality,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 
@@ -75,4 +92,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_mix_sources": mixing.oracle(),
         "op2_embedding_near_dedup": near_embeddings.oracle(),
         "op5_warc_round_trip": warc.oracle(),
+        "op11_filter_audit": filter_audit.oracle(),
+        "op13_fill_in_middle": fill_middle.oracle(),
     }

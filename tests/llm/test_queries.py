@@ -22,7 +22,7 @@ def test_registered():
     import __spark_entry__
 
     named = __spark_entry__.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in named) for i in range(1, 11)] == [1] * 10 and "pipeline" in named
+    assert [sum(n.startswith(f"op{i}_") for n in named) for i in range(1, 14)] == [1] * 13 and "pipeline" in named
 
 
 def test_stages(spark):
