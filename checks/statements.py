@@ -198,7 +198,7 @@ STATEMENTS = {
             coalesce(m.monthly_orders, 0) AS monthly_orders, coalesce(m.monthly_revenue, 0) AS monthly_revenue, coalesce(m.monthly_profit, 0) AS monthly_profit,
             m.avg_margin_pct, lag(coalesce(m.monthly_revenue, 0)) OVER (ORDER BY d) AS prev_month_revenue
         FROM (SELECT CAST(unnest(generate_series(min(make_date(year, month, 1)), max(make_date(year, month, 1)), INTERVAL 1 MONTH)) AS DATE) AS d
-              FROM months WHERE month % 5 <> 2) LEFT JOIN (SELECT * FROM months WHERE month % 5 <> 2) m ON m.year = year(d) AND m.month = month(d))""",
+              FROM months) LEFT JOIN months m ON m.year = year(d) AND m.month = month(d))""",
     "monthly_rollup_every_month": f"""SELECT year, month, month_name, quarter, monthly_orders, {dbl('monthly_revenue', 'monthly_profit', 'avg_margin_pct', 'prev_month_revenue')},
         CAST({ratio('monthly_revenue - prev_month_revenue', 'prev_month_revenue', 2, 100)} AS DOUBLE) AS mom_growth_pct FROM (
         SELECT CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month, strftime(d, '%b') AS month_name, CAST(quarter(d) AS INTEGER) AS quarter,
@@ -218,6 +218,7 @@ STATEMENTS = {
     "surrogate_key": """SELECT order_item_id, md5(concat_ws('-', order_id, coalesce(CAST(discount AS VARCHAR),
         '_dbt_utils_surrogate_key_null_'))) AS line_key FROM raw_items""",
     "sales_row_number": """SELECT sale_sk, row_number() OVER (ORDER BY net_revenue DESC, sale_sk) AS position FROM fct_sales""",
+    "sales_ntile_100": "SELECT sale_sk, CAST(ntile(100) OVER (ORDER BY quantity, sale_sk) AS INTEGER) AS percentile FROM fct_sales",
     "sales_quantity_ntile": "SELECT sale_sk, CAST(ntile(10) OVER (ORDER BY quantity, sale_sk) AS INTEGER) AS decile FROM fct_sales",
     # Mixes and text
     "price_tier_mix": "SELECT price_tier, count(*) AS products FROM stg_products GROUP BY price_tier",
@@ -390,7 +391,7 @@ STATEMENTS = {
     "pivot_count_share_of_column": f"""SELECT category, payment_method, CAST({ratio('count(*)', 'sum(count(*)) OVER (PARTITION BY payment_method)', 6)} AS DOUBLE) AS value
         FROM flat GROUP BY 1, 2""",
     "unique_values": "SELECT DISTINCT category, country AS value FROM flat WHERE country IS NOT NULL",
-    "records_all": "SELECT order_id, order_date, order_status FROM stg_orders WHERE order_date < DATE '1993-01-01'",
+    "records_all": "SELECT order_id, customer_id, order_date, order_status, payment_method FROM stg_orders",
     "records_round_trip": "SELECT order_id, order_date, order_status FROM stg_orders",
     "pivot_two_columns": " UNION ALL ".join(
         f"""SELECT {y} AS order_year, {h} AS heading, CAST(sum(net_revenue) AS DOUBLE) AS value
@@ -438,6 +439,7 @@ STATEMENTS = {
         WHERE is_revenue_order AND order_date > {AS_OF} - INTERVAL 6 MONTH AND order_date <= {AS_OF} GROUP BY 1""",
     "guarded_sql_ok": """SELECT region, count(DISTINCT customer_sk) AS customers, count(*) AS lines FROM fct_sales JOIN dim_customer USING (customer_sk)
         GROUP BY region""",
+    "guarded_sql_truncated": """SELECT order_item_id, quantity, (SELECT count(*) FROM fct_sales) > 500 AS truncated FROM fct_sales ORDER BY order_item_id LIMIT 500""",
 }
 
 

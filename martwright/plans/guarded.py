@@ -3,18 +3,39 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
+from py4j.java_gateway import JavaObject
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from martwright.operators.rows import cap
 
 # Functions that leave SQL.
-BLOCKED_FUNCTIONS = ("reflect", "java_method", "try_reflect")
-# What a parsed query is not made of; everything else reads the relations it names.
-BLOCKED_NODES = re.compile(r"Script|Insert|Command|Create|Drop|Alter|Truncate|Delete|Update|Merge|Replace|Set[A-Z]|Cache|Refresh|Load|Grant|Describe|Show")
+BLOCKED_FUNCTIONS = ("reflect", "java_method", "try_reflect", "identifier")
+# Functions that may stand in place of a table.
+TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack"}
+
+# What a parsed query may be made of. Anything else is refused, known or not: scripts,
+# commands, time travel, parameters, and names that are put together while running.
+QUERY_NODES = set(
+    """Aggregate Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation Offset
+    OneRowRelation Pivot Project RepartitionByExpression Sample Sort SubqueryAlias Union Unpivot UnresolvedHaving UnresolvedHint
+    UnresolvedInlineTable UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction UnresolvedWith
+    WithWindowDefinition""".split()
+)
+VALUE_NODES = set(
+    """Add AggregateExpression Alias And AnyValue AttributeReference BitwiseAnd BitwiseNot BitwiseOr BitwiseXor CaseWhen Cast Coalesce Concat
+    CreateNamedStruct Cube CurrentRow$ Divide EqualNullSafe EqualTo Exists First GreaterThan GreaterThanOrEqual GroupingSets In
+    InSubquery IntegralDivide IsNotNull IsNull LambdaFunction Last LateralSubquery LessThan LessThanOrEqual Like LikeAll
+    LikeAny ListQuery Literal Lower MultiAlias Multiply Not NotLikeAll NotLikeAny Or Overlay RLike Remainder Rollup
+    ScalarSubquery SortOrder SpecifiedWindowFrame StringLocate StringTrim StringTrimBoth StringTrimLeft StringTrimRight Substring Subtract
+    TimestampAdd TimestampDiff UnaryMinus UnaryPositive UnboundedFollowing$ UnboundedPreceding$ UnresolvedAlias UnresolvedAttribute
+    UnresolvedExtractValue UnresolvedFunction UnresolvedGenerator UnresolvedNamedLambdaVariable UnresolvedOrdinal UnresolvedStar
+    UnresolvedStarExceptOrReplace UnresolvedWindowExpression UnspecifiedFrame$ Upper WindowExpression WindowSpecDefinition""".split()
+)
 
 MAX_ROWS = 500
 QUESTION_LENGTH = (5, 500)
@@ -67,38 +88,80 @@ def refusal(text: str) -> str | None:
     return None
 
 
-def _parsed(session: SparkSession, text: str) -> str:
-    explained = session.sql(f"EXPLAIN EXTENDED {text}").first()[0]
-    _, found, plans = explained.partition("== Parsed Logical Plan ==")
-    if not found:  # the statement does not fit the tables; the text says why
-        raise ValueError(explained)
-    return plans.split("== Analyzed Logical Plan ==")[0]
+class _Walk:
+    """Visits every part of a parsed statement: nodes, what they hold, subqueries at any depth.
 
+    A part that is no node (a list, a pair, an option) is only looked into, so nothing can
+    hide in a field that a list of children leaves out.
+    """
 
-def _defined(parsed: str) -> set[str]:
-    """Names that a statement defines by WITH."""
-    lists = re.findall(r"(?m)^[\s:+-]*CTE \[([^\]]*)\]", parsed)
-    return {name.strip().strip("`").lower() for names in lists for name in names.split(",")}
+    def __init__(self, session: SparkSession):
+        kind = session._jvm.java.lang.Class.forName
+        self.node, self.many, self.record = (
+            kind(name)
+            for name in ("org.apache.spark.sql.catalyst.trees.TreeNode", "scala.collection.Iterable", "scala.Product")
+        )
+
+    def refusal(self, part: Any, known: frozenset[str]) -> str | None:
+        """Why a part may not run, or None; ``known`` are the tables in sight."""
+        if not isinstance(part, JavaObject):
+            return None
+        if self.node.isInstance(part):
+            name = part.getClass().getName().rsplit(".", 1)[-1]
+            if name not in QUERY_NODES and name not in VALUE_NODES:
+                return f"not a plain query ({name})"
+            if name == "UnresolvedWith":
+                return self._definitions(part, known)
+            reason = self._named(name, part, known)
+            if reason:
+                return reason
+        elif self.many.isInstance(part):
+            return next(filter(None, (self.refusal(item, known) for item in self._items(part))), None)
+        if not self.record.isInstance(part):
+            return None
+        fields = (part.productElement(i) for i in range(part.productArity()))
+        return next(filter(None, (self.refusal(field, known) for field in fields)), None)
+
+    @staticmethod
+    def _items(many: Any) -> Iterator[Any]:
+        each = many.iterator()
+        while each.hasNext():
+            yield each.next()
+
+    def _definitions(self, part: Any, known: frozenset[str]) -> str | None:
+        """WITH: a definition is in sight of the later ones and of the query, of itself if it may recur."""
+        for pair in self._items(part.cteRelations()):
+            name = frozenset([pair.productElement(0).lower()])
+            reason = self.refusal(pair.productElement(1), known | name if part.allowRecursion() else known)
+            if reason:
+                return reason
+            known = known | name
+        return self.refusal(part.child(), known)
+
+    def _named(self, kind: str, part: Any, known: frozenset[str]) -> str | None:
+        if kind == "UnresolvedRelation":
+            names = list(self._items(part.multipartIdentifier()))
+            if len(names) != 1 or names[0].lower() not in known:
+                return f"unknown table {'.'.join(names)}"
+        if kind == "UnresolvedTableValuedFunction":
+            names = list(self._items(part.name()))
+            if names[-1].lower() not in TABLE_FUNCTIONS or len(names) > 1:
+                return f"blocked function {'.'.join(names)}"
+        if kind == "UnresolvedFunction":
+            names = list(self._items(part.nameParts()))
+            if names[-1].lower() in BLOCKED_FUNCTIONS:
+                return f"blocked function {names[-1]}"
+        return None
 
 
 def plan_refusal(session: SparkSession, text: str, allowed: Iterable[str]) -> str | None:
-    """Why the parsed plan of a statement may not run, or None; nothing of it is run.
+    """Why a statement may not run, or None; it is parsed and looked at node by node, and nothing of it runs.
 
-    The plan may read the allowed views and what the statement itself defines by WITH,
-    and hold no node that runs a program or changes anything.
+    It may read the allowed views and, where they are in sight, the tables it defines by
+    WITH, and be made of nothing but ``QUERY_NODES`` and ``VALUE_NODES``.
     """
-    parsed, plain = (_parsed(session, t) for t in (text, _QUOTED.sub("''", text)))
-    # A node's name is the first word of its line; commands are among them.
-    nodes = re.findall(r"(?m)^[\s:+-]*'?([A-Z]\w*)", parsed)
-    for node in nodes:
-        if BLOCKED_NODES.match(node):
-            return f"not a plain query ({node})"
-    # What looks like a definition inside a literal is none without the literals.
-    known = {name.lower() for name in allowed} | (_defined(parsed) & _defined(plain))
-    for name in re.findall(r"UnresolvedRelation \[(.*?)\], \[", parsed):
-        if name.strip("`").lower() not in known:
-            return f"unknown table {name}"
-    return None
+    plan = session._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    return _Walk(session).refusal(plan, frozenset(name.lower() for name in allowed))
 
 
 def guarded_sql(spark: SparkSession, text: str, max_rows: int = MAX_ROWS, inclusive: bool = False, views: Iterable[str] | None = None) -> Answer:

@@ -106,6 +106,18 @@ REFUSED = [
     "select * from xml.`/x`", "select * from guarded_hidden", "select id from guarded_t where id in (select id from guarded_hidden)", "select (select max(id) from guarded_hidden) from guarded_t",
     "with a as (select 1 as id) insert into guarded_t select * from a", "select `reflect`('a', 'b')", "select 'CTE [guarded_hidden]' from guarded_hidden",
     "select '\nCTE [guarded_hidden]' from guarded_hidden", "select 1 as `CTE [guarded_hidden]` from guarded_hidden", "FROM guarded_t SELECT id", "values (1)",
+    "SELECT * FROM IDENTIFIER('guarded_hidden')", "SELECT * FROM IDENTIFIER('guarded_' || 'hidden')", "select * from identifier('guarded_t')",
+    "SELECT * FROM IDENTIFIER('parquet.`/root/testdata/sf0.001/nation.parquet`')", "select identifier('id') from guarded_t", "select identifier('upper')('a')",
+    "with identifier('x') as (select 1) select 1", "select id from guarded_t where id in (select id from identifier('guarded_hidden'))",
+    "select id from guarded_t window w as (order by (select max(id) from guarded_hidden))", "select sum(id) over (order by (select max(id) from guarded_hidden)) from guarded_t",
+    "select * from guarded_t, lateral (select * from guarded_hidden)", "select * from guarded_t pivot (sum(id) for id in ((select max(id) from guarded_hidden)))",
+    "select transform(array(1), x -> (select max(id) from guarded_hidden)) from guarded_t", "select * from (values ((select max(id) from guarded_hidden))) as v(a)",
+    "select id from (with guarded_hidden as (select 1 as id) select id from guarded_hidden) join guarded_hidden using (id)",
+    "with a as (select * from b), b as (select 1) select * from a", "with guarded_hidden as (select * from guarded_hidden) select * from guarded_hidden",
+    "select * from guarded_t version as of 1", "select * from sql_keywords()", "select :p from guarded_t", "table guarded_t", "select * from system.guarded_t",
+    "select * from guarded_t group by id having max(id) > (select max(id) from guarded_hidden)", "select id from guarded_t order by (select max(id) from guarded_hidden)",
+    "select * from guarded_t limit (select max(id) from guarded_hidden)", "select * from guarded_t lateral view explode(array((select max(id) from guarded_hidden))) as x",
+    "select 1 union all select id from guarded_hidden", "select TRY_REFLECT('a', 'b') from guarded_t", "select system.builtin.reflect('a', 'b')",
 ]
 
 
@@ -117,11 +129,27 @@ def test_refused(spark, text):
     assert answer.rows is None and answer.error
 
 
+PLAIN_QUERIES = [
+    "select id % 7 as d, count(*) filter (where id > 3) as n, sum(id) from guarded_t group by rollup(id % 7) having count(*) > 1 order by 1 limit 3 offset 1",
+    "with x(a) as (select id from guarded_t), y as (select a + 1 as b from x) select x.a from x left join y on x.a = y.b where exists (select 1 from y where b = a) and a in (select b from y)",
+    "select case when id between 1 and 2 then 'x' else upper(note) end, -id, cast(id as string) || 'x', trim(note), substring(note from 1 for 2), note like 'D%', note rlike 'D' from guarded_t",
+    "select id, row_number() over (partition by id % 3 order by id desc rows between 1 preceding and current row) as n, lag(id) over w from guarded_t window w as (order by id)",
+    "select distinct id from guarded_t union all select 1 except select 2 intersect select 3",
+    "select * from (select id % 2 as a, id from guarded_t) pivot (sum(id) for a in (0, 1))", "select a from (values (1), (2)) as v(a)",
+    "select x, transform(array(1, 2), y -> y + 1)[0] from guarded_t lateral view explode(array(id)) e as x", "select t.id from guarded_t t, lateral (select t.id + 1 as n) l",
+    "with recursive r as (select 1 as n union all select n + 1 from r where n < 3) select * from r", "select a.id from range(3) a", "select date '2020-01-01' + interval 1 day, current_date",
+    "select extract(year from current_date), timestampadd(day, 1, timestamp '2020-01-01 00:00:00'), id div 2, id <=> 1, not (id is null) from guarded_t", "select percentile_cont(0.5) within group (order by id) from guarded_t",
+    "select * except (note) from guarded_t natural join (select 1L as id)", "select (select max(id) from guarded_t) as m, id from guarded_t group by all",
+]
+
+
 def test_allowed(spark):
     guarded.register_views({"guarded_t": spark.range(501).selectExpr("id", "id as updated_at", "'DROP; --' as note", "id as `update`")})
     for text in ("select `update`, id as `insert` from GUARDED_T", "select a.id from guarded_t a join guarded_t b using (id)", "SELECT updated_at FROM guarded_t;", "with x as (select * from guarded_t) select id from x", "select id from guarded_t where note = 'DROP; --'"):
         answer = guarded.guarded_sql(spark, text)
         assert answer.error is None and answer.truncated and answer.rows.count() == 500
+    for text in PLAIN_QUERIES:
+        assert guarded.guarded_sql(spark, text).error is None, text
     exact = guarded.guarded_sql(spark, "select id from guarded_t where id < 500")
     assert not exact.truncated
     assert guarded.guarded_sql(spark, "select id from guarded_t where id < 500", inclusive=True).truncated
