@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from martwright.functions import money
+from martwright.operators.medians import LEVEL, grouped_medians, marked_keys
+from martwright.operators.ranking import global_row_number
 from martwright.sources.tables import write_stable
 
 TOTAL = "Totals"
@@ -64,7 +66,6 @@ _COMBINABLE: dict[str, tuple[Callable, Callable[[], Column]]] = {
 def _whole_group(agg: str, value: str, order: str | None) -> Column:
     """Aggregators that have to see the values of a group, not parts of them."""
     makers = {
-        "count_unique": lambda: F.countDistinct(value),
         "list_unique": lambda: F.array_sort(F.collect_set(value)),
         "first": lambda: F.min_by(value, order),
         "last": lambda: F.max_by(value, order),
@@ -79,8 +80,6 @@ def _whole_group(agg: str, value: str, order: str | None) -> Column:
 _WITHIN = {"total": (False, False), "row": (True, False), "column": (False, True)}
 FRACTIONS = tuple(f"{kind}_of_{base}" for kind in ("fraction", "count_fraction") for base in _WITHIN)
 AGGREGATORS = sorted([*_COMBINABLE, *FRACTIONS, "count_unique", "list_unique", "first", "last", "median"])
-# Position of a line's attribute set among the levels: tells totals from values.
-_LEVEL = "_level"
 
 
 def _levels(rows: list[str], cols: list[str], totals: bool) -> list[list[str]]:
@@ -94,8 +93,7 @@ def _levels(rows: list[str], cols: list[str], totals: bool) -> list[list[str]]:
 
 
 def _marked(df: DataFrame, keys: list[str], levels: list[list[str]], level: list[str]) -> DataFrame:
-    shown = [F.col(k).cast("string").alias(k) if k in level else F.lit(TOTAL).alias(k) for k in keys]
-    return df.select(F.lit(levels.index(level)).alias(_LEVEL), *shown, VALUE)
+    return df.select(F.lit(levels.index(level)).alias(LEVEL), *marked_keys(keys, level, TOTAL), VALUE)
 
 
 def pivot_long(
@@ -112,7 +110,7 @@ def pivot_long(
     Sums, counts, means, extremes, ratios and variances compute their totals from the
     cells, so the data is aggregated once and the totals cost next to nothing.
     """
-    return _leveled(df, rows, cols, agg, value, totals, order).drop(_LEVEL)
+    return _leveled(df, rows, cols, agg, value, totals, order).drop(LEVEL)
 
 
 def _leveled(
@@ -136,9 +134,11 @@ def _leveled(
             pieces.append(_marked(summed.withColumn(VALUE, final()), keys, levels, level))
         return reduce(DataFrame.unionByName, pieces)
     if agg == "median":
-        return _medians(df, keys, levels, value)
+        return grouped_medians(df, keys, levels, value, TOTAL).withColumnRenamed("value", VALUE)
+    if agg == "count_unique":
+        return _distinct_counts(df, keys, levels, value)
     # What only depends on which values occur looks at each of them once per cell.
-    seen = df.select(*keys, value).distinct() if agg in ("count_unique", "list_unique") else df
+    seen = df.select(*keys, value).distinct() if agg == "list_unique" else df
     measure = _whole_group(agg, value, order).alias(VALUE)
     return reduce(DataFrame.unionByName, [_marked(seen.groupBy(*level).agg(measure), keys, levels, level) for level in levels])
 
@@ -162,68 +162,27 @@ def _fractions(cells: DataFrame, keys: list[str], levels: list[list[str]], withi
     return reduce(DataFrame.unionByName, pieces)
 
 
-# Rank error of the sketch, and how far around the middle its bracket reaches.
-SKETCH_ACCURACY = 10_000
-BRACKET = 0.001
-# Groups up to this size are looked at as a whole.
-SMALL_GROUP = 10_000
-# Most cells whose brackets are all sent to every task.
-BROADCAST_CELLS = 100_000
-# Beyond that, only groups holding this share of the rows: at most 100 per level.
-HOT_CELL = 0.01
+def _distinct_counts(df: DataFrame, keys: list[str], levels: list[list[str]], value: str) -> DataFrame:
+    """Distinct values per cell and total, as bitmaps that add up.
 
-
-def _medians(df: DataFrame, keys: list[str], levels: list[list[str]], value: str) -> DataFrame:
-    """Exact median per cell and total, without gathering a group in one task.
-
-    A quantile sketch gives every group a narrow bracket around its middle. The
-    second pass counts the rows below the bracket and looks value by value only at
-    the rows inside it, a few thousandths of a large group, counted per distinct
-    value before they meet. A bracket that misses the middle fails loudly.
+    The data is aggregated once, to the values each cell has. Every value gets a number,
+    those of one cell next to each other, so that the bitmaps of a cell are few and
+    full. The bitmaps of a total are those of its cells, or-ed.
     """
-    marks = [F.struct(F.lit(n).alias(_LEVEL), *[(F.col(k).cast("string") if k in level else F.lit(TOTAL)).alias(k) for k in keys]) for n, level in enumerate(levels)]
-    rows = df.select(F.col(value).alias("_v"), F.explode(F.array(*marks)).alias("_g")).select("_v", "_g.*")
-    group = [_LEVEL, *keys]
-    ends = [0.5 - BRACKET, 0.5 + BRACKET]
-    small = F.col("_all") <= SMALL_GROUP
-    brackets = rows.groupBy(*group).agg(
-        F.count("_v").alias("_all"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", ends, SKETCH_ACCURACY).alias("_ends"),
-    ).select(
-        *[F.col(k).alias(f"_b{i}") for i, k in enumerate(group)],
-        "_all",
-        F.when(small, F.col("_min")).otherwise(F.col("_ends")[0]).alias("_from"),
-        F.when(small, F.col("_max")).otherwise(F.col("_ends")[1]).alias("_to"),
-    )
-    brackets = write_stable(brackets, "brackets")
-    # A group without any value has a cell too.
-    empty = brackets.where("_all = 0").select(*[F.col(f"_b{i}").alias(k) for i, k in enumerate(group)], F.lit(None).cast("decimal(38,6)").alias(VALUE))
-    rows, brackets = rows.where("_v is not null"), brackets.where("_all > 0")
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(group)])
-    cells, marked = brackets.agg(F.count("*"), F.sum("_all")).first()
-    if cells <= BROADCAST_CELLS:
-        bracketed = rows.join(F.broadcast(brackets), same)
-    else:
-        # The grand total is one group of all rows: such groups must not be shuffled.
-        is_hot = F.col("_all") >= HOT_CELL * marked / len(levels)
-        hot = F.broadcast(brackets.where(is_hot))
-        others = rows.join(hot, same, "left_anti").join(brackets.where(~is_hot), same)
-        bracketed = rows.join(hot, same).unionByName(others)
-    # Rows below the bracket collapse into one null value per group.
-    seen = bracketed.where(F.col("_v") <= F.col("_to"))
-    inside = F.when(F.col("_v") >= F.col("_from"), F.col("_v"))
-    counts = seen.groupBy(*group, "_all", inside.alias("_v")).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*group).orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.withColumn("_upto", upto)
-
-    def at(rank: Column) -> Column:
-        covers = (F.col("_upto") - F.col("_n") < rank) & (rank <= F.col("_upto"))
-        return F.max(F.when(covers, F.col("_v").cast("double")))
-
-    lower, upper = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
-    found = placed.groupBy(*group).agg(at(lower).alias("_low"), at(upper).alias("_high"))
-    middle = F.coalesce((F.col("_low") + F.col("_high")) / 2, F.raise_error(F.lit("median outside its bracket")).cast("double"))
-    return found.select(*group, money.settle(middle, 6).alias(VALUE)).unionByName(empty)
+    seen = write_stable(df.select(*keys, F.col(value).alias("_v")).distinct(), "seen")
+    first = [F.min(F.struct(*keys)).alias("_first")] if keys else [F.lit(0).alias("_first")]
+    values = seen.where("_v is not null").groupBy("_v").agg(*first)
+    places = [f"_p{i}" for i in range(len(keys))]
+    values = values.select("_v", *[F.col("_first")[k].alias(p) for k, p in zip(keys, places)])
+    codes = global_row_number(values, [*places, "_v"], "_code").select("_v", "_code")
+    bits = seen.join(codes, "_v", "left").groupBy(*keys, F.bitmap_bucket_number("_code").alias("_bucket"))
+    bits = write_stable(bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_code")).alias("_bits")), "bitmaps")
+    pieces = []
+    for level in levels:
+        merged = bits if level == keys else bits.groupBy(*level, "_bucket").agg(F.bitmap_or_agg("_bits").alias("_bits"))
+        counted = merged.groupBy(*level).agg(F.sum(F.bitmap_count("_bits")).alias(VALUE))
+        pieces.append(_marked(counted, keys, levels, level))
+    return reduce(DataFrame.unionByName, pieces)
 
 
 def pivot_table(
@@ -246,10 +205,10 @@ def pivot_table(
     """
     long = _leveled(df, rows, cols, agg, value, totals, order)
     if not cols:
-        return long.drop(_LEVEL)
+        return long.drop(LEVEL)
     levels = _levels(rows, cols, totals)
-    is_line = F.col(_LEVEL).isin([n for n, level in enumerate(levels) if not set(rows) <= set(level)])
-    is_column = F.col(_LEVEL).isin([n for n, level in enumerate(levels) if not set(cols) <= set(level)])
+    is_line = F.col(LEVEL).isin([n for n, level in enumerate(levels) if not set(rows) <= set(level)])
+    is_column = F.col(LEVEL).isin([n for n, level in enumerate(levels) if not set(cols) <= set(level)])
     special = r"[\\/]" if len(cols) > 1 else r"\\"
     parts = [F.coalesce(F.regexp_replace(c, special, r"\\$0"), F.lit(r"\N")) for c in cols]
     name = F.concat_ws(" / ", *parts)

@@ -5,7 +5,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from martwright.operators import pivot
+from martwright.operators import medians, pivot, ranking
 
 
 @pytest.fixture(scope="module")
@@ -53,16 +53,72 @@ def test_aggregators(sales, agg):
         assert got[key] == value if isinstance(value, list) else float(got[key]) == pytest.approx(float(value), abs=1e-6), key
 
 
-@pytest.mark.parametrize("cells_sent", [0, 100])
-def test_median_from_brackets(sales, monkeypatch, cells_sent):
-    """Large groups look only at the rows around the middle."""
-    monkeypatch.setattr(pivot, "SMALL_GROUP", 0)
-    monkeypatch.setattr(pivot, "BRACKET", 0.1)
-    monkeypatch.setattr(pivot, "BROADCAST_CELLS", cells_sent)
+@pytest.mark.parametrize("ranges, few", [(2, 0), (3, 5), (64, 0), (1024, 4096)])
+def test_median_by_narrowing(sales, monkeypatch, ranges, few):
+    """Whatever the number of ranges per round, the middle is found exactly."""
+    monkeypatch.setattr(medians, "RANGES", ranges)
+    monkeypatch.setattr(medians, "FEW", few)
     got = cells(pivot.pivot_long(sales, ["cat"], ["pay"], "median", "net", totals=True), ["cat", "pay"])
     assert {k: float(v) for k, v in got.items()} == {k: BY_HAND["median"](g) for k, g in groups(sales).items()}
 
 
+@pytest.mark.parametrize("kind, values", [("double", [1e308, -1e308, 0.0, -0.0, 1e-300, float("nan"), None, 5.0]), ("bigint", [2**63 - 1, -(2**63), 0, 7, None, 7]), ("int", [3, 3, 3])])
+def test_median_of_extreme_values(spark, monkeypatch, kind, values):
+    monkeypatch.setattr(medians, "RANGES", 4)
+    monkeypatch.setattr(medians, "FEW", 0)
+    frame = spark.createDataFrame([(i % 2, v) for i, v in enumerate(values)], f"k int, v {kind}")
+    got = cells(pivot.pivot_long(frame, ["k"], [], "median", "v", totals=True), ["k"])
+    for key in ("0", "1", "Totals"):
+        mine = [float(v) for i, v in enumerate(values) if v is not None and v == v and key in (str(i % 2), "Totals")]
+        assert float(got[(key,)]) == pytest.approx(statistics.median(mine), abs=1e-6)
+
+
+def test_median_looks_at_no_group_as_a_whole(spark, monkeypatch):
+    """Rows beyond the first round are a small part, even of a group that holds them all; no plan sorts values in a window."""
+    written = []
+    write = medians.write_stable
+
+    def record(df, label):
+        stored = write(df, label)
+        written.append((label, stored.count(), df._jdf.queryExecution().executedPlan().toString()))
+        return stored
+
+    monkeypatch.setattr(medians, "write_stable", record)
+    monkeypatch.setattr(medians, "FEW", 50)
+    frame = spark.range(200_000).selectExpr("'one' as k", "id % 3 as c", "cast(xxhash64(id) % 1000000007 as decimal(20,2)) as v")
+    got = cells(pivot.pivot_long(frame, ["k"], ["c"], "median", "v", totals=True), ["k", "c"])
+    exact = {r["c"]: float(r["m"]) for r in frame.groupBy(F.col("c").cast("string").alias("c")).agg(F.expr("median(v)").alias("m")).collect()}
+    assert all(float(got["one", c]) == pytest.approx(m, abs=1e-6) for c, m in exact.items())
+    placed = [rows for label, rows, _ in written if label == "placed"]
+    assert placed[0] == 200_000 and sum(placed[1:]) < 10_000
+    assert not any("Window" in plan or "Generate" in plan for label, _, plan in written if label != "targets")
+
+
+def test_distinct_counts_read_the_data_once(spark, monkeypatch, tmp_path):
+    frame = spark.range(5000).selectExpr("id % 7 as a", "if(id % 11 = 0, null, id % 5) as b", "if(id % 13 = 0, null, id % 977) as v")
+    frame.write.parquet(f"{tmp_path}/source")
+    frame, plans = spark.read.parquet(f"{tmp_path}/source"), []
+    for module in (pivot, ranking):
+        write = module.write_stable
+        monkeypatch.setattr(module, "write_stable", lambda df, *a, write=write: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *a))
+    table = pivot.pivot_long(frame, ["a"], ["b"], "count_unique", "v", totals=True)
+    got = cells(table, ["a", "b"])
+    plans.append(table._jdf.queryExecution().executedPlan().toString())
+    assert sum(plan.count(f"{tmp_path}/source") for plan in plans) == 1
+    rows = frame.collect()
+    for (a, b), n in got.items():
+        mine = [r for r in rows if a in (str(r["a"]), "Totals") and b in (None if r["b"] is None else str(r["b"]), "Totals")]
+        assert n == len({r["v"] for r in mine} - {None})
+    assert len(got) == 8 * 7
+
+
+def test_distinct_counts_beyond_one_bitmap(spark):
+    frame = spark.range(100_000).selectExpr("id % 2 as k", "id as v")
+    assert cells(pivot.pivot_long(frame, ["k"], [], "count_unique", "v", totals=True), ["k"]) == {("0",): 50_000, ("1",): 50_000, ("Totals",): 100_000}
+    nothing = spark.createDataFrame([("a", None), ("b", 1)], "k string, v int")
+    assert cells(pivot.pivot_long(nothing, ["k"], [], "count_unique", "v"), ["k"]) == {("a",): 0, ("b",): 1}
+
+
 def test_median_of_equal_values(spark):
     same = spark.range(9).select(F.lit("a").alias("k"), F.lit(2).alias("v"))
     assert cells(pivot.pivot_long(same, ["k"], [], "median", "v"), ["k"]) == {("a",): D("2")}

@@ -133,7 +133,7 @@ PLAIN_QUERIES = [
     "select id % 7 as d, count(*) filter (where id > 3) as n, sum(id) from guarded_t group by rollup(id % 7) having count(*) > 1 order by 1 limit 3 offset 1",
     "with x(a) as (select id from guarded_t), y as (select a + 1 as b from x) select x.a from x left join y on x.a = y.b where exists (select 1 from y where b = a) and a in (select b from y)",
     "select case when id between 1 and 2 then 'x' else upper(note) end, -id, cast(id as string) || 'x', trim(note), substring(note from 1 for 2), note like 'D%', note rlike 'D' from guarded_t",
-    "select id, row_number() over (partition by id % 3 order by id desc rows between 1 preceding and current row) as n, lag(id) over w from guarded_t window w as (order by id)",
+    "select id, sum(id) over (partition by id % 3 order by id desc rows between 1 preceding and current row) as n, lag(id) over w from guarded_t window w as (order by id)",
     "select distinct id from guarded_t union all select 1 except select 2 intersect select 3",
     "select * from (select id % 2 as a, id from guarded_t) pivot (sum(id) for a in (0, 1))", "select a from (values (1), (2)) as v(a)",
     "select x, transform(array(1, 2), y -> y + 1)[0] from guarded_t lateral view explode(array(id)) e as x", "select t.id from guarded_t t, lateral (select t.id + 1 as n) l",
