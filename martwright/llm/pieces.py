@@ -9,8 +9,9 @@ mass of all its completions, which the lattice knows exactly; the siblings that
 leaves behind get their bounds as Gumbel noise truncated at the bound of their parent.
 
 A text is a sequence of units: a space (also the one implied at the start) and the
-characters up to the next, cut every ``UNIT`` characters. Pieces never cross units, so
-the lattices of all units that occur are built once and shared. Characters outside the
+characters up to the next. No piece crosses a unit; a long one is cut further where no
+piece that occurs in it crosses, and only there, so every segmentation stays possible.
+The lattices of all units that occur are built once and shared. Characters outside the
 vocabulary are spelled in byte pieces.
 """
 
@@ -24,10 +25,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-# Characters of a unit, of a batch, and units that a process keeps.
-UNIT, BATCH, KEPT = 256, 1 << 21, 200_000
+# Characters from which a unit is cut if it can be, of a batch, and units that a process keeps.
+UNIT, BATCH, KEPT = 256, 1 << 18, 150_000
+# Characters of a long unit in which pieces are looked for at a time.
+REACH = 1 << 18
 # Stands for a space in a unit: no valid text has this code.
 _SPACE, _SPACE_CODE = "\ud800", 0xD800
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -95,6 +99,10 @@ class Trie:
         self.bytes = [(p or "").replace(_SPACE, " ").encode() for p in vocabulary.pieces]
         for i in range(256):
             self.bytes[self.first_byte + i] = bytes([i])
+        self.longest = max((len(p or "") for p in vocabulary.pieces), default=1)
+        self.lengths = np.fromiter(map(len, self.bytes), np.int64, count)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
@@ -113,6 +121,45 @@ class Trie:
         return found, child[found]
 
 
+    def free_cuts(self, codes: np.ndarray) -> np.ndarray:
+        """Positions inside a unit that no piece occurring in it crosses."""
+        crossed = np.zeros(len(codes) + self.longest + 1, np.int64)
+        for low in range(0, len(codes), REACH):
+            at = np.arange(low, min(len(codes), low + REACH))
+            ahead, state = at, np.zeros(len(at), np.int32)
+            while len(at):
+                alive, state = self.step(state, codes[ahead])
+                at, ahead = at[alive], ahead[alive] + 1
+                whole = self.piece[state] >= 0
+                np.add.at(crossed, at[whole] + 1, 1)
+                np.add.at(crossed, ahead[whole], -1)
+                more = ahead < len(codes)
+                at, ahead, state = at[more], ahead[more], state[more]
+        free = np.cumsum(crossed[: len(codes)]) == 0
+        free[0] = False
+        return np.flatnonzero(free)
+
+    def cut(self, unit: str) -> list[str]:
+        """A unit in parts of about ``UNIT`` characters, longer where it can not be cut."""
+        if len(unit) <= UNIT:
+            return [unit]
+        free = self.free_cuts(_codes(unit))
+        parts, start = [], 0
+        while len(unit) - start > UNIT:
+            place = int(np.searchsorted(free, start + UNIT, side="right"))
+            end = int(free[place - 1]) if place and free[place - 1] > start else int(free[place]) if place < len(free) else len(unit)
+            parts.append(unit[start:end])
+            start = end
+        return [*parts, unit[start:]] if start < len(unit) else parts
+
+    def text(self, ids: np.ndarray) -> bytes:
+        """Bytes of piece ids, the implied first space included."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(total)].tobytes()
+
+
 def _spelled(code: int) -> bytes:
     return b" " if code == _SPACE_CODE else chr(code).encode()
 
@@ -126,18 +173,31 @@ class Lattices:
 
     def clear(self) -> None:
         self.units: dict[str, int] = {}
+        self.room: dict[str, np.ndarray] = {}
         self.root = np.zeros(0, np.int32)
         self.first = np.zeros(1, np.int32)  # first edge of every node, and the end
         self.next, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.upto, self.log = np.zeros(0, np.float32), np.zeros(0)
 
+    def _append(self, name: str, values: np.ndarray) -> None:
+        """Longer by some values; the array lies in one with room for a quarter more."""
+        old = getattr(self, name)
+        size = len(old) + len(values)
+        room = self.room.get(name)
+        if room is None or len(room) < size:
+            room = np.empty(size + size // 4, old.dtype)
+            room[: len(old)] = old
+            self.room[name] = room
+        room[len(old) : size] = values
+        setattr(self, name, room[:size])
+
     def look_up(self, words: list[str]) -> np.ndarray:
         fresh = list(set(words).difference(self.units))
         if len(self.units) + len(fresh) > KEPT and self.units:
             self.clear()
             fresh = list(set(words))
-        for some in range(0, len(fresh), 50_000):
-            self._add(fresh[some : some + 50_000])
+        for some in range(0, len(fresh), 20_000):
+            self._add(fresh[some : some + 20_000])
         return np.fromiter(map(self.units.__getitem__, words), np.int64, len(words))
 
     def _add(self, fresh: list[str]) -> None:
@@ -196,8 +256,7 @@ class Lattices:
         self.units.update(zip(fresh, range(len(self.units), len(self.units) + len(fresh))))
         new = {"root": level[sizes - 1] + np.arange(len(fresh)) + nodes, "first": first[1:] + before, "next": np.where(target == count, -1, target + nodes)}
         for name, values in {**new, "piece": piece, "upto": upto, "log": log}.items():
-            old = getattr(self, name)
-            setattr(self, name, np.concatenate([old, values.astype(old.dtype)]))
+            self._append(name, values)
 
     def walk(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw a path from every node: steps per path, and their edges one path after the other."""
@@ -346,7 +405,8 @@ def draw(lattices: Lattices, rows: list[tuple[int, list[str]]], samples: int, se
         if sample + 1 < samples:
             todo = [again for i, _, _, _, _, _ in todo if (again := _branch(lattices, paths[i], taken[i], i, _key(rows[i][0], seed, 3, sample)))]
     results = []
-    for own in paths:
+    for i, own in enumerate(paths):
+        paths[i] = []
         limit = max((p.best()[0] for p in own), default=-np.inf)
         out = []
         for path in own:
@@ -385,13 +445,13 @@ def _branch(lattices: Lattices, paths: list[Path], taken: dict[tuple[int, int],
     return row, int(unit[-1]) + 1, following if following >= 0 else None, edges, unit, score
 
 
-def units_of(text: str | None) -> list[str]:
+def units_of(text: str | None, trie: Trie) -> list[str]:
     """Units of a text; an empty or null one has none."""
     if not text:
         return []
     units = [_SPACE + word for word in text.split(" ")]
     if max(map(len, units)) > UNIT:
-        units = [u[i : i + UNIT] for u in units for i in range(0, len(u), UNIT)]
+        units = [part for unit in units for part in trie.cut(unit)]
     return units
 
 
@@ -415,8 +475,9 @@ def _encoded(batch: pa.RecordBatch, lattices: Lattices, samples: int, seed: int)
     held = 0
 
     def settle() -> Iterator[tuple]:
-        found = draw(lattices, [(_row_key(d), units_of(t)) for d, t in rows], samples, seed)
-        for (doc, text), own in zip(rows, found):
+        found = draw(lattices, [(_row_key(d), units_of(t, lattices.trie)) for d, t in rows], samples, seed)
+        for at, (doc, text) in enumerate(rows):
+            own, found[at] = found[at], []
             for sample, (edges, log_prob, score, inclusion) in enumerate(own, 1):
                 yield doc, text, sample, lattices.spell(edges), log_prob, score, inclusion
 
@@ -435,8 +496,8 @@ def sample_encode(docs: DataFrame, samples: int = 2, path: str = MODEL, sharpnes
     """Up to ``samples`` distinct segmentations per document, best perturbed value first.
 
     Columns doc_id, sample (from 1), n_pieces, log_prob, score (the perturbed value),
-    log_inclusion, and ids; with ``digest`` instead of ids their MD5 and whether decoding
-    gives the text back. The draws depend on doc_id, text and seed only, so repeated rows
+    log_inclusion, and ids; with ``digest`` also the MD5 of the ids and whether decoding
+    them gives the text back. The draws depend on doc_id, text and seed only, so repeated rows
     give equal rows; a null doc_id is a key as any other. Null and empty texts have one
     segmentation without pieces; a text with fewer segmentations than asked for gives
     those; an empty table gives no rows; further columns are not looked at.
@@ -447,21 +508,20 @@ def sample_encode(docs: DataFrame, samples: int = 2, path: str = MODEL, sharpnes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = lattices_of(shared.value)
-        table = lattices.trie.bytes
         for batch in batches:
             out: list[tuple] = []
             size = 0
             for doc, text, sample, ids, log_prob, score, inclusion in _encoded(batch, lattices, samples, seed):
-                last = (hashlib.md5(ids.astype("<i4").tobytes()).hexdigest(), decode(ids.tolist(), table) == (text or "")) if digest else (ids,)
-                out.append((doc, sample, len(ids), log_prob, score, inclusion, *last))
-                size += 64 if digest else len(ids) * 4 + 64
-                if size > 1 << 24:
+                checked = (hashlib.md5(ids.astype("<i4").tobytes()).hexdigest(), lattices.trie.text(ids)[1:] == (text or "").encode("utf-8", "surrogatepass")) if digest else ()
+                out.append((doc, sample, len(ids), log_prob, score, inclusion, ids, *checked))
+                size += len(ids) * 4 + 64
+                if size > 1 << 22:
                     yield _arrow(out, digest)
                     out, size = [], 0
             if out:
                 yield _arrow(out, digest)
 
-    layout = f"doc_id long, sample int, {kind}, " + ("ids_md5 string, decodes boolean" if digest else "ids array<int>")
+    layout = f"doc_id long, sample int, {kind}, ids array<int>" + ", ids_md5 string, decodes boolean" * digest
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, layout)
 
 
@@ -470,9 +530,39 @@ def _arrow(rows: list[tuple], digest: bool) -> pa.RecordBatch:
     names = ["doc_id", "sample", "n_pieces", "log_prob", "score", "log_inclusion"]
     columns = list(zip(*rows))
     arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+    starts = np.cumsum([0, *map(len, columns[6])]).astype(np.int32)
+    arrays.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(columns[6]).astype(np.int32))))
     if digest:
-        arrays += [pa.array(columns[6], pa.string()), pa.array(columns[7], pa.bool_())]
-    else:
-        starts = np.cumsum([0, *map(len, columns[6])]).astype(np.int32)
-        arrays.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(columns[6]).astype(np.int32))))
-    return pa.record_batch(arrays, names=[*names, *(["ids_md5", "decodes"] if digest else ["ids"])])
+        arrays += [pa.array(columns[7], pa.string()), pa.array(columns[8], pa.bool_())]
+    return pa.record_batch(arrays, names=[*names, "ids", *(["ids_md5", "decodes"] if digest else [])])
+
+
+def decode_table(rows: DataFrame, path: str = MODEL, ids: str = "ids", name: str = "text") -> DataFrame:
+    """``rows`` with the text of their piece ids in column ``name``, in place of one of that name.
+
+    Null ids have a null text, an empty list the empty one; ids outside the vocabulary are
+    an error. Bytes that are no text become U+FFFD. An empty table stays empty; other
+    columns come back as they are, whatever their names.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(load(path))
+    kept = [c for c in rows.columns if c.lower() != name.lower()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = lattices_of(shared.value).trie
+        for batch in batches:
+            found = [_text(trie, cell) for cell in batch.column(kept.index(ids))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*plain, "text"])
+
+    # Plain names on the way: a column may have any name.
+    plain = [f"c{i}" for i in range(len(kept))]
+    held = rows.select(*[F.col(f"`{c}`") for c in kept]).toDF(*plain)
+    return held.mapInArrow(run, StructType([*held.schema.fields, StructField("text", StringType())])).toDF(*kept, name)
+
+
+def _text(trie: Trie, cell: pa.Scalar) -> str | None:
+    if not cell.is_valid:
+        return None
+    numbers = np.asarray(cell.values, dtype=np.int64)
+    if len(numbers) and not 0 <= numbers.min() <= numbers.max() < len(trie.lengths):
+        raise ValueError("a piece id lies outside the vocabulary")
+    return trie.text(numbers)[1:].decode("utf-8", "replace")

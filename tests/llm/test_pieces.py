@@ -1,6 +1,7 @@
 """Sampled segmentations against an enumeration of all of them."""
 
 import collections
+import hashlib
 import math
 import os
 
@@ -35,14 +36,14 @@ def segmentations(lattices, text):
         return out
 
     all_of = [((), 0.0)]
-    for unit in pieces.units_of(text):
+    for unit in pieces.units_of(text, trie):
         all_of = [(x + y, v + w) for x, v in all_of for y, w in of(unit)]
     total = np.logaddexp.reduce([w for _, w in all_of])
     return {x: w - total for x, w in all_of}
 
 
 def sampled(lattices, text, rows, samples):
-    drawn = pieces.draw(lattices, [(i, pieces.units_of(text)) for i in range(rows)], samples)
+    drawn = pieces.draw(lattices, [(i, pieces.units_of(text, lattices.trie)) for i in range(rows)], samples)
     return [[(tuple(lattices.spell(e).tolist()), p, s, i) for e, p, s, i in own] for own in drawn]
 
 
@@ -90,7 +91,7 @@ def test_long_texts_keep_the_order(lattices):
 
 def test_independent_of_the_batch(lattices, monkeypatch):
     texts = ["abc ab", "", "cabab", "é b", "abcab " * 30]
-    rows = [(i, pieces.units_of(t)) for i, t in enumerate(texts)]
+    rows = [(i, pieces.units_of(t, lattices.trie)) for i, t in enumerate(texts)]
     together = pieces.draw(lattices, rows, 3)
     monkeypatch.setattr(pieces, "KEPT", 1)
     other = pieces.Lattices(VOCABULARY)
@@ -100,9 +101,58 @@ def test_independent_of_the_batch(lattices, monkeypatch):
         assert [s for _, _, s, _ in own] == pytest.approx([s for _, _, s, _ in alone])
 
 
-def test_units():
-    assert pieces.units_of(None) == pieces.units_of("") == []
-    assert "".join(pieces.units_of("x" * 1000)) == "\ud800" + "x" * 1000 and len(pieces.units_of("x" * 1000)) == 4
+def test_units(lattices):
+    trie = lattices.trie
+    assert pieces.units_of(None, trie) == pieces.units_of("", trie) == []
+    assert pieces.units_of("x" * 1000, trie)[0] == "\ud800" + "x" * 255 and "".join(pieces.units_of("x" * 1000, trie)) == "\ud800" + "x" * 1000
+
+
+def test_units_are_cut_only_where_no_piece_crosses(lattices, monkeypatch):
+    trie = lattices.trie
+    monkeypatch.setattr(pieces, "UNIT", 4)
+    pick = np.random.default_rng(6)
+    known = [p for p in VOCABULARY.pieces if p]
+    for reach in (3, 1 << 18):
+        monkeypatch.setattr(pieces, "REACH", reach)
+        for _ in range(60):
+            word = "\ud800" + "".join(pick.choice(list("abcx"), pick.integers(5, 40)))
+            crossed = {i + k for p in known for i in range(len(word)) if word.startswith(p, i) for k in range(1, len(p))}
+            parts = trie.cut(word)
+            edges = np.cumsum([len(p) for p in parts])[:-1].tolist()
+            assert "".join(parts) == word and all(parts) and not crossed & set(edges)
+            assert set(trie.free_cuts(pieces._codes(word)).tolist()) == set(range(1, len(word))) - crossed
+            # A part is only as long as the pieces make it.
+            for start, end in zip([0, *edges], [*edges, len(word)]):
+                assert end - start <= 4 or not set(range(start + 1, start + 5)) - crossed
+
+
+def test_rows_of_the_query_against_all_segmentations(spark, lattices, monkeypatch):
+    """What a table gives is among all segmentations of its text, with their probabilities, best first, and decodes."""
+    monkeypatch.setattr(pieces, "load", lambda path, sharpness=1.0: VOCABULARY)
+    texts = ["abcab", "cab ab", "", None, "é b", "abcabcab", "b"]
+    frame = spark.createDataFrame(list(enumerate(texts)), COLUMNS)
+    found = pieces.sample_encode(frame, 3, digest=True).collect()
+    for doc, text in enumerate(texts):
+        known = segmentations(lattices, text or "")
+        own = sorted((r for r in found if r["doc_id"] == doc), key=lambda r: r["sample"])
+        assert [r["sample"] for r in own] == list(range(1, min(3, len(known)) + 1))
+        assert len({tuple(r["ids"]) for r in own}) == len(own)
+        for r in own:
+            assert r["log_prob"] == pytest.approx(known[tuple(r["ids"])]) and r["n_pieces"] == len(r["ids"]) and r["decodes"]
+            assert r["ids_md5"] == hashlib.md5(np.array(r["ids"], "<i4").tobytes()).hexdigest()
+        assert [r["score"] for r in own] == sorted((r["score"] for r in own), reverse=True)
+
+
+@needs_model
+def test_decode_a_table(spark):
+    texts = ["The quick brown fox.", "", None, "日本語 \U0001f600 ▁", " a  b"]
+    encoded = pieces.sample_encode(spark.createDataFrame(list(enumerate(texts)), COLUMNS), 2)
+    back = pieces.decode_table(encoded.selectExpr("*", "'mine' as text", "1 as `a.b`")).collect()
+    assert {(r["doc_id"], r["text"], r["a.b"]) for r in back} == {(i, t or "", 1) for i, t in enumerate(texts)}
+    assert pieces.decode_table(spark.createDataFrame([(None,)], "ids array<int>")).collect()[0]["text"] is None
+    assert pieces.decode_table(encoded.limit(0)).count() == 0
+    with pytest.raises(Exception, match="outside the vocabulary"):
+        pieces.decode_table(spark.createDataFrame([([10**6],)], "ids array<int>")).collect()
 
 
 @needs_model
