@@ -23,6 +23,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return write_stable(df, label)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this one that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def dealt(df: DataFrame, *keys: str, least: int = 0) -> DataFrame:
     """Hash-partitioned for work that takes long on few bytes.
 

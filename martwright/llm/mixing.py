@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from martwright.llm.common import WORD, stored
+from martwright.llm.common import WORD, stored, unused
 from martwright.operators.ranking import global_row_number
 
 WEIGHTS = (5, 2, 1)
@@ -94,11 +94,16 @@ def _with(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> Da
     return left.join(renamed, F.col(key).eqNullSafe(F.col("_key")), how).drop("_key")
 
 
-def repetitions() -> Column:
-    """How often a row with ``key`` is taken under the plan of its source."""
-    prefix = F.substring("key", 1, DIGITS * LEVELS)
-    first = F.when(F.col("cut").isNull() | (prefix < F.col("cut")), 1).when((prefix == F.col("cut")) & F.col("edge_in"), 1).otherwise(0)
-    return (F.col("whole") + first).cast("long")
+def repetitions(key: Column | None = None, plan: str = "") -> Column:
+    """How often a row with ``key`` is taken under the plan of its source.
+
+    A source without words has nothing to fill a target with: its rows are taken once.
+    """
+    of = lambda name: F.col(f"{plan}{name}")
+    prefix = F.substring(F.col("key") if key is None else key, 1, DIGITS * LEVELS)
+    inside = of("cut").isNull() | (prefix < of("cut")) | ((prefix == of("cut")) & of("edge_in"))
+    first = F.when(of("source_size") == 0, 1).when(of("rest") <= 0, 0).when(inside, 1).otherwise(0)
+    return (of("whole") + first).cast("long")
 
 
 def sizes(docs: DataFrame, seed: int = 42) -> DataFrame:
@@ -120,17 +125,25 @@ def mix_digest(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_epochs: i
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_epochs: int = 3, seed: int = 42) -> DataFrame:
-    """The mixed corpus: every document as often as it is taken, columns unchanged."""
-    plan = mixture(stored(sizes(docs, seed), "sized"), weights, most_epochs)
-    plan = plan.select(F.col("source").alias("_source"), F.struct("whole", "cut", "edge_in").alias("_plan"))
-    prefix = F.substring(order_key(F.col("doc_id"), seed), 1, DIGITS * LEVELS)
-    first = F.when(F.col("_plan.cut").isNull() | (prefix < F.col("_plan.cut")), 1).when((prefix == F.col("_plan.cut")) & F.col("_plan.edge_in"), 1).otherwise(0)
-    counted = docs.join(plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_copies", (F.col("_plan.whole") + first).cast("int"))
-    return counted.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns)
+    """The mixed corpus: every document as often as it is taken, columns unchanged.
+
+    No document is taken more than ``most_epochs`` times. Null and empty texts are taken
+    like others of their source, at no cost; a source without any word stays as it is. A
+    null source is a source of its own, rows with equal doc_id get the same decision, an
+    empty table stays empty, and other columns may have any name.
+    """
+    source, plan, copy = (unused(docs, name) for name in ("source", "plan", "copy"))
+    found = mixture(stored(sizes(docs, seed), "sized"), weights, most_epochs)
+    found = found.select(F.col("source").alias(source), F.struct("whole", "rest", "source_size", "cut", "edge_in").alias(plan))
+    taken = repetitions(order_key(F.col("doc_id"), seed), f"{plan}.").cast("int")
+    joined = docs.join(found, F.col("source").eqNullSafe(F.col(source)))
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), taken))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle(weights: Sequence[int] = WEIGHTS, most_epochs: int = 3, seed: int = 42) -> str:
     """DuckDB statement for ``mix_digest``."""
+    rest = "(target - whole * source_size)"
+    fraction = f"CASE WHEN source_size = 0 THEN 1 WHEN {rest} <= 0 THEN 0 WHEN 2 * (upto - own) + own <= 2 * {rest} THEN 1 ELSE 0 END"
     cycle = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
     return f"""
     WITH sized AS (
@@ -154,6 +167,5 @@ def oracle(weights: Sequence[int] = WEIGHTS, most_epochs: int = 3, seed: int = 4
                sum(size) OVER (PARTITION BY source ORDER BY key) AS upto, sum(size) OVER (PARTITION BY source, key) AS own
         FROM sized)
     SELECT doc_id, size, source_size, target,
-           CAST(size * (whole + CASE WHEN 2 * (upto - own) + own <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken,
-           CAST(whole + CASE WHEN 2 * (upto - own) + own <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END AS BIGINT) AS repetitions
+           CAST(size * (whole + {fraction}) AS BIGINT) AS taken, CAST(whole + {fraction} AS BIGINT) AS repetitions
     FROM placed JOIN parts ON placed.source IS NOT DISTINCT FROM parts.source"""

@@ -13,26 +13,27 @@ Everything per document is DataFrame expressions; the driver sees the counts of
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from martwright.llm.common import stored
+from martwright.llm.common import stored, unused
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("form", "gazetteer", "context", "edges", "numbers")
 
 # The strict patterns, anchored so that a search never starts again inside
-# a run of characters that it has already tried. A card is a whole run of digits.
+# a run of characters that it has already tried, and possessive where a group repeats
+# without bound: such a group is matched in a loop, not by recursion. A card is a whole
+# run of digits.
 _LOCAL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++"
 STRICT = {
-    "email": _LOCAL + r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": _LOCAL + r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
-    "email": _LOCAL + r"(?:\x20?[\[({]at[\])}]\x20?[A-Za-z0-9-]+(?:\x20?(?:[\[({]dot[\])}]|\.)\x20?[A-Za-z0-9-]+)+|\x20at\x20[A-Za-z0-9-]+(?:\x20dot\x20[A-Za-z0-9-]+)+)",
+    "email": _LOCAL + r"(?:\x20?[\[({]at[\])}]\x20?[A-Za-z0-9-]++(?:\x20?(?:[\[({]dot[\])}]|\.)\x20?[A-Za-z0-9-]++)++|\x20at\x20[A-Za-z0-9-]++(?:\x20dot\x20[A-Za-z0-9-]++)++)",
     "ip": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
     "card": STRICT["card"],
     "phone": r"(?<![0-9A-Za-z+().-])(?:00[0-9]{1,3}[\x20.-])?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
@@ -53,92 +54,133 @@ WORDS_FOR = {
 }
 WORDS_AGAINST = r"(?i)\b(?:version|release|isbn|issn|doi|order|invoice|section|chapter|figure|page|patent|serial|commit|sha|hash)\b"
 CONTEXT = 40
+# Characters of a text that are looked through to find a place in it.
+BLOCK = 4096
 
 
-def _luhn(digits: Column) -> Column:
-    """Whether a string of digits passes the check."""
-    reverse = F.reverse(digits)
+def _raw(pattern: str) -> str:
+    """A pattern as a SQL literal without escapes."""
+    return f"r'{pattern}'"
+
 
-    def value(i: Column) -> Column:
-        digit = F.substr(reverse, i + 1, F.lit(1)).cast("int")
-        return F.when(i % 2 == 1, digit * 2 - F.when(digit > 4, 9).otherwise(0)).otherwise(digit)
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with a value that is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-    total = F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), lambda acc, i: acc + value(i))
-    return total % 10 == 0
 
+def _digits(match: str) -> str:
+    return f"regexp_replace({match}, '[^0-9]', '')"
 
-def _digits(match: Column) -> Column:
-    return F.regexp_replace(match, "[^0-9]", "")
 
+def _luhn(digits: str) -> str:
+    """Whether a string of digits passes the check."""
+    digit = "cast(substr(turned, i + 1, 1) AS INT)"
+    value = f"CASE WHEN i % 2 = 0 THEN {digit} WHEN {digit} > 4 THEN {digit} * 2 - 9 ELSE {digit} * 2 END"
+    return _let("turned", f"reverse({digits})", f"aggregate(sequence(0, length(turned) - 1), 0, (total, i) -> total + {value}) % 10 = 0")
 
-def _passes(kind: str, match: Column) -> Column:
+
+def _passes(kind: str, match: str) -> str:
     """Whether a match of the strict pattern is a base span."""
     if kind == "ip":
-        parts = F.split(match, r"\.")
         # Of a part without leading zeros at most three digits can be in range.
-        short = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
-        return F.forall(parts, lambda p: (F.length(short(p)) <= 3) & (F.substring(short(p), 1, 3).cast("int") <= 255))
+        short = f"regexp_replace(p, {_raw('^0+(?=[0-9])')}, '')"
+        return f"forall(split({match}, {_raw('[.]')}), p -> length({short}) <= 3 AND cast(substring({short}, 1, 3) AS INT) <= 255)"
     if kind == "card":
         return _luhn(_digits(match))
     if kind == "phone":
-        return F.length(_digits(match)).between(9, 15)
-    return F.lit(True)
+        return f"length({_digits(match)}) BETWEEN 9 AND 15"
+    return "true"
 
 
-def _matches(text: Column, pattern: str, hint: str) -> Column:
-    """Matches from the left that don't overlap, as structs (start, match); code points from 0."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda piece: F.length(piece))
-    empty = F.array().cast("array<struct<start:int,match:string>>")
-    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+def _running(numbers: str, combine: str) -> str:
+    """What comes before each number of an array, combined from 0 by ``SUM`` or ``MOST``.
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["gap"]
-        return F.struct((start + F.length(pair["match"])).alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), pair["match"].alias("match"))).alias("out"))
+    Appending copies an array, so the numbers are taken in pieces of about the root of
+    their count: first whole pieces are combined, then the numbers inside them.
+    """
+    none = "cast(array() AS ARRAY<INT>)"
+    width = "greatest(64, cast(ceil(sqrt(size(numbers))) AS INT))"
+    chunks = f"transform(sequence(0, greatest(0, cast(floor((size(numbers) - 1) / {width}) AS INT))), i -> slice(numbers, i * {width} + 1, {width}))"
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.when(F.rlike(text, F.lit(hint)), F.aggregate(pairs, first, step)["out"]).otherwise(empty)
+    def scan(values: str, start: str) -> str:
+        step = combine.format(a="acc.at", x="x")
+        return f"aggregate({values}, named_struct('at', {start}, 'out', {none}), (acc, x) -> named_struct('at', {step}, 'out', array_append(acc.out, acc.at)), acc -> acc.out)"
 
+    sums = f"transform(chunks, c -> aggregate(c, 0, (acc, x) -> {combine.format(a='acc', x='x')}))"
+    starts = scan(sums, "0")
+    return _let("numbers", numbers, _let("chunks", chunks, f"flatten(zip_with(chunks, {starts}, (chunk, start) -> {scan('chunk', 'start')}))"))
 
-def _vote(yes: Column, no: Column) -> Column:
-    return F.when(yes, 1).when(no, -1).otherwise(0)
 
+SUM, MOST = "{a} + {x}", "greatest({a}, {x})"
 
-def _votes(kind: str, text: Column, span: Column, strict: Column) -> Column:
-    """Votes of the labelers on a span, as an array in their order."""
-    match, start = span["match"], span["start"]
-    before = F.substr(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
-    edge = F.concat(F.when(start > 0, F.substr(text, start, F.lit(1))).otherwise(" "), F.substr(text, start + F.length(match) + 1, F.lit(1)))
-    known = F.rlike(match, F.lit(GAZETTEER[kind]))
-    digits = F.length(_digits(match))
-    numbers = {"email": _vote(F.length(match) <= 254, F.lit(True)), "ip": _vote(strict | F.contains(match, F.lit(":")), F.lit(True)), "card": _vote(_luhn(_digits(match)), F.lit(True)), "phone": _vote(digits.between(9, 15), F.lit(True))}
-    form = strict | (F.rlike(match, F.lit(r"^[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}$")) if kind == "card" else F.lit(kind == "ip"))
-    return F.array(
-        _vote(form, F.lit(False)),
-        _vote(known, F.lit(kind in ("email", "card"))),
-        _vote(F.rlike(before, F.lit(WORDS_FOR[kind])), F.rlike(before, F.lit(WORDS_AGAINST))),
-        _vote(F.lit(False), F.rlike(edge, F.lit(r"[\p{L}0-9]"))),
-        numbers[kind],
-    )
 
+def _blocks(text: str) -> str:
+    """A text in pieces of ``BLOCK`` characters, so that a part of it is found without a walk from the start."""
+    return f"CASE WHEN length({text}) <= {BLOCK} THEN array({text}) ELSE regexp_extract_all({text}, {_raw(f'(?s).{{1,{BLOCK}}}')}, 0) END"
 
-def _overlaps(span: Column, others: Column) -> Column:
-    end = span["start"] + F.length(span["match"])
-    return F.exists(others, lambda o: (o["start"] < end) & (span["start"] < o["end"]))
 
+def _part(blocks: str, start: str, end: str) -> str:
+    """Characters start to end of a text in blocks; both lie inside it."""
+    first, last = "(lo DIV {0})".format(BLOCK), "((hi - 1) DIV {0})".format(BLOCK)
+    head = f"get({blocks}, cast({first} AS INT))"
+    inside = f"substr({head}, lo % {BLOCK} + 1, hi - lo)"
+    between = f"array_join(slice({blocks}, cast({first} AS INT) + 2, cast({last} - {first} AS INT) - 1), '')"
+    across = f"concat(substr({head}, lo % {BLOCK} + 1), {between}, substr(get({blocks}, cast({last} AS INT)), 1, cast(hi - {last} * {BLOCK} AS INT)))"
+    cases = f"CASE WHEN hi <= lo THEN '' WHEN {first} = {last} THEN {inside} ELSE {across} END"
+    return _let("lo", start, _let("hi", end, cases))
 
-SPAN = "struct<start:int,kind:int,end:int,base:boolean,votes:array<int>>"
 
+MATCHES = "array<struct<start:int,match:string>>"
 
-def _candidate(kind: str, text: Column, base: bool) -> Callable[[Column], Column]:
-    """A match as a candidate span with its votes."""
 
-    def build(span: Column) -> Column:
-        end = span["start"] + F.length(span["match"])
-        votes = _votes(kind, text, span, F.lit(base))
-        return F.struct(span["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), F.lit(base).alias("base"), votes.alias("votes"))
+def _matches(text: str, pattern: str, hint: str) -> str:
+    """Matches from the left that don't overlap, as structs (start, match); code points from 0."""
+    gaps = f"slice(transform(split({text}, {_raw(pattern)}, -1), piece -> length(piece)), 1, size(found))"
+    before = _running("zip_with(gaps, found, (gap, match) -> gap + length(match))", SUM)
+    places = f"zip_with({before}, gaps, (before, gap) -> before + gap)"
+    pairs = f"zip_with({places}, found, (start, match) -> named_struct('start', start, 'match', match))"
+    listed = _let("found", f"regexp_extract_all({text}, {_raw(pattern)}, 0)", _let("gaps", gaps, pairs))
+    return f"CASE WHEN rlike({text}, {_raw(hint)}) THEN {listed} ELSE cast(array() AS {MATCHES}) END"
+
+
+def _vote(yes: str, no: str = "false") -> str:
+    return f"CASE WHEN {yes} THEN 1 WHEN {no} THEN -1 ELSE 0 END"
+
+
+def _votes(kind: str, blocks: str, size: str, base: bool) -> str:
+    """Votes of the labelers on a span ``s``, as an array in their order."""
+    end, digits = "s.start + length(s.match)", _digits("s.match")
+    before = _part(blocks, f"greatest(s.start - {CONTEXT}, 0)", "s.start")
+    edges = f"concat(CASE WHEN s.start > 0 THEN {_part(blocks, 's.start - 1', 's.start')} ELSE ' ' END, {_part(blocks, end, f'least({end} + 1, {size})')})"
+    strict = str(base).lower()
+    same_gaps = r"^[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}$"
+    form = {"card": f"{strict} OR rlike(s.match, {_raw(same_gaps)})", "ip": "true"}.get(kind, strict)
+    numbers = {
+        "email": "length(s.match) <= 254", "ip": f"{strict} OR contains(s.match, ':')", "card": _luhn(digits), "phone": f"length({digits}) BETWEEN 9 AND 15",
+    }[kind]
+    votes = [
+        _vote(form), _vote(f"rlike(s.match, {_raw(GAZETTEER[kind])})", str(kind in ("email", "card")).lower()),
+        _let("words", before, _vote(f"rlike(words, {_raw(WORDS_FOR[kind])})", f"rlike(words, {_raw(WORDS_AGAINST)})")),
+        _vote("false", f"rlike({edges}, {_raw('[' + chr(92) + 'p{L}0-9]')})"), _vote(numbers, "true"),
+    ]
+    return f"array({', '.join(votes)})"
+
+
+def _overlaps(others: str) -> str:
+    """Whether a span ``s`` overlaps one of others, which are sorted and lie apart: only the last that begins before its end can."""
+    bits = f"sequence(cast(floor(log2(greatest(size({others}), 1))) AS INT), 0, -1)"
+    further = f"n + shiftleft(1, bit) <= size({others}) AND get({others}, n + shiftleft(1, bit) - 1).start < s.start + length(s.match)"
+    last = f"get({others}, aggregate({bits}, 0, (n, bit) -> CASE WHEN {further} THEN n + shiftleft(1, bit) ELSE n END) - 1)"
+    return _let("o", last, "coalesce(o.start + length(o.match) > s.start, false)")
 
-    return build
+
+SPAN = "struct<start:int,kind:int,end:int,base:boolean,votes:array<int>>"
+
+
+def _candidates(matches: str, kind: str, blocks: str, size: str, base: bool) -> str:
+    """Matches as candidate spans with their votes."""
+    fields = f"'start', s.start, 'kind', {KINDS.index(kind)}, 'end', s.start + length(s.match), 'base', {str(base).lower()}, 'votes', {_votes(kind, blocks, size, base)}"
+    return f"transform({matches}, s -> named_struct({fields}))"
 
 
 def with_candidates(docs: DataFrame, text: str, name: str) -> DataFrame:
@@ -146,31 +188,40 @@ def with_candidates(docs: DataFrame, text: str, name: str) -> DataFrame:
 
     Base spans come as they are; a loose candidate only where no base span is.
     """
-    whole, base = F.coalesce(F.col(text).cast("string"), F.lit("")), f"_{name}_base"
-    strict, loose = {k: f"_{name}_strict_{k}" for k in KINDS}, {k: f"_{name}_loose_{k}" for k in KINDS}
+    whole, blocks, size = (unused(docs, f"{name}_{part}") for part in ("text", "blocks", "size"))
+    strict, passed, loose = ({k: unused(docs, f"{name}_{part}_{k}") for k in KINDS} for part in ("strict", "base", "loose"))
+    found = docs.withColumn(whole, F.coalesce(F.col(text).cast("string"), F.lit("")))
+    first = {blocks: _blocks(whole), size: f"length({whole})", **{c: _matches(whole, STRICT[k], HINT[k]) for k, c in strict.items()}}
+    # A card candidate is a run of digits that fails the check, so its strict matches serve.
+    second = {c: strict[k] if k == "card" else _matches(whole, LOOSE[k], HINT[k]) for k, c in loose.items()}
+    second |= {c: f"filter({strict[k]}, s -> {_passes(k, 's.match')})" for k, c in passed.items()}
+    for step in (first, second):
+        found = found.withColumns({c: F.expr(e) for c, e in step.items()})
+    free = " AND ".join(f"NOT {_overlaps(c)}" for c in passed.values())
+    spans = [_candidates(passed[k], k, blocks, size, True) for k in KINDS]
+    spans += [_candidates(f"filter({loose[k]}, s -> {free})", k, blocks, size, False) for k in KINDS]
+    found = found.withColumn(name, F.expr(f"cast(array_sort(concat({', '.join(spans)})) AS array<{SPAN}>)"))
+    return found.drop(whole, blocks, size, *strict.values(), *passed.values(), *loose.values())
 
-    def passed(kind: str) -> Column:
-        return F.filter(F.col(strict[kind]), lambda s: _passes(kind, s["match"]))
 
-    found = docs.withColumns({c: _matches(whole, STRICT[k], HINT[k]) for k, c in strict.items()})
-    # A card candidate is a run of digits that fails the check, so its strict matches serve.
-    found = found.withColumns({c: F.col(strict[k]) if k == "card" else _matches(whole, LOOSE[k], HINT[k]) for k, c in loose.items()})
-    found = found.withColumn(base, F.concat(*(F.transform(passed(k), _candidate(k, whole, True)) for k in KINDS)))
-    free = {k: F.filter(F.col(c), lambda s: ~_overlaps(s, F.col(base))) for k, c in loose.items()}
-    extra = [F.transform(spans, _candidate(k, whole, False)) for k, spans in free.items()]
-    spans = F.array_sort(F.concat(F.col(base), *extra)).cast(f"array<{SPAN}>")
-    return found.withColumn(name, spans).drop(*strict.values(), *loose.values(), base)
+Votes = tuple[int, ...]
+Table = dict[int, tuple[float, float]]
+
+# Pseudo-counts behind a belief about a labeler, and about the share of a class.
+PRIOR = 20.0
+# Before anything is seen: a labeler is right about four times in five when it votes.
+BELIEVED: Table = {1: (0.55, 0.15), 0: (0.3, 0.3), -1: (0.15, 0.55)}
 
 
-def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 50, prior: float = 20.0) -> tuple[dict[tuple[int, ...], float], list[dict[int, tuple[float, float]]]]:
+def reliabilities(counts: dict[Votes, int], rounds: int = 50, believed: list[Table] | None = None) -> tuple[dict[Votes, float], list[Table]]:
     """Probability of each vote pattern and, per labeler and vote, its chance if the span is one and if not.
 
-    ``prior`` pseudo-counts say that a labeler is right four times in five when it votes;
-    they settle a corpus in which some vote never occurs.
+    ``believed`` are such chances to start from; ``PRIOR`` pseudo-counts hold on to them,
+    which settles a corpus in which some vote never occurs.
     """
-    believed = {1: (0.55, 0.15), 0: (0.3, 0.3), -1: (0.15, 0.55)}
-    tables, share = [dict(believed) for _ in LABELERS], 0.5
-    chances: dict[tuple[int, ...], float] = {}
+    believed = believed or [BELIEVED] * len(LABELERS)
+    tables, share = [dict(t) for t in believed], 0.5
+    chances: dict[Votes, float] = {}
     for _ in range(rounds):
         for votes in counts:
             yes = math.log(share) + sum(math.log(t[v][0]) for t, v in zip(tables, votes))
@@ -178,26 +229,28 @@ def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 50, prior: f
             chances[votes] = 1 / (1 + math.exp(min(700.0, no - yes)))
         positive = sum(n * chances[v] for v, n in counts.items())
         total = sum(counts.values())
-        share = (positive + prior / 2) / (total + prior)
-        for at, table in enumerate(tables):
+        share = (positive + PRIOR / 2) / (total + PRIOR)
+        for at, (table, first) in enumerate(zip(tables, believed)):
             for vote in (1, 0, -1):
                 seen = [(n, chances[v]) for v, n in counts.items() if v[at] == vote]
                 yes, no = sum(n * c for n, c in seen), sum(n * (1 - c) for n, c in seen)
-                table[vote] = ((yes + prior * believed[vote][0]) / (positive + prior), (no + prior * believed[vote][1]) / (total - positive + prior))
+                table[vote] = ((yes + PRIOR * first[vote][0]) / (positive + PRIOR), (no + PRIOR * first[vote][1]) / (total - positive + PRIOR))
     return chances, tables
 
 
-def train(counts: dict[tuple[int, ...], int], chances: dict[tuple[int, ...], float], rounds: int = 2000, step: float = 0.5, decay: float = 0.01) -> list[float]:
+def train(counts: dict[Votes, int], chances: dict[Votes, float], rounds: int = 2000, step: float = 0.5, decay: float = 0.01, start: list[float] | None = None) -> list[float]:
     """Weights of a logistic classifier (the last one is the bias) on the votes.
 
     Positive and negative mass weigh the same, so that a corpus full of plain cases
-    does not decide over the others by its mere share.
+    does not decide over the others by its mere share. ``start`` are weights that are
+    held on to where there is little mass of a class.
     """
-    positive = sum(n * chances[v] for v, n in counts.items()) or 1.0
-    negative = sum(n * (1 - chances[v]) for v, n in counts.items()) or 1.0
+    least = PRIOR if start else 0.0
+    positive = max(least, sum(n * chances[v] for v, n in counts.items())) or 1.0
+    negative = max(least, sum(n * (1 - chances[v]) for v, n in counts.items())) or 1.0
     rows = [((*v, 1), n * chances[v] / positive, n * (1 - chances[v]) / negative) for v, n in counts.items()]
-    weights = [1.0] * len(LABELERS) + [-1.0]
-    prior = list(weights)
+    prior = start or [1.0] * len(LABELERS) + [-1.0]
+    weights = list(prior)
     for _ in range(rounds):
         slope = [decay * (w - p) for w, p in zip(weights, prior)]
         for x, yes, no in rows:
@@ -209,25 +262,32 @@ def train(counts: dict[tuple[int, ...], int], chances: dict[tuple[int, ...], flo
     return weights
 
 
-def classifier(candidates: DataFrame, name: str) -> list[float]:
-    """Weights learned from the votes on all candidate spans."""
-    rows = candidates.select(F.explode(F.transform(name, lambda s: s["votes"])).alias("votes")).groupBy("votes").agg(F.count("*").alias("rows"))
-    counts = {tuple(r["votes"]): r["rows"] for r in rows.collect()}
-    if not counts:
-        return [1.0] * len(LABELERS) + [-1.0]
-    return train(counts, reliabilities(counts)[0])
+def classifier(candidates: DataFrame, name: str) -> list[list[float]]:
+    """Per kind the weights learned from the votes on all candidate spans of it.
 
-
-def accepted(spans: Column, weights: list[float]) -> Column:
-    """Base spans and the loose candidates that the classifier takes, by start, then kind."""
-
-    def score(votes: Column) -> Column:
-        total = F.lit(weights[-1])
-        for i, weight in enumerate(weights[:-1]):
-            total = total + votes[i] * F.lit(weight)
-        return total
-
-    return F.filter(spans, lambda s: s["base"] | (score(s["votes"]) > 0))
+    A labeler has a reliability for each kind. What all kinds together say about it is
+    the belief that each of them starts from, so a rare kind stays near the others.
+    """
+    votes = F.transform(name, lambda s: F.struct(s["kind"].alias("kind"), s["votes"].alias("votes")))
+    rows = candidates.select(F.explode(votes).alias("s")).groupBy("s").agg(F.count("*").alias("rows")).collect()
+    by_kind: list[dict[Votes, int]] = [{} for _ in KINDS]
+    every: dict[Votes, int] = {}
+    for r in rows:
+        pattern = tuple(r["s"]["votes"])
+        by_kind[r["s"]["kind"]][pattern] = r["rows"]
+        every[pattern] = every.get(pattern, 0) + r["rows"]
+    if not every:
+        return [[1.0] * len(LABELERS) + [-1.0]] * len(KINDS)
+    chances, tables = reliabilities(every)
+    common = train(every, chances)
+    return [train(counts, reliabilities(counts, believed=tables)[0], start=common) if counts else common for counts in by_kind]
+
+
+def accepted(spans: str, weights: list[list[float]]) -> Column:
+    """Base spans and the loose candidates that the classifier of their kind takes, by start, then kind."""
+    table = ", ".join(f"array({', '.join(f'{w!r}D' for w in own)})" for own in weights)
+    score = " + ".join([f"get(own, {len(LABELERS)})", *(f"s.votes[{i}] * get(own, {i})" for i in range(len(LABELERS)))])
+    return F.expr(f"filter({spans}, s -> s.base OR {_let('own', f'get(array({table}), s.kind)', f'{score} > 0')})")
 
 
 def _written(spans: Column) -> Column:
@@ -249,24 +309,28 @@ def find(docs: DataFrame) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter(base, lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
 
-    return kept.select("doc_id", *map(count, KINDS), F.sha2(_written(base), 256).alias("base_sha256"), _written(accepted(F.col("spans"), weights)).alias("spans"))
+    return kept.select("doc_id", *map(count, KINDS), F.sha2(_written(base), 256).alias("base_sha256"), _written(accepted("spans", weights)).alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in text replaced by its kind in angle brackets; n_chars follows.
 
-    Of overlapping spans the first one names the whole.
+    Of overlapping spans the first one names the whole. The spans are found once and
+    stored beside their rows. Null and empty texts and those without a span come back as
+    they are, with the n_chars they had; repeated rows stay repeated, an empty table
+    stays empty. Other columns are not touched, whatever their names.
     """
-    rows = with_candidates(docs, "text", "_spans")
-    weights = classifier(rows, "_spans")
-    text, names = F.col("text"), F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), names[s["kind"]])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
-
-    cut = F.aggregate(F.col("_found"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.greatest(F.length(text) - acc["at"], F.lit(0)))))
-    rows = rows.withColumn("_found", accepted(F.col("_spans"), weights)).withColumn("_clean", F.when(F.size("_found") > 0, cut).otherwise(text))
-    columns = {"text": F.col("_clean"), "n_chars": F.when(F.size("_found") > 0, F.length("_clean").cast("long")).otherwise(F.col("n_chars"))}
-    return rows.select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
+    spans, found, clean = (unused(docs, name) for name in ("spans", "found", "clean"))
+    rows = stored(with_candidates(docs, "text", spans), "redacted")
+    weights = classifier(rows, spans)
+    blocks, reached = unused(docs, "blocks"), unused(docs, "reached")
+    rows = rows.withColumn(found, accepted(spans, weights))
+    ends = f"transform({found}, s -> s.end)"
+    rows = rows.withColumns({blocks: F.expr(_blocks("text")), reached: F.expr(_running(ends, MOST))})
+    # A span that begins inside an earlier one adds nothing; the others keep what lies before them.
+    name = f"get(array({', '.join(repr(f'<{k.upper()}>') for k in KINDS)}), s.kind)"
+    pieces = f"zip_with({found}, {reached}, (s, at) -> CASE WHEN s.start >= at THEN concat({_part(blocks, 'at', 's.start')}, {name}) ELSE '' END)"
+    cut = f"concat(array_join({pieces}, ''), {_part(blocks, f'array_max({ends})', 'length(text)')})"
+    rows = rows.withColumn(clean, F.expr(f"CASE WHEN size({found}) > 0 THEN {cut} ELSE text END"))
+    columns = {"text": F.col(clean), "n_chars": F.when(F.size(found) > 0, F.length(clean).cast("long")).otherwise(F.col("n_chars"))}
+    return rows.select(*(columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))

@@ -62,3 +62,24 @@ def test_empty_tables(spark):
     assert rows_of(spark, []) == set()
     assert mixing.mix(spark.createDataFrame([], COLUMNS)).count() == 0
     assert rows_of(spark, [(1, None, "a"), (2, " ", "b")]) == expected([(1, None, "a"), (2, " ", "b")])
+
+
+def test_no_document_is_taken_more_often_than_allowed(spark):
+    """A source at its cap has no rest, so wordless documents get no repetition more."""
+    docs = [(i, "" if i % 2 else None, "small") for i in range(28)] + [(100, "one two", "small")] + [(1000 + i, "w " * 50, "large") for i in range(30)]
+    docs += [(2000 + i, None, "empty") for i in range(3)]
+    assert rows_of(spark, docs) == expected(docs)
+    by_id = {r["doc_id"]: r["repetitions"] for r in mixing.mix_digest(spark.createDataFrame(docs, COLUMNS)).collect()}
+    assert max(by_id.values()) == 3 and by_id[100] == 3 and by_id[2000] == 1
+    mixed = mixing.mix(spark.createDataFrame(docs, COLUMNS)).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in mixed} == {i: n for i, n in by_id.items() if n}
+
+
+def test_other_columns_may_have_any_name(spark):
+    frame = spark.createDataFrame(corpus(), COLUMNS)
+    names = ["_source", "_plan", "_copies", "_copy", "__COPY", "whole", "cut", "a.b"]
+    for name in names:
+        frame = frame.withColumn(name, F.lit("mine"))
+    mixed = mixing.mix(frame)
+    assert mixed.columns == frame.columns and mixed.where("_source <> 'mine' or _plan <> 'mine' or `a.b` <> 'mine'").count() == 0
+    assert mixed.count() == mixing.mix(spark.createDataFrame(corpus(), COLUMNS)).count()

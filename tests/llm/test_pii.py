@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from martwright.llm import pii
 from tests.conftest import SMALL
@@ -124,3 +126,72 @@ def test_no_python_in_the_plan(spark, plan):
 @pytest.mark.parametrize("kind", pii.KINDS)
 def test_patterns_are_anchored(kind):
     assert set(pii.STRICT) == set(pii.LOOSE) == set(pii.GAZETTEER) == set(pii.WORDS_FOR) and kind in pii.HINT
+
+
+def redacted(text, spans):
+    """Spans as written by ``find``, put into a text by hand."""
+    out, at = [], 0
+    for kind, start, end in sorted(((k, int(s), int(e)) for k, s, e in (x.split(":") for x in spans.split(",") if x)), key=lambda x: (x[1], pii.KINDS.index(x[0]))):
+        if start >= at:
+            out += [text[at:start], f"<{kind.upper()}>"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+LARGE = [
+    "a@" + "b." * 100_000 + "c",
+    "x [at] " + "b [dot] " * 10_000 + "com",
+    " ".join(f"u{i}@m.co" for i in range(50_000)),
+    "é" * 5000 + " 4111 1111 1111 1112" * 3000 + " +1 (319) 555-5132 🙂" * 2000,
+    ("word " * 900 + "to a@b.co and 1.2.3.4, (212) 555-1234! ") * 40,
+    "1.2.3.4." * 4_000,
+]
+
+
+def test_large_texts(spark):
+    """Long repeats don't overflow the stack, and many spans in one text take no time that grows with their square."""
+    frame = spark.createDataFrame(list(enumerate(LARGE)), COLUMNS)
+    started = time.monotonic()
+    found = pii.find(frame).collect()
+    assert time.monotonic() - started < 90
+    check(found, dict(enumerate(LARGE)))
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(frame.withColumn("n_chars", F.lit(0))).collect()}
+    assert clean == {r["doc_id"]: redacted(LARGE[r["doc_id"]], r["spans"]) for r in found}
+
+
+def test_redaction_is_that_of_the_spans(spark):
+    texts = [t for t in TEXTS + corpus() if t is not None]
+    frame = spark.createDataFrame(list(enumerate(texts)), COLUMNS).withColumn("n_chars", F.length("text").cast("long"))
+    spans = {r["doc_id"]: r["spans"] for r in pii.find(frame).collect()}
+    for r in pii.redact(frame).collect():
+        want = redacted(texts[r["doc_id"]], spans[r["doc_id"]])
+        assert (r["text"], r["n_chars"]) == (want, len(want))
+
+
+def test_clashing_columns_and_empty_table(spark):
+    names = ["_found", "_spans", "_clean", "_blocks", "_reached", "_spans_blocks", "__SPANS", "_spans_base_ip", "a.b"]
+    frame = spark.createDataFrame([(1, "to a@b.co", 9)], "doc_id long, text string, n_chars long")
+    for name in names:
+        frame = frame.withColumn(name, F.lit("mine"))
+    row = pii.redact(frame).first()
+    assert row["text"] == "to <EMAIL>" and row["n_chars"] == 10 and all(row[name] == "mine" for name in names)
+    assert pii.redact(frame.limit(0)).count() == 0 and pii.redact(frame).columns == frame.columns
+
+
+def test_reliability_is_estimated_per_kind(spark):
+    candidates = spark.createDataFrame([([(i, kind, i + 1, False, [1 if kind else -1, 1, 0, 0, 1 if kind else -1])],) for i in range(50) for kind in (0, 2)], f"spans array<{pii.SPAN}>")
+    learned = pii.classifier(candidates, "spans")
+    assert len(learned) == len(pii.KINDS) and learned[0] != learned[2] and learned[1] == learned[3]
+
+
+@pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 1000])
+def test_running_sums_and_parts(spark, size):
+    numbers = [(i * 7919) % 13 for i in range(size)]
+    text = "".join(chr(97 + i % 26) if i % 5 else "🙂" for i in range(size * 9))
+    frame = spark.createDataFrame([(numbers, text)], "n array<int>, t string")
+    row = frame.select(F.expr(pii._running("n", pii.SUM)).alias("sums"), F.expr(pii._running("n", pii.MOST)).alias("most"), F.expr(pii._blocks("t")).alias("blocks")).first()
+    assert row["sums"] == [sum(numbers[:i]) for i in range(size)] and row["most"] == [max([0, *numbers[:i]]) for i in range(size)]
+    assert "".join(row["blocks"]) == text
+    cuts = [(a, b) for a in (0, size, size * 4, size * 9) for b in (0, size + 1, size * 5, size * 9) if a <= b <= size * 9]
+    found = frame.select(*[F.expr(pii._part(f"({pii._blocks('t')})", str(a), str(b))).alias(f"c{i}") for i, (a, b) in enumerate(cuts)]).first()
+    assert list(found) == [text[a:b] for a, b in cuts]
