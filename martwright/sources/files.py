@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import time
-from collections import defaultdict
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import DateType, StringType, StructField, StructType, TimestampNTZType
 
 from martwright.functions.text import DATE_FORMATS, lenient_date, null_tokens
 from martwright.sources.schemas import RAW_TABLES, RawTables, with_load_ts
-from martwright.sources.tables import write_full_refresh
+from martwright.sources import csv_records
+from martwright.sources.tables import Versions, write_stable
 
 # File formats of dates and timestamps.
 DATE_FORMAT = "yyyy-MM-dd"
@@ -35,23 +34,24 @@ def coerce_dates(df: DataFrame) -> DataFrame:
     return df.withColumns({c: lenient_date(F.col(c), DATE_FORMATS) for c in texts})
 
 
-# Headers looked up at a time.
-HEADER_JOBS = 16
+def _cells(spark: SparkSession, path: str, multiline: bool) -> tuple[DataFrame, dict[str, list[str]], DataFrame]:
+    """Cells by position (``c0``, ...) with their file, the distinct headers, and the header of every file.
 
-
-def _by_header(spark: SparkSession, path: str, multiline: bool) -> dict[tuple[str, ...], list[str]]:
-    """Files below the path by the columns their own headers name."""
-    reader = spark.read.option("header", True).option("multiLine", multiline).option("quote", '"').option("escape", '"')
-    whole = reader.csv(path)
-    files = sorted(whole.inputFiles())
-    if len(files) < 2:
-        return {tuple(whole.columns): [path]}
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    with ThreadPoolExecutor(HEADER_JOBS) as pool:
-        for file, columns in zip(files, pool.map(lambda f: tuple(reader.csv(f).columns), files)):
-            if columns:  # a file without any line has no columns and no rows
-                groups[columns].append(file)
-    return dict(groups) or {tuple(whole.columns): [path]}
+    All headers come from one job, all cells from one scan, whatever the number of files.
+    """
+    ranges = write_stable(csv_records.ranges_of(spark, path), "ranges")
+    headers = ranges.where("header is not null and trim(header) <> ''").select("file", "header")
+    names = {r["header"]: csv_records.columns_of(r["header"]) for r in headers.select("header").distinct().collect()}
+    width = max(map(len, names.values()), default=0)
+    shape = StructType([StructField(f"c{i}", StringType()) for i in range(max(1, width))])
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    if multiline:
+        records = csv_records.without_headers(csv_records.records_of(spark, path, ranges), ranges)
+        cells = records.select("file", F.from_csv("text", shape.simpleString()[7:-1].replace(":", " "), options).alias("r")).select("file", "r.*")
+    else:
+        reader = spark.read.schema(shape).options(header=True, enforceSchema=True, **options)
+        cells = reader.csv(path).select(F.col("_metadata.file_path").alias("file"), "*")
+    return cells, names, headers
 
 
 def read_csv(
@@ -65,36 +65,40 @@ def read_csv(
     """Typed CSV scan: header, quotes, null tokens; unreadable values become null.
 
     Every file's own header decides which column is which, so the columns may come in
-    any order, and in another one in each file of a folder; files of one header are
-    scanned together. ``schema`` names the result columns after renaming. Days are read
-    in ISO form, else in the first of ``date_formats`` that fits. ``multiline`` reads
-    quoted line breaks, at the price of one task per file.
+    any order, and in another one in each file of a folder. ``schema`` names the result
+    columns after renaming. Days are read in ISO form, else in the first of
+    ``date_formats`` that fits. ``multiline`` reads quoted line breaks; a large file is
+    still read by many tasks.
     """
-    parts = []
-    for header, files in _by_header(spark, path, multiline).items():
-        raw = (
-            spark.read.schema(StructType([StructField(c, StringType()) for c in header]))
-            .option("header", True)
-            .option("enforceSchema", False)
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("multiLine", multiline)
-            .option("mode", "PERMISSIVE")
-            .csv(files)
-        )
-        named = rename_columns(raw, mapping or {})
-        missing = [f.name for f in schema.fields if f.name not in named.columns]
-        required = [f.name for f in schema.fields if f.name in missing and not f.nullable]
-        if required:
-            raise ValueError(f"{files[0]} lacks the columns {required}")
-        parts.append(named.select(*[_typed(f, f.name in missing, date_formats) for f in schema.fields]))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _typed(field: StructField, absent: bool, date_formats: tuple[str, ...]):
-    if absent:
-        return F.lit(None).cast(field.dataType).alias(field.name)
-    text = null_tokens(F.col(field.name))
+    cells, names, headers = _cells(spark, path, multiline)
+    required = {f.name for f in schema.fields if not f.nullable}
+    places: dict[str, dict[str, int]] = {}
+    for header, columns in names.items():
+        named = [(mapping or {}).get(c, c.lower()) for c in columns]
+        missing = [name for name in required if name not in named]
+        if missing:
+            raise ValueError(f"a file of {path} lacks the columns {sorted(missing)}")
+        places[header] = {name: named.index(name) for name in schema.names if name in named}
+    if not names and required:
+        raise ValueError(f"{path} lacks the columns {sorted(required)}")
+    if len(names) > 1:
+        cells = cells.join(headers, "file")
+
+    def text(name: str) -> Column:
+        """The cell of a column, where the header of its file has it."""
+        at = {header: place[name] for header, place in places.items() if name in place}
+        if len(names) == len(at) and len(set(at.values())) == 1:
+            return F.col(f"c{next(iter(at.values()))}")
+        cell = F.lit(None).cast("string")
+        for header, place in at.items():
+            cell = F.when(F.col("header") == header, F.col(f"c{place}")).otherwise(cell)
+        return cell
+
+    return cells.select(*[_typed(f, text(f.name), date_formats) for f in schema.fields])
+
+
+def _typed(field: StructField, cell: Column, date_formats: tuple[str, ...]) -> Column:
+    text = null_tokens(cell)
     if isinstance(field.dataType, DateType):
         value = lenient_date(text, date_formats)
     elif isinstance(field.dataType, TimestampNTZType):
@@ -137,30 +141,35 @@ def load_all(spark: SparkSession, loads: Mapping[str, Load], mapping: Mapping[st
 
     A file that is missing or unreadable, or leaves a required column empty, is
     reported as FAILED and does not stop the others. Tables are loaded side by side;
-    rows and empty cells are counted while a table is written. A table that fails its
-    check has already taken the place of the old one.
+    rows and empty cells are counted while a version of the table is written. It takes
+    the place of the version before only after its check, and at once; a table that
+    fails keeps the rows it had.
     """
 
     def one(item: tuple[str, Load]) -> tuple:
         name, load = item
         started = time.monotonic()
-        status, rows, error = "FAILED", 0, None
+        status, rows, error, version = "FAILED", 0, None, None
+        versions = Versions(spark, load.target)
         try:
             counted = Observation(f"load_{name}")
             required = [f.name for f in load.schema.fields if not f.nullable]
             empty = [F.count_if(F.col(c).isNull()).alias(f"empty_{c}") for c in required]
             table = with_load_ts(read_csv(spark, load.path, load.schema, mapping, load.multiline))
-            write_full_refresh(table.observe(counted, F.count(F.lit(1)).alias("rows"), *empty), load.target)
+            version = versions.write(table.observe(counted, F.count(F.lit(1)).alias("rows"), *empty))
             found = counted.get
             rows = found["rows"]
             broken = [c for c in required if found[f"empty_{c}"]]
             if broken:
                 error = f"empty cells in the columns {broken}"
             else:
-                status = "SUCCESS"
+                versions.publish(version)
+                status, version = "SUCCESS", None
                 error = f"expected {load.expected} rows" if load.expected is not None and rows != load.expected else None
         except (PySparkException, ValueError) as problem:
             error = str(problem).splitlines()[0]
+        if version:
+            versions.discard(version)
         return load.path.rstrip("/").rsplit("/", 1)[-1], name, status, rows, time.monotonic() - started, error
 
     with ThreadPoolExecutor(max(1, len(loads))) as pool:
@@ -174,7 +183,7 @@ def csv_loads(folder: str, target: str) -> dict[str, Load]:
 
 def loaded_tables(spark: SparkSession, target: str) -> RawTables:
     """The five raw tables as loaded."""
-    return RawTables(**{name: spark.read.parquet(f"{target}/{name}") for name in RAW_TABLES})
+    return RawTables(**{name: Versions(spark, f"{target}/{name}").read() for name in RAW_TABLES})
 
 
 def check_row_counts(tables: Mapping[str, DataFrame], expected: Mapping[str, int | None]) -> DataFrame:

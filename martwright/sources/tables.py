@@ -29,6 +29,67 @@ def write_full_refresh(df: DataFrame, target: str, as_table: bool = False) -> No
         df.write.mode("overwrite").parquet(target)
 
 
+class Versions:
+    """A table of which readers see one whole version at a time.
+
+    A version is written beside the others. Publishing it is one rename of a small file
+    that names it, numbered one above the last; it fails if another writer was first.
+    Readers take the highest number. What is not published is never read.
+    """
+
+    def __init__(self, spark: SparkSession, target: str):
+        self.spark, self.target = spark, target.rstrip("/")
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.files = self.path(self.target).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def write(self, df: DataFrame) -> str:
+        """Write a version and return its name; nobody reads it yet."""
+        name = f"data-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(f"{self.target}/{name}")
+        return name
+
+    def numbers(self) -> list[int]:
+        """Published numbers, the current one last."""
+        folder = self.path(f"{self.target}/published")
+        if not self.files.exists(folder):
+            return []
+        return sorted(int(f.getPath().getName()) for f in self.files.listStatus(folder) if f.getPath().getName().isdigit())
+
+    def _name(self, number: int) -> str:
+        return self.spark.read.text(f"{self.target}/published/{number:010d}").first()[0]
+
+    def publish(self, name: str) -> int:
+        """Make a written version the current one; returns its number."""
+        number = (self.numbers() or [0])[-1] + 1
+        self.files.mkdirs(self.path(f"{self.target}/published"))
+        draft, place = self.path(f"{self.target}/.draft-{name}"), self.path(f"{self.target}/published/{number:010d}")
+        out = self.files.create(draft, True)
+        out.write(bytearray(name, "utf-8"))
+        out.close()
+        if self.files.exists(place) or not self.files.rename(draft, place):
+            self.files.delete(draft, False)
+            raise ValueError(f"{self.target} has been published by another writer")
+        return number
+
+    def read(self, number: int | None = None) -> DataFrame:
+        """The current version, or an earlier one."""
+        number = number or (self.numbers() or [0])[-1]
+        if not number:
+            raise ValueError(f"{self.target} has no published version")
+        return self.spark.read.parquet(f"{self.target}/{self._name(number)}")
+
+    def discard(self, name: str) -> None:
+        """Delete a version that will not be published."""
+        remove_folder(self.spark, f"{self.target}/{name}")
+
+    def drop_old(self, keep: int = 2) -> None:
+        """Delete all but the last published versions; readers of an older one lose it."""
+        for number in self.numbers()[:-keep]:
+            name = self._name(number)
+            self.files.delete(self.path(f"{self.target}/published/{number:010d}"), False)
+            self.discard(name)
+
+
 def materialize(df: DataFrame, name: str, kind: str = "view") -> DataFrame:
     """Register as a temporary view or save as a table, and read it back."""
     if kind == "view":

@@ -1,12 +1,18 @@
+import csv
 import datetime as dt
+import io
 import json
+import random
 from decimal import Decimal as D
 from pathlib import Path
 
+import pytest
+from pyspark.sql.types import StringType, StructField, StructType
+
 from martwright.operators import rows
 from martwright.operators.ranking import with_position
-from martwright.sources import files, schemas
-from martwright.sources.tables import fingerprint, materialize, spread, write_clustered, write_full_refresh, write_stable
+from martwright.sources import csv_records, files, schemas
+from martwright.sources.tables import Versions, fingerprint, materialize, spread, write_clustered, write_full_refresh, write_stable
 
 CSV = '''Order_ID,customer_id,order_date,payment_method,order_status
 1,C1,2024-01-05,"Card, credit",Completed
@@ -43,6 +49,64 @@ def test_quoted_line_break(spark, tmp_path):
     assert [r.payment_method for r in got] == ["two\nlines", "one"]
 
 
+def quoted_rows(count):
+    pick = random.Random(3)
+    odd = ['say ""hi""', "two\nlines", '""', "a,b", "x\n\ny\r\nz", "plain", '\n""\n', "long " * 40, "\n".join("deep" * 5 for _ in range(30))]
+    return [(f"{i}", f"C{i % 7}", "2024-01-05", pick.choice(odd)) for i in range(count)]
+
+
+@pytest.mark.parametrize("size", ["300", "1000", "7000", "10m"])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_quoted_line_breaks_by_many_tasks(spark, tmp_path, size, end):
+    """A file cut anywhere gives the records of a reader that sees it as a whole, line ends in quotes as they are."""
+    rows_ = quoted_rows(400)
+    text = "order_id,customer_id,order_date,payment_method" + end + "".join(f'{a},{b},{c},"{d}"{end}' for a, b, c, d in rows_)
+    path = tmp_path / "orders.csv"
+    path.write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = files.read_csv(spark, str(path), schemas.ORDERS, multiline=True)
+        found = {r.order_id: (r.customer_id, r.payment_method) for r in got.collect()}
+        tasks = csv_records.ranges_of(spark, str(path)).count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = {a: (b, d) for a, b, _, d in list(csv.reader(io.StringIO(text, newline="")))[1:]}
+    assert len(found) == 400 and found == want
+    assert tasks > 1 or size == "10m"
+
+
+def test_headers_in_rows_and_odd_files(spark, tmp_path):
+    folder = tmp_path / "orders"
+    folder.mkdir()
+    head = "order_id,customer_id,order_date\n"
+    (folder / "a.csv").write_text("\ufeff" + head + "1,C1,2024-01-05\n" + head)
+    (folder / "b.csv").write_text("")
+    (folder / "c d.csv").write_text(head)
+    (folder / "e.csv").write_text('"customer_id","order_id"\nC2,2\n\n"C\n3",3')
+    got = files.read_csv(spark, str(folder), StructType([StructField(c, StringType()) for c in ("order_id", "customer_id", "order_date")]), multiline=True)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([("1", "C1", "2024-01-05"), ("order_id", "customer_id", "order_date"), ("2", "C2", None), ("3", "C\n3", None)], key=repr)
+
+
+def test_jobs_do_not_grow_with_the_files(spark, tmp_path):
+    def jobs(count):
+        folder = tmp_path / f"of{count}"
+        folder.mkdir()
+        for i in range(count):
+            names = ["order_id", "customer_id", "order_date"][:: 1 if i % 2 else -1]
+            cells = {"order_id": f"{i}", "customer_id": "C", "order_date": "2024-01-05"}
+            (folder / f"{i}.csv").write_text(",".join(names) + "\n" + ",".join(cells[n] for n in names) + "\n")
+        group = f"headers-{count}"
+        spark.sparkContext.setJobGroup(group, group)
+        frame = files.read_csv(spark, str(folder), schemas.ORDERS)
+        found = {r.order_id for r in frame.collect()}
+        assert found == {str(i) for i in range(count)}
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(4) == jobs(20) < 12
+
+
 def test_optional_column_may_be_absent(spark, tmp_path):
     path = tmp_path / "prices.csv"
     path.write_text("product_name,competitor_price\nA,1.50\n")
@@ -115,7 +179,36 @@ def test_load_all(spark, tmp_path):
         assert [(report[t].status, report[t].rows) for t in ("orders", "gone", "items")] == [("SUCCESS", 2), ("FAILED", 0), ("FAILED", 0)]
         assert report["holes"].status == "FAILED" and "order_date" in report["holes"].error
         assert "expected 5" in report["orders"].error and "lacks the columns" in report["items"].error
-    assert "_loaded_at" in spark.read.parquet(str(tmp_path / "t/orders")).columns
+    assert "_loaded_at" in Versions(spark, str(tmp_path / "t/orders")).read().columns
+    # A load that fails its check leaves the old rows, and nothing behind.
+    (tmp_path / "orders.csv").write_text("order_id,customer_id,order_date\n9,,2024-01-05\n")
+    assert files.load_all(spark, {"orders": loads["orders"]}).first().status == "FAILED"
+    kept = Versions(spark, str(tmp_path / "t/orders"))
+    assert sorted(r.order_id for r in kept.read().collect()) == ["1", "2"] and kept.numbers() == [1, 2]
+    assert len(list((tmp_path / "t/orders").glob("data-*"))) == 2
+
+
+def test_versions(spark, tmp_path):
+    table = Versions(spark, str(tmp_path / "v"))
+    with pytest.raises(ValueError, match="no published"):
+        table.read()
+    first = table.write(spark.range(3))
+    with pytest.raises(ValueError, match="no published"):
+        table.read()
+    table.publish(first)
+    reader = table.read()
+    other = Versions(spark, str(tmp_path / "v"))
+    second, third = table.write(spark.range(5)), other.write(spark.range(7))
+    assert reader.count() == 3 and other.read().count() == 3
+    assert table.publish(second) == 2 and reader.count() == 3 and other.read().count() == 5
+    other.numbers = lambda: [1]  # has not seen the second one
+    with pytest.raises(ValueError, match="another writer"):
+        other.publish(third)
+    other.discard(third)
+    assert table.read().count() == 5 and table.read(1).count() == 3
+    table.publish(table.write(spark.range(1)))
+    table.drop_old(1)
+    assert table.read().count() == 1 and len(list((tmp_path / "v").glob("data-*"))) == 1
 
 
 def test_row_counts(spark):
