@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,11 +15,11 @@ from martwright.functions.keys import surrogate_key
 from martwright.functions.money import doubles, settle
 from martwright.functions.text import lenient_date, parse_price
 from martwright.operators import joins, pivot, quality, rows
-from martwright.operators.ranking import By, global_ntile, global_row_number
+from martwright.operators.ranking import By, global_ntile, global_row_number, with_position
 from martwright.plans import analytics, dashboards, guarded, marts, model_tests, questions, staging, validation
 from martwright.plans.warehouse import Warehouse
 from martwright.sources import files, html_tables, sample_tables, schemas
-from martwright.sources.tables import fingerprint, write_stable
+from martwright.sources.tables import Versions, fingerprint, materialize, write_stable
 
 try:  # the driver may take this part of the library away
     import corpus_pipeline
@@ -178,6 +179,47 @@ def _csv_mixed_headers(w: Warehouse) -> DataFrame:
     return files.read_csv(w.spark, path, schemas.ORDERS)
 
 
+def _csv_multiline(w: Warehouse) -> DataFrame:
+    """Orders whose payment method holds a line break and quotes, written and read by many tasks."""
+    path = f"{w.folder}/csv/multiline"
+    method = F.concat(F.lit('say "'), F.col("payment_method"), F.lit('"\n\ntwice'))
+    files.export_csv(w.raw.orders.withColumn("payment_method", method), path)
+    return files.read_csv(w.spark, path, schemas.ORDERS, multiline=True)
+
+
+def _csv_renamed(w: Warehouse) -> DataFrame:
+    """Orders under other headings, renamed while they are read, every cell quoted."""
+    path = f"{w.folder}/csv/renamed"
+    headings = {"Order No": "order_id", "CUSTOMER": "customer_id", "Day": "order_date"}
+    named = w.raw.orders.withColumnsRenamed({column: heading for heading, column in headings.items()})
+    files.export_csv(named, path, quote_all=True)
+    return files.read_csv(w.spark, path, schemas.ORDERS, headings)
+
+
+def _json_round_trip(w: Warehouse) -> DataFrame:
+    path = f"{w.folder}/json/orders"
+    files.export_json(w.raw.orders, path)
+    return w.spark.read.schema(w.raw.orders.schema).json(path)
+
+
+def _versioned_refresh(w: Warehouse) -> DataFrame:
+    """Orders loaded, loaded again, and left as they are by a version that is not published."""
+    table = Versions(w.spark, f"{w.folder}/versions/orders-{uuid.uuid4().hex[:8]}")
+    for part in (w.raw.orders.limit(0), w.raw.orders):
+        table.publish(table.write(part))
+    table.write(w.raw.orders.select("order_id"))
+    return table.read()
+
+
+def _positions(w: Warehouse) -> DataFrame:
+    return with_position(dashboards.top_products(w).select("product_name", "revenue"), [F.desc("revenue"), F.asc("product_name")])
+
+
+def _materialized(w: Warehouse) -> DataFrame:
+    shown = materialize(w.stg_orders.groupBy("order_status").agg(F.count("*").alias("num_orders")), "order_statuses")
+    return shown.sparkSession.sql("SELECT order_status, num_orders FROM order_statuses")
+
+
 def _defects(w: Warehouse) -> DataFrame:
     """Checks over raw tables with defects put in by key remainder, so that every one of them finds some."""
     items, orders, prices = w.raw.order_items, w.raw.orders, w.raw.competitor_prices
@@ -350,6 +392,15 @@ REPORTS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "records_all": lambda w: _records(w.stg_orders.select("order_id", "customer_id", "order_date", "order_status", "payment_method")),
     "records_round_trip": lambda w: _records(w.stg_orders.select("order_id", "order_date", "order_status")),
     "csv_mixed_headers": _csv_mixed_headers,
+    "csv_multiline_split": _csv_multiline,
+    "csv_renamed_columns": _csv_renamed,
+    "json_round_trip": _json_round_trip,
+    "versioned_refresh": _versioned_refresh,
+    "top_product_positions": _positions,
+    "materialized_view": _materialized,
+    "sample_lines": lambda w: rows.sample_rows(w.fct_sales.select("sale_sk", "quantity"), 100, [By("quantity", True), "sale_sk"]),
+    "dq_row_tests": model_tests.row_tests,
+    "dq_model_tests": model_tests.model_tests,
     "pivot_share_of_column": lambda w: _cells(w, "category", "payment_method", "fraction_of_column", "net_revenue", False),
     "ask_top_customers": questions.ask_top_customers,
     "top_customers_5": lambda w: questions.ask_top_customers(w, 5),

@@ -142,6 +142,8 @@ def _checks() -> dict[str, str]:
         "dq_not_null": " UNION ALL ".join(filled),
         "dq_accepted_values": " UNION ALL ".join(accepted),
         "dq_relationships": " UNION ALL ".join(related),
+        "dq_row_tests": " UNION ALL ".join([*filled, *accepted]),
+        "dq_model_tests": " UNION ALL ".join([*unique, *filled, *accepted, *related]),
     }
 
 
@@ -234,6 +236,14 @@ STATEMENTS = {
     "json_records": "SELECT CAST(to_json({region: region, customers: count(*)}) AS VARCHAR) AS record FROM dim_customer GROUP BY region",
     "csv_round_trip": "SELECT * FROM raw_orders",
     "csv_mixed_headers": "SELECT * FROM raw_orders",
+    "csv_multiline_split": """SELECT * REPLACE ('say "' || payment_method || '"' || chr(10) || chr(10) || 'twice' AS payment_method) FROM raw_orders""",
+    "csv_renamed_columns": "SELECT * FROM raw_orders",
+    "json_round_trip": "SELECT * FROM raw_orders",
+    "versioned_refresh": "SELECT * FROM raw_orders",
+    "top_product_positions": f"""SELECT product_name, CAST(revenue AS DOUBLE) AS revenue, CAST(row_number() OVER (ORDER BY revenue DESC, product_name) AS INTEGER) AS position
+        FROM ({TOP_20})""",
+    "materialized_view": "SELECT order_status, count(*) AS num_orders FROM stg_orders GROUP BY order_status",
+    "sample_lines": "SELECT sale_sk, quantity FROM fct_sales ORDER BY quantity DESC NULLS LAST, sale_sk LIMIT 100",
     "load_report": """SELECT * FROM (VALUES ('missing', 'FAILED', CAST(0 AS BIGINT))) t(table_name, status, rows)
         UNION ALL SELECT 'customers', 'SUCCESS', count(*) FROM customer UNION ALL SELECT 'products', 'SUCCESS', count(*) FROM part
         UNION ALL SELECT 'orders', 'SUCCESS', count(*) FROM orders UNION ALL SELECT 'order_items', 'SUCCESS', count(*) FROM lineitem

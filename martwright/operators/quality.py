@@ -8,9 +8,10 @@ check but ``not_null``.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from martwright.operators.joins import orphan_counts
 
@@ -49,10 +50,7 @@ def check_unique_columns(tables: list[tuple[DataFrame, str, list[str]]]) -> Data
         parts.append(df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*"))
     counts = reduce(DataFrame.unionByName, parts).where("value is not null").groupBy("test", "value").agg(F.count("*").alias("rows"))
     found = counts.where("rows > 1").groupBy("test").agg(F.count("*").alias("failures"))
-    spark = tables[0][0].sparkSession
-    listed = spark.createDataFrame([(n, *test) for n, test in enumerate(tests)], "test int, table string, column string")
-    failures = F.coalesce(F.col("failures"), F.lit(0)).cast("bigint")
-    return listed.join(found, "test", "left").select(F.lit("unique").alias("check"), "table", "column", failures.alias("failures"), (failures == 0).alias("passed"))
+    return _listed(tables[0][0].sparkSession, [("unique", *test) for test in tests], found)
 
 
 def check_not_null(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
@@ -85,6 +83,84 @@ def check_fk(child: DataFrame, table: str, child_col: str, parent: DataFrame, pa
     return _result(missing.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("failures")), "relationships", table, child_col)
 
 
+def check_fk_columns(tables: list[tuple[DataFrame, str]], relations: list[tuple[str, str, str, str]]) -> DataFrame:
+    """``check_fk`` of many relations (child table, column, parent table, column).
+
+    Every table is read once, and its keys go on as child or parent of each relation it
+    is in. One shuffle brings the two sides of all relations together; rows of a child key
+    are added up before it, so a hot key is one row a task.
+    """
+    parts = []
+    for df, name in tables:
+        cells = [(n, c, 1, 0) for n, (child, c, _, _) in enumerate(relations) if child == name]
+        cells += [(n, k, 0, 1) for n, (_, _, parent, k) in enumerate(relations) if parent == name]
+        tagged = [F.struct(F.lit(n).alias("test"), F.col(c).cast("string").alias("value"), F.lit(child).alias("rows"), F.lit(parent).alias("parent")) for n, c, child, parent in cells]
+        parts.append(df.select(F.explode(F.array(*tagged)).alias("cell")).select("cell.*"))
+    keys = reduce(DataFrame.unionByName, parts).where("value is not null")
+    met = keys.groupBy("test", "value").agg(F.sum("rows").alias("rows"), F.max("parent").alias("parent"))
+    found = met.where("parent = 0").groupBy("test").agg(F.sum("rows").alias("failures"))
+    listed = [("relationships", child, column) for child, column, _, _ in relations]
+    return _listed(tables[0][0].sparkSession, listed, found)
+
+
+def _listed(spark: SparkSession, tests: list[tuple[str, str, str]], found: DataFrame) -> DataFrame:
+    """Result rows of numbered tests (check, table, column); those not found have no failures."""
+    names = spark.createDataFrame([(n, *test) for n, test in enumerate(tests)], "test int, check string, table string, column string")
+    failures = F.coalesce(F.col("failures"), F.lit(0)).cast("bigint")
+    return names.join(found, "test", "left").select("check", "table", "column", failures.alias("failures"), (failures == 0).alias("passed"))
+
+
+@dataclass(frozen=True)
+class CellTest:
+    """A test that looks at one row: the condition under which it fails, and the value then shown.
+
+    ``by_value`` counts the distinct values that fail instead of the rows.
+    """
+
+    check: str
+    table: str
+    column: str
+    fails: Column
+    value: Column | None = None
+    by_value: bool = False
+
+
+def not_null_test(table: str, column: str, cell: Column | None = None, present: Column | None = None) -> CellTest:
+    """``present`` tells which rows belong to the table, all unless given."""
+    empty = (F.col(column) if cell is None else cell).isNull()
+    return CellTest("not_null", table, column, empty if present is None else present & empty)
+
+
+def accepted_test(table: str, column: str, values: list, cell: Column | None = None) -> CellTest:
+    cell = F.col(column) if cell is None else cell
+    return CellTest("accepted_values", table, column, cell.isNotNull() & ~cell.isin(*values), cell, True)
+
+
+def failing_cells(frames: list[tuple[DataFrame, list[CellTest]]]) -> DataFrame:
+    """Failing values with their row counts: test (its place in the list of all tests), value, rows.
+
+    Tests are grouped by the frame they read: each is scanned once for all of them, and
+    only cells that fail leave the scan.
+    """
+    parts, number = [], 0
+    for df, tests in frames:
+        cells = []
+        for test in tests:
+            value = F.lit(None).cast("string") if test.value is None else test.value.cast("string")
+            cells.append(F.when(F.coalesce(test.fails, F.lit(False)), F.struct(F.lit(number).alias("test"), value.alias("value"))))
+            number += 1
+        parts.append(df.select(F.explode(F.array_compact(F.array(*cells))).alias("cell")).select("cell.*"))
+    return reduce(DataFrame.unionByName, parts).groupBy("test", "value").agg(F.count("*").alias("rows"))
+
+
+def check_cells(frames: list[tuple[DataFrame, list[CellTest]]]) -> DataFrame:
+    """Results of all row tests, a scan per frame."""
+    tests = [test for _, own in frames for test in own]
+    by_value = F.col("test").isin([n for n, test in enumerate(tests) if test.by_value])
+    found = failing_cells(frames).groupBy("test").agg(F.sum(F.when(by_value, 1).otherwise(F.col("rows"))).alias("failures"))
+    return _listed(frames[0][0].sparkSession, [(t.check, t.table, t.column) for t in tests], found)
+
+
 def check_rule(df: DataFrame, table: str, name: str, broken: Column) -> DataFrame:
     """Rows for which the ``broken`` condition holds."""
     return _result(df.agg(F.count_if(broken).alias("failures")), "rule", table, name)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from martwright.operators import quality
 from martwright.plans.warehouse import Warehouse
@@ -71,18 +71,55 @@ def unique_tests(w: Warehouse) -> DataFrame:
     return quality.check_unique_columns([(_table(w, t), t, columns) for t, columns in UNIQUE.items()])
 
 
+def _frames(w: Warehouse, filled: bool = True, accepted: bool = True) -> list[tuple[DataFrame, list[quality.CellTest]]]:
+    """The row tests by the frame that answers them: a raw table and what is staged of it share one."""
+    listed = list(dict.fromkeys([*(NOT_NULL if filled else []), *(t for t, _, _ in ACCEPTED if accepted)]))
+    frames: dict[str, tuple[DataFrame, list[quality.CellTest]]] = {}
+    for table in listed:
+        source = table.removeprefix("raw_").removeprefix("stg_")
+        joint = source in w.beside_raw
+        if joint and source not in frames:
+            frames[source] = (w.beside_raw[source], [])
+        df, tests = frames.setdefault(source if joint else table, (None if joint else _table(w, table), []))
+        part = "raw" if table.startswith("raw_") else "stg"
+
+        def cell(column: str) -> Column:
+            return F.col(f"{part}.{column}") if joint else F.col(column)
+
+        present = F.col(part).isNotNull() if joint else None
+        if filled:
+            tests += [quality.not_null_test(table, c, cell(c), present) for c in NOT_NULL.get(table, [])]
+        if accepted:
+            tests += [quality.accepted_test(table, c, values, cell(c)) for t, c, values in ACCEPTED if t == table]
+    return list(frames.values())
+
+
 def not_null_tests(w: Warehouse) -> DataFrame:
-    return quality.all_checks(*[quality.check_not_null(_table(w, t), t, columns) for t, columns in NOT_NULL.items()])
+    return quality.check_cells(_frames(w, accepted=False))
 
 
 def accepted_value_tests(w: Warehouse) -> DataFrame:
-    return quality.all_checks(*[quality.check_accepted(_table(w, t), t, c, values) for t, c, values in ACCEPTED])
+    return quality.check_cells(_frames(w, filled=False))
+
+
+def row_tests(w: Warehouse) -> DataFrame:
+    """All tests that look at one row, with one scan per raw table and mart."""
+    return quality.check_cells(_frames(w))
+
+
+def failing_values(w: Warehouse) -> DataFrame:
+    """What the row tests found: check, table, column, value and its rows."""
+    frames = _frames(w)
+    names = [(n, t.check, t.table, t.column) for n, t in enumerate(t for _, own in frames for t in own)]
+    listed = w.spark.createDataFrame(names, "test int, check string, table string, column string")
+    return listed.join(quality.failing_cells(frames), "test").drop("test")
 
 
 def relationship_tests(w: Warehouse) -> DataFrame:
-    return quality.all_checks(*[quality.check_fk(_table(w, t), t, c, _table(w, p), k) for t, c, p, k in RELATIONSHIPS])
+    tables = list(dict.fromkeys(name for child, _, parent, _ in RELATIONSHIPS for name in (child, parent)))
+    return quality.check_fk_columns([(_table(w, t), t) for t in tables], RELATIONSHIPS)
 
 
 def model_tests(w: Warehouse) -> DataFrame:
     """Every declared test, one row each."""
-    return quality.all_checks(unique_tests(w), not_null_tests(w), accepted_value_tests(w), relationship_tests(w))
+    return quality.all_checks(unique_tests(w), row_tests(w), relationship_tests(w))

@@ -7,20 +7,20 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, partial
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from martwright.operators.joins import hot_values
 from martwright.plans import analytics, marts, staging
 from martwright.session import shared_folder
 from martwright.sources.schemas import RawTables
-from martwright.sources.tables import clustered, remove_folder
+from martwright.sources.tables import curve, curve_clustered, remove_folder
 
 
 class Warehouse:
     """Staging frames are lazy; marts and analytics are written on first use.
 
     Every report reads the fact several times over its life, so it is stored once in
-    the shared folder, arranged by date and product, instead of being rebuilt.
+    the shared folder, arranged along a curve over date and product, instead of being rebuilt.
     """
 
     def __init__(self, spark: SparkSession, raw: RawTables, as_of: dt.date, folder: str | None = None,
@@ -36,6 +36,12 @@ class Warehouse:
         self.stg_products = staging.stg_products(raw.products)
         self.stg_orders = staging.stg_orders(raw.orders, trim_first)
         self.stg_order_items = staging.stg_order_items(raw.order_items, clamp_revenue)
+        # Raw rows next to what is staged of them.
+        rows = {
+            "customers": staging.customer_rows(as_of), "products": staging.product_rows(),
+            "orders": staging.order_rows(trim_first), "order_items": staging.item_rows(clamp_revenue),
+        }
+        self.beside_raw = {name: staging.beside_raw(getattr(raw, name), row) for name, row in rows.items()}
 
     def _stored(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
@@ -66,7 +72,16 @@ class Warehouse:
     @cached_property
     def fct_sales(self) -> DataFrame:
         dated = self.sales().withColumn("loaded_at", self.built_at)
-        return self._stored(clustered(dated, marts.FACT_CLUSTERING), "fct_sales")
+        return self._stored(curve_clustered(dated, self.fact_curve), "fct_sales")
+
+    @cached_property
+    def fact_curve(self) -> Column:
+        """Place of a fact row on the curve over date and product."""
+        days = self.dim_date.agg(F.min("date_actual"), F.max("date_actual")).first()
+        products = self.dim_product.agg(F.min("product_sk"), F.max("product_sk")).first()
+        first_day = F.lit(days[0]).cast("date")
+        date = (F.datediff("order_date", first_day), F.lit(0), F.datediff(F.lit(days[1]).cast("date"), first_day))
+        return curve(date, (F.col("product_sk"), *(F.lit(p).cast("long") for p in products)))
 
     @cached_property
     def _hot(self) -> dict[str, list]:

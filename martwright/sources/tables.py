@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from martwright.session import shared_folder
 
@@ -111,6 +111,46 @@ def clustered(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.hint("rebalance", columns[0]).sortWithinPartitions(*columns)
 
 
+# Bits of a column's place in a curve over two columns.
+CURVE_BITS = 16
+
+
+def _place(column: Column, low: Column, high: Column) -> Column:
+    """Where a value lies between the bounds, as a number of ``CURVE_BITS`` bits; nulls and what lies below come first."""
+    part = (column - low).cast("double") / F.greatest((high - low).cast("double"), F.lit(1.0))
+    most = (1 << CURVE_BITS) - 1
+    return F.coalesce(F.least(F.greatest(F.floor(part * most), F.lit(0)), F.lit(most)), F.lit(0)).cast("long")
+
+
+def _spread(bits: Column) -> Column:
+    """The bits of a number with a zero before each."""
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        bits = bits.bitwiseOR(F.shiftleft(bits, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return bits
+
+
+def curve(first: tuple[Column, Column, Column], second: tuple[Column, Column, Column]) -> Column:
+    """Place on a curve that runs through both columns alike: their bits by turns.
+
+    A column comes with its bounds. Rows that are near on the curve are near in both
+    columns, so the minima and maxima of a stretch are narrow in each of them.
+    """
+    return F.shiftleft(_spread(_place(*first)), 1).bitwiseOR(_spread(_place(*second)))
+
+
+def curve_clustered(df: DataFrame, place: Column) -> DataFrame:
+    """Rows arranged along a curve, so that statistics of files and row groups can skip by either of its columns.
+
+    Cells of the curve, about one per shuffle partition, are shuffled once without a
+    sampling pass; adaptive execution splits a hot cell and merges small ones. Inside a
+    task the rows follow the curve.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(0, width.bit_length() - 1) // 2 * 2
+    placed = df.withColumn("_curve", place).withColumn("_cell", F.shiftright("_curve", 2 * CURVE_BITS - bits))
+    return placed.hint("rebalance", "_cell").sortWithinPartitions("_curve").drop("_curve", "_cell")
+
+
 def write_clustered(df: DataFrame, path: str, columns: list[str]) -> None:
     clustered(df, columns).write.mode("overwrite").parquet(path)
 

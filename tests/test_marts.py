@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from martwright.plans import marts, staging
 from martwright.plans.warehouse import Warehouse
 from martwright.sources import schemas
+from martwright.sources.tables import curve, curve_clustered
 
 AS_OF = dt.date(2024, 12, 31)
 
@@ -88,14 +89,46 @@ def test_clustered_fact_skips_by_date(house, plan):
     assert "ReadSchema: struct<order_date:date,net_revenue:decimal(18,2)>" in text
 
 
-def test_stored_fact_is_sorted_inside_its_files(small):
+def test_stored_fact_follows_the_curve_inside_its_files(spark, small):
+    for path in small.fct_sales.inputFiles():
+        places = [r[0] for r in spark.read.parquet(path).coalesce(1).select(small.fact_curve).collect()]
+        assert places == sorted(places)
+
+
+def test_curve_takes_bits_by_turns(spark):
+    most = (1 << 16) - 1
+    rows = [(0, 0), (most, 0), (0, most), (most, most), (0b1011, 0b0110), (None, 5), (-3, most + 9)]
+    frame = spark.createDataFrame(rows, "a long, b long")
+    bounds = (F.lit(0), F.lit(most))
+    got = [r[0] for r in frame.select(curve((F.col("a"), *bounds), (F.col("b"), *bounds))).collect()]
+
+    def by_hand(a, b):
+        a, b = (min(max(x or 0, 0), most) for x in (a, b))
+        return sum((a >> i & 1) << 2 * i + 1 | (b >> i & 1) << 2 * i for i in range(16))
+
+    assert got == [by_hand(*row) for row in rows]
+
+
+def test_both_columns_skip_row_groups(spark, tmp_path):
+    """Of row groups written along the curve a filter on either column reads few."""
     import pyarrow.parquet as pq
 
-    paths = [f.removeprefix("file://") for f in small.fct_sales.inputFiles()]
-    for path in paths:
-        keys = pq.read_table(path, columns=marts.FACT_CLUSTERING).to_pydict()
-        pairs = list(zip(*keys.values()))
-        assert pairs == sorted(pairs)
+    rows = spark.range(200_000).selectExpr("date_add(date '2020-01-01', cast(pmod(xxhash64(id), 1000) as int)) as day", "pmod(xxhash64(id, 1), 5000) as product", "repeat('x', 50) as pad")
+    first = F.lit(dt.date(2020, 1, 1))
+    place = curve((F.datediff("day", first), F.lit(0), F.lit(999)), (F.col("product"), F.lit(0), F.lit(4999)))
+    writer = curve_clustered(rows, place).write.option("parquet.block.size", 65536).option("parquet.page.row.count.limit", 1000)
+    writer.option("parquet.block.row.count.limit", 2000).parquet(f"{tmp_path}/curve")
+    groups = []
+    for path in (tmp_path / "curve").glob("part-*"):
+        meta = pq.ParquetFile(path).metadata
+        for i in range(meta.num_row_groups):
+            columns = {meta.row_group(i).column(c).path_in_schema: meta.row_group(i).column(c).statistics for c in range(2)}
+            groups.append((meta.row_group(i).num_rows, columns["day"], columns["product"]))
+    assert sum(n for n, _, _ in groups) == 200_000 and len(groups) >= 40
+    day, product = dt.date(2021, 5, 1), 1234
+    by_day = [g for g in groups if g[1].min <= day <= g[1].max]
+    by_product = [g for g in groups if g[2].min <= product <= g[2].max]
+    assert len(by_day) < 0.35 * len(groups) and len(by_product) < 0.35 * len(groups)
 
 
 def test_fact_joins_without_cross_product_or_broadcast_of_lines(small, plan):

@@ -1,3 +1,4 @@
+import re
 from decimal import Decimal as D
 
 import pytest
@@ -78,3 +79,49 @@ def test_all_declared_tests(small):
     rows = model_tests.model_tests(small).collect()
     assert len(rows) == 63
     assert all(r.passed for r in rows), [r for r in rows if not r.passed]
+
+
+def test_relations_in_one_shuffle(spark, plan):
+    child = spark.createDataFrame([(1, "x"), (1, "y"), (2, None), (3, "y"), (None, "z")], "id int, ref string")
+    parent = spark.createDataFrame([("x", 1), ("w", 3), ("x", 1)], "ref string, up int")
+    relations = [("child", "ref", "parent", "ref"), ("parent", "up", "child", "id"), ("child", "id", "parent", "up")]
+    found = quality.check_fk_columns([(child, "child"), (parent, "parent")], relations)
+    text = plan(found)
+    assert {(r["table"], r["column"]): r["failures"] for r in found.collect()} == {("child", "ref"): 3, ("parent", "up"): 0, ("child", "id"): 1}
+    for table, column, other, key in relations:
+        frames = {"child": child, "parent": parent}
+        alone = quality.check_fk(frames[table], table, column, frames[other], key).first()["failures"]
+        assert alone == next(r["failures"] for r in found.collect() if (r["table"], r["column"]) == (table, column))
+    # One exchange meets all keys, a second one adds up a row per relation.
+    assert len(re.findall(r"Exchange hashpartitioning\(test#\d+, value", text)) == 1
+    assert len(re.findall(r"Exchange hashpartitioning", text)) <= 3
+
+
+def test_row_tests_by_frame(broken):
+    tests = [quality.not_null_test("t", "id"), quality.accepted_test("t", "kind", ["a"]), quality.CellTest("rule", "t", "price not positive", F.col("price") <= 0, F.col("price"))]
+    found = quality.check_cells([(broken, tests), (broken.limit(0), [quality.not_null_test("empty", "id")])])
+    assert [tuple(r) for r in found.orderBy("table", "check").collect()] == [("not_null", "empty", "id", 0, True), ("accepted_values", "t", "kind", 2, False), ("not_null", "t", "id", 2, False), ("rule", "t", "price not positive", 2, False)]
+    cells = {(r["test"], r["value"], r["rows"]) for r in quality.failing_cells([(broken, tests)]).collect()}
+    assert cells == {(0, None, 2), (1, "b", 1), (1, "c", 1), (2, "-1.00", 1), (2, "0.00", 1)}
+
+
+def test_declared_row_tests_read_each_raw_table_once(small, plan):
+    text = plan(model_tests.row_tests(small))
+    for table in ("customer", "orders", "lineitem", "part"):
+        assert len(re.findall(rf"Location: \S+ \[file:\S+/{table}\.parquet\]", text)) <= 1, table
+    found = model_tests.row_tests(small).collect()
+    wanted = {(t, c) for t, columns in model_tests.NOT_NULL.items() for c in columns} | {(t, c) for t, c, _ in model_tests.ACCEPTED}
+    assert {(r["table"], r["column"]) for r in found} == wanted and len(found) == 36 + 7
+
+
+def test_failing_values_are_kept(spark, small):
+    from martwright.plans.warehouse import Warehouse
+    from martwright.sources.schemas import RawTables
+
+    orders = small.raw.orders
+    tables = {name: getattr(small.raw, name) for name in ("customers", "products", "order_items", "competitor_prices")}
+    odd = orders.withColumn("order_status", F.when(F.crc32("order_id") % 7 == 0, "Lost").otherwise(F.col("order_status")))
+    house = Warehouse(spark, RawTables(orders=odd, **tables), small.as_of)
+    frames = [f for f in model_tests._frames(house) if any(t.table == "stg_orders" for t in f[1])]
+    lost = odd.where("order_status = 'Lost'").count()
+    assert [(r["value"], r["rows"]) for r in quality.failing_cells(frames).collect()] == [("Lost", lost)] and lost > 0
