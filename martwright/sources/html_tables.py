@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from martwright.functions.arrays import LAST_SEEN, running
 from martwright.functions.text import parse_price
 
 # Case-insensitive, dot matches line ends.
@@ -40,29 +41,24 @@ def extract_html_tables(pages: DataFrame, html_col: str = "html", source: Column
 
     A heading takes the next table after it; of equal headings on a page the last
     one counts. Rows with fewer than three cells are skipped and a missing fourth
-    cell reads ``Unknown``. The page columns other than the text are kept.
+    cell reads ``Unknown``. The page columns other than the text are kept. A page is
+    looked through in its own row, in time that grows with its parts.
     """
     kept = [c for c in pages.columns if c != html_col]
     clean = F.regexp_replace(F.col(html_col), _COMMENT, "")
     found = pages.where(F.col(html_col).rlike("(?i)<h2") & F.col(html_col).rlike("(?i)<table"))
-    found = found.select(*kept, clean.alias("_html"))
-    # From the last part backwards: every heading takes the table seen last.
-    start = F.struct(F.lit(None).cast("string").alias("table"), F.array().cast("array<struct<title:string,body:string>>").alias("found"))
-
-    def step(acc: Column, part: Column) -> Column:
-        title = F.trim(F.regexp_replace(part, _TAG, ""))
-        more = F.array_append(acc["found"], F.struct(title.alias("title"), acc["table"].alias("body")))
-        is_table = F.rlike(part, F.lit("(?i)^<table"))
-        return F.struct(F.when(is_table, part).otherwise(acc["table"]).alias("table"), F.when(is_table | acc["table"].isNull(), acc["found"]).otherwise(more).alias("found"))
-
-    parts = F.reverse(_all(F.col("_html"), _PART, 0))
-    found = found.withColumn("_found", F.reverse(F.aggregate(parts, start, step)["found"]))
-    found = found.withColumn("_titles", F.transform("_found", lambda s: s["title"])).withColumn("_tables", F.transform("_found", lambda s: s["body"]))
-    last = F.filter(
-        F.arrays_zip("_titles", "_tables"),
-        lambda s, i: ~F.array_contains(F.slice(F.col("_titles"), i + 2, F.size("_titles")), s["_titles"]),
-    )
-    sections = found.select(*kept, F.explode(last).alias("_section"))
+    found = found.select(*kept, _all(clean, _PART, 0).alias("_parts")).where(F.size("_parts") > 0)
+    # From the last part backwards: place of the table seen last, before each part.
+    tables = "transform(sequence(size(_parts) - 1, 0, -1), i -> CASE WHEN rlike(get(_parts, i), '(?i)^<table') THEN i ELSE -1 END)"
+    found = found.withColumn("_tables", F.expr(tables))
+    found = found.withColumn("_next", F.expr(running("_tables", LAST_SEEN, "-1")))
+    # By title, the last of equal ones first.
+    title = f"trim(regexp_replace(get(_parts, size(_parts) - 1 - i), r'{_TAG}', ''))"
+    places = "filter(sequence(0, size(_parts) - 1), i -> get(_tables, i) < 0 AND get(_next, i) >= 0)"
+    found = found.withColumn("_heads", F.expr(f"array_sort(transform({places}, i -> named_struct('title', {title}, 'back', i, 'table', get(_next, i))))"))
+    last = "filter(_heads, (h, i) -> i = 0 OR get(_heads, i - 1).title <> h.title)"
+    listed = F.expr(f"transform({last}, h -> named_struct('_titles', h.title, '_tables', get(_parts, h.table)))")
+    sections = found.select(*kept, F.explode(listed).alias("_section"))
     table = F.col("_section._tables")
     body = F.when(table.rlike("(?i)<tbody"), F.regexp_extract(table, _BODY, 1)).otherwise(table)
     rows = sections.select(*kept, F.col("_section._titles").alias("_title"), F.explode(_all(body, _ROW)).alias("_row"))

@@ -1,9 +1,11 @@
+import time
 import random
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from martwright.functions.arrays import LAST_SEEN, MOST, SUM, running
 from martwright.functions import labels, money
 from martwright.functions.keys import date_key, surrogate_key
 from martwright.functions.text import parse_price
@@ -99,6 +101,34 @@ def test_html_tables(spark):
     }
 
 
+def test_a_page_with_many_headings(spark):
+    """Time grows with the parts of a page, not with their square; of equal titles the last counts."""
+
+    def page(count):
+        parts = [f"<h2>Title {i % (count // 2)}</h2>" + (f"<table><tr><td>p{i}</td><td>c</td><td>{i}</td></tr></table>" if i % 4 == 3 else "") for i in range(count)]
+        return "".join(parts)
+
+    def extracted(count):
+        frame = spark.createDataFrame([(1, page(count))], "page_id int, html string")
+        started = time.monotonic()
+        rows = extract_html_tables(frame).collect()
+        return {r["section"]: r["product_name"] for r in rows}, time.monotonic() - started
+
+    extracted(100)
+    for count in (400, 20_000):
+        found, seconds = extracted(count)
+        assert found == {f"Title {i % (count // 2)}": f"p{i // 4 * 4 + 3}" for i in range(count // 2, count)}
+    assert seconds < 30
+
+
+@pytest.mark.parametrize("combine, start, by_hand", [(SUM, "0", lambda v: sum(v)), (MOST, "0", lambda v: max([0, *v])), (LAST_SEEN, "-1", lambda v: next((x for x in reversed(v) if x >= 0), -1))])
+@pytest.mark.parametrize("size", [0, 1, 64, 65, 700])
+def test_running(spark, combine, start, by_hand, size):
+    numbers = [(i * 7919) % 13 - 6 for i in range(size)]
+    found = spark.createDataFrame([(numbers,)], "n array<int>").select(F.expr(running("n", combine, start))).first()[0]
+    assert found == [by_hand(numbers[:i]) for i in range(size)]
+
+
 REFUSED = [
     "DROP TABLE x", "select 1; select 2", "SELECT 1; DROP TABLE x", "insert into x values (1)", "select * from x -- all", "select /* x */ 1",
     "SHOW TABLES", "", "select xp_run()", "select reflect('java.lang.System', 'exit')", "select * from parquet.`/etc`", "WITH a AS (DELETE FROM x) SELECT 1",
