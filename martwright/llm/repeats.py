@@ -32,7 +32,9 @@ from martwright.llm.common import stored
 LENGTH, CORE, WINDOW, PART = 400, 128, 8, 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 # Positions of a text that are parsed at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
+# Parts of entries that a task hands on at a time.
+PACKED = 1 << 14
 # Bits of the filter that spares the second pass most of the shuffle; a full filter only spares less.
 FILTER_BITS, SEGMENT_BITS = 27, 20
 
@@ -213,6 +215,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     held = texts.mapInArrow(contexts, "id long, text_a long, text_b long, entry int, last int, trigger int, bytes binary")
     held = stored(held, "contexts")
 
+    def packed(out: list[tuple], digests: list[bytes]) -> pa.RecordBatch:
+        core, own, a, b, low, high, entry = (np.array(c) for c in zip(*out))
+        pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        ids = _mixed(own.astype(np.int64).view(np.uint64) + low.astype(np.uint64)).view(np.int64)
+        columns = [core.astype(np.uint64).view(np.int64), pair[:, 0], pair[:, 1], ids, a, b, low.astype(np.int32), high.astype(np.int32), own]
+        return pa.record_batch([pa.array(c) for c in columns], names=["core", "high", "low", "id", "text_a", "text_b", "first", "last", "entry"])
+
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide, narrow = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
         for batch in batches:
@@ -226,12 +235,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
                     core = narrow(data[start : start - PART + 1 + length], number)
                     digests.append(wide(data[low - entry : high - entry + length]))
                     out.append((core, own, a, b, low, high, entry))
+                if len(out) >= PACKED:
+                    yield packed(out, digests)
+                    out, digests = [], []
             if out:
-                core, own, a, b, low, high, entry = (np.array(c) for c in zip(*out))
-                pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                ids = _mixed(own.astype(np.int64).view(np.uint64) + low.astype(np.uint64)).view(np.int64)
-                columns = [core.astype(np.uint64).view(np.int64), pair[:, 0], pair[:, 1], ids, a, b, low.astype(np.int32), high.astype(np.int32), own]
-                yield pa.record_batch([pa.array(c) for c in columns], names=["core", "high", "low", "id", "text_a", "text_b", "first", "last", "entry"])
+                yield packed(out, digests)
 
     cut_up = stored(held.mapInArrow(parts, f"{layout}, entry long"), "parts")
     several, open_parts = _settle(cut_up, "part_kinds")
@@ -252,48 +260,56 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     covered = stored(covered.agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "covered")
     marked = spark.sparkContext.broadcast(_filter(covered.select(F.shiftrightunsigned("text_a", 64 - FILTER_BITS).alias("place"))))
 
-    def keyed(with_ranges: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        """Texts that may have something to remove, or those that have nothing, with their keys."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys = np.array([_key(data) for data in _texts(batch.column(0))], np.int64).reshape(-1, 2)
-                may = _in_filter(marked.value, _place(keys[:, 0].copy().view(np.uint64)))
-                wanted = pa.array(may if with_ranges else ~may)
-                yield pa.record_batch([*batch.columns, pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["text", "doc_id", "text_a", "text_b"]).filter(wanted)
+    kind = dict(docs.dtypes)["doc_id"]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
+    result = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
-        return run
+    def results(ids: pa.Array, texts: Iterator[bytes], runs_of: Callable[[int], list[tuple[int, int]]]) -> pa.RecordBatch:
+        """What is left of texts without the runs of bytes that go."""
+        sizes, removed, spans, digests, kept = [], [], [], [], []
+        for i, data in enumerate(texts):
+            runs = runs_of(i)
+            digest, at, left = hashlib.sha256(), 0, []
+            for start, end in [*runs, (len(data), len(data))]:
+                digest.update(data[at:start])
+                if with_text:
+                    left.append(data[at:start])
+                at = end
+            sizes.append(len(data))
+            removed.append(sum(end - start for start, end in runs))
+            spans.append(len(runs))
+            digests.append(digest.hexdigest())
+            kept.append(b"".join(left))
+        columns = [ids, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
+        return pa.record_batch([*columns, pa.array(kept, pa.binary())] if with_text else columns, names=names)
+
+    def keyed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the texts, and which of them may have something to remove."""
+        keys = np.array([_key(data) for data in _texts(batch.column(0))], np.int64).reshape(-1, 2)
+        return keys, _in_filter(marked.value, _place(keys[:, 0].copy().view(np.uint64)))
+
+    def to_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, may = keyed(batch)
+            yield pa.record_batch([*batch.columns, pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["text", "doc_id", "text_a", "text_b"]).filter(pa.array(may))
 
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select(F.col("text").cast("string").alias("text"), "doc_id")
-    shape = f"text string, doc_id {kind}, text_a long, text_b long"
-    with_ranges = rows.mapInArrow(keyed(True), shape).join(covered, ["text_a", "text_b"], "left")
-    nothing = F.lit(None).cast(dict(covered.dtypes)["ranges"]).alias("ranges")
-    every = with_ranges.select("text", "ranges", "doc_id").unionByName(rows.mapInArrow(keyed(False), shape).select("text", nothing, "doc_id"))
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = batch.filter(pa.array(~keyed(batch)[1]))
+            yield results(left.column(1), _texts(left.column(0)), lambda i: [])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, removed, spans, digests, kept = [], [], [], [], []
             ranges = batch.column(1)
-            for i, data in enumerate(_texts(batch.column(0))):
-                runs: list[tuple[int, int]] = []
-                if ranges[i].is_valid:
-                    flat = ranges[i].values
-                    runs = _spans(np.asarray(flat.field("first")), np.asarray(flat.field("last")), length)
-                digest, at, left = hashlib.sha256(), 0, []
-                for start, end in [*runs, (len(data), len(data))]:
-                    digest.update(data[at:start])
-                    if with_text:
-                        left.append(data[at:start])
-                    at = end
-                sizes.append(len(data))
-                removed.append(sum(end - start for start, end in runs))
-                spans.append(len(runs))
-                digests.append(digest.hexdigest())
-                kept.append(b"".join(left))
-            columns = [batch.column(2), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            yield pa.record_batch([*columns, pa.array(kept, pa.binary())] if with_text else columns, names=[*names, "kept"] if with_text else names)
 
-    result = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return every.mapInArrow(cut, result)
+            def runs_of(i: int) -> list[tuple[int, int]]:
+                if not ranges[i].is_valid:
+                    return []
+                flat = ranges[i].values
+                return _spans(np.asarray(flat.field("first")), np.asarray(flat.field("last")), length)
+
+            yield results(batch.column(2), _texts(batch.column(0)), runs_of)
+
+    rows = docs.select(F.col("text").cast("string").alias("text"), "doc_id")
+    with_ranges = rows.mapInArrow(to_cut, f"text string, doc_id {kind}, text_a long, text_b long").join(covered, ["text_a", "text_b"], "left")
+    return with_ranges.select("text", "ranges", "doc_id").mapInArrow(cut, result).unionByName(rows.mapInArrow(untouched, result))
