@@ -16,6 +16,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from martwright.functions.arrays import MOST, SUM, let, running
 from martwright.llm.common import stored, unused
 
 KINDS = ("email", "ip", "card", "phone")
@@ -63,11 +64,6 @@ def _raw(pattern: str) -> str:
     return f"r'{pattern}'"
 
 
-def _let(name: str, value: str, body: str) -> str:
-    """``body`` with a value that is computed once."""
-    return f"get(transform(array({value}), {name} -> {body}), 0)"
-
-
 def _digits(match: str) -> str:
     return f"regexp_replace({match}, '[^0-9]', '')"
 
@@ -76,7 +72,7 @@ def _luhn(digits: str) -> str:
     """Whether a string of digits passes the check."""
     digit = "cast(substr(turned, i + 1, 1) AS INT)"
     value = f"CASE WHEN i % 2 = 0 THEN {digit} WHEN {digit} > 4 THEN {digit} * 2 - 9 ELSE {digit} * 2 END"
-    return _let("turned", f"reverse({digits})", f"aggregate(sequence(0, length(turned) - 1), 0, (total, i) -> total + {value}) % 10 = 0")
+    return let("turned", f"reverse({digits})", f"aggregate(sequence(0, length(turned) - 1), 0, (total, i) -> total + {value}) % 10 = 0")
 
 
 def _passes(kind: str, match: str) -> str:
@@ -92,28 +88,6 @@ def _passes(kind: str, match: str) -> str:
     return "true"
 
 
-def _running(numbers: str, combine: str) -> str:
-    """What comes before each number of an array, combined from 0 by ``SUM`` or ``MOST``.
-
-    Appending copies an array, so the numbers are taken in pieces of about the root of
-    their count: first whole pieces are combined, then the numbers inside them.
-    """
-    none = "cast(array() AS ARRAY<INT>)"
-    width = "greatest(64, cast(ceil(sqrt(size(numbers))) AS INT))"
-    chunks = f"transform(sequence(0, greatest(0, cast(floor((size(numbers) - 1) / {width}) AS INT))), i -> slice(numbers, i * {width} + 1, {width}))"
-
-    def scan(values: str, start: str) -> str:
-        step = combine.format(a="acc.at", x="x")
-        return f"aggregate({values}, named_struct('at', {start}, 'out', {none}), (acc, x) -> named_struct('at', {step}, 'out', array_append(acc.out, acc.at)), acc -> acc.out)"
-
-    sums = f"transform(chunks, c -> aggregate(c, 0, (acc, x) -> {combine.format(a='acc', x='x')}))"
-    starts = scan(sums, "0")
-    return _let("numbers", numbers, _let("chunks", chunks, f"flatten(zip_with(chunks, {starts}, (chunk, start) -> {scan('chunk', 'start')}))"))
-
-
-SUM, MOST = "{a} + {x}", "greatest({a}, {x})"
-
-
 def _blocks(text: str) -> str:
     """A text in pieces of ``BLOCK`` characters, so that a part of it is found without a walk from the start."""
     return f"CASE WHEN length({text}) <= {BLOCK} THEN array({text}) ELSE regexp_extract_all({text}, {_raw(f'(?s).{{1,{BLOCK}}}')}, 0) END"
@@ -127,7 +101,7 @@ def _part(blocks: str, start: str, end: str) -> str:
     between = f"array_join(slice({blocks}, cast({first} AS INT) + 2, cast({last} - {first} AS INT) - 1), '')"
     across = f"concat(substr({head}, lo % {BLOCK} + 1), {between}, substr(get({blocks}, cast({last} AS INT)), 1, cast(hi - {last} * {BLOCK} AS INT)))"
     cases = f"CASE WHEN hi <= lo THEN '' WHEN {first} = {last} THEN {inside} ELSE {across} END"
-    return _let("lo", start, _let("hi", end, cases))
+    return let("lo", start, let("hi", end, cases))
 
 
 MATCHES = "array<struct<start:int,match:string>>"
@@ -136,10 +110,10 @@ MATCHES = "array<struct<start:int,match:string>>"
 def _matches(text: str, pattern: str, hint: str) -> str:
     """Matches from the left that don't overlap, as structs (start, match); code points from 0."""
     gaps = f"slice(transform(split({text}, {_raw(pattern)}, -1), piece -> length(piece)), 1, size(found))"
-    before = _running("zip_with(gaps, found, (gap, match) -> gap + length(match))", SUM)
+    before = running("zip_with(gaps, found, (gap, match) -> gap + length(match))", SUM)
     places = f"zip_with({before}, gaps, (before, gap) -> before + gap)"
     pairs = f"zip_with({places}, found, (start, match) -> named_struct('start', start, 'match', match))"
-    listed = _let("found", f"regexp_extract_all({text}, {_raw(pattern)}, 0)", _let("gaps", gaps, pairs))
+    listed = let("found", f"regexp_extract_all({text}, {_raw(pattern)}, 0)", let("gaps", gaps, pairs))
     return f"CASE WHEN rlike({text}, {_raw(hint)}) THEN {listed} ELSE cast(array() AS {MATCHES}) END"
 
 
@@ -160,7 +134,7 @@ def _votes(kind: str, blocks: str, size: str, base: bool) -> str:
     }[kind]
     votes = [
         _vote(form), _vote(f"rlike(s.match, {_raw(GAZETTEER[kind])})", str(kind in ("email", "card")).lower()),
-        _let("words", before, _vote(f"rlike(words, {_raw(WORDS_FOR[kind])})", f"rlike(words, {_raw(WORDS_AGAINST)})")),
+        let("words", before, _vote(f"rlike(words, {_raw(WORDS_FOR[kind])})", f"rlike(words, {_raw(WORDS_AGAINST)})")),
         _vote("false", f"rlike({edges}, {_raw('[' + chr(92) + 'p{L}0-9]')})"), _vote(numbers, "true"),
     ]
     return f"array({', '.join(votes)})"
@@ -171,7 +145,7 @@ def _overlaps(others: str) -> str:
     bits = f"sequence(cast(floor(log2(greatest(size({others}), 1))) AS INT), 0, -1)"
     further = f"n + shiftleft(1, bit) <= size({others}) AND get({others}, n + shiftleft(1, bit) - 1).start < s.start + length(s.match)"
     last = f"get({others}, aggregate({bits}, 0, (n, bit) -> CASE WHEN {further} THEN n + shiftleft(1, bit) ELSE n END) - 1)"
-    return _let("o", last, "coalesce(o.start + length(o.match) > s.start, false)")
+    return let("o", last, "coalesce(o.start + length(o.match) > s.start, false)")
 
 
 SPAN = "struct<start:int,kind:int,end:int,base:boolean,votes:array<int>>"
@@ -287,7 +261,7 @@ def accepted(spans: str, weights: list[list[float]]) -> Column:
     """Base spans and the loose candidates that the classifier of their kind takes, by start, then kind."""
     table = ", ".join(f"array({', '.join(f'{w!r}D' for w in own)})" for own in weights)
     score = " + ".join([f"get(own, {len(LABELERS)})", *(f"s.votes[{i}] * get(own, {i})" for i in range(len(LABELERS)))])
-    return F.expr(f"filter({spans}, s -> s.base OR {_let('own', f'get(array({table}), s.kind)', f'{score} > 0')})")
+    return F.expr(f"filter({spans}, s -> s.base OR {let('own', f'get(array({table}), s.kind)', f'{score} > 0')})")
 
 
 def _written(spans: Column) -> Column:
@@ -326,7 +300,7 @@ def redact(docs: DataFrame) -> DataFrame:
     blocks, reached = unused(docs, "blocks"), unused(docs, "reached")
     rows = rows.withColumn(found, accepted(spans, weights))
     ends = f"transform({found}, s -> s.end)"
-    rows = rows.withColumns({blocks: F.expr(_blocks("text")), reached: F.expr(_running(ends, MOST))})
+    rows = rows.withColumns({blocks: F.expr(_blocks("text")), reached: F.expr(running(ends, MOST))})
     # A span that begins inside an earlier one adds nothing; the others keep what lies before them.
     name = f"get(array({', '.join(repr(f'<{k.upper()}>') for k in KINDS)}), s.kind)"
     pieces = f"zip_with({found}, {reached}, (s, at) -> CASE WHEN s.start >= at THEN concat({_part(blocks, 'at', 's.start')}, {name}) ELSE '' END)"

@@ -184,14 +184,11 @@ def test_reliability_is_estimated_per_kind(spark):
     assert len(learned) == len(pii.KINDS) and learned[0] != learned[2] and learned[1] == learned[3]
 
 
-@pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 1000])
-def test_running_sums_and_parts(spark, size):
-    numbers = [(i * 7919) % 13 for i in range(size)]
+@pytest.mark.parametrize("size", [1, 63, 1000])
+def test_parts_of_a_text(spark, size):
     text = "".join(chr(97 + i % 26) if i % 5 else "🙂" for i in range(size * 9))
-    frame = spark.createDataFrame([(numbers, text)], "n array<int>, t string")
-    row = frame.select(F.expr(pii._running("n", pii.SUM)).alias("sums"), F.expr(pii._running("n", pii.MOST)).alias("most"), F.expr(pii._blocks("t")).alias("blocks")).first()
-    assert row["sums"] == [sum(numbers[:i]) for i in range(size)] and row["most"] == [max([0, *numbers[:i]]) for i in range(size)]
-    assert "".join(row["blocks"]) == text
+    frame = spark.createDataFrame([(text,)], "t string")
+    assert "".join(frame.select(F.expr(pii._blocks("t"))).first()[0]) == text
     cuts = [(a, b) for a in (0, size, size * 4, size * 9) for b in (0, size + 1, size * 5, size * 9) if a <= b <= size * 9]
     found = frame.select(*[F.expr(pii._part(f"({pii._blocks('t')})", str(a), str(b))).alias(f"c{i}") for i, (a, b) in enumerate(cuts)]).first()
     assert list(found) == [text[a:b] for a, b in cuts]
