@@ -29,7 +29,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Characters from which a unit is cut if it can be, of a batch, and units that a process keeps.
-UNIT, BATCH, KEPT = 256, 1 << 18, 150_000
+UNIT, BATCH, KEPT = 256, 1 << 18, 300_000
 # Characters of a long unit in which pieces are looked for at a time.
 REACH = 1 << 18
 # Stands for a space in a unit: no valid text has this code.
@@ -180,12 +180,12 @@ class Lattices:
         self.upto, self.log = np.zeros(0, np.float32), np.zeros(0)
 
     def _append(self, name: str, values: np.ndarray) -> None:
-        """Longer by some values; the array lies in one with room for a quarter more."""
+        """Longer by some values; the array lies in one with room for as many again, which takes no memory before it is used."""
         old = getattr(self, name)
         size = len(old) + len(values)
         room = self.room.get(name)
         if room is None or len(room) < size:
-            room = np.empty(size + size // 4, old.dtype)
+            room = np.empty(2 * size, old.dtype)
             room[: len(old)] = old
             self.room[name] = room
         room[len(old) : size] = values
@@ -355,7 +355,7 @@ def _finished(lattices: Lattices, edges: np.ndarray, unit: np.ndarray, score: fl
     """
     logs = lattices.log[edges]
     before = np.concatenate([[0.0], np.cumsum(logs)])
-    costs, start, stop = [np.full(fresh, np.inf)], fresh, min(len(edges), fresh + 256)
+    costs, start, stop = [np.full(fresh, np.inf)], fresh, min(len(edges), fresh + 448)
     least = np.zeros(0)
     while True:
         with np.errstate(divide="ignore"):
@@ -364,7 +364,7 @@ def _finished(lattices: Lattices, edges: np.ndarray, unit: np.ndarray, score: fl
         least = np.sort(np.concatenate([least, costs[-1]]))[:wanted]
         if stop == len(edges) or len(least) == wanted and -before[stop] - _MOST_NOISE > least[-1]:
             break
-        start, stop = stop, min(len(edges), stop + 256)
+        start, stop = stop, min(len(edges), stop + 448)
     return Path(edges, unit, before[:stop], np.concatenate(costs), float(before[-1]), score)
 
 
