@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 UNKNOWN = "und"
-# Bound of the sample per language: rows, and characters of each.
+# Bound of the sample per language: distinct texts, and characters of each.
 TRAIN_ROWS, TRAIN_CHARS = 48, 1024
-# Texts are parsed in blocks of this many characters, side by side; a phrase ends with its block.
+# Texts are parsed in blocks of this many characters, side by side; a phrase ends with its
+# block, which costs every language at most one phrase more a block.
 BLOCK = 4096
 # Characters parsed at a time.
 SYMBOLS = 1 << 22
@@ -29,13 +30,21 @@ def held_out(doc: Column) -> Column:
     return F.coalesce(F.crc32(doc.cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
-    """Language and text of a bounded sample: ``rows`` rows per language, ``chars`` of each."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    drawn = labelled.select("lang", "doc_id", F.substring("text", 1, chars).alias("text")).withColumn("place", F.row_number().over(order))
-    drawn = drawn.where(F.col("place") <= rows)
-    return sorted((r["lang"], r["text"]) for r in drawn.select("lang", "text").collect())
+def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, seed: int = 42) -> list[tuple[str, str]]:
+    """Language and text of a bounded sample: a window of ``chars`` from ``rows`` distinct texts per language.
+
+    Texts without a letter teach nothing and take no place; equal texts take one. Windows
+    lie anywhere in a text, by a seeded hash.
+    """
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.rlike("text", F.lit(r"\p{L}")))
+    labelled = labelled.select(F.col("lang").alias("lang"), F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = labelled.withColumn("key", F.xxhash64("text", F.lit(seed)))
+    texts = keyed.groupBy("lang", "key").agg(F.min("doc_id").alias("doc_id"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    drawn = texts.withColumn("place", place).where(F.col("place") <= rows).drop("place")
+    start = F.pmod(F.col("key"), F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int") + 1
+    found = keyed.join(drawn, ["lang", "key", "doc_id"], "left_semi").select("lang", "key", F.substr("text", start, F.lit(chars)).alias("text"))
+    return sorted({(r["lang"], r["text"]) for r in found.collect()})
 
 
 def _letters() -> np.ndarray:
@@ -54,8 +63,8 @@ def _symbols(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
     return found[keep]
 
 
-def automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
-    """Transitions of the suffix automaton as a flat table; -1 where there is none."""
+def automaton(symbols: np.ndarray) -> tuple[int, np.ndarray]:
+    """States of the suffix automaton, and its transitions as rows (state, symbol, next)."""
     following, link, length, last = [{}], [-1], [0], 0
     for symbol in symbols.tolist():
         new, at = len(following), last
@@ -79,11 +88,41 @@ def automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
                     at = link[at]
                 link[target] = link[new] = copy
         last = new
-    table = np.full((len(following), alphabet), -1, np.int32)
-    for state, edges in enumerate(following):
-        for symbol, target in edges.items():
-            table[state, symbol] = target
-    return table
+    edges = [(state, symbol, target) for state, out in enumerate(following) for symbol, target in out.items()]
+    return len(following), np.array(edges, dtype=np.int64).reshape(-1, 3)
+
+
+class Edges:
+    """Transitions by (state, symbol): a slot by hash, the keys that find theirs taken by halving.
+
+    Memory follows the number of transitions, at most three per symbol of the sample,
+    whatever the size of the alphabet.
+    """
+
+    def __init__(self, keys: np.ndarray, targets: np.ndarray):
+        self.shift = np.uint64(64 - max(1, int(2 * len(keys)).bit_length()))
+        slot = self._slot(keys)
+        size = 1 << (64 - int(self.shift))
+        _, kept = np.unique(slot, return_index=True)
+        self.key, self.target = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+        self.key[slot[kept]], self.target[slot[kept]] = keys[kept], targets[kept]
+        rest = np.setdiff1d(np.arange(len(keys)), kept)
+        rest = rest[np.argsort(keys[rest])]
+        self.rest_key = np.append(keys[rest], np.iinfo(np.int64).max)
+        self.rest_target = np.append(targets[rest], -1).astype(np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Next states; -1 where there is no transition."""
+        slot = self._slot(keys)
+        target = self.target[slot]
+        other = np.flatnonzero(self.key[slot] != keys)
+        wanted = keys[other]
+        place = np.searchsorted(self.rest_key, wanted)
+        target[other] = np.where(self.rest_key[place] == wanted, self.rest_target[place], -1)
+        return target
 
 
 class Model:
@@ -100,15 +139,20 @@ class Model:
         self.alphabet = len(seen) + 2
         self.table = np.where(letters, self.alphabet - 1, 0).astype(np.int32)
         self.table[seen] = np.arange(1, len(seen) + 1)
-        self.languages, parts, self.bits = sorted(texts), [], []
+        self.languages, self.bits, edges, states, roots = sorted(texts), [], [], 0, []
         for lang in self.languages:
             symbols = np.concatenate([np.append(_symbols(c, self.table), 0) for c in texts[lang]])
-            parts.append(automaton(symbols, self.alphabet))
-            self.bits.append(np.log2(len(symbols) + 1))
-        starts = np.cumsum([0, *map(len, parts)])[:-1]
-        self.roots = (starts * self.alphabet).astype(np.int32)
-        joined = [np.where(part >= 0, (part + start) * self.alphabet, -1) for part, start in zip(parts, starts)]
-        self.following = np.concatenate(joined).ravel().astype(np.int32) if joined else np.zeros(0, np.int32)
+            count, found = automaton(symbols)
+            edges.append(found + np.array([states, 0, states]))
+            roots.append(states)
+            states += count
+            # A phrase names a place in the sample; where that is short, at least a letter.
+            self.bits.append(np.log2(max(len(symbols), self.alphabet) + 1))
+        self.roots = np.array(roots, np.int32)
+        joined = np.concatenate(edges) if edges else np.zeros((0, 3), np.int64)
+        self.edges = Edges(joined[:, 0] * self.alphabet + joined[:, 1], joined[:, 2])
+        keys = self.roots.astype(np.int64)[:, None] * self.alphabet + np.arange(self.alphabet)
+        self.fresh = np.maximum(self.edges.find(keys.ravel()).reshape(keys.shape), self.roots[:, None]) if edges else np.zeros((0, self.alphabet), np.int32)
 
     def lettered(self, text: str | None) -> bool:
         return bool(text) and bool(self.table[_codes(text)].any())
@@ -127,12 +171,10 @@ class Model:
         for step in range(len(grid)):
             active = int(np.searchsorted(-lengths, -step, side="left"))
             symbol, now = grid[step, :active], state[:, :active]
-            following = self.following[now + symbol]
+            following = self.edges.find((now.astype(np.int64) * self.alphabet + symbol).ravel()).reshape(now.shape)
             ended = following < 0
             found[:, :active] += ended | (now == roots)
-            fresh = self.following[roots + symbol]
-            following = np.where(ended, np.maximum(fresh, roots), following)
-            state[:, :active] = following
+            state[:, :active] = np.where(ended, self.fresh[:, symbol], following)
         counts[:, order] = found
         return counts
 
