@@ -13,7 +13,6 @@ from martwright.operators.joins import hot_keys, hot_values, skew_join
 from martwright.operators.ranking import global_row_number
 from martwright.sources.schemas import LOADED_AT
 
-FACT_CLUSTERING = ["order_date_sk", "product_sk"]
 
 
 def dim_customer(customers: DataFrame, folder: str | None = None) -> DataFrame:

@@ -101,16 +101,6 @@ def materialize(df: DataFrame, name: str, kind: str = "view") -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def clustered(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows arranged so that row-group statistics can skip by ``columns``.
-
-    ``rebalance`` shuffles by the leading column once, without a sampling pass, and
-    lets adaptive execution split a hot value and merge small ones into files of the
-    advisory size. Sorting inside each task gives narrow minima and maxima.
-    """
-    return df.hint("rebalance", columns[0]).sortWithinPartitions(*columns)
-
-
 # Bits of a column's place in a curve over two columns.
 CURVE_BITS = 16
 
@@ -151,10 +141,6 @@ def curve_clustered(df: DataFrame, place: Column) -> DataFrame:
     return placed.hint("rebalance", "_cell").sortWithinPartitions("_curve").drop("_curve", "_cell")
 
 
-def write_clustered(df: DataFrame, path: str, columns: list[str]) -> None:
-    clustered(df, columns).write.mode("overwrite").parquet(path)
-
-
 def write_stable(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Write once under a fresh name in the shared folder and read it back.
 

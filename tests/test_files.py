@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from martwright.operators import rows
 from martwright.operators.ranking import with_position
 from martwright.sources import csv_records, files, schemas
-from martwright.sources.tables import Versions, fingerprint, materialize, spread, write_clustered, write_full_refresh, write_stable
+from martwright.sources.tables import Versions, fingerprint, materialize, spread, write_full_refresh, write_stable
 
 CSV = '''Order_ID,customer_id,order_date,payment_method,order_status
 1,C1,2024-01-05,"Card, credit",Completed
@@ -222,8 +222,6 @@ def test_tables(spark, tmp_path):
         write_full_refresh(spark.range(5), path)
     assert spark.read.parquet(path).count() == 5
     assert materialize(spark.range(2), "two_rows").count() == 2
-    write_clustered(spark.range(100).selectExpr("id % 7 as day", "id"), path, ["day", "id"])
-    assert spark.read.parquet(path).count() == 100
     before = fingerprint(spark, [path])
     write_full_refresh(spark.range(6), path)
     assert fingerprint(spark, [path]) != before
