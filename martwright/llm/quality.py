@@ -28,6 +28,8 @@ from martwright.llm.common import WORD, stored
 SAMPLE_ROWS = 20_000
 BINS = 8
 STEPS = 400
+# How far below zero the part of the negatives may fall: room for the error of the prior.
+TOLERANCE = 0.05
 # Characters of a text whose words are held at once.
 CHUNK = 1 << 20
 
@@ -165,7 +167,7 @@ def biased(positives: int, rows: int):
 
 
 def non_negative(positives: int, rows: int, prior: float):
-    """Slope of the non-negative risk; while the part of the negatives is below zero, it is raised instead."""
+    """Slope of the non-negative risk; while the part of the negatives is below ``-TOLERANCE``, it is raised instead."""
     is_positive = np.arange(rows) < positives
     of_p, of_u = is_positive * prior / positives, ~is_positive / max(1, rows - positives)
 
@@ -173,7 +175,7 @@ def non_negative(positives: int, rows: int, prior: float):
         up = _sigmoid(margin)
         negative_risk = ((of_u - of_p) * np.logaddexp(0, margin)).sum()
         negative_slope = (of_u - of_p) * up
-        return of_p * (up - 1) + negative_slope if negative_risk >= 0 else -negative_slope
+        return of_p * (up - 1) + negative_slope if negative_risk >= -TOLERANCE else -negative_slope
 
     return slopes
 
