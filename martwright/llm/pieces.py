@@ -29,7 +29,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Characters from which a unit is cut if it can be, of a batch, and units that a process keeps.
-UNIT, BATCH, KEPT = 256, 1 << 18, 300_000
+UNIT, BATCH, KEPT = 256, 1 << 18, 200_000
 # Characters of a long unit in which pieces are looked for at a time.
 REACH = 1 << 18
 # Stands for a space in a unit: no valid text has this code.
