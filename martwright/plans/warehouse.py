@@ -45,7 +45,7 @@ class Warehouse:
 
     def _stored(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     @cached_property
@@ -63,16 +63,22 @@ class Warehouse:
         span = self.stg_orders.agg(F.min("order_date").alias("start"), F.max("order_date").alias("end"))
         return self._stored(marts.date_attributes(marts.spine_between(span, "start", "end"), self.as_of), "dim_date")
 
-    def sales(self) -> DataFrame:
-        """The fact as a lazy plan over the staging frames and dimensions."""
-        return marts.fct_sales(
+    def sale_lines(self) -> DataFrame:
+        """What the fact is derived from, as a lazy plan over the staging frames and dimensions."""
+        return marts.sale_lines(
             self.stg_order_items, self.stg_orders, self.dim_customer, self.dim_product, self.raw.order_items, self.raw.orders
         )
 
+    def sales(self) -> DataFrame:
+        """The fact as a lazy plan."""
+        return marts.fact_rows(self.sale_lines())
+
     @cached_property
     def fct_sales(self) -> DataFrame:
-        dated = self.sales().withColumn("loaded_at", self.built_at)
-        return self._stored(curve_clustered(dated, self.fact_curve), "fct_sales")
+        """Keys and measures are derived after the last shuffle, so that none of them goes through one."""
+        lines = curve_clustered(self.sale_lines(), self.fact_curve)
+        rows = marts.fact_rows(lines).withColumn("loaded_at", self.built_at)
+        return marts.with_sale_key(self._stored(rows.drop("sale_sk"), "fct_sales"))
 
     @cached_property
     def fact_curve(self) -> Column:

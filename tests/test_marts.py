@@ -173,3 +173,31 @@ def test_dimension_of_duplicate_ids(spark):
     rows = [("C1", "A", None, f"{i}@x", None, None, AS_OF, None) for i in range(3)]
     stg = staging.stg_customers(spark.createDataFrame(rows, schemas.CUSTOMERS), AS_OF)
     assert sorted(r.customer_sk for r in marts.dim_customer(stg).collect()) == [1, 2, 3]
+
+
+def test_fact_shuffles_only_what_it_is_derived_from(spark, raw, monkeypatch):
+    """Keys and measures are derived after the last shuffle, and the digest is not stored beside its id."""
+    kept = []
+    store = Warehouse._stored
+    monkeypatch.setattr(Warehouse, "_stored", lambda house, df, name: kept.append(df) or store(house, df, name))
+    house = Warehouse(spark, raw, AS_OF)
+    rows = house.fct_sales
+    written = next(df for df in kept if "order_item_id" in df.columns)
+    nodes, dealt = [written._jdf.queryExecution().optimizedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        dealt += [node] if node.nodeName() == "RebalancePartitions" else []
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert len(dealt) == 1
+    shuffled = {dealt[0].output().apply(i).name() for i in range(dealt[0].output().size())}
+    assert "order_item_id" in shuffled and not shuffled & {"sale_sk", "gross_revenue", "net_revenue", "cogs", "gross_profit", "margin_pct", "_curve"}
+    assert "sale_sk" not in written.columns and rows.columns[0] == "sale_sk"
+
+
+def test_revenue_of_a_discount_out_of_range(spark, raw):
+    """Revenue that does not follow from the discount shown is taken along as it is."""
+    odd = [("J1", "O1", "P1", 2, D("10.00"), D("1.5")), ("J2", "O1", "P1", 2, D("10.00"), D("-0.5")), ("J3", "O1", "P1", 2, D("10.00"), None)]
+    items = spark.createDataFrame(odd, schemas.ORDER_ITEMS)
+    house = Warehouse(spark, schemas.RawTables(raw.customers, raw.products, raw.orders, items, raw.competitor_prices), AS_OF)
+    got = {r.order_item_id: (r.discount, r.gross_revenue, r.net_revenue) for r in house.fct_sales.collect()}
+    assert got == {"J1": (D("1"), D("20"), D("-10")), "J2": (D("0"), D("20"), D("30")), "J3": (D("0"), D("20"), D("20"))}
