@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from martwright.operators.joins import orphan_counts
+from martwright.operators.rows import by_key
 
 
 def _result(failures: DataFrame, check: str, table: str, column: str) -> DataFrame:
@@ -48,7 +49,9 @@ def check_unique_columns(tables: list[tuple[DataFrame, str, list[str]]]) -> Data
     for df, table, columns in tables:
         cells = [F.struct(F.lit(tests.index((table, c))).alias("test"), F.col(c).cast("string").alias("value")) for c in columns]
         parts.append(df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*"))
-    counts = reduce(DataFrame.unionByName, parts).where("value is not null").groupBy("test", "value").agg(F.count("*").alias("rows"))
+    values = reduce(DataFrame.unionByName, parts).where("value is not null")
+    dealt = by_key(values, ["test", "value"], sum(df.count() * len(columns) for df, _, columns in tables))
+    counts = dealt.groupBy("test", "value").agg(F.count("*").alias("rows"))
     found = counts.where("rows > 1").groupBy("test").agg(F.count("*").alias("failures"))
     return _listed(tables[0][0].sparkSession, [("unique", *test) for test in tests], found)
 

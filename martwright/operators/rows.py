@@ -39,6 +39,20 @@ def has_competitor(df: DataFrame, column: str = "avg_competitor_price") -> DataF
     return df.where(F.col(column).isNotNull())
 
 
+# Keys that one task counts. A table of mostly different keys gains nothing from counting before the shuffle.
+KEYS_PER_TASK = 500_000
+
+
+def by_key(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Rows dealt by key to tasks enough that each has few keys to hold, however many rows there are.
+
+    Counting keys that hardly repeat would otherwise keep all keys of a split of the input
+    in one task's memory; a key that does repeat takes one place there.
+    """
+    tasks = -(-rows // KEYS_PER_TASK)
+    return df.repartition(tasks, *keys) if tasks > 1 else df
+
+
 def having_count(df: DataFrame, keys: list[str], at_least: int = 2) -> DataFrame:
     """Key groups with at least this many rows."""
     return df.groupBy(*keys).agg(F.count("*").alias("cnt")).where(F.col("cnt") >= at_least)

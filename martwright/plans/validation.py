@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from martwright.functions import money
 from martwright.operators.joins import hot_keys, skew_join
 from martwright.operators.ranking import share_of_total
-from martwright.operators.rows import having_count, one_row
+from martwright.operators.rows import by_key, having_count, one_row
 from martwright.plans.warehouse import Warehouse
 
 
@@ -21,7 +21,8 @@ def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def duplicate_keys(df: DataFrame, key: str, limit: int = 10) -> DataFrame:
     """First keys that occur more than once."""
-    return having_count(df, [key]).orderBy(key).limit(limit)
+    keys = df.select(key)
+    return having_count(by_key(keys, [key], keys.count()), [key]).orderBy(key).limit(limit)
 
 
 def count_where(df: DataFrame, condition, name: str) -> DataFrame:

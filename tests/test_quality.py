@@ -125,3 +125,16 @@ def test_failing_values_are_kept(spark, small):
     frames = [f for f in model_tests._frames(house) if any(t.table == "stg_orders" for t in f[1])]
     lost = odd.where("order_status = 'Lost'").count()
     assert [(r["value"], r["rows"]) for r in quality.failing_cells(frames).collect()] == [("Lost", lost)] and lost > 0
+
+
+def test_tasks_count_few_keys_each(spark, monkeypatch, plan):
+    """Keys are dealt before they are counted, to the more tasks the more rows there are."""
+    from martwright.operators import rows
+
+    monkeypatch.setattr(rows, "KEYS_PER_TASK", 100)
+    table = spark.range(1000).selectExpr("if(id < 5, null, cast(id % 990 as string)) as k")
+    found = validation.duplicate_keys(table, "k")
+    assert "REPARTITION_BY_NUM" in plan(found) and plan(found).count("Exchange hashpartitioning") == 1
+    assert [tuple(r) for r in found.collect()] == [(None, 5), *((str(i), 2) for i in range(5, 10))]
+    checked = quality.check_unique_columns([(table, "t", ["k"])])
+    assert "REPARTITION_BY_NUM" in plan(checked) and [r.failures for r in checked.collect()] == [5]
