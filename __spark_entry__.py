@@ -124,7 +124,10 @@ def _unlisted_items(w: Warehouse) -> DataFrame:
 
 
 def _sales_row_number(w: Warehouse) -> DataFrame:
-    return global_row_number(w.fct_sales.select("sale_sk", "net_revenue"), [By("net_revenue", True), "sale_sk"], "position").select("sale_sk", "position")
+    """The digest is sorted and written as its bytes, which sort like its lower-case digits and take half the room."""
+    sales = w.fct_sales.select(F.unhex("sale_sk").alias("_digest"), "net_revenue")
+    numbered = global_row_number(sales, [By("net_revenue", True), "_digest"], "position")
+    return numbered.select(F.lower(F.hex("_digest")).alias("sale_sk"), "position")
 
 
 def _sales_quantity_ntile(w: Warehouse, tiles: int = 10, name: str = "decile") -> DataFrame:

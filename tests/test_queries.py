@@ -39,3 +39,16 @@ def test_all_orders_are_records_on_the_executors(spark, small, monkeypatch):
 def test_entry(spark):
     frame = registered.entry(spark)
     assert frame.columns[0] == "order_date" and frame.count() > 0
+
+
+def test_row_numbers_move_the_bytes_of_the_digest(spark, small, monkeypatch):
+    import __spark_entry__ as entry
+    from pyspark.sql import functions as F
+
+    given = []
+    number = entry.global_row_number
+    monkeypatch.setattr(entry, "global_row_number", lambda df, *a: given.append(df) or number(df, *a))
+    got = {r.sale_sk: r.position for r in entry.REPORTS["sales_row_number"](small).collect()}
+    assert "string" not in dict(given[0].dtypes).values()
+    ordered = small.fct_sales.orderBy(F.desc("net_revenue"), "sale_sk").select("sale_sk").collect()
+    assert got == {r.sale_sk: n for n, r in enumerate(ordered, 1)}
