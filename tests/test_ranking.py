@@ -104,3 +104,22 @@ def test_rows_sent_to_the_driver_stay_bounded(spark, monkeypatch):
     assert sum(map(len, sent)) < 80_000
     ordered = table.orderBy("v", "id").collect()
     assert all(found[r] == tuple(ordered[r - 1]) for r in found) and len(found) == 99
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_large_tables_are_cut_down_between_rounds(spark, monkeypatch, descending):
+    """Brackets come from a sample that Spark sorts, later rounds read what is left, and few keys reach the driver."""
+    written, sent = [], []
+    store = ranking.write_stable
+    monkeypatch.setattr(ranking, "write_stable", lambda df, label, *a: written.append((label, kept := store(df, label, *a))) or kept)
+    table = spark.range(60_000).selectExpr("if(id % 9 = 0, null, xxhash64(id) % 50) as v", "md5(cast(id as string)) as id")
+    collect = type(table).collect
+    monkeypatch.setattr(type(table), "collect", lambda frame: sent.append(rows := collect(frame)) or rows)
+    keys = [By("v", descending), "id"]
+    found = order_statistics(table, keys, [20_000, 40_000], direct_rows=100, sample_rows=300, spread_rows=10_000, least_cut=1000)
+    monkeypatch.undo()
+    ordered = table.orderBy(By("v", descending).order(), "id").collect()
+    assert found == {r: tuple(ordered[r - 1]) for r in (20_000, 40_000)}
+    cuts = [df.count() for label, df in written if label == "bracketed"]
+    assert cuts and cuts == sorted(cuts, reverse=True) and cuts[0] <= 30_000
+    assert sum(map(len, sent)) < 3000
