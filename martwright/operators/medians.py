@@ -3,7 +3,8 @@
 Every round counts rows per cell and range of values; the counts of totals follow from
 those of cells. In each group the range that holds the middle is found from the counts
 alone, and only rows in such a range go on, with finer ranges. No group is ever sorted or
-gathered, and no row is repeated for the totals it belongs to.
+gathered, and no row is repeated for the totals it belongs to. The data is read once, to
+its keys and values; the range of a row follows from its value by arithmetic.
 """
 
 from __future__ import annotations
@@ -14,14 +15,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegralType
 
 from martwright.functions import money
-from martwright.operators.ranking import By, Splits
 from martwright.sources.tables import write_stable
 
 # Position of a line's attribute set among the levels: tells totals from values.
 LEVEL = "_level"
 
-# Ranges that a range is cut into per round, and rank error of the sketch behind the first ones.
-RANGES, ACCURACY = 1024, 10_000
+# Ranges that a range is cut into per round; the first ones are a quarter of these for every doubling of a value.
+RANGES = 1024
+# More than the logarithm to base 2 of any number, and than what is below one of any.
+WIDEST = 1100
 # A range with no more rows than this is counted value by value.
 FEW = 4096
 
@@ -35,6 +37,13 @@ def _same(left: list[Column], right: list[Column]) -> Column:
     return reduce(Column.__and__, [a.eqNullSafe(b) for a, b in zip(left, right)], F.lit(True))
 
 
+def _first_range(value: Column) -> Column:
+    """Number of a value's first range, which never falls as values grow; zero and the infinities have one each."""
+    value, steps = value.cast("double"), max(1, RANGES // 4)
+    far = F.floor(F.least(F.log2(F.abs(value)), F.lit(float(WIDEST))) * steps) + WIDEST * steps
+    return F.when(value > 0, far).when(value < 0, -far).otherwise(0)
+
+
 def _counted(rows: DataFrame, keys: list[str]) -> DataFrame:
     measures = [F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
     return write_stable(rows.groupBy(*keys, "_parent", "_path").agg(*measures), "ranges")
@@ -54,7 +63,8 @@ def _ranges_per_group(counts: DataFrame, keys: list[str], levels: list[list[str]
 def _step(targets: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
     """The subrange that holds the wanted rank of each target, and the rank within it.
 
-    A group has at most ``RANGES`` or ``FEW`` subranges, which are looked through as an array.
+    A group has at most ``RANGES`` or ``FEW`` subranges, in the first round those that its
+    values reach of a fixed number; they are looked through as an array.
     """
     here = [F.col(LEVEL), *[F.col(k) for k in keys], F.col("_path")]
     there = [F.col("_at"), *[F.col(f"_k{i}") for i in range(len(keys))], F.col("_parent")]
@@ -101,8 +111,9 @@ def grouped_medians(df: DataFrame, keys: list[str], levels: list[list[str]], val
     """``LEVEL``, the keys as text and the exact median, per group of every level.
 
     ``levels`` are subsets of ``keys``. Nulls and NaN are no values; a group without any
-    has a null median. The first ranges hold about equal shares of all rows, so a second
-    look concerns some thousandths of them; a value that fills a range alone needs none.
+    has a null median. The values of a first range differ by some thousandths, so where
+    values are spread a second look concerns few rows; where they lie close together it
+    concerns many, the third one a thousandth of them. A value that fills a range alone needs none.
     """
     kind, v = df.schema[value].dataType, F.col(value)
     if isinstance(kind, (FloatType, DoubleType)):
@@ -110,9 +121,8 @@ def grouped_medians(df: DataFrame, keys: list[str], levels: list[list[str]], val
     elif isinstance(kind, IntegralType):
         v = v.cast("decimal(20,0)")
     source = df.select(*keys, v.alias("_v"))
-    points = source.agg(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], ACCURACY)).first()[0] or []
-    first = Splits(source, [By("_v")], sorted({(p,) for p in points}))
-    rows = write_stable(source.select(*keys, "_v", F.lit("").alias("_parent"), first.index().cast("string").alias("_path")), "placed")
+    rows = write_stable(source, "placed")
+    rows = rows.select("*", F.lit("").alias("_parent"), _first_range(F.col("_v")).cast("string").alias("_path"))
     counts = _counted(rows, keys)
     cells = counts.select(*keys).distinct()
     sizes = [

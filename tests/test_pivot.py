@@ -94,6 +94,41 @@ def test_median_looks_at_no_group_as_a_whole(spark, monkeypatch):
     assert not any("Window" in plan or "Generate" in plan for label, _, plan in written if label != "targets")
 
 
+def test_median_reads_the_data_once(spark, monkeypatch):
+    """One pass over the data, and ranges by generated code: neither a sketch before it nor a search per row."""
+    read, plans, write = spark.sparkContext.accumulator(0), [], medians.write_stable
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(medians, "write_stable", lambda df, label: plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or write(df, label))
+    frame = spark.range(20_000).selectExpr("id % 3 as k", "cast(xxhash64(id) % 100003 as decimal(18,2)) / 100 as v")
+    exact = {str(r["k"]): float(r["m"]) for r in frame.groupBy("k").agg(F.expr("median(v)").alias("m")).collect()}
+    got = cells(pivot.pivot_long(frame.mapInArrow(counted, frame.schema), ["k"], [], "median", "v", totals=True), ["k"])
+    assert all(float(got[k,]) == pytest.approx(m, abs=1e-6) for k, m in exact.items())
+    assert read.value == 20_000
+    assert not any("lambdafunction" in plan for label, plan in plans if label in ("placed", "ranges"))
+
+
+@pytest.mark.parametrize("kind, spread", [("decimal(20,4)", "100000000 + id % 2001"), ("double", "if(id % 2 = 0, -5, 0)"), ("int", "-1 - id % 7")])
+def test_median_of_near_and_equal_values(spark, monkeypatch, kind, spread):
+    """Ranges in proportion to values: near ones share the first of them, signs and zero do not mix."""
+    monkeypatch.setattr(medians, "FEW", 10)
+    frame = spark.range(6000).selectExpr("id % 2 as k", f"if(id % 11 = 0, null, cast({spread} as {kind})) as v")
+    exact = {(str(r["k"]),): float(r["m"]) for r in frame.groupBy("k").agg(F.expr("median(v)").alias("m")).collect()}
+    exact["Totals",] = float(frame.agg(F.expr("median(v)")).first()[0])
+    got = cells(pivot.pivot_long(frame, ["k"], [], "median", "v", totals=True), ["k"])
+    assert {k: float(v) for k, v in got.items()} == pytest.approx(exact, abs=1e-6)
+
+
+def test_first_ranges_never_fall(spark):
+    values = [float("-inf"), -1e308, -7.01, -7.0, -1.0, -0.3, -5e-324, -0.0, 0.0, 5e-324, 0.3, 1.0, 2.0, 2.5, 1e308, float("inf")]
+    found = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(medians._first_range(F.col("v"))).collect()]
+    assert found == sorted(found) and found.count(0) == 2 and len(set(found)) == len(values) - 1
+
+
 def test_distinct_counts_read_the_data_once(spark, monkeypatch, tmp_path):
     frame = spark.range(5000).selectExpr("id % 7 as a", "if(id % 11 = 0, null, id % 5) as b", "if(id % 13 = 0, null, id % 977) as v")
     frame.write.parquet(f"{tmp_path}/source")
