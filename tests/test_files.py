@@ -246,6 +246,12 @@ def test_limits_and_pages(spark):
     assert seen == [r.id for r in data.orderBy(*[rows.By("v", True).order(), "id"]).collect()]
 
 
+def test_plans_name_whole_paths(spark, plan, tmp_path):
+    folder = f"{tmp_path}/{'long' * 50}"
+    spark.range(3).write.parquet(folder)
+    assert folder in plan(spark.read.parquet(folder))
+
+
 def test_filters(spark):
     df = spark.createDataFrame([("Ann", "Oslo", 3), ("Bob", None, None)], "name string, city string, n int")
     assert [r.name for r in rows.search(df, "oSl").collect()] == ["Ann"]
