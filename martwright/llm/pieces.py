@@ -17,13 +17,16 @@ vocabulary are spelled in byte pieces.
 
 from __future__ import annotations
 
+import collections
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -35,7 +38,6 @@ REACH = 1 << 18
 # Stands for a space in a unit: no valid text has this code.
 _SPACE, _SPACE_CODE = "\ud800", 0xD800
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_SLOT_BITS = 18
 
 
 @dataclass(frozen=True)
@@ -67,6 +69,10 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
 
+# Places tried at a time for a node's children.
+_WINDOW = 1024
+
+
 class Trie:
     """Pieces as a tree in arrays; weights fall with the rank of a piece."""
 
@@ -79,17 +85,10 @@ class Trie:
                 at = children.setdefault((at, code), len(children) + 1)
             if piece:
                 ends[at] = number
-        keys = np.array([(node << 21) | code for node, code in children] or [-1], dtype=np.int64)
-        child = np.array(list(children.values()) or [0], dtype=np.int32)
-        # The first key of every slot is found by its hash, the others by halving.
-        slot = self._slot(keys)
-        _, kept = np.unique(slot, return_index=True)
-        self.slot_key, self.slot_child = np.full(1 << _SLOT_BITS, -1, np.int64), np.zeros(1 << _SLOT_BITS, np.int32)
-        self.slot_key[slot[kept]], self.slot_child[slot[kept]] = keys[kept], child[kept]
-        rest = np.setdiff1d(np.arange(len(keys)), kept)
-        rest = rest[np.argsort(keys[rest])]
-        self.rest_key, self.rest_child = np.append(keys[rest], np.iinfo(np.int64).max), np.append(child[rest], 0)
-        self.piece = np.full(len(children) + 1, -1, np.int64)
+        self._lay(children)
+        # Node numbers follow from the places of the rows.
+        ends = {self.number[node]: number for node, number in ends.items()}
+        self.piece = np.full(len(self.parent), -1, np.int64)
         for node, number in ends.items():
             self.piece[node] = number
         count = len(vocabulary.pieces)
@@ -104,31 +103,66 @@ class Trie:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
 
-    @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * _GOLD) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-
-    def step(self, node: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which (node, code) pairs have a child, and their children."""
-        key = (node.astype(np.int64) << 21) | code
-        slot = self._slot(key)
-        found, child = self.slot_key[slot] == key, self.slot_child[slot]
-        left = np.flatnonzero(~found)
-        place = np.searchsorted(self.rest_key, key[left])
-        hit = self.rest_key[place] == key[left]
-        found[left[hit]] = True
-        child[left[hit]] = self.rest_child[place[hit]]
-        return found, child[found]
-
+    def _lay(self, children: dict[tuple[int, int], int]) -> None:
+        """Lay the children of all nodes into one array: that by a character is at the node's base plus the rank of the character.
+
+        Full rows go first, each to where all its places are free; common characters have low ranks.
+        """
+        common = collections.Counter(code for _, code in children)
+        ranks = {code: n for n, (code, _) in enumerate(common.most_common())}
+        # A character that no piece has gets the last rank, where no node has a child.
+        self.rank = np.full(0x110000, len(ranks), np.int32)
+        self.rank[list(ranks)] = list(ranks.values())
+        rows: dict[int, list[tuple[int, int]]] = {}
+        for (node, code), child in children.items():
+            rows.setdefault(node, []).append((ranks[code], child))
+        # Room for all rows, wherever they go: none starts further than a window behind the last place taken.
+        free = np.ones(2 * len(children) + (len(ranks) + _WINDOW) * 2, bool)
+        base, place = np.zeros(len(children) + 1, np.int64), np.zeros(len(children) + 1, np.int64)
+        free[0] = False  # the root's own place
+        low = 1
+        for node, row in sorted(rows.items(), key=lambda x: -len(x[1])):
+            ranked = sorted(rank for rank, _ in row)
+            at = max(low - ranked[0], 0)
+            while True:
+                if at + ranked[-1] + _WINDOW > len(free):
+                    free = np.append(free, np.ones(len(free), bool))
+                fits = free[at + ranked[0] : at + ranked[0] + _WINDOW].copy()
+                for rank in ranked[1:]:
+                    fits &= free[at + rank : at + rank + _WINDOW]
+                first = int(fits.argmax())
+                if fits[first]:
+                    break
+                at += _WINDOW
+            base[node] = at + first
+            for rank, child in row:
+                place[child] = at + first + rank
+                free[at + first + rank] = False
+            low += int(free[low:].argmax())
+        parent = np.full(int(place.max()) + 1, -1, np.int32)
+        # What was laid out by the first numbers of the nodes is kept by their places.
+        self.number = place.tolist()
+        for node, row in rows.items():
+            parent[place[[child for _, child in row]]] = place[node]
+        self.parent = np.append(parent, np.full(len(ranks) + 1, -1, np.int32))
+        self.base = np.zeros(len(self.parent), np.int32)
+        self.base[place] = base
+
+    def step(self, node: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which (node, rank of a character) pairs have a child, and their children."""
+        place = self.base[node] + rank
+        found = np.flatnonzero(self.parent[place] == node)
+        return found, place[found]
 
     def free_cuts(self, codes: np.ndarray) -> np.ndarray:
         """Positions inside a unit that no piece occurring in it crosses."""
         crossed = np.zeros(len(codes) + self.longest + 1, np.int64)
+        ranks = self.rank[codes]
         for low in range(0, len(codes), REACH):
             at = np.arange(low, min(len(codes), low + REACH))
             ahead, state = at, np.zeros(len(at), np.int32)
             while len(at):
-                alive, state = self.step(state, codes[ahead])
+                alive, state = self.step(state, ranks[ahead])
                 at, ahead = at[alive], ahead[alive] + 1
                 whole = self.piece[state] >= 0
                 np.add.at(crossed, at[whole] + 1, 1)
@@ -160,51 +194,61 @@ class Trie:
         return self.flat[np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(total)].tobytes()
 
 
-def _spelled(code: int) -> bytes:
-    return b" " if code == _SPACE_CODE else chr(code).encode()
+def _spelled(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes each of some characters has in UTF-8, and all these bytes."""
+    codes = np.where(codes == _SPACE_CODE, 32, codes)
+    sizes = 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
+    return sizes, np.frombuffer(codes.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
 
 
 class Lattices:
-    """Lattices of units: nodes with their edges, likeliest first, and the edges' probabilities."""
+    """Lattices of units: edges from the same node lie together, longest piece first, with their probabilities.
+
+    A node is named by its first edge.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.trie = Trie(vocabulary)
+        # First edge of every node, and the end; of every unit, that of its start; of every edge, that of the node after it.
+        self.room = {name: np.zeros(1, np.int32) for name in ("first", "root", "next", "piece")} | {"upto": np.zeros(0, np.float32), "log": np.zeros(0)}
         self.clear()
 
     def clear(self) -> None:
         self.units: dict[str, int] = {}
-        self.room: dict[str, np.ndarray] = {}
-        self.root = np.zeros(0, np.int32)
-        self.first = np.zeros(1, np.int32)  # first edge of every node, and the end
-        self.next, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.upto, self.log = np.zeros(0, np.float32), np.zeros(0)
+        for name, room in self.room.items():
+            setattr(self, name, room[: name == "first"])
 
     def _append(self, name: str, values: np.ndarray) -> None:
         """Longer by some values; the array lies in one with room for as many again, which takes no memory before it is used."""
         old = getattr(self, name)
         size = len(old) + len(values)
-        room = self.room.get(name)
-        if room is None or len(room) < size:
+        room = self.room[name]
+        if len(room) < size:
             room = np.empty(2 * size, old.dtype)
             room[: len(old)] = old
             self.room[name] = room
         room[len(old) : size] = values
         setattr(self, name, room[:size])
 
-    def look_up(self, words: list[str]) -> np.ndarray:
-        fresh = list(set(words).difference(self.units))
-        if len(self.units) + len(fresh) > KEPT and self.units:
+    def look_up(self, units: list[str]) -> np.ndarray:
+        """Numbers of distinct units; lattices of those not known yet are built."""
+        numbers = np.fromiter(map(self.units.get, units, itertools.repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero(numbers < 0)
+        if len(self.units) + len(new) > KEPT and self.units:
             self.clear()
-            fresh = list(set(words))
+            new = np.arange(len(units))
+        fresh, known = [units[n] for n in new.tolist()], len(self.units)
+        numbers[new] = np.arange(known, known + len(fresh))
+        self.units.update(zip(fresh, range(known, known + len(fresh))))
         for some in range(0, len(fresh), 20_000):
             self._add(fresh[some : some + 20_000])
-        return np.fromiter(map(self.units.__getitem__, words), np.int64, len(words))
+        return numbers
 
     def _add(self, fresh: list[str]) -> None:
-        """Lattices of new units. Nodes are numbered by their distance to the end of the unit, then by unit."""
-        fresh = sorted(fresh, key=len, reverse=True)
-        codes = _codes("".join(fresh))
+        """Lattices of new units, in the order of their numbers. Nodes are numbered by their distance to the end of the unit, then by length of the unit."""
         sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        order = np.argsort(-sizes, kind="stable")
+        codes, sizes = _codes("".join(map(fresh.__getitem__, order.tolist()))), sizes[order]
         close = np.cumsum(sizes)
         held = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
         level = np.append(0, np.cumsum(held))
@@ -215,18 +259,19 @@ class Lattices:
         # The node one character on; the end of every unit is the node after the last.
         following = np.where(back > 1, level[back - 2] + unit, count)
         found, at, state = [], np.arange(count), np.zeros(count, np.int32)
-        ahead = at
+        ahead, rank = at, self.trie.rank[code]
         whole_char = np.zeros(count, bool)
         while len(at):
-            alive, state = self.trie.step(state, code[ahead])
+            alive, state = self.trie.step(state, rank[ahead])
             at, target = at[alive], following[ahead[alive]]
-            whole = self.trie.piece[state] >= 0
+            number = self.trie.piece[state]
+            whole = np.flatnonzero(number >= 0)
             if not found:
                 whole_char[at[whole]] = True
                 lone = np.flatnonzero(~whole_char)
                 found.append((lone, following[lone], -1 - code[lone]))
-            found.append((at[whole], target[whole], self.trie.piece[state[whole]]))
-            more = target < count
+            found.append((at[whole], target[whole], number[whole]))
+            more = np.flatnonzero(target < count)
             at, ahead, state = at[more], target[more], state[more]
         edges = np.bincount(np.concatenate([f[0] for f in found]), minlength=count)
         first = np.append(0, np.cumsum(edges))
@@ -240,7 +285,7 @@ class Lattices:
             free[node] -= 1
         weight = self.trie.weight[np.maximum(piece, 0)]
         odd = np.flatnonzero(piece < 0)
-        weight[odd] = [self.trie.byte_weight * len(_spelled(-1 - p)) for p in piece[odd].tolist()]
+        weight[odd] = self.trie.byte_weight * _spelled(-1 - piece[odd])[0]
         # Mass of all completions of a node, one distance after the other.
         mass, log = np.zeros(count + 1), np.empty(total)
         for a, b in zip(level[:-1].tolist(), level[1:].tolist()):
@@ -252,29 +297,29 @@ class Lattices:
         upto = np.cumsum(np.exp(log))
         upto -= np.repeat(np.append(0.0, upto)[first[:-1]], edges)
         upto[first[1:] - 1] = np.inf
-        nodes, before = len(self.first) - 1, len(self.next)
-        self.units.update(zip(fresh, range(len(self.units), len(self.units) + len(fresh))))
-        new = {"root": level[sizes - 1] + np.arange(len(fresh)) + nodes, "first": first[1:] + before, "next": np.where(target == count, -1, target + nodes)}
+        before = len(self.next)
+        root = np.empty(len(fresh), np.int64)
+        root[order] = first[level[sizes - 1] + np.arange(len(fresh))] + before
+        new = {"root": root, "first": first[1:] + before, "next": np.where(target == count, -1, first[target] + before)}
         for name, values in {**new, "piece": piece, "upto": upto, "log": log}.items():
             self._append(name, values)
 
     def walk(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw a path from every node: steps per path, and their edges one path after the other."""
-        steps, active, node = [], np.arange(len(nodes)), nodes
-        keys = keys.copy()
+        steps, active, edge = [], np.arange(len(nodes)), nodes.copy()
         counts = np.zeros(len(nodes), np.int64)
         while len(active):
             draw = _uniform(keys)
-            edge = self.first[node]
             wait = np.flatnonzero(draw >= self.upto[edge])
             while len(wait):
-                edge[wait] += 1
-                wait = wait[draw[wait] >= self.upto[edge[wait]]]
+                ahead = edge[wait] + 1
+                edge[wait] = ahead
+                wait = wait[draw[wait] >= self.upto[ahead]]
             steps.append((active, edge))
             counts[active] += 1
             node = self.next[edge]
-            on = node >= 0
-            active, node, keys = active[on], node[on], keys[on] + _GOLD
+            on = np.flatnonzero(node >= 0)
+            active, edge, keys = active[on], node[on], keys[on] + _GOLD
         start = np.cumsum(counts) - counts
         flat = np.empty(int(counts.sum()), np.int32)
         for step, (active, edge) in enumerate(steps):
@@ -283,15 +328,22 @@ class Lattices:
 
     def spell(self, edges: np.ndarray) -> np.ndarray:
         """Piece ids of a path; characters in bytes."""
-        ids = self.piece[edges]
+        return self.spell_all([edges])[0]
+
+    def spell_all(self, paths: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of some paths, one after the other, and where each ends."""
+        ids = self.piece[np.concatenate(paths)] if paths else np.zeros(0, np.int32)
+        ends = np.cumsum(np.fromiter(map(len, paths), np.int64, len(paths)))
         odd = np.flatnonzero(ids < 0)
-        if not len(odd):
-            return ids
-        parts, at = [], 0
-        for i in odd.tolist():
-            parts += [ids[at:i], self.trie.first_byte + np.frombuffer(_spelled(-1 - int(ids[i])), np.uint8).astype(np.int32)]
-            at = i + 1
-        return np.concatenate([*parts, ids[at:]])
+        if len(odd):
+            sizes, spelled = _spelled(-1 - ids[odd])
+            longer = np.append(0, np.cumsum(sizes - 1))
+            ends = ends + longer[np.searchsorted(odd, ends)]
+            copies = np.ones(len(ids), np.int64)
+            copies[odd] = sizes
+            ids = np.repeat(ids, copies)
+            ids[ids < 0] = self.trie.first_byte + spelled
+        return ids, ends
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -321,23 +373,35 @@ def _key(row: int, *parts: int) -> np.uint64:
 _MOST_NOISE = 37.0
 
 
+# Steps of a path whose siblings are looked at together.
+_AHEAD = 128
+
+
 @dataclass
 class Path:
-    """A segmentation: edges, the unit of each, and its log-probability.
-
-    Of its first steps also the log-probability before each, and the cost of leaving the
-    path there: the bound on what the step left aside is minus the log of the sum of
-    exp(cost) and exp(-score), so the least cost is the best bound. The other steps
-    cannot be among the best of the search.
+    """A segmentation: its edges, log-probability and score, and how it goes on from where it left another path.
+
+    The steps before ``fresh`` belong to the other path, which looks after their siblings.
+    From there on it has ``counts`` steps in unit ``unit`` and those after it; of the first
+    of them also the log-probability before each, and the cost of leaving the path there:
+    the bound on what the step left aside is minus the log of the sum of exp(cost) and
+    exp(-score), so the least cost is the best bound. The other steps cannot be among the
+    best of the search.
     """
 
     edges: np.ndarray
-    unit: np.ndarray
+    fresh: int
+    unit: int
+    counts: np.ndarray
     before: np.ndarray
     cost: np.ndarray
     log_prob: float
     score: float
 
+    def unit_of(self, step: int) -> int:
+        """Unit in which one of the first steps lies; every unit has a step at least."""
+        return self.unit + int(np.searchsorted(np.cumsum(self.counts[: step + 1]), step, side="right"))
+
     def best(self) -> tuple[float, int]:
         """Best bound and its step; minus infinity if nothing is left aside."""
         step = int(self.cost.argmin()) if len(self.cost) else 0
@@ -346,26 +410,45 @@ class Path:
         return -float(np.logaddexp(-self.score, self.cost[step])), step
 
 
-def _finished(lattices: Lattices, edges: np.ndarray, unit: np.ndarray, score: float, key: np.uint64, fresh: int, wanted: int) -> Path:
-    """Path whose steps before ``fresh`` belong to another one, which looks after their siblings.
+def _noise(keys: np.ndarray) -> np.ndarray:
+    """Logarithms of exponential noise, one for each key."""
+    return np.log(-np.log(_uniform(keys)))
+
+
+def _costs(logs: np.ndarray, befores: list[np.ndarray], keys: np.ndarray, wanted: int) -> list[np.ndarray]:
+    """Costs of leaving each of some paths at its first steps.
 
-    The bound of a step is the largest perturbed value among the siblings: noise on their
-    mass, truncated at ``score``. A prefix only gets less likely with every step, so once
-    it is too unlikely for the ``wanted`` best bounds the later steps are left out.
+    ``logs`` are those of all steps, one path after the other, ``befores`` the
+    log-probabilities before them and at the end. The bound of a step is the largest
+    perturbed value among the siblings: noise on their mass, truncated at the path's score.
+    A prefix only gets less likely with every step, so once it is too unlikely for the
+    ``wanted`` best bounds the later steps are left out.
     """
-    logs = lattices.log[edges]
-    before = np.concatenate([[0.0], np.cumsum(logs)])
-    costs, start, stop = [np.full(fresh, np.inf)], fresh, min(len(edges), fresh + 448)
-    least = np.zeros(0)
-    while True:
+    sizes = np.fromiter(map(len, befores), np.int64, len(befores)) - 1
+    starts = np.cumsum(sizes) - sizes
+    parts: list[list[np.ndarray]] = [[] for _ in befores]
+    left, low = np.flatnonzero(sizes), 0
+    while len(left):
+        step = np.arange(low, low + _AHEAD)
+        there = step < sizes[left, None]
+        before = np.zeros((len(left), _AHEAD))
+        beyond = np.empty(len(left))
+        for n, path in enumerate(left.tolist()):
+            own = befores[path][low : low + _AHEAD + 1]
+            before[n, : len(own) - 1], beyond[n] = own[:-1], own[-1]
         with np.errstate(divide="ignore"):
-            noise = np.log(-np.log(_uniform(key + _GOLD * np.arange(start - fresh, stop - fresh, dtype=np.uint64))))
-            costs.append(noise - before[start:stop] - np.log(-np.expm1(np.minimum(0.0, logs[start:stop]))))
-        least = np.sort(np.concatenate([least, costs[-1]]))[:wanted]
-        if stop == len(edges) or len(least) == wanted and -before[stop] - _MOST_NOISE > least[-1]:
-            break
-        start, stop = stop, min(len(edges), stop + 448)
-    return Path(edges, unit, before[:stop], np.concatenate(costs), float(before[-1]), score)
+            leave = np.log(-np.expm1(np.minimum(0.0, logs[np.minimum(starts[left, None] + step, len(logs) - 1)])))
+            cost = np.where(there, _noise(keys[left, None] + _GOLD * step.astype(np.uint64)) - before - leave, np.inf)
+        for n, path in enumerate(left.tolist()):
+            parts[path].append(cost[n, : sizes[path] - low])
+        low += _AHEAD
+        on = np.flatnonzero(low < sizes[left])
+        if len(on):
+            # Only of paths with more steps is the bound looked at.
+            least = np.array([np.sort(np.concatenate(parts[path]))[wanted - 1] if low >= wanted else np.inf for path in left[on].tolist()])
+            on = on[-beyond[on] - _MOST_NOISE <= least]
+        left = left[on]
+    return [own[0] if len(own) == 1 else np.concatenate([np.zeros(0), *own]) for own in parts]
 
 
 def draw(lattices: Lattices, rows: list[tuple[int, list[str]]], samples: int, seed: int = 42) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -375,35 +458,50 @@ def draw(lattices: Lattices, rows: list[tuple[int, list[str]]], samples: int, se
     that the segmentation is among the drawn ones. Fewer than ``samples`` are returned
     where a text has fewer segmentations. Depends on nothing but row, units and seed.
     """
-    indices = lattices.look_up([u for _, units in rows for u in units])
-    offsets = np.cumsum([0, *(len(units) for _, units in rows)])
-    roots = lattices.root[indices]
+    place: dict[str, int] = {}
+    places = [place.setdefault(u, len(place)) for _, units in rows for u in units]
+    numbers = lattices.look_up(list(place))[places] if places else np.zeros(0, np.int64)
+    return _drawn(lattices, [k for k, _ in rows], [len(units) for _, units in rows], numbers, samples, seed)
+
+
+def _drawn(lattices: Lattices, rows: list[int], sizes: list[int], numbers: np.ndarray, samples: int, seed: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """``draw`` from the numbers of all units, of which each row has ``sizes``."""
+    offsets = np.cumsum([0, *sizes])
+    roots = lattices.root[numbers]
     paths: list[list[Path]] = [[] for _ in rows]
     taken: list[dict[tuple[int, int], list[int]]] = [{} for _ in rows]
-    # Of every row: node to go on from, unit it is in, the steps before, and the score.
-    todo = [(i, offsets[i], None, np.zeros(0, np.int32), np.zeros(0, np.int64), float(-np.log(-np.log(_uniform(np.array([_key(k, seed, 0)]))[0])))) for i, (k, _) in enumerate(rows)]
-    for sample in range(samples):
-        starts, keys, spans = [], [], []
-        for i, at, node, _, _, _ in todo:
-            base, stop = _key(rows[i][0], seed, 1, sample), offsets[i + 1]
-            nodes, units = roots[at:stop], np.arange(at - offsets[i], stop - offsets[i], dtype=np.uint64)
+    # Of every row: unit to go on from, node inside the one before it, the steps before, and the score.
+    scores = -_noise(np.array([_key(k, seed, 0) for k in rows], np.uint64))
+    todo = [(i, at, None, np.zeros(0, np.int32), score) for i, (at, score) in enumerate(zip(offsets.tolist(), scores.tolist()))]
+    for sample in range(samples if rows else 0):
+        starts, units, spans = [], [], []
+        for i, at, node, _, _ in todo:
+            stop = int(offsets[i + 1])
             if node is not None:
-                nodes, units = np.concatenate([[node], nodes]), np.concatenate([[np.uint64(1 << 62)], units])
-            starts.append(nodes)
-            keys.append(_mixed(base + _GOLD * units))
-            spans.append(len(nodes))
-        counts, flat = lattices.walk(np.concatenate(starts), np.concatenate(keys)) if todo else (np.zeros(0, np.int64),) * 2
+                starts.append([node])
+                units.append([np.uint64(1 << 62)])
+            starts.append(roots[at:stop])
+            units.append(np.arange(at - offsets[i], stop - offsets[i], dtype=np.uint64))
+            spans.append(stop - at + (node is not None))
+        bases = np.array([_key(rows[i], seed, 1, sample) for i, *_ in todo], np.uint64)
+        counts, flat = lattices.walk(np.concatenate(starts), _mixed(np.repeat(bases, spans) + _GOLD * np.concatenate(units))) if todo else (np.zeros(0, np.int64),) * 2
+        logs = lattices.log[flat]
+        keys = np.array([_key(rows[i], seed, 2, sample) for i, *_ in todo], np.uint64)
+        last = np.cumsum(spans, dtype=np.int64)
         ends = np.append(0, np.cumsum(counts))
-        place = 0
-        for (i, at, node, edges, unit, score), span in zip(todo, spans):
-            number = np.arange(at - (node is not None), at + span - (node is not None))
-            new = flat[ends[place] : ends[place + span]]
-            unit_of = np.repeat(number, counts[place : place + span])
-            place += span
-            key = _key(rows[i][0], seed, 2, sample)
-            paths[i].append(_finished(lattices, np.append(edges, new), np.append(unit, unit_of), score, key, len(edges), samples + 1))
+        cuts = ends[np.append(0, last)].tolist()
+        befores = []
+        for (_, _, _, edges, _), low, high in zip(todo, cuts, cuts[1:]):
+            # Added up from the first step on, so that equal steps have equal sums.
+            before = np.zeros(len(edges) + high - low + 1)
+            np.cumsum(np.concatenate([lattices.log[edges], logs[low:high]]) if len(edges) else logs[low:high], out=before[1:])
+            befores.append(before[len(edges) :])
+        costs = _costs(logs, befores, keys, samples + 1)
+        for (i, at, node, edges, score), before, cost, low, high, end, span in zip(todo, befores, costs, cuts, cuts[1:], last.tolist(), spans):
+            whole = np.append(edges, flat[low:high]) if len(edges) else flat[low:high]
+            paths[i].append(Path(whole, len(edges), at - (node is not None), counts[end - span : end], before[: len(cost)], cost, float(before[-1]), score))
         if sample + 1 < samples:
-            todo = [again for i, _, _, _, _, _ in todo if (again := _branch(lattices, paths[i], taken[i], i, _key(rows[i][0], seed, 3, sample)))]
+            todo = [again for i, *_ in todo if (again := _branch(lattices, paths[i], taken[i], i, _key(rows[i], seed, 3, sample)))]
     results = []
     for i, own in enumerate(paths):
         paths[i] = []
@@ -424,16 +522,17 @@ def _branch(lattices: Lattices, paths: list[Path], taken: dict[tuple[int, int],
     if score == -np.inf:
         return None
     path = paths[number]
-    used = taken.setdefault((number, step), [int(path.edges[step])])
+    own = int(path.edges[path.fresh + step])
+    used = taken.setdefault((number, step), [own])
     # The node is where the chosen edge starts: the last first edge at or before it.
-    node = int(np.searchsorted(lattices.first, np.int32(path.edges[step]), side="right")) - 1
+    node = int(np.searchsorted(lattices.first, np.int32(own), side="right")) - 1
     choices = [e for e in range(int(lattices.first[node]), int(lattices.first[node + 1])) if e not in used]
     chances = np.exp(lattices.log[choices])
     draws = _uniform(key + _GOLD * np.arange(2, dtype=np.uint64))
     at = min(int(np.searchsorted(np.cumsum(chances), draws[0] * chances.sum(), side="right")), len(choices) - 1)
     edge = choices[at]
     used.append(edge)
-    rest = float(np.delete(chances, at).sum())
+    rest = float(np.concatenate([chances[:at], chances[at + 1 :]]).sum())
     if rest:
         # The others keep noise truncated at the value that was just taken.
         left = float(-np.logaddexp(-score, np.log(-np.log(draws[1])) - (path.before[step] + np.log(rest))))
@@ -441,20 +540,44 @@ def _branch(lattices: Lattices, paths: list[Path], taken: dict[tuple[int, int],
     else:
         path.cost[step] = np.inf
     following = int(lattices.next[edge])
-    edges, unit = np.append(path.edges[:step], np.int32(edge)), path.unit[: step + 1]
-    return row, int(unit[-1]) + 1, following if following >= 0 else None, edges, unit, score
+    return row, path.unit_of(step) + 1, following if following >= 0 else None, np.append(path.edges[: path.fresh + step], np.int32(edge)), score
 
 
 def units_of(text: str | None, trie: Trie) -> list[str]:
     """Units of a text; an empty or null one has none."""
     if not text:
         return []
-    units = [_SPACE + word for word in text.split(" ")]
+    units = (_SPACE + text.replace(" ", " " + _SPACE)).split(" ")
     if max(map(len, units)) > UNIT:
         units = [part for unit in units for part in trie.cut(unit)]
     return units
 
 
+def _numbers(texts: pa.Array, lattices: Lattices) -> tuple[list[int], np.ndarray]:
+    """Number of units of each text, and the units' numbers, one text after the other; as ``units_of`` for each."""
+    full = pc.fill_null(pc.not_equal(texts, ""), False)
+    words = pc.split_pattern(texts.filter(full), " ")
+    full = full.to_numpy(zero_copy_only=False)
+    sizes = np.zeros(len(full), np.int64)
+    sizes[full] = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    found = words.flatten().dictionary_encode()
+    place = found.indices.to_numpy(zero_copy_only=False)
+    units = [_SPACE + word for word in found.dictionary.to_numpy(zero_copy_only=False).tolist()]
+    long = np.flatnonzero(pc.greater_equal(pc.utf8_length(found.dictionary), UNIT).to_numpy(zero_copy_only=False))
+    if not len(long):
+        return sizes.tolist(), lattices.look_up(units)[place]
+    parts = [[unit] for unit in units]
+    for n in long.tolist():
+        parts[n] = lattices.trie.cut(units[n])
+    counts = np.fromiter(map(len, parts), np.int64, len(parts))
+    known: dict[str, int] = {}
+    order = np.array([known.setdefault(part, len(known)) for own in parts for part in own])
+    numbers, starts = lattices.look_up(list(known))[order], np.cumsum(counts) - counts
+    ends = np.append(0, np.cumsum(counts[place]))
+    within = np.arange(ends[-1]) - np.repeat(ends[:-1], counts[place])
+    return np.diff(ends[np.append(0, np.cumsum(sizes))]).tolist(), numbers[np.repeat(starts[place], counts[place]) + within]
+
+
 def decode(ids: np.ndarray | list[int], table: list[bytes]) -> str:
     """Text of piece ids: the bytes of the pieces without the implied first space."""
     return b"".join(map(table.__getitem__, ids))[1:].decode()
@@ -469,27 +592,22 @@ def _row_key(doc: int | None) -> int:
     return -1 if doc is None else doc
 
 
-def _encoded(batch: pa.RecordBatch, lattices: Lattices, samples: int, seed: int) -> Iterator[tuple[int, str | None, int, np.ndarray, float, float, float]]:
-    """Rows of the result for a batch of (doc_id, text), in pieces of about ``BATCH`` characters."""
-    rows: list[tuple[int, str | None]] = []
-    held = 0
-
-    def settle() -> Iterator[tuple]:
-        found = draw(lattices, [(_row_key(d), units_of(t, lattices.trie)) for d, t in rows], samples, seed)
-        for at, (doc, text) in enumerate(rows):
-            own, found[at] = found[at], []
-            for sample, (edges, log_prob, score, inclusion) in enumerate(own, 1):
-                yield doc, text, sample, lattices.spell(edges), log_prob, score, inclusion
-
-    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        rows.append((doc, text))
-        held += len(text or "") + 64
-        if held >= BATCH:
-            yield from settle()
-            rows.clear()
-            held = 0
-    if rows:
-        yield from settle()
+def _encoded(batch: pa.RecordBatch, lattices: Lattices, samples: int, seed: int) -> Iterator[tuple[int, bytes | None, int, np.ndarray, float, float, float]]:
+    """Rows of the result for a batch of (doc_id, text), in pieces of about ``BATCH`` characters; the text in UTF-8."""
+    held = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False) + 64)
+    low = 0
+    while low < batch.num_rows:
+        high = min(batch.num_rows, int(np.searchsorted(held, (held[low - 1] if low else 0) + BATCH)) + 1)
+        docs, texts = (column.slice(low, high - low) for column in batch.columns)
+        docs, low = docs.to_pylist(), high
+        found = _drawn(lattices, [_row_key(d) for d in docs], *_numbers(texts, lattices), samples, seed)
+        ids, ends = lattices.spell_all([edges for own in found for edges, _, _, _ in own])
+        start, stops = 0, iter(ends.tolist())
+        for doc, text, own in zip(docs, texts.cast(pa.large_binary()).to_pylist(), found):
+            for sample, (_, log_prob, score, inclusion) in enumerate(own, 1):
+                stop = next(stops)
+                yield doc, text, sample, ids[start:stop], log_prob, score, inclusion
+                start = stop
 
 
 def sample_encode(docs: DataFrame, samples: int = 2, path: str = MODEL, sharpness: float = 1.0, seed: int = 42, digest: bool = False) -> DataFrame:
@@ -512,7 +630,7 @@ def sample_encode(docs: DataFrame, samples: int = 2, path: str = MODEL, sharpnes
             out: list[tuple] = []
             size = 0
             for doc, text, sample, ids, log_prob, score, inclusion in _encoded(batch, lattices, samples, seed):
-                checked = (hashlib.md5(ids.astype("<i4").tobytes()).hexdigest(), lattices.trie.text(ids)[1:] == (text or "").encode("utf-8", "surrogatepass")) if digest else ()
+                checked = (hashlib.md5(ids.astype("<i4")).hexdigest(), lattices.trie.text(ids)[1:] == (text or b"")) if digest else ()
                 out.append((doc, sample, len(ids), log_prob, score, inclusion, ids, *checked))
                 size += len(ids) * 4 + 64
                 if size > 1 << 22:

@@ -6,6 +6,7 @@ import math
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from martwright.llm import pieces
@@ -126,6 +127,58 @@ def test_units_are_cut_only_where_no_piece_crosses(lattices, monkeypatch):
                 assert end - start <= 4 or not set(range(start + 1, start + 5)) - crossed
 
 
+def test_units_of_a_batch_are_numbered_once(lattices, monkeypatch):
+    """A batch asks for each of its units once, and gets the units that each text has by itself."""
+    monkeypatch.setattr(pieces, "UNIT", 6)
+    texts = ["skipped", "abc ab", None, "", " ", "ab  ab ", "cabxabcabxabcab ab", "é\n😀 x", "abcabc abcab abcabcab", "ab " * 500]
+    asked = []
+    look_up = pieces.Lattices.look_up
+    monkeypatch.setattr(pieces.Lattices, "look_up", lambda self, units: asked.append(units) or look_up(self, units))
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"]).slice(1)
+    own = pieces.Lattices(VOCABULARY)
+    sizes, numbers = pieces._numbers(batch.column(1), own)
+    named, places = dict(map(reversed, own.units.items())), np.cumsum([0, *sizes])
+    for text, start, stop in zip(texts[1:], places, places[1:]):
+        assert [named[n] for n in numbers[start:stop].tolist()] == pieces.units_of(text, own.trie)
+    found = list(pieces._encoded(batch, pieces.Lattices(VOCABULARY), 2, 42))
+    assert len(asked) == 2 and all(len(units) == len(set(units)) for units in asked)
+    # And what is drawn is what every text gives alone.
+    for doc, text in list(enumerate(texts))[1:]:
+        alone = pieces.draw(lattices, [(doc, pieces.units_of(text, lattices.trie))], 2)[0]
+        rows = [r for r in found if r[0] == doc]
+        assert [r[3].tolist() for r in rows] == [lattices.spell(edges).tolist() for edges, _, _, _ in alone]
+        assert [r[4:] for r in rows] == [pytest.approx(rest) for _, *rest in alone]
+        assert all((r[1] or b"").decode() == (text or "") for r in rows)
+
+
+def test_trie_holds_the_pieces_and_no_more(monkeypatch):
+    pick = np.random.default_rng(3)
+    words = sorted({"".join(pick.choice(list("abcdé日😀"), pick.integers(1, 6))) for _ in range(900)})
+    for window in (2, 1024):
+        monkeypatch.setattr(pieces, "_WINDOW", window)
+        trie = pieces.Trie(pieces.Vocabulary((*words, *(None,) * 256), len(words)))
+        starts = {w[:n] for w in words for n in range(len(w) + 1)}
+        numbers, nodes = dict(zip(words, range(len(words)))), {"": 0}
+        for prefix in sorted(starts, key=len):
+            for code in "abcdé日\U0001f600x\ud800\U0010ffff":
+                found, child = trie.step(np.array([nodes[prefix]]), trie.rank[pieces._codes(code)])
+                assert len(found) == (prefix + code in starts)
+                if len(found):
+                    nodes[prefix + code] = int(child[0])
+                    assert trie.piece[child[0]] == numbers.get(prefix + code, -1)
+        assert len(set(nodes.values())) == len(starts)
+
+
+def test_draws_do_not_depend_on_the_steps_looked_at_together(lattices, monkeypatch):
+    rows = [(i, pieces.units_of(t, lattices.trie)) for i, t in enumerate(["abc ab", "", "cabab", "abcab cab " * 40, "b"])]
+    want = pieces.draw(lattices, rows, 5)
+    for ahead in (1, 3, 1000):
+        monkeypatch.setattr(pieces, "_AHEAD", ahead)
+        for one, two in zip(want, pieces.draw(lattices, rows, 5)):
+            assert [e.tolist() for e, _, _, _ in one] == [e.tolist() for e, _, _, _ in two]
+            assert [rest for _, *rest in one] == [pytest.approx(rest) for _, *rest in two]
+
+
 def test_rows_of_the_query_against_all_segmentations(spark, lattices, monkeypatch):
     """What a table gives is among all segmentations of its text, with their probabilities, best first, and decodes."""
     monkeypatch.setattr(pieces, "load", lambda path, sharpness=1.0: VOCABULARY)
