@@ -194,6 +194,11 @@ class Trie:
         return self.flat[np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(total)].tobytes()
 
 
+@functools.lru_cache(maxsize=2)
+def trie_of(vocabulary: Vocabulary) -> Trie:
+    return Trie(vocabulary)
+
+
 def _spelled(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many bytes each of some characters has in UTF-8, and all these bytes."""
     codes = np.where(codes == _SPACE_CODE, 32, codes)
@@ -208,7 +213,7 @@ class Lattices:
     """
 
     def __init__(self, vocabulary: Vocabulary):
-        self.trie = Trie(vocabulary)
+        self.trie = trie_of(vocabulary)
         # First edge of every node, and the end; of every unit, that of its start; of every edge, that of the node after it.
         self.room = {name: np.zeros(1, np.int32) for name in ("first", "root", "next", "piece")} | {"upto": np.zeros(0, np.float32), "log": np.zeros(0)}
         self.clear()
@@ -583,11 +588,6 @@ def decode(ids: np.ndarray | list[int], table: list[bytes]) -> str:
     return b"".join(map(table.__getitem__, ids))[1:].decode()
 
 
-@functools.lru_cache(maxsize=2)
-def lattices_of(vocabulary: Vocabulary) -> Lattices:
-    return Lattices(vocabulary)
-
-
 def _row_key(doc: int | None) -> int:
     return -1 if doc is None else doc
 
@@ -625,7 +625,8 @@ def sample_encode(docs: DataFrame, samples: int = 2, path: str = MODEL, sharpnes
     kind = "n_pieces long, log_prob double, score double, log_inclusion double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = lattices_of(shared.value)
+        # Of a task, not of its process: other stages run there, and need the memory.
+        lattices = Lattices(shared.value)
         for batch in batches:
             out: list[tuple] = []
             size = 0
@@ -638,6 +639,8 @@ def sample_encode(docs: DataFrame, samples: int = 2, path: str = MODEL, sharpnes
                     out, size = [], 0
             if out:
                 yield _arrow(out, digest)
+        del lattices
+        pa.default_memory_pool().release_unused()
 
     layout = f"doc_id long, sample int, {kind}, ids array<int>" + ", ids_md5 string, decodes boolean" * digest
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, layout)
@@ -666,7 +669,7 @@ def decode_table(rows: DataFrame, path: str = MODEL, ids: str = "ids", name: str
     kept = [c for c in rows.columns if c.lower() != name.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = lattices_of(shared.value).trie
+        trie = trie_of(shared.value)
         for batch in batches:
             found = [_text(trie, cell) for cell in batch.column(kept.index(ids))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*plain, "text"])

@@ -151,6 +151,12 @@ def test_units_of_a_batch_are_numbered_once(lattices, monkeypatch):
         assert all((r[1] or b"").decode() == (text or "") for r in rows)
 
 
+def test_tasks_share_the_trie_and_nothing_else():
+    one, two = pieces.Lattices(VOCABULARY), pieces.Lattices(VOCABULARY)
+    one.look_up(["\ud800ab", "abc"])
+    assert one.trie is two.trie and len(one.units) == 2 and not two.units and not len(two.root)
+
+
 def test_trie_holds_the_pieces_and_no_more(monkeypatch):
     pick = np.random.default_rng(3)
     words = sorted({"".join(pick.choice(list("abcdé日😀"), pick.integers(1, 6))) for _ in range(900)})
