@@ -94,7 +94,7 @@ def _row_counts(spark: SparkSession, folder: str, w: Warehouse) -> DataFrame:
 def _duplicate_ids(w: Warehouse) -> DataFrame:
     keys = {"order_items": "order_item_id", "orders": "order_id", "customers": "customer_id", "products": "product_id"}
     found = [
-        validation.duplicate_keys(getattr(w.raw, t), k).select(F.lit(t).alias("table_name"), F.col(k).alias("key"), "cnt")
+        validation.repeated_keys(getattr(w.raw, t), k).select(F.lit(t).alias("table_name"), F.col(k).alias("key"), "cnt")
         for t, k in keys.items()
     ]
     return quality.all_checks(*found)

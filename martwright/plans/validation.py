@@ -19,10 +19,15 @@ def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*nulls, F.count("*").alias("total_rows"))
 
 
+def repeated_keys(df: DataFrame, key: str) -> DataFrame:
+    """All keys that occur more than once, with their row count."""
+    keys = df.select(key)
+    return having_count(by_key(keys, [key], keys.count()), [key])
+
+
 def duplicate_keys(df: DataFrame, key: str, limit: int = 10) -> DataFrame:
     """First keys that occur more than once."""
-    keys = df.select(key)
-    return having_count(by_key(keys, [key], keys.count()), [key]).orderBy(key).limit(limit)
+    return repeated_keys(df, key).orderBy(key).limit(limit)
 
 
 def count_where(df: DataFrame, condition, name: str) -> DataFrame:

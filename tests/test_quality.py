@@ -59,6 +59,23 @@ def test_null_profile_and_duplicates(broken):
     assert [tuple(r) for r in validation.duplicate_keys(broken, "id").collect()] == [(None, 2), (1, 2)]
 
 
+def test_all_duplicate_ids_are_listed(spark, small):
+    """More than ten ids of a table come twice, one three times, and ids are missing."""
+    from types import SimpleNamespace
+
+    from __spark_entry__ import REPORTS
+
+    ids = spark.range(40).selectExpr("if(id = 39, null, concat('K', lpad(cast(id % 20 as string), 2, '0'))) as k")
+    ids = ids.union(spark.createDataFrame([("K00",), (None,)], "k string"))
+    keys = {"order_items": "order_item_id", "orders": "order_id", "customers": "customer_id", "products": "product_id"}
+    raw = SimpleNamespace(**{table: ids.select(F.col("k").alias(key)) for table, key in keys.items()})
+    got = [tuple(r) for r in REPORTS["duplicate_ids"](SimpleNamespace(raw=raw)).collect()]
+    each = [("K00", 3), *((f"K{i:02d}", 2) for i in range(1, 19)), (None, 2)]
+    assert len(got) == 80 and set(got) == {(table, key, n) for table in keys for key, n in each}
+    # A first look at one column stays a first look.
+    assert validation.duplicate_keys(ids, "k").count() == 10
+
+
 def test_business_rules(spark):
     items = spark.createDataFrame([(0, D("0.5")), (-1, None), (1, D("1.5")), (1, D("-0.1"))], "quantity int, discount decimal(5,4)")
     assert validation.invalid_quantity(items).first()[0] == 2
