@@ -8,6 +8,7 @@ check but ``not_null``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from martwright.operators.joins import orphan_counts
 from martwright.operators.rows import by_key
+from martwright.sources.tables import collect_garbage, write_stable
 
 
 def _result(failures: DataFrame, check: str, table: str, column: str) -> DataFrame:
@@ -42,18 +44,78 @@ def check_unique(df: DataFrame, table: str, *columns: str) -> DataFrame:
     return _result(failures, "unique", table, ", ".join(columns))
 
 
-def check_unique_columns(tables: list[tuple[DataFrame, str, list[str]]]) -> DataFrame:
-    """``check_unique`` of many single columns: every table is read once, and all values are counted in one shuffle."""
-    tests = [(table, column) for _, table, columns in tables for column in columns]
+# Repeated digests that a task may hold at once; each takes some 32 bytes there.
+HELD_DIGESTS = 1_000_000
+
+
+def check_unique_columns(tables: list[tuple[DataFrame, str, list[str]]], folder: str | None = None) -> DataFrame:
+    """``check_unique`` of many single columns, every table read together with the others."""
+    return check_unique_cells([(df, [(table, c, F.col(c)) for c in columns]) for df, table, columns in tables], folder)
+
+
+def check_unique_cells(frames: list[tuple[DataFrame, list[tuple[str, str, Column]]]], folder: str | None = None) -> DataFrame:
+    """``check_unique`` of many cells (table, column, value), listed by the frame that has them.
+
+    Only digests of eight bytes are shuffled: a value that repeats has a digest that does.
+    They are written, and what goes on is the values of these digests alone, which are
+    counted as they are, so that values that merely share a digest are told apart.
+    """
+    spark = frames[0][0].sparkSession
+    tests = [(table, column) for _, cells in frames for table, column, _ in cells]
+    digests = by_key(reduce(DataFrame.unionByName, _digests(frames)), ["digest"], _rows(frames, _columns))
+    repeated = write_stable(digests.groupBy("digest").agg(F.count("*").alias("rows")).where("rows > 1").select("digest"), "repeated", folder)
+    collect_garbage(spark)
+    found = spark.createDataFrame([], "test int, failures bigint")
+    if known := repeated.count():
+        values = reduce(DataFrame.unionByName, _values(frames)).where("value is not null")
+        # With more of them than fit, all values are counted.
+        if known <= HELD_DIGESTS:
+            values = values.join(F.broadcast(repeated), "digest", "left_semi")
+        dealt = by_key(values.drop("digest"), ["test", "value"], _rows(frames, len))
+        counts = dealt.groupBy("test", "value").agg(F.count("*").alias("rows"))
+        found = counts.where("rows > 1").groupBy("test").agg(F.count("*").alias("failures"))
+    return _listed(spark, [("unique", *test) for test in tests], found)
+
+
+def _columns(cells: list[tuple[str, str, Column]]) -> int:
+    return len({column for _, column, _ in cells})
+
+
+def _rows(frames: list[tuple[DataFrame, list]], per_row: Callable[[list], int]) -> int:
+    return sum(df.count() * per_row(cells) for df, cells in frames)
+
+
+def _digest(frame: int, column: str, value: Column) -> Column:
+    """Digest of a value among those of a column; cells of one frame with the same column share them."""
+    return F.when(value.isNotNull(), F.xxhash64(F.lit(f"{frame} {column}"), value))
+
+
+def _digests(frames: list[tuple[DataFrame, list[tuple[str, str, Column]]]]) -> list[DataFrame]:
+    """The digests of each row, once where cells of a column agree."""
     parts = []
-    for df, table, columns in tables:
-        cells = [F.struct(F.lit(tests.index((table, c))).alias("test"), F.col(c).cast("string").alias("value")) for c in columns]
-        parts.append(df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*"))
-    values = reduce(DataFrame.unionByName, parts).where("value is not null")
-    dealt = by_key(values, ["test", "value"], sum(df.count() * len(columns) for df, _, columns in tables))
-    counts = dealt.groupBy("test", "value").agg(F.count("*").alias("rows"))
-    found = counts.where("rows > 1").groupBy("test").agg(F.count("*").alias("failures"))
-    return _listed(tables[0][0].sparkSession, [("unique", *test) for test in tests], found)
+    for n, (df, cells) in enumerate(frames):
+        taken: dict[str, list[Column]] = {}
+        row = []
+        for _, column, cell in cells:
+            value, before = cell.cast("string"), taken.setdefault(column, [])
+            digest = _digest(n, column, value)
+            row.append(F.when(~reduce(Column.__or__, [value.eqNullSafe(b) for b in before]), digest) if before else digest)
+            before.append(value)
+        parts.append(df.select(F.explode(F.array(*row)).alias("digest")).where("digest is not null"))
+    return parts
+
+
+def _values(frames: list[tuple[DataFrame, list[tuple[str, str, Column]]]]) -> list[DataFrame]:
+    """Number of the test, value and digest of all cells."""
+    parts, number = [], 0
+    for n, (df, cells) in enumerate(frames):
+        row = []
+        for _, column, cell in cells:
+            value = cell.cast("string")
+            row.append(F.struct(F.lit(number).alias("test"), value.alias("value"), _digest(n, column, value).alias("digest")))
+            number += 1
+        parts.append(df.select(F.explode(F.array(*row)).alias("cell")).select("cell.*"))
+    return parts
 
 
 def check_not_null(df: DataFrame, table: str, columns: list[str]) -> DataFrame:

@@ -68,7 +68,15 @@ def _table(w: Warehouse, name: str) -> DataFrame:
 
 
 def unique_tests(w: Warehouse) -> DataFrame:
-    return quality.check_unique_columns([(_table(w, t), t, columns) for t, columns in UNIQUE.items()])
+    """A raw table and what is staged of it share a frame."""
+    frames: dict[str, tuple[DataFrame, list[tuple[str, str, Column]]]] = {}
+    for table, columns in UNIQUE.items():
+        source = table.removeprefix("raw_").removeprefix("stg_")
+        joint = source in w.beside_raw
+        _, cells = frames.setdefault(source if joint else table, (w.beside_raw[source] if joint else _table(w, table), []))
+        part = "raw" if table.startswith("raw_") else "stg"
+        cells += [(table, c, F.col(f"{part}.{c}" if joint else c)) for c in columns]
+    return quality.check_unique_cells(list(frames.values()), w.folder)
 
 
 def _frames(w: Warehouse, filled: bool = True, accepted: bool = True) -> list[tuple[DataFrame, list[quality.CellTest]]]:

@@ -13,7 +13,7 @@ from martwright.operators.joins import hot_values
 from martwright.plans import analytics, marts, staging
 from martwright.session import shared_folder
 from martwright.sources.schemas import RawTables
-from martwright.sources.tables import curve, curve_clustered, remove_folder
+from martwright.sources.tables import collect_garbage, curve, curve_clustered, remove_folder
 
 
 class Warehouse:
@@ -46,6 +46,7 @@ class Warehouse:
     def _stored(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        collect_garbage(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     @cached_property

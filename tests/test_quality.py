@@ -155,3 +155,55 @@ def test_tasks_count_few_keys_each(spark, monkeypatch, plan):
     assert [tuple(r) for r in found.collect()] == [(None, 5), *((str(i), 2) for i in range(5, 10))]
     checked = quality.check_unique_columns([(table, "t", ["k"])])
     assert "REPARTITION_BY_NUM" in plan(checked) and [r.failures for r in checked.collect()] == [5]
+
+
+def _pairs(spark):
+    """A table beside what is staged of it: a row that is dropped, a cell that is changed, values that repeat in one or both."""
+    rows = [("a", "a"), ("a", None), ("b", "b"), ("b", "b"), ("c", "x"), ("d", "x"), ("e", None), ("f", "f"), (None, None), (None, "g")]
+    pairs = spark.createDataFrame(rows, "r string, s string").select(F.struct(F.col("r").alias("k")).alias("raw"), F.struct(F.col("s").alias("k")).alias("stg"))
+    other = spark.range(6).select((F.col("id") % 4).alias("k"), F.col("id").alias("n"))
+    frames = [(pairs, [("raw", "k", F.col("raw.k")), ("stg", "k", F.col("stg.k"))]), (other, [("other", "k", F.col("k")), ("other", "n", F.col("n"))])]
+    return frames, {("raw", "k"): 2, ("stg", "k"): 2, ("other", "k"): 2, ("other", "n"): 0}
+
+
+def _unique(frames):
+    return {(r["table"], r["column"]): r["failures"] for r in quality.check_unique_cells(frames).collect()}
+
+
+def test_unique_cells_of_shared_frames(spark, monkeypatch):
+    frames, wanted = _pairs(spark)
+    assert _unique(frames) == wanted
+    # Values that share a digest are told apart, few or many.
+    digest = quality._digest
+    monkeypatch.setattr(quality, "_digest", lambda *a: F.pmod(digest(*a), F.lit(2)))
+    assert _unique(frames) == wanted
+    monkeypatch.setattr(quality, "HELD_DIGESTS", 0)
+    assert _unique(frames) == wanted
+
+
+def test_unique_values_go_as_digests(spark, monkeypatch):
+    """What repeats is found from eight bytes a row, one row where raw and staged cells agree; clean tables are not read again."""
+    written = []
+    write = quality.write_stable
+    monkeypatch.setattr(quality, "write_stable", lambda df, *a: written.append(df) or write(df, *a))
+    clean = spark.range(100).select(F.struct(F.concat(F.lit("key"), F.col("id")).alias("k")).alias("raw")).withColumn("stg", F.col("raw"))
+    frame = (clean, [("raw", "k", F.col("raw.k")), ("stg", "k", F.col("stg.k"))])
+    digests = quality._digests([frame])[0]
+    assert digests.dtypes == [("digest", "bigint")] and digests.count() == 100
+    monkeypatch.setattr(quality, "_values", lambda frames: pytest.fail("read again"))
+    assert _unique([frame]) == {("raw", "k"): 0, ("stg", "k"): 0} and written[0].columns == ["digest"]
+
+
+def test_stored_tables_leave_no_shuffle_files(spark, small):
+    """What was shuffled for a table is gone from the disk soon after the table is written."""
+    import time
+
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    blocks = lambda: {b.name() for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(env.blockManager().diskBlockManager().getAllBlocks()) if b.name().startswith("shuffle_")}
+    before = blocks()
+    df = spark.range(1000).repartition(4, "id").groupBy("id").agg(F.count("*").alias("n"))
+    small._stored(df, "left_behind")
+    end = time.time() + 20
+    while blocks() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not blocks() - before
