@@ -31,3 +31,23 @@ def lenient_date(text: Column, formats: tuple[str, ...] = ()) -> Column:
 def match_name(name: Column) -> Column:
     """Form in which product names are compared."""
     return F.upper(F.trim(name))
+
+
+# The signs that take four bits, and what marks a text of others.
+PACKED_SIGNS, PLAIN = "0123456789-", b"\x00"
+
+
+def pack_text(text: Column) -> Column:
+    """Text as bytes, two signs a byte where it is made of digits and dashes only; ``unpack_text`` gives it back.
+
+    The first byte tells which: packed signs follow a filling of F.
+    """
+    signs = F.concat(F.when(F.length(text) % 2 == 0, "FF").otherwise("F"), F.translate(text, "-", "A"))
+    plain = F.concat(F.lit(PLAIN), text.cast("binary"))
+    return F.when(F.translate(text, PACKED_SIGNS, "") == "", F.unhex(signs)).otherwise(plain)
+
+
+def unpack_text(packed: Column) -> Column:
+    plain = F.substring(packed, 2, 2**31 - 1).cast("string")
+    signs = F.translate(F.hex(packed), "AF", "-")
+    return F.when(F.substring(packed, 1, 1) == F.lit(PLAIN), plain).otherwise(signs)

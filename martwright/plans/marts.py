@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from martwright.functions import labels, money
 from martwright.functions.keys import date_key, surrogate_key
-from martwright.functions.text import match_name
+from martwright.functions.text import match_name, pack_text, unpack_text
 from martwright.operators.joins import hot_keys, hot_values, skew_join
 from martwright.operators.ranking import global_row_number
 from martwright.sources.schemas import LOADED_AT
@@ -141,14 +141,16 @@ def sale_lines(
     costs = products.select("product_sk", "product_id", "base_cost", F.col("avg_competitor_price").cast(NARROW).alias("avg_competitor_price"))
     # The revenue is taken along only where it does not follow from the discount shown.
     other_net = F.when(F.col("net_revenue") != _net(), F.col("net_revenue")).alias("other_net")
-    priced = skew_join(items.select(*LINE, other_net), costs, "product_id", hot["product_id"], ["order_item_id"]).drop("product_id")
+    # The id of a line is wide and no key of these joins: it goes packed.
+    lines = items.select(pack_text(F.col("order_item_id")).alias("order_item_id"), *LINE[1:], other_net)
+    priced = skew_join(lines, costs, "product_id", hot["product_id"], ["order_item_id"]).drop("product_id")
     return skew_join(priced, headers, "order_id", hot["order_id"], ["order_item_id"], shuffled=True)
 
 
 def fact_rows(lines: DataFrame) -> DataFrame:
     """The columns of the fact, row by row from its lines."""
     lines = lines.withColumns({"net_revenue": F.coalesce("other_net", _net()), "avg_competitor_price": F.col("avg_competitor_price").cast(money.RATE)})
-    lines = lines.withColumn("avg_competitor_price", F.round("avg_competitor_price", 6))
+    lines = lines.withColumns({"avg_competitor_price": F.round("avg_competitor_price", 6), "order_item_id": unpack_text(F.col("order_item_id"))})
     measures = line_measures()
     return with_sale_key(lines.select(
         "order_item_id",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from martwright.functions.arrays import LAST_SEEN, MOST, SUM, running
 from martwright.functions import labels, money
 from martwright.functions.keys import date_key, surrogate_key
-from martwright.functions.text import parse_price
+from martwright.functions.text import pack_text, parse_price, unpack_text
 from martwright.plans import guarded
 from martwright.sources.html_tables import extract_html_tables
 
@@ -193,3 +193,13 @@ def test_statement_texts():
     assert guarded.extract_statement("no statement") == ""
     assert guarded.check_question("abc") and guarded.check_question("x" * 501)
     assert guarded.check_question("How many?") is None
+
+
+def test_texts_are_packed_without_loss(spark):
+    texts = ["", "-", "1", "12", "-5", "123-45", "00", "0-0", "A", "F", "FF", "a1", "1 2", "1\n", "\n", "\x00", "\x001", "é", "١٢", "1.5", "ITEM-1", "9" * 40, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    packed = df.select("t", pack_text(F.col("t")).alias("p"))
+    got = packed.select("t", "p", unpack_text(F.col("p")).alias("u")).collect()
+    assert all(r.t == r.u for r in got) and len({None if r.p is None else bytes(r.p) for r in got}) == len(texts)
+    sizes = {r.t: r.p and len(r.p) for r in got}
+    assert sizes["9" * 40] == 21 and sizes["123-45"] == 4 and sizes["ITEM-1"] == 7 and sizes[None] is None
