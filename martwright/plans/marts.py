@@ -176,6 +176,21 @@ def with_sale_key(rows: DataFrame) -> DataFrame:
     return rows.select(surrogate_key("order_item_id").alias("sale_sk"), *rows.columns)
 
 
+def derived() -> dict[str, Column]:
+    """Columns of a fact row that a step of arithmetic gives from others of it, so they need not be stored."""
+    return {
+        "order_date_sk": date_key(F.col("order_date")),
+        "gross_revenue": money.gross_revenue(F.col("quantity"), F.col("unit_price")),
+        "gross_profit": money.money(F.col("net_revenue") - F.col("cogs")),
+        "price_delta": F.round(F.col("unit_price") - F.col("competitor_price"), 2),
+    }
+
+
+def from_stored(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The fact from its stored columns, in the given order."""
+    return with_sale_key(rows.withColumns(derived()).select(*[c for c in columns if c != "sale_sk"]))
+
+
 def fct_sales(
     items: DataFrame,
     orders: DataFrame,

@@ -79,7 +79,7 @@ class Warehouse:
         """Keys and measures are derived after the last shuffle, so that none of them goes through one."""
         lines = curve_clustered(self.sale_lines(), self.fact_curve)
         rows = marts.fact_rows(lines).withColumn("loaded_at", self.built_at)
-        return marts.with_sale_key(self._stored(rows.drop("sale_sk"), "fct_sales"))
+        return marts.from_stored(self._stored(rows.drop("sale_sk", *marts.derived()), "fct_sales"), rows.columns)
 
     @cached_property
     def fact_curve(self) -> Column:

@@ -212,3 +212,21 @@ def test_ids_of_lines_go_packed(spark, small):
     got = marts.fct_sales(odd, small.stg_orders, small.dim_customer, small.dim_product).select("sale_sk", "order_item_id")
     wanted = odd.select(F.md5("order_item_id").alias("sale_sk"), "order_item_id")
     assert got.exceptAll(wanted).isEmpty() and got.count() == wanted.count()
+
+
+def test_stored_fact_gives_all_columns_back(spark, small):
+    """Columns that follow from others are not stored; read again they are what the lazy fact has, types included."""
+    day = dt.date(2024, 2, 29)
+    customers = spark.createDataFrame([("c", "n", "Male", "e@x", "City", "Canada", day, "18-24")], schemas.CUSTOMERS)
+    products = spark.createDataFrame([("p1", "K", "S", "Pen", D("9.99"), D("3.33"), "x"), ("p2", "K", "S", "Ink", D("5.00"), D("7.77"), "x")], schemas.PRODUCTS)
+    orders = spark.createDataFrame([("o1", "c", day, "card", "Completed"), ("o2", "c", dt.date(2024, 12, 31), None, None)], schemas.ORDERS)
+    lines = [("1-1", "o1", "p1", 3, D("9.99"), D("0.3333")), ("1-2", "o1", "p2", 7, D("0.01"), None), ("x", "o2", "p2", 1, D("99999999.99"), D("1.5")), ("x", "o2", "p1", 2, D("1.00"), D("-0.1"))]
+    items = spark.createDataFrame(lines, schemas.ORDER_ITEMS)
+    prices = spark.createDataFrame([("pen", "S", "K", D("9.50"), "In Stock", None, "y"), ("PEN ", "S", "K", D("9.51"), "In Stock", None, "y"), ("pen", "S", "K", D("9.53"), "In Stock", None, "y")], schemas.COMPETITOR_PRICES)
+    house = Warehouse(spark, schemas.RawTables(customers=customers, products=products, orders=orders, order_items=items, competitor_prices=prices), dt.date(2024, 12, 31))
+    for w, rows in ((house, 4), (small, None)):
+        stored, lazy = w.fct_sales.drop("loaded_at"), w.sales()
+        assert stored.dtypes == lazy.dtypes
+        assert stored.exceptAll(lazy).isEmpty() and lazy.exceptAll(stored).isEmpty() and stored.count() == (rows or lazy.count())
+        written = spark.read.parquet(w.fct_sales.inputFiles()[0]).columns
+        assert not {"order_date_sk", "gross_revenue", "gross_profit", "price_delta"} & set(written)
